@@ -35,5 +35,27 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_spans(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_best_fit_packing, op5_secret_scan)}
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.simhash import hex_fingerprint, simhash_groups
+
+    found = simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, bits=64, distance=2, width=32)
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.language import fold_of, identify, labelled_sample
+
+    docs = _table(spark, sf_dir, "documents")
+    held = fold_of("doc_id", 4) == 2
+    sample = labelled_sample(docs.where(~F.coalesce(held, F.lit(False))))
+    return identify(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text"), sample).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_best_fit_packing, op5_secret_scan, op8_language_id, op10_decontaminate)}
 SQL: dict[str, str] = {}

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from voxloom.plans.ship import ship
+
 #: Words are maximal runs of anything but these ASCII blanks; ``bytes.split()`` cuts at just these.
 BLANKS = " \t\n\v\f\r"
 
@@ -24,6 +26,7 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(columns as Python lists, in order) -> list of output columns`` for each Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
