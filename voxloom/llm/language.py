@@ -3,8 +3,8 @@
 For each language a suffix automaton of labelled text is built. A text is cut into the
 fewest greedy phrases that occur in that labelled text; phrases times the bits that a
 position in the labelled text takes, for each character, estimates the cross entropy
-(Ziv and Merhav 1993). The language with the least wins. Words are parsed with a blank on
-either side and phrases end at words, so a worker parses each different word once.
+(Ziv and Merhav 1993). The language with the least wins. Runs of letters are parsed with a
+blank on either side and phrases end with words, so a worker parses each different word once.
 
 The labelled text is a bounded sample: ``sample_chars`` characters a language, from the
 ``sample_docs`` training rows that come first in the order of their ids' hash. Every text
@@ -16,6 +16,7 @@ languages are never learned from. Repeated rows each give a row.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ SAMPLE_DOCS = 200
 SAMPLE_CHARS = 60_000
 CACHE_ENTRIES = 300_000
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
 
 def fold_of(doc_id: str | Column, folds: int) -> Column:
     """crc32(doc_id as text) mod ``folds``."""
@@ -49,8 +52,14 @@ def labelled_sample(train: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return {k: " ".join(v)[:chars] for k, v in out.items()}
 
 
+def letters(text: str) -> str:
+    """Lower-case runs of letters with one blank between and around; nothing if there is no letter."""
+    runs = _LETTERS.findall(text.lower())
+    return f" {' '.join(runs)} " if runs else ""
+
+
 class Parser(dict):
-    """Word -> its phrases in every language, 32 bits each in one integer; filled on a miss."""
+    """Word -> its characters and its phrases in every language, 32 bits each in one integer; filled on a miss."""
 
     def __init__(self, sample: dict[str, str], limit: int = CACHE_ENTRIES):
         super().__init__()
@@ -58,7 +67,7 @@ class Parser(dict):
         self.automata, self.bits = [], []
         for k in self.languages:
             a = SuffixAutomaton()
-            for c in f" {sample[k]} ":
+            for c in letters(sample[k]):
                 a.extend(c)
             self.automata.append(a)
             self.bits.append(math.log2(len(sample[k]) + 2))
@@ -66,9 +75,10 @@ class Parser(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        padded, n = f" {word.lower()} ", 0
+        padded, n = letters(word), 0
         for a in reversed(self.automata):
             n = (n << 32) + a.phrases(padded)
+        n = (n << 32) + max(0, len(padded) - 1)
         self[word] = n
         return n
 
@@ -76,9 +86,9 @@ class Parser(dict):
         """(language, score, bits a character); a score of 1 is sure, near 0.5 a close call."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0
-        words = text.split()
-        total, size = sum(map(self.__getitem__, words)), sum(map(len, words)) + len(words)
-        cost = []
+        total = sum(map(self.__getitem__, text.split()))
+        size, cost = max(1, total & 0xFFFFFFFF), []
+        total >>= 32
         for bits in self.bits:
             cost.append((total & 0xFFFFFFFF) * bits / size)
             total >>= 32

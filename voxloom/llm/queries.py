@@ -57,5 +57,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_best_fit_packing, op5_secret_scan, op8_language_id, op10_decontaminate)}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.language import fold_of
+    from voxloom.llm.ppm import scores
+
+    return scores(_table(spark, sf_dir, "documents"), fold_of("doc_id", 10) == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_best_fit_packing, op5_secret_scan, op8_language_id, op9_lm_score, op10_decontaminate)}
 SQL: dict[str, str] = {}
