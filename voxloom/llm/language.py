@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.suffix import SuffixAutomaton
-from voxloom.llm.texts import map_rows, per_task
+from voxloom.llm.texts import Cache, map_rows, per_task
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 60_000
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -58,12 +58,12 @@ def letters(text: str) -> str:
     return f" {' '.join(runs)} " if runs else ""
 
 
-class Parser(dict):
+class Parser(Cache):
     """Word -> its characters and its phrases in every language, 32 bits each in one integer; filled on a miss."""
 
     def __init__(self, sample: dict[str, str], limit: int = CACHE_ENTRIES):
-        super().__init__()
-        self.languages, self.limit = sorted(sample), limit
+        super().__init__(limit)
+        self.languages = sorted(sample)
         self.automata, self.bits = [], []
         for k in self.languages:
             a = SuffixAutomaton()
@@ -72,15 +72,11 @@ class Parser(dict):
             self.automata.append(a)
             self.bits.append(math.log2(len(sample[k]) + 2))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
+    def make(self, word: str) -> int:
         padded, n = letters(word), 0
         for a in reversed(self.automata):
             n = (n << 32) + a.phrases(padded)
-        n = (n << 32) + max(0, len(padded) - 1)
-        self[word] = n
-        return n
+        return (n << 32) + max(0, len(padded) - 1)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, bits a character); a score of 1 is sure, near 0.5 a close call."""

@@ -14,13 +14,14 @@ nothing. Columns of the input other than the id and the text don't pass through.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.texts import map_rows, per_task
+from voxloom.llm.texts import Cache, byte_letters, map_rows, per_task
 from voxloom.plans.durable import durable
 
 CAPACITY = 2048
@@ -30,8 +31,13 @@ CACHE_ENTRIES = 400_000
 RANK_PARTS = 64
 
 
-class Ids(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers, filled on a miss.
+#: The common shape of a word: letters in composed form, then marks; one pre-token of the tokenizer each.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
+_LETTERS = byte_letters()
+
+
+class Ids(Cache):
+    """Word -> its ids as little-endian unsigned 32-bit integers.
 
     The tokenizer drops blanks, and no rule of it reaches across one, so a text's ids
     are those of its words in turn.
@@ -40,23 +46,22 @@ class Ids(dict):
     def __init__(self, path: str, limit: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        super().__init__(limit)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+
+    def make(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if m := _PLAIN.fullmatch(text):
+            return self.merged(m[1].lower()) + (self.merged(m[2]) if m[2] else b"")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def fill(self, words) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
+    def merged(self, pre_token: str) -> bytes:
+        got = self.model.tokenize(pre_token.encode().decode("latin-1").translate(_LETTERS))
+        return b"".join([t.id.to_bytes(4, "little") for t in got])
 
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.fill(set().union(*cut))
-        return [b"".join(map(self.__getitem__, c)) for c in cut]
+    def of(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
 _OPEN: dict[str, Ids] = {}
@@ -76,8 +81,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
         def step(doc, texts):
             out = [[] for _ in range(6 if with_ids else 5)]
-            for d, coded in zip(doc, ids.of(texts), strict=True):
-                coded += end
+            for d, t in zip(doc, texts, strict=True):
+                coded = ids.of(t) + end
                 for k, at in enumerate(range(0, len(coded), 4 * capacity)):
                     part = coded[at : at + 4 * capacity]
                     row = (d, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").tolist()] if with_ids else ()))

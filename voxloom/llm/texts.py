@@ -22,6 +22,37 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
+class Cache(dict):
+    """What ``make(key)`` gave, for the keys met lately: between ``limit`` and twice as many are held."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def byte_letters() -> dict[int, str]:
+    """Latin-1 code point of a byte -> its letter in byte-level vocabularies.
+
+    Visible bytes stand for themselves; the others follow, in order, from code point 256.
+    """
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(columns as Python lists, in order) -> list of output columns`` for each Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
