@@ -64,5 +64,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(_table(spark, sf_dir, "documents"), fold_of("doc_id", 10) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op4_best_fit_packing, op5_secret_scan, op8_language_id, op9_lm_score, op10_decontaminate)}
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.embeddings import embedding_links
+
+    return embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_embedding_dedup, op4_best_fit_packing, op5_secret_scan, op8_language_id, op9_lm_score, op10_decontaminate)}
 SQL: dict[str, str] = {}
