@@ -70,5 +70,20 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_embedding_dedup, op4_best_fit_packing, op5_secret_scan, op8_language_id, op9_lm_score, op10_decontaminate)}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=20)
+
+
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"), least=0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_token_counts, op3_embedding_dedup, op4_best_fit_packing, op5_secret_scan, op6_substring_dedup, op7_warc_zip, op8_language_id, op9_lm_score, op10_decontaminate)
+}
 SQL: dict[str, str] = {}
