@@ -124,16 +124,10 @@ class Matcher:
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, short: int = SHORT, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, end) for every document and item that it holds."""
-    spark = docs.sparkSession
-    bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_chars))
-    item_kind, doc_kind = dict(bench.dtypes)["item_id"], dict(docs.dtypes)[doc_id]
+    doc_kind, item_kind = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     source = docs.select(doc_id, text)
     out = None
-    for s in range(shards):
-        part = bench if shards == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(shards)) == s)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.distinct().orderBy("item_id", "text").collect()])
+    for shared in _shards(items, item_id, item_text, shard_chars):
 
         @per_task
         def find(shared=shared):
@@ -148,3 +142,33 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         got = map_rows(source, find, f"doc_id {doc_kind}, item_id {item_kind}, distance int, end bigint")
         out = got if out is None else out.union(got)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end")).alias("m")).select("doc_id", "item_id", "m.distance", "m.end")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, short: int = SHORT, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item. Nothing is shuffled."""
+    others = [c for c in docs.columns if c != text]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, text])
+    out = docs.select(*others, text)
+    for shared in _shards(items, item_id, item_text, shard_chars):
+
+        @per_task
+        def clean(shared=shared):
+            matcher = Matcher(shared.value, rate, short)
+
+            def step(*cols):
+                keep = [k for k, t in enumerate(cols[-1]) if not matcher.matches(t)]
+                return [[c[k] for k in keep] for c in cols]
+
+            return step
+
+        out = map_rows(out, clean, schema)
+    return out.select(*docs.columns)
+
+
+def _shards(items: DataFrame, item_id: str, item_text: str, shard_chars: int) -> list:
+    """Broadcasts of the items, each of about ``shard_chars`` characters at most."""
+    bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // shard_chars))
+    parts = [bench] if n == 1 else [bench.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
+    return [items.sparkSession.sparkContext.broadcast([tuple(r) for r in p.distinct().orderBy("item_id", "text").collect()]) for p in parts]
