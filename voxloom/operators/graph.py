@@ -46,3 +46,24 @@ def _small_star(stars: DataFrame) -> DataFrame:
     least = stars.groupBy("b").agg(F.min("a").alias("m"))
     up = stars.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return up.union(least.select(F.col("m").alias("a"), "b")).distinct()
+
+
+def merge_edges(parents: DataFrame, parent: str = "parent", children: str = "children") -> DataFrame:
+    """(src, dst): each parent with itself and its children; a merge without children is left out."""
+    some = parents.where(F.size(children) > 0)
+    return some.select(F.col(parent).alias("src"), F.explode(F.array_union(F.col(children), F.array(parent))).alias("dst")).distinct()
+
+
+def consolidate(sets: DataFrame, members: str = "members") -> DataFrame:
+    """(root, members): intersecting sets united to a fixpoint; the root is the least member.
+
+    Sets of one member alone are left out.
+    """
+    some = sets.where(F.size(members) > 1)
+    edges = some.select(F.array_min(members).alias("src"), F.explode(members).alias("dst"))
+    return groups(connected_components(edges))
+
+
+def groups(found: DataFrame) -> DataFrame:
+    """(root, members) of components with two nodes or more."""
+    return found.groupBy(F.col("component").alias("root")).agg(F.array_sort(F.collect_set("node")).alias("members")).where(F.size("members") > 1)
