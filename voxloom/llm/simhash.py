@@ -117,27 +117,31 @@ def links(nodes: DataFrame, bits: int, distance: int, width: int, ball: list[int
     ``nodes``: distinct (node bigint, fp array<bigint>). Radii of ``ball`` are -1, 0 or 1.
     """
     values = [_segment(at, n) for at, n in segments(bits, width)]
-    table = nodes.select("node", "fp", F.explode(F.array(*(_key(s, v) for s, v in enumerate(values) if ball[s] >= 0))).alias("key"))
-    probes = []
-    for s, v in enumerate(values):
-        if ball[s] >= 0:  # the value itself: pairs of a bucket, once
-            probes.append(F.array(_key(s, v)))
-        if ball[s] >= 1:  # one bit away: of two values that differ in one bit, the one without it asks
-            probes.append(_flipped(s, v, width))
-    own = F.array(*(_key(s, v) for s, v in enumerate(values) if ball[s] >= 0))
-    asks = nodes.select("node", "fp", own.alias("own"), F.explode(F.flatten(F.array(*probes))).alias("key"))
-    asks = asks.select("node", "fp", "key", F.array_contains("own", F.col("key")).alias("same"))
-    sizes = durable(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"))
-    cold = table.join(sizes, "key", "left_anti").select("key", F.col("node").alias("b"), F.col("fp").alias("fb"))
-    far = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(1, bits // 64)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
-    met = asks.select("key", F.col("node").alias("a"), F.col("fp").alias("fa"), "same").join(cold, "key")
-    pairs = met.where(~F.col("same") | (F.col("a") < F.col("b"))).where(far <= distance).select("a", "b")
-    if sizes.isEmpty():
-        return pairs
-    warm = asks.join(sizes, "key", "left_semi")
-    if distance <= 2 and bits == 64:
-        return pairs.union(_by_balls(warm.unionByName(table.join(sizes, "key", "left_semi").withColumn("same", F.lit(True)))))
-    return pairs.union(_by_tiles(table.join(sizes, "key", "left_semi"), warm, distance))
+    own = [_key(s, v) for s, v in enumerate(values) if ball[s] >= 0]
+    table = nodes.select("node", F.explode(F.array(*own)).alias("key"))
+    # A fingerprint asks for its own values, and for those one bit away; of two values that
+    # differ in one bit only the one without it asks.
+    asks = [F.array(*own), *(_flipped(s, v, width) for s, v in enumerate(values) if ball[s] >= 1)]
+    asks = nodes.select(F.col("node").alias("a"), F.explode(F.flatten(F.array(*asks))).alias("key"))
+    large = durable(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"))
+    small = table.join(large, "key", "left_anti").select("key", F.col("node").alias("b"))
+    # One row stands for a large bucket: who meets it is compared below.
+    met = asks.join(small.unionByName(large.withColumn("b", F.lit(None).cast("bigint"))), "key").where("b is null or a <> b")
+    if bits == 64:  # the node is the fingerprint
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+        met = durable(met.where(F.col("b").isNull() | near))
+        pairs = met.where("b is not null").select("a", "b")
+    else:
+        met = durable(met)
+        pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        prints = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"))
+        far = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(1, bits // 64)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
+        pairs = pairs.join(prints("a"), "a").join(prints("b"), "b").where(far <= distance).select("a", "b")
+    warm = met.where("b is null").select("key", F.col("a").alias("node"))
+    if bits == 64 and distance <= 2:
+        return pairs.union(_by_balls(warm.select("node").distinct()))
+    members = table.join(large, "key", "left_semi").join(nodes, "node")
+    return pairs.union(_by_tiles(members, warm.join(nodes, "node"), distance))
 
 
 def _key(s: int, v):
@@ -161,17 +165,15 @@ def _segment(at: int, n: int):
 
 def _by_balls(rows: DataFrame) -> DataFrame:
     """Every holder of a point within one bit, linked to the point's least holder."""
-    held = rows.select("node", F.col("fp")[0].alias("v")).distinct()
     flips = F.array(F.lit(0).cast("bigint"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint") for i in range(64)))
-    points = held.select("node", F.explode(F.transform(flips, lambda m: F.col("v").bitwiseXOR(m))).alias("point"))
+    points = rows.select("node", F.explode(F.transform(flips, lambda m: F.col("node").bitwiseXOR(m))).alias("point"))
     least = points.groupBy("point").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("point", "a")
     return points.join(least, "point").where("node <> a").select("a", F.col("node").alias("b"))
 
 
 def _by_tiles(members: DataFrame, visitors: DataFrame, distance: int) -> DataFrame:
-    both = members.select("key", "node", "fp", F.lit(False).alias("visits"), F.lit(True).alias("same"))
-    both = both.unionByName(visitors.select("key", "node", "fp", F.lit(True).alias("visits"), "same"))
     ship(members.sparkSession)
+    both = members.select("key", "node", "fp", F.lit(False).alias("visits")).unionByName(visitors.select("key", "node", "fp", F.lit(True).alias("visits")))
     dealt = tiled(both, ["key"], F.col("visits"), F.col("node"), TILE)
 
     def compare(pdf):
