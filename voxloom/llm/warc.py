@@ -95,7 +95,7 @@ class ZipDirectory:
         tail_at = max(0, size - 22 - FULL16)
         tail = read(tail_at, size - tail_at)
         end = tail.rfind(END)
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
             end = tail.rfind(END, 0, end)  # the signature may stand in the comment
         if end < 0:
             raise ValueError("no end of central directory")
