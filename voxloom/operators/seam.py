@@ -49,10 +49,9 @@ def by_dice(facing: DataFrame, threshold: float = 0.6) -> DataFrame:
         return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
     ab = one_way(regionprops.modal(scored_all(scored), by, "a", "b").where(good), "a", "b")
-    used = ab.select("region_id", F.explode(F.array("a", "b")).alias("id")).distinct()
     back = regionprops.modal(scored_all(scored), by, "b", "a").where(good)
-    for c in ("a", "b"):
-        back = back.join(used.withColumnRenamed("id", c), ["region_id", c], "left_anti")
+    for c in ("a", "b"):  # an id is used up on its own plane
+        back = back.join(ab.select("region_id", c).distinct(), ["region_id", c], "left_anti")
     ba = one_way(back, "b", "a")
     both = ab.withColumn("way", F.lit("ab")).unionByName(ba.withColumn("way", F.lit("ba")))
     return both.select("region_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "dice", "way")

@@ -43,8 +43,8 @@ query("jon8_dominance", PARETO)(lambda t: metrics.pareto(metrics.pr_curve(t.fx_p
 query("seg1_mode", f"""with {FACING}, c as (select region_id, a, b, count(*) n from facing where a > 0 and b > 0 group by all), m as (select *, n / sum(n) over (partition by region_id, a) score from c qualify row_number() over (partition by region_id, a order by n desc, b) = 1)
     select region_id, a, b, round(score, 6) score from m where score > 0.5""")(lambda t: seam.by_mode(facing(t), 0.5).select("region_id", "a", "b", *r6("score")))
 GREEDY = DICE + """, ma as (select * from s where a <> b qualify row_number() over (partition by region_id, a order by n desc, b) = 1), ab as (select * from ma where dice >= 0.6 qualify row_number() over (partition by region_id, b order by a) = 1),
-    used as (select region_id, a id from ab union select region_id, b from ab), mb as (select * from s where a <> b qualify row_number() over (partition by region_id, b order by n desc, a) = 1),
-    ba as (select * from mb where dice >= 0.6 and not exists (select 1 from used u where u.region_id = mb.region_id and u.id in (mb.a, mb.b)) qualify row_number() over (partition by region_id, a order by b) = 1),
+    mb as (select * from s where a <> b qualify row_number() over (partition by region_id, b order by n desc, a) = 1),
+    ba as (select * from mb where dice >= 0.6 and not exists (select 1 from ab u where u.region_id = mb.region_id and (u.a = mb.a or u.b = mb.b)) qualify row_number() over (partition by region_id, a order by b) = 1),
     merges as (select region_id, least(a, b) src, greatest(a, b) dst, dice, 'ab' way from ab union all select region_id, least(a, b), greatest(a, b), dice, 'ba' from ba)"""
 query("seg2_dice", GREEDY + " select region_id, src, dst, round(dice, 6) dice, way from merges")(lambda t: seam.by_dice(facing(t)).select("region_id", "src", "dst", *r6("dice"), "way"))
 query("seg3_dice_recentred", GREEDY.replace("with facing", "with recursive facing", 1) + """, e as (select src a, dst b from merges union select dst, src from merges), reach(node, cur) as (select a, a from e union select r.node, e.b from reach r join e on r.cur = e.a),
