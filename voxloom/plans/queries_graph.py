@@ -13,7 +13,7 @@ from voxloom.streaming.merges import MergeTable, stream_performance
 
 # Joins
 
-query("jon1_aligned", "select z, count(*) n, sum(e.v) filter (l.label > 0) v_in, round(sum(p.p) filter (l.label > 0), 4) p_in from fx_em e join fx_pt p using (z, y, x) join fx_lbl l using (z, y, x) group by z")(
+query("jon1_aligned", "select z, count(*) n, cast(sum(e.v) filter (l.label > 0) as bigint) v_in, round(sum(p.p) filter (l.label > 0), 4) p_in from fx_em e join fx_pt p using (z, y, x) join fx_lbl l using (z, y, x) group by z")(
     lambda t: t.fx_em.join(t.fx_pt, ["z", "y", "x"]).join(t.fx_lbl, ["z", "y", "x"]).groupBy("z").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") > 0, F.col("v"))).alias("v_in"), F.round(F.sum(F.when(F.col("label") > 0, F.col("p"))), 4).alias("p_in"))
 )
 query("jon2_seam_planes", f"with {FACING} select * from facing")(facing)
@@ -29,7 +29,7 @@ query("jon5_unused", "select distinct label from fx_lbl where label > 0 and labe
 query("jon6_thresholds", "select t.k / 100.0 threshold, count(*) filter (p >= t.k / 100.0) hits from fx_pt cross join (select unnest(range(0, 101)) k) t group by 1")(
     lambda t: metrics.pr_curve(t.fx_pt).select("threshold", (F.col("tp") + F.col("fp")).alias("hits"))
 )
-query("jon7_in_regions", GRID + " select g.region_id, count(*) n, sum(v) s from g join fx_em e on e.z >= z0 and e.z < z1 and e.y >= y0 and e.y < y1 and e.x >= x0 and e.x < x1 group by 1")(
+query("jon7_in_regions", GRID + " select g.region_id, count(*) n, cast(sum(v) as bigint) s from g join fx_em e on e.z >= z0 and e.z < z1 and e.y >= y0 and e.y < y1 and e.x >= x0 and e.x < x1 group by 1")(
     lambda t: regions.in_regions(t.fx_em, grid(t), SPAN).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
 )
 CURVE = """with k as (select unnest(range(0, 101)) k), c as (select k / 100.0 threshold, count(*) filter (p >= k / 100.0 and t = 1) tp, count(*) filter (p >= k / 100.0 and t = 0) fp, count(*) filter (p < k / 100.0 and t = 1) fn from fx_pt, k group by k),
@@ -69,7 +69,7 @@ query("seg7_status", GREEDY + ", r as (select unnest(range(1, 5)) region_id) sel
 # Graphs
 
 query("gra1_components", COMPONENTS + " select node, component from comp")(lambda t: graph.connected_components(t.fx_edges))
-LISTS = COMPONENTS + " select component root, count(*) n, sum(node) s from comp group by component having count(*) > 1"
+LISTS = COMPONENTS + " select component root, count(*) n, cast(sum(node) as bigint) s from comp group by component having count(*) > 1"
 
 
 def listed(groups):

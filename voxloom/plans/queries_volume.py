@@ -49,7 +49,7 @@ def _(t):
     return volumes.co_cutout({"em": t.fx_em.select("z", "y", "x", "v"), "prob": t.fx_pt.select("z", "y", "x", "p"), "truth": t.fx_lbl}, BOX, PAD)
 
 
-@query("src3_slabs", "select z, count(*) n, sum(v) s from fx_em where z >= 1 and z < 6 group by z")
+@query("src3_slabs", "select z, count(*) n, cast(sum(v) as bigint) s from fx_em where z >= 1 and z < 6 group by z")
 def _(t):
     return volumes.by_slabs(t.fx_em, (1, 6), 5).groupBy("z").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
 
@@ -242,7 +242,7 @@ query("stn5_binary_dilate", around(2, "bool_or(e.m) m", "abs(dy) + abs(dx) <= 2"
 query("stn6_binary_erode", around(1, "count(*) filter (e.m) = 5 m", "abs(dy) + abs(dx) <= 1", MASK))(lambda t: stencil.binary_erode(mask(t), stencil.diamond(1)))
 query("stn7_label_interior", around(1, "count(*) filter (e.t = 1) = 9 inside", src="fx_pt", y=MY, x=MX))(lambda t: stencil.label_interior(t.fx_pt.select("z", "y", "x", F.col("t").alias("label")), 1, 1, YX))
 query("stn8_local_contrast", around(3, "round(max(c.v) / nullif(stddev_pop(e.v) filter (o.dy <> 0 or o.dx <> 0), 0), 6) v"))(lambda t: stencil.local_contrast(t.fx_em, 7).select("z", "y", "x", *r6("v")))
-query("stn10_tiles", around(2, "sum(e.v * ((o.dy + 2) * 5 + o.dx + 3)) weighed", how="having count(*) = 25"))(
+query("stn10_tiles", around(2, "cast(sum(e.v * ((o.dy + 2) * 5 + o.dx + 3)) as bigint) weighed", how="having count(*) = 25"))(
     lambda t: stencil.tiles(t.fx_em, 2).select("z", "y", "x", F.aggregate(F.transform(F.flatten("tile"), lambda v, i: v * (i + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("weighed"))
 )
 query("stn11_z_neighbours", """with o as (select cast(unnest(range(-2, 3)) as int) channel), w as (select z, y, x, channel, case when z + channel >= 7 then 12 - z - channel when z + channel < 0 then -z - channel else z + channel end s from fx_em, o)
@@ -276,7 +276,7 @@ query("nrm4_summary", """with m as (select z, v, avg(v) over (partition by z) a
 # Aggregates and overlaps
 
 query("agg1_regionprops", """select label, count(*) area, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1, round(avg(z), 6) cz, round(avg(y), 6) cy, round(avg(x), 6) cx,
-    sum(z * 1250 + x * 25 + y) pixel_sum from fx_lbl where label > 0 group by label""")(
+    cast(sum(z * 1250 + x * 25 + y) as bigint) pixel_sum from fx_lbl where label > 0 group by label""")(
     lambda t: regionprops.regionprops(t.fx_lbl, pixels=True, ny=25, nx=50).select("label", "area", "z0", "z1", "y0", "y1", "x0", "x1", *r6("cz", "cy", "cx"), F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("pixel_sum"))
 )
 query("agg2_size_filter", "select z, y, x, case when label > 0 and count(*) over (partition by label) >= 22 then label else 0 end label from fx_lbl")(lambda t: regionprops.size_filter(t.fx_lbl, 22))
