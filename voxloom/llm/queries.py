@@ -86,4 +86,29 @@ QUERIES = {
     f.__name__: f
     for f in (op1_simhash, op2_token_counts, op3_embedding_dedup, op4_best_fit_packing, op5_secret_scan, op6_substring_dedup, op7_warc_zip, op8_language_id, op9_lm_score, op10_decontaminate)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_embedding_dedup": """
+        with recursive v as (select vec_id, label, embedding::double[] e from embeddings where label is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        n as (select *, sqrt(list_dot_product(e, e)) m from v),
+        links as (select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.m * b.m) >= 0.98),
+        reach(node, cur) as (select vec_id, vec_id from embeddings union select r.node, l.b from reach r join links l on r.cur = l.a),
+        roots as (select node, min(cur) root from reach group by node), counts as (select a, count(*) c from links group by a)
+        select e.vec_id, coalesce(c, 0)::bigint n_links, root component_id, e.vec_id = root kept from embeddings e join roots on node = e.vec_id left join counts on a = e.vec_id""",
+    "op6_substring_dedup": """
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r]+') w from documents),
+        win as (select doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') s from (select doc_id, w, unnest(range(1, len(w) - 18)) i from d where len(w) >= 20)),
+        firsts as (select s, min((doc_id, i)) f from win group by s),
+        late as (select doc_id, i from win join firsts using (s) where (doc_id, i) > f),
+        gone as (select distinct doc_id, unnest(range(i, i + 20)) k from late),
+        words as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) k from d),
+        left_over as (select doc_id, count(*) filter (g.k is not null) n_removed, string_agg(x, ' ' order by words.k) filter (g.k is null) kept from words left join gone g using (doc_id, k) group by doc_id)
+        select d.doc_id, len(w)::bigint n_words, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join left_over using (doc_id)""",
+    "op7_warc_zip": """
+        with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x from pages), t as (select h, max(page_id) top from p group by h),
+        c as (select page_id, i, ('0x' || substr(x, 1 + 5 * i, 5))::bigint q from (select page_id, x, unnest(range(8)) i from p)),
+        b as (select page_id, string_agg(substr(a, 1 + (q >> 15)::int, 1) || substr(a, 1 + ((q >> 10) & 31)::int, 1) || substr(a, 1 + ((q >> 5) & 31)::int, 1) || substr(a, 1 + (q & 31)::int, 1), '' order by i) digest
+            from c, (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' a) group by page_id)
+        select page_id, octet_length(encode(h))::bigint payload_bytes, digest payload_digest, case when page_id = top then 'response' else 'revisit' end record_type, case when page_id <> top then top end refers_to
+        from p join t using (h) join b using (page_id)""",
+}
