@@ -186,12 +186,26 @@ def test_embedding_links(spark):
         lab = new
     want = Counter((r[0], len(near[i]), lab[i], r[0] == lab[i]) for i, r in enumerate(ok)) + Counter((r[0], 0, r[0], True) for r in odd[:-3])
     for rows_a_cell in (1, 16):
-        got = embeddings.embedding_links(df, cell_rows=rows_a_cell)
+        got = embeddings.embedding_links(df, cell_rows=rows_a_cell, recall=1)
         assert Counter(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect())) == want
     assert embeddings.embedding_links(df.limit(0)).count() == 0
     assert embeddings.embedding_links(df.where("vec_id in (900, 901)")).count() == 2
 
 
+def test_embedding_recall(spark, sf_dir):
+    """Copies with noise at the threshold, in 64 dimensions: recall at the default target."""
+    base = RNG.normal(size=(400, 64))
+    noise = RNG.normal(size=(400, 64))
+    far = base + noise / np.linalg.norm(noise, axis=1)[:, None] * np.linalg.norm(base, axis=1)[:, None] * 0.19
+    df = spark.createDataFrame([(i, [float(v) for v in x], 0) for i, x in enumerate(np.r_[base, far])], "vec_id bigint, embedding array<float>, label int")
+    x = np.r_[base, far]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = int((x @ x.T >= 0.98).sum() - len(x))
+    got = embeddings.embedding_links(df, cell_rows=4).agg(F.sum("n_links")).first()[0]
+    assert want > 500
+    assert got >= 0.98 * want
+
+
 def test_traverse_is_sorted_and_whole():
     a, b = RNG.random(7), RNG.random(9)
     got = embeddings.traverse(a, b, 0.8)

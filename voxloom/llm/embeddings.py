@@ -3,10 +3,11 @@
 Unit vectors are cut in halves; each half has a codebook of its own, fitted by k-means on a
 bounded sample (``sample`` rows). The two nearest centroids name a vector's home cell in
 the product grid. A vector visits the cells in the order of a lower bound on their distance
-(multi-sequence traversal: both halves' cells sorted by bound, a heap over the grid), until
-the bound exceeds what a link allows, shortened to ``recall`` of it; then candidates are
-verified by cosine in double precision. The bound on a half is the distance to the plane
-between the home centroid and the other one, so with ``recall`` 1 no link is missed.
+(multi-sequence traversal: both halves' cells sorted by bound, a heap over the grid) until
+the target recall is reached; then candidates are verified by cosine in double precision. The
+bound on a half is the distance to the plane between the home centroid and the other one.
+With ``recall`` 1 the traversal goes on to the length of the longest link, and none is missed;
+below, to the part of it that a displacement in a random direction takes with that chance.
 
 Rows with equal labels and vectors are one representative with a weight, so copies never
 pair up. A cell that holds a large share of the rows is dealt into tiles of bounded size;
@@ -34,11 +35,15 @@ from voxloom.plans.ship import ship
 from voxloom.plans.tiles import tiled
 
 COSINE = 0.98
+#: Target recall of links as long as the threshold allows; shorter ones fare better. 1 is exact.
+RECALL = 0.9999
 SAMPLE = 4096
 #: Vectors of a label that a cell holds on average; the codebooks grow with the table.
-CELL_ROWS = 16
+CELL_ROWS = 32
 MAX_CENTROIDS = 512
 TILE = 1024
+#: Vectors placed at once; each may go to many cells.
+SLICE = 128
 #: What rounding may take off a bound.
 SLACK = 1e-6
 
@@ -88,52 +93,66 @@ def traverse(a: np.ndarray, b: np.ndarray, limit: float) -> list[tuple[int, int]
     return out
 
 
-def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, recall: float = 1.0, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> DataFrame:
+def reach(recall: float, width: int) -> float:
+    """The part of a link's squared length that its crossing of two planes takes, at most, with chance ``recall``.
+
+    The share of a random direction's square that falls on two of n axes is over f with chance
+    (1 - f)^(n/2 - 1).
+    """
+    return 1.0 if recall >= 1 or width <= 2 else 1 - (1 - recall) ** (1 / (width / 2 - 1))
+
+
+def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, recall: float = RECALL, sample: int = SAMPLE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of ``vectors``."""
     spark = vectors.sparkSession
     ship(spark)
-    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"), F.col(label).alias("label"))
     sound = "label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     v = v.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
     # One representative of equal rows; -0.0 is 0.0.
-    key = F.when(F.col("sound"), F.xxhash64("label", F.expr("transform(v, x -> x + 0.0D)")))
+    key = F.when(F.col("sound"), F.xxhash64("label", F.expr("transform(v, x -> cast(x as double) + 0.0D)")))
     rows = v.withColumn("rep", key)
     reps = durable(rows.where("sound").groupBy("rep").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v")))
     total, labels, width = reps.agg(F.count("*"), F.approx_count_distinct("label", 0.05), F.max(F.size("v"))).first()
     if not total:
         return v.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
-    picked = np.array([_padded(r[0], width) for r in reps.orderBy("rep").limit(sample).select("v").collect()])
-    picked /= np.linalg.norm(picked, axis=1, keepdims=True)
+    picked = _units([_padded(r[0], width) for r in reps.orderBy("rep").limit(sample).select("v").collect()])
     k = int(max(1, min(MAX_CENTROIDS, sample // 4, (total / (cell_rows * max(1, labels))) ** 0.5)))
     half = (width + 1) // 2
     books = spark.sparkContext.broadcast((centroids(picked[:, :half], k), centroids(picked[:, half:], k) if width > 1 else np.zeros((1, 0))))
-    limit = (2 - 2 * cosine) * recall + SLACK
+    limit = (2 - 2 * cosine) * reach(recall, width) + SLACK
     kind = dict(reps.dtypes)["label"]
 
     def cells(batches):
+        import pyarrow as pa
+
         first, second = books.value
-        for pdf in batches:
-            x = np.array([_padded(y, width) for y in pdf["v"]])
-            with np.errstate(over="ignore", invalid="ignore"):
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-            a, b = bounds(x[:, :half], first), bounds(x[:, half:], second)
-            out = []
-            for r, w, lab, y, unit, p, q in zip(pdf["rep"], pdf["weight"], pdf["label"], pdf["v"], x, a, b, strict=True):
-                home = int(p.argmin()) * len(second) + int(q.argmin())
-                out.append((lab, len(y), home, home, r, w, unit.tolist(), False))
-                for i, j in traverse(p, q, limit):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rep, weight, lab, vs = (part.column(c) for c in ("rep", "weight", "label", "v"))
+                unit = _units([_padded(y, width) for y in vs.to_pylist()])
+                a, b = bounds(unit[:, :half], first), bounds(unit[:, half:], second)
+                home = (a.argmin(1) * len(second) + b.argmin(1)).tolist()
+                rows, cell, visits = [], [], []
+                for k, (p, q, h) in enumerate(zip(a, b, home, strict=True)):
                     # Of two vectors in different cells the one in the lower cell visits the other.
-                    if (cell := i * len(second) + j) >= home:
-                        out.append((lab, len(y), cell, home, r, w, unit.tolist(), True))
-            yield pd.DataFrame(out, columns=["label", "dim", "cell", "home", "rep", "weight", "unit", "visits"])
-
-    placed = reps.mapInPandas(cells, f"label {kind}, dim int, cell int, home int, rep bigint, weight bigint, unit array<double>, visits boolean")
+                    seen = [c for c in (i * len(second) + j for i, j in traverse(p, q, limit)) if c >= h]
+                    rows += [k] * (len(seen) + 1)
+                    cell += [h, *seen]
+                    visits += [False, *([True] * len(seen))]
+                take = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [lab.take(take), pa.array([len(y) for y in vs], pa.int32()).take(take), pa.array(cell, pa.int32()), pa.array([home[k] for k in rows], pa.int32()), rep.take(take), weight.take(take), vs.take(take), pa.array(visits)],
+                    names=["label", "dim", "cell", "home", "rep", "weight", "v", "visits"],
+                )
+
+    placed = reps.select("rep", "weight", "label", "v").mapInArrow(cells, f"label {kind}, dim int, cell int, home int, rep bigint, weight bigint, v {dict(reps.dtypes)['v']}, visits boolean")
     dealt = tiled(placed, ["label", "dim", "cell"], F.col("visits"), F.col("rep"), TILE)
 
     def verify(pdf):
         m, w = pdf[~pdf["visits"]], pdf[pdf["visits"]]
-        xm, xw = np.array(m["unit"].tolist()), np.array(w["unit"].tolist())
+        xm, xw = (_units(list(x["v"])) for x in (m, w))
         near = (xw @ xm.T >= cosine) & (w["rep"].to_numpy()[:, None] != m["rep"].to_numpy()[None, :])
         # Within its own cell each pair comes up from both sides.
         near &= (w["home"].to_numpy() != w["cell"].to_numpy())[:, None] | (w["rep"].to_numpy()[:, None] < m["rep"].to_numpy()[None, :])
@@ -154,6 +173,13 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     return good.union(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _units(vectors: list) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that squares don't overflow."""
+    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _padded(v, width: int) -> np.ndarray:
     out = np.zeros(width)
     out[: len(v)] = v
