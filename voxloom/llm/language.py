@@ -27,7 +27,7 @@ from voxloom.llm.texts import Cache, map_rows, per_task
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 60_000
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 150_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 

@@ -53,11 +53,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def small_batches(spark) -> None:
+    """Rows of texts are long: batches of Spark's default length would hold too much off its heap."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE)
+
+
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(columns as Python lists, in order) -> list of output columns`` for each Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
