@@ -116,32 +116,44 @@ def links(nodes: DataFrame, bits: int, distance: int, width: int, ball: list[int
 
     ``nodes``: distinct (node bigint, fp array<bigint>). Radii of ``ball`` are -1, 0 or 1.
     """
-    values = [_segment(at, n) for at, n in segments(bits, width)]
-    own = [_key(s, v) for s, v in enumerate(values) if ball[s] >= 0]
-    table = nodes.select("node", F.explode(F.array(*own)).alias("key"))
-    # A fingerprint asks for its own values, and for those one bit away; of two values that
-    # differ in one bit only the one without it asks.
-    asks = [F.array(*own), *(_flipped(s, v, width) for s, v in enumerate(values) if ball[s] >= 1)]
-    asks = nodes.select(F.col("node").alias("a"), F.explode(F.flatten(F.array(*asks))).alias("key"))
+    values = [(s, _segment(at, n)) for s, (at, n) in enumerate(segments(bits, width)) if ball[s] >= 0]
+    own = F.array(*(_key(s, v) for s, v in values))
+    # Of two values that differ in one bit only the one without it asks for the other.
+    flipped = F.flatten(F.array(*(_flipped(s, v, width) for s, v in values if ball[s] >= 1)))
+    table = nodes.select("node", F.explode(own).alias("key"))
     large = durable(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"))
-    small = table.join(large, "key", "left_anti").select("key", F.col("node").alias("b"))
-    # One row stands for a large bucket: who meets it is compared below.
-    met = asks.join(small.unionByName(large.withColumn("b", F.lit(None).cast("bigint"))), "key").where("b is null or a <> b")
-    if bits == 64:  # the node is the fingerprint
-        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-        met = durable(met.where(F.col("b").isNull() | near))
-        pairs = met.where("b is not null").select("a", "b")
-    else:
-        met = durable(met)
-        pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        prints = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"))
-        far = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(1, bits // 64)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
-        pairs = pairs.join(prints("a"), "a").join(prints("b"), "b").where(far <= distance).select("a", "b")
-    warm = met.where("b is null").select("key", F.col("a").alias("node"))
-    if bits == 64 and distance <= 2:
-        return pairs.union(_by_balls(warm.select("node").distinct()))
-    members = table.join(large, "key", "left_semi").join(nodes, "node")
-    return pairs.union(_by_tiles(members, warm.join(nodes, "node"), distance))
+    if bits == 64 and distance <= 2:  # the node is the fingerprint
+        asks = nodes.select(F.col("node").alias("a"), F.explode(F.concat(own, flipped)).alias("key"))
+        small = table.join(large, "key", "left_anti").select("key", F.col("node").alias("b"))
+        # One row stands for a large bucket: who meets it is compared below.
+        met = asks.join(small.unionByName(large.withColumn("b", F.lit(None).cast("bigint"))), "key").where("b is null or a <> b")
+        met = durable(met.where(F.col("b").isNull() | (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)))
+        return met.where("b is not null").select("a", "b").union(_by_balls(met.where("b is null").select(F.col("a").alias("node")).distinct()))
+    # Equal values first. What they join needs no more links, so the balls only look for others.
+    none = nodes.select("node", "fp", F.col("node").alias("group"))
+    near = durable(_met(none, own, own, large, bits, distance))
+    joined = connected_components(near, "a", "b")
+    grouped = durable(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("group")))
+    return near.union(_met(grouped, flipped, own, large, bits, distance))
+
+
+def _met(nodes: DataFrame, wanted, own, large: DataFrame, bits: int, distance: int) -> DataFrame:
+    """(a, b) within ``distance``, of different groups, where a asks for a key that b has."""
+    asks = nodes.select(F.col("node").alias("a"), F.col("group").alias("ga"), F.explode(wanted).alias("key"))
+    table = nodes.select("node", "group", F.explode(own).alias("key"))
+    members = table.join(large, "key", "left_semi")
+    small = table.join(large, "key", "left_anti").select("key", F.col("node").alias("b"), F.col("group").alias("gb"), F.col("group").alias("last"))
+    # One row stands for a large bucket; who meets it, unless all of it is of its own group, is compared in tiles.
+    one = members.groupBy("key").agg(F.min("group").alias("gb"), F.max("group").alias("last")).withColumn("b", F.lit(None).cast("bigint"))
+    met = durable(asks.join(small.unionByName(one.select(small.columns)), "key").where("ga <> gb or ga <> last").select("key", "a", "b"))
+    pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    prints = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"))
+    far = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(1, bits // 64)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
+    pairs = pairs.join(prints("a"), "a").join(prints("b"), "b").where(far <= distance).select("a", "b")
+    prints = nodes.select("node", "fp")
+    visitors = met.where("b is null").select("key", F.col("a").alias("node")).join(prints, "node")
+    met_keys = visitors.select("key").distinct()
+    return pairs.union(_by_tiles(members.select("key", "node").join(met_keys, "key", "left_semi").join(prints, "node"), visitors, distance))
 
 
 def _key(s: int, v):
@@ -238,7 +250,8 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pigeonhole rule's, under which no pair within ``distance`` is missed.
     """
     prints = durable(fingerprints(docs, doc_id, text, shingle, bits))
-    node = F.col("fp")[0] if bits == 64 else F.xxhash64("fp")
+    # Any number of its own will do for a node; these are small, so they pack well in shuffles.
+    node = F.col("fp")[0] if bits == 64 else F.monotonically_increasing_id()
     kinds = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", node))
     ball = ball or radii(distance, len(segments(bits, width)))
     parts = connected_components(links(kinds.select("node", "fp"), bits, distance, width, ball), "a", "b")
