@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from voxloom.plans import queries_graph, queries_volume, registry  # noqa: F401
+from voxloom.plans import queries_general, queries_graph, queries_volume, registry  # noqa: F401
 
 
 @pytest.fixture(scope="module")
