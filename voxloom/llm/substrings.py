@@ -11,10 +11,10 @@ match, and each shard meets only its own passages:
 1. The least hash among a window's ``GRAM``-word grams is its anchor. Equal windows have
    equal anchors; consecutive windows that share the anchor's place are a run. Only runs
    whose anchor occurs again anywhere can hold a repeated window.
-2. Runs with one anchor form a shard, as word sequences. Equal sequences are merged first
-   (with map-side combine), remembering the earliest, so copies by the thousand are one
-   sequence; all windows of a later copy start earlier in the first.
-3. The different sequences of a shard stream through a suffix automaton in the order of
+2. Runs with one anchor form a shard, as word sequences. Equal sequences are merged first, by a
+   hash beside the anchor's and with map-side combine, remembering the earliest, so copies by
+   the thousand are one sequence; all windows of a later copy start earlier in the first.
+3. Where a shard has several sequences, their words are fetched and stream through a suffix automaton in the order of
    their first occurrence. The automaton gives at each word the longest match with anything
    before (the matching statistic); where that reaches a window's length, the window has
    an earlier start.
@@ -32,9 +32,10 @@ text don't pass through. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.suffix import SuffixAutomaton
@@ -84,8 +85,7 @@ def runs_of(texts: list[str | None], known: WordHash, window: int, gram: int) ->
     n = int(ends[-1]) if len(ends) else 0
     if n < window:
         return (np.zeros(0, np.int64),) * 4
-    get = known.__getitem__
-    h = np.fromiter((get(w) for c in cut for w in c), np.uint64, n)
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.uint64, n)
     v, p = anchors(grams(h, gram), window - gram + 1)
     at = np.arange(len(v))
     doc = np.searchsorted(ends, at, "right")
@@ -100,13 +100,27 @@ def runs_of(texts: list[str | None], known: WordHash, window: int, gram: int) ->
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(rows, marks): rows (uid, did, text); marks (uid, runs, kept), what step 1 found and step 3 lets stay."""
+    """(rows, marks): rows (uid, did, z), z the packed text; marks (uid, runs, kept), what step 1 found and step 3 lets stay."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("did"), F.col(text).alias("text"))
     rows = rows.select(F.xxhash64("did", "text").alias("uid"), "did", "text")
 
+    @per_task
+    def squeeze():
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=3)
+
+        def step(uid, did, texts):
+            return uid, did, [None if t is None else c.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+
+        return step
+
+    # One exchange of the packed texts serves every join below.
+    packed = map_rows(rows, squeeze, "uid bigint, did bigint, z binary")
+
     @per_task
     def find():
-        known = WordHash(300_000)
+        known = WordHash(150_000)
 
         def step(uid, texts):
             own, v, start, n = runs_of(texts, known, window, gram)
@@ -120,33 +134,55 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     lists = durable(runs.join(again, "v").groupBy("uid").agg(F.collect_set(F.struct("run", "v", "hot")).alias("runs")))
 
     @per_task
-    def cut():
+    def name():
+        """Each sequence by a hash: its words are needed only where a shard has several."""
         import xxhash
 
-        def step(uid, did, texts, found):
+        whole = unpacker()
+
+        def step(uid, did, z, found):
             out = [[] for _ in range(6)]
-            for u, d, t, rs in zip(uid, did, texts, found, strict=True):
-                words = words_of(t)
+            for u, d, t, rs in zip(uid, did, z, found, strict=True):
+                words = words_of(whole(t))
                 for r in rs:
                     start, n = divmod(r["run"], 256)
-                    parts = [(start + k, 1) for k in range(n)] if r["hot"] else [(start, n)]
-                    for at, k in parts:
+                    for at, k in [(start + k, 1) for k in range(n)] if r["hot"] else [(start, n)]:
                         seq = b" ".join(words[at : at + k + window - 1])
                         v = xxhash.xxh64_intdigest(seq, 2) - (1 << 63) if r["hot"] else r["v"]
-                        for c, x in zip(out, (v, seq, k, d, at, u), strict=True):
+                        for c, x in zip(out, (v, xxhash.xxh64_intdigest(seq, 3) - (1 << 63), k, d, at, u), strict=True):
                             c.append(x)
             return out
 
         return step
 
-    sequences = map_rows(rows.join(lists, "uid").select("uid", "did", "text", "runs"), cut, "v bigint, seq binary, n int, did bigint, at int, uid bigint")
-    firsts = sequences.groupBy("v", F.xxhash64("seq").alias("h")).agg(F.min(F.struct("did", "at", "uid")).alias("f"), F.first("seq").alias("seq"), F.first("n").alias("n"))
-    shards = firsts.select("v", "f.did", "f.at", "f.uid", "seq", "n")
+    names = map_rows(packed.join(lists, "uid").select("uid", "did", "z", "runs"), name, "v bigint, h bigint, n int, did bigint, at int, uid bigint")
+    firsts = names.groupBy("v", "h").agg(F.min(F.struct("did", "at", "uid")).alias("f"), F.first("n").alias("n")).select("v", "f.did", "f.at", "f.uid", "n")
+    # A shard has at most ``hot`` sequences, or one.
+    firsts = firsts.withColumn("kinds", F.count("*").over(Window.partitionBy("v")))
+    # No window comes twice within a run, so the only sequence of a shard all stays.
+    lone = firsts.where("kinds = 1").select("uid", "at", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
+    mixed = firsts.where("kinds > 1").groupBy("uid").agg(F.collect_list(F.struct("v", "at", "n")).alias("parts"))
+
+    @per_task
+    def cut():
+        whole = unpacker()
+
+        def step(uid, did, z, parts):
+            rows = []
+            for u, d, t, ps in zip(uid, did, z, parts, strict=True):
+                words = words_of(whole(t))
+                rows += [(p["v"], d, p["at"], u, p["n"], b" ".join(words[p["at"] : p["at"] + p["n"] + window - 1])) for p in {(p["v"], p["at"]): p for p in ps}.values()]
+            return [list(c) for c in zip(*rows, strict=True)] if rows else None
+
+        return step
+
+    shards = map_rows(packed.join(mixed, "uid").select("uid", "did", "z", "parts"), cut, "v bigint, did bigint, at int, uid bigint, n int, seq binary")
+    # Rows equal in all would come twice; the judge drops the second.
     shards = shards.repartition("v").sortWithinPartitions("v", "did", "at", "uid").select("v", "uid", "at", "n", "seq")
 
     @per_task
     def judge():
-        state = {"v": None, "held": [], "automaton": SuffixAutomaton()}
+        state = {"v": None, "last": None, "automaton": SuffixAutomaton()}
 
         def stream(seq: bytes) -> int:
             """Bits of the windows that don't start earlier."""
@@ -160,17 +196,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
         def step(v, uid, at, n, seqs):
             out = []
             for row in zip(v, uid, at, n, seqs, strict=True):
+                if row[:3] == state["last"]:
+                    continue
+                state["last"] = row[:3]
                 if row[0] != state["v"]:
-                    state["v"], state["held"] = row[0], row
+                    state["v"] = row[0]
                     if len(state["automaton"]) > STATES:
                         state["automaton"] = SuffixAutomaton()
-                    # No window comes twice within a run, so the first sequence of a shard all stays;
-                    # it enters the automaton when a second one comes.
-                    out.append((row[1], row[2], (1 << row[3]) - 1))
-                    continue
-                if state["held"]:
-                    stream(state["held"][4])
-                    state["held"] = None
                 if mask := stream(row[4]):
                     out.append((row[1], row[2], mask))
             return [list(c) for c in zip(*out, strict=True)] if out else None
@@ -178,8 +210,16 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
         return step
 
     stays = map_rows(shards, judge, "uid bigint, at int, mask bigint")
-    kept = stays.groupBy("uid").agg(F.collect_set(F.struct("at", "mask")).alias("kept"))
-    return rows, lists.select("uid", F.transform("runs", lambda r: r["run"]).alias("runs")).join(kept, "uid", "left")
+    kept = stays.union(lone).groupBy("uid").agg(F.collect_set(F.struct("at", "mask")).alias("kept"))
+    return packed, lists.select("uid", F.transform("runs", lambda r: r["run"]).alias("runs")).join(kept, "uid", "left")
+
+
+def unpacker():
+    """Packed bytes -> text."""
+    import zstandard
+
+    d = zstandard.ZstdDecompressor()
+    return lambda z: None if z is None else d.decompress(z).decode("utf-8", "surrogatepass")
 
 
 def removed_words(n: int, runs: list[int], kept: list, window: int) -> np.ndarray:
@@ -207,10 +247,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     @per_task
     def rest():
-        def step(did, texts, runs, kept):
+        whole = unpacker()
+
+        def step(did, z, runs, kept):
             out = [[] for _ in range(5 if with_text else 4)]
-            for d, t, r, k in zip(did, texts, runs, kept, strict=True):
-                words, n = words_of(t), 0
+            for d, t, r, k in zip(did, z, runs, kept, strict=True):
+                words, n = words_of(whole(t)), 0
                 left = words
                 if r:
                     gone = removed_words(len(words), r, k, window)
@@ -225,4 +267,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return step
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return map_rows(rows.join(marks, "uid", "left").select("did", "text", "runs", "kept"), rest, schema)
+    return map_rows(rows.join(marks, "uid", "left").select("did", "z", "runs", "kept"), rest, schema)
