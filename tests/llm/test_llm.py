@@ -451,6 +451,43 @@ def test_ppm_probabilities_sum_to_one():
     assert m[b"abba"] > m[b"zzzz"]
 
 
+def ppm_of(texts):
+    """A model of all context counts of the words, by brute force."""
+    seen = Counter()
+    for w, n in Counter(w for t in texts for w in [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]).items():
+        before = b" "
+        for s in ppm.symbols(w):
+            for k in range(min(ppm.ORDER, len(before)) + 1):
+                seen[before[len(before) - k :], s] += n
+            before += bytes([s]) if s < 256 else b""
+    return ppm.Model([(c, s, n) for (c, s), n in seen.items()])
+
+
+def check_ppm(docs):
+    """Rows with ids from 100 on are held out; every score is that of the whole context table."""
+    rows = docs.collect()
+    model = ppm_of([r["text"] for r in rows if (r["doc_id"] or 0) < 100])
+    want = sorted((r["doc_id"] or 0, sum(model[w] for w in [*re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().lower()), b""])) for r in rows)
+    got = sorted((r["doc_id"] or 0, r["score"]) for r in ppm.scores(docs, F.col("doc_id") >= 100).collect())
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert [x[1] for x in got] == pytest.approx([x[1] for x in want], rel=1e-9)
+
+
+@pytest.mark.parametrize("nodes", [0, 40, 200])
+def test_ppm_contexts_met_by_join(docs, monkeypatch, nodes):
+    words = docs.sparkSession.createDataFrame([(100, "alphabet gammadelta zzz naïf"), (101, "x1y2 été\x01\x02"), (102, "alphabet " * 3)], "doc_id bigint, text string")
+    monkeypatch.setattr(ppm, "MAX_NODES", nodes)
+    check_ppm(docs.select("doc_id", "text").union(words))
+
+
+def test_ppm_keeps_all_contexts_of_a_large_vocabulary(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, 97 + w)) for w in rng.integers(0, 26, (70_000, 10))]
+    rows = [(i, " ".join(words[1000 * i : 1000 * i + 1000])) for i in range(70)] + [(100, " ".join(words[:50])), (101, " ".join(w[:6] for w in words[:50]))]
+    assert len({(w[k : k + 5], w[k + 5]) for w in words for k in range(5)}) > 2 * ppm.MAX_NODES // 3
+    check_ppm(spark.createDataFrame(rows, "doc_id bigint, text string"))
+
+
 def test_ppm_without_training(docs, none):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] < 0 for r in ppm.scores(docs, F.lit(True)).collect())
     assert ppm.scores(none, F.lit(False)).count() == 0

@@ -10,12 +10,14 @@ text's score is the log10 probability of its lower-cased words.
 
 Since no context reaches beyond a word, a word's score depends on the word alone. So the
 corpus is gathered once, as word counts (a shuffle with map-side combine, which grows with
-the input); the context counts are sums over that table.
+the input); the context counts are sums over that table, and each different word is scored
+once. The whole context table counts, whatever its size.
 
-What is broadcast is bounded: the trie has at most ``MAX_NODES`` symbol counts, or the
-longest contexts are left out (its size is counted before); of the word table the
-``HOT_WORDS`` most frequent. Other words meet their counts in a join on the word, as
-partial counts of each document, so that every word's count is exact.
+What is broadcast is bounded: the most frequent contexts, of at most ``MAX_NODES`` symbol
+counts, and of the word table the ``HOT_WORDS`` most frequent. A context is seen no more
+often than its endings, so with a context all its endings are broadcast. Words that need
+other contexts meet them in a join on context and symbol; documents meet the counts and
+scores of other words in a join on the word.
 
 Null text is empty: one end, nothing else. Repeated rows each give a row with the same
 scores. With no training rows, N and V are 0 and every word is unknown.
@@ -24,6 +26,7 @@ scores. With no training rows, N and V are 0 and every word is unknown.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -49,20 +52,21 @@ def symbols(word: bytes) -> list[int]:
     return [*word, 32] if word else [END_SYMBOL]
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word binary, n): lower-cased words and the ends, over whole texts."""
+def word_counts(docs: DataFrame, text: str = "text", held_out: str = "held_out") -> DataFrame:
+    """(word binary, n): lower-cased words and the ends, over whole texts; held-out rows add 0."""
 
     @per_task
     def count():
-        def step(texts):
-            c = Counter({END: len(texts)})
-            for t in texts:
-                c.update(words_of(t, lower=True))
+        def step(texts, held):
+            c = Counter({END: len(texts) - sum(held)})
+            for t, h in zip(texts, held, strict=True):
+                words = words_of(t, lower=True)
+                c.update(dict.fromkeys(words, 0) if h else words)
             return list(c.keys()), list(c.values())
 
         return step
 
-    return map_rows(docs.select(text), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_rows(docs.select(text, held_out), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def context_counts(counts: DataFrame, order: int) -> DataFrame:
@@ -85,35 +89,54 @@ def context_counts(counts: DataFrame, order: int) -> DataFrame:
     return map_rows(counts.select("word", "n"), spread, "context binary, symbol int, n bigint").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
 
-def trie(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> list[tuple[bytes, int, int]]:
-    """The context counts as rows, without the longest contexts where there would be more than ``max_nodes``."""
-    table = durable(context_counts(counts, order))
-    size, fits, total = {r[0]: r[1] for r in table.groupBy(F.length("context")).count().collect()}, -1, 0
-    for k in range(order + 1):
-        total += size.get(k, 0)
+def contexts(counts: DataFrame, order: int) -> DataFrame:
+    """(context, total, next, bin): each context's symbols with their counts; ``bin`` grows with the total."""
+    rows = context_counts(counts.where("n > 0"), order).groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("next"))
+    return durable(rows.withColumn("bin", F.floor(F.log2("total") * 8)))
+
+
+def least_bin(table: DataFrame, max_nodes: int) -> tuple[int | None, bool]:
+    """The least bin of the contexts that are broadcast, ``max_nodes`` symbol counts at most, and whether these are all."""
+    least, total = None, 0
+    bins = sorted(((r[0], r[1]) for r in table.groupBy("bin").agg(F.sum(F.size("next"))).collect()), reverse=True)
+    for b, n in bins:
+        total += n
         if total > max_nodes:
-            break
-        fits = k
-    return [(bytes(r[0]), r[1], r[2]) for r in table.where(F.length("context") <= fits).orderBy("context", "symbol").collect()]
+            return least, False
+        least = b
+    return least, True
+
+
+def keys_of(word: bytes, order: int) -> list[bytes]:
+    """Context and symbol of each of the word's places; no word has a blank, so two blanks are the end's."""
+    padded = b" " + word + b" "
+    return [padded[max(0, i - order) : i + 1] for i in range(1, len(padded))]
+
+
+def symbol_of(key: bytes) -> int:
+    return END_SYMBOL if key == b"  " else key[-1]
 
 
 class Model(Cache):
-    """Word -> log10 probability, filled on a miss."""
+    """Word -> log10 probability, filled on a miss. ``whole``: contexts that it lacks were never seen."""
 
-    def __init__(self, rows: list[tuple[bytes, int, int]], order: int = ORDER, limit: int = CACHE_ENTRIES):
+    def __init__(self, rows: list[tuple[bytes, int, int]], order: int = ORDER, limit: int = CACHE_ENTRIES, whole: bool = True):
         super().__init__(limit)
-        self.order = order
+        self.order, self.whole = order, whole
         seen: dict[bytes, dict[int, int]] = {}
         for c, s, n in rows:
             seen.setdefault(c, {})[s] = n
         self.contexts = {c: (d, sum(d.values())) for c, d in seen.items()}
         self.coded = Coded(self)
 
-    def symbol(self, before: bytes, s: int) -> float:
-        """Probability of ``s`` after ``before``."""
+    def symbol(self, before: bytes, s: int, more: dict[bytes, tuple[dict[int, int], int]] | None = None) -> float:
+        """Probability of ``s`` after ``before``; ``more`` has contexts that the model lacks."""
         p, gone = 1.0, None
         for k in range(min(self.order, len(before)), -1, -1):
-            got = self.contexts.get(before[len(before) - k :])
+            c = before[len(before) - k :]
+            got = self.contexts.get(c)
+            if got is None and more:
+                got = more.get(c)
             if got is None:
                 continue
             d, n = got
@@ -131,56 +154,132 @@ class Model(Cache):
         return p / (SYMBOLS - len(gone or ()))
 
     def make(self, word: bytes) -> float:
-        if not word:
-            return math.log10(self.symbol(b" ", END_SYMBOL))
-        order, get = self.order, self.coded.__getitem__
-        padded = b" " + word + b" "
-        return sum([get(padded[max(0, i - order) : i + 1]) for i in range(1, len(padded))])
+        return sum(map(self.coded.__getitem__, keys_of(word, self.order)))
+
+    def part(self, word: bytes) -> tuple[float, list[bytes]]:
+        """The log10 probability of the word's places that the model can tell, and the keys of the others."""
+        keys = keys_of(word, self.order)
+        logs = list(map(self.coded.__getitem__, keys))
+        total = sum(logs)
+        if total == total:
+            return total, []
+        return sum(x for x in logs if x == x), [k for k, x in zip(keys, logs, strict=True) if x != x]
+
+    def lacking(self, before: bytes) -> list[bytes]:
+        """The endings of ``before``, itself too, that the model lacks: the longest ones."""
+        ends = (before[k:] for k in range(len(before) + 1))
+        return [c for c in ends if c not in self.contexts]
 
 
 class Coded(Cache):
-    """Context and symbol as bytes -> log10 probability; words share most of them."""
+    """Context and symbol as bytes -> log10 probability, NaN if the model can't tell; words share most of them."""
 
     def __init__(self, model: Model):
         super().__init__(CODED_ENTRIES)
         self.model = model
 
     def make(self, key: bytes) -> float:
-        return math.log10(self.model.symbol(key[:-1], key[-1]))
+        if not self.model.whole and key[:-1] not in self.model.contexts:
+            return math.nan
+        return math.log10(self.model.symbol(key[:-1], symbol_of(key)))
 
 
-def hot_words(counts: DataFrame, limit: int) -> tuple[bytes, bytes]:
-    """The ``limit`` most frequent words, blank between, and their counts: compact to broadcast."""
-    top = counts.where("length(word) <= 64").orderBy(F.desc("n"), "word").limit(limit).toArrow()
-    return b" ".join(top["word"].to_pylist()), np.asarray(top["n"].to_numpy(), "<i8").tobytes()
+def scored_words(counts: DataFrame, order: int, max_nodes: int) -> DataFrame:
+    """(word, n, score) of ``counts`` (id, word, n): the log10 probability under the whole context table."""
+    table = contexts(counts, order)
+    least, whole = least_bin(table, max_nodes)
+    often = [] if least is None else table.where(F.col("bin") >= least).select("context", F.explode("next").alias("s")).select("context", "s.symbol", "s.n").collect()
+    shared = counts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(bytes(r[0]), r[1], r[2]) for r in often]))
+
+    @per_task
+    def score():
+        model = _worker_model(shared, order, whole)
+
+        def step(ids, words, ns):
+            logs, missed = zip(*map(model.part, words), strict=True)
+            return ids, words, ns, logs, missed
+
+        return step
+
+    met = map_rows(counts.select("id", "word", "n"), score, "id bigint, word binary, n bigint, score double, missed array<binary>")
+    if whole:
+        return met.select("word", "n", "score")
+    met = durable(met)
+    rare = table if least is None else table.where(F.col("bin") < least)
+    # What training words need is in the context table as it stands: their symbols were seen after the longest context.
+    longest = rare.where((F.length("context") == order) | F.expr("substring(context, 1, 1) = x'20'")).select("context", "total", F.size("next").alias("kinds"), F.explode("next").alias("s"))
+    byte = F.unhex(F.lpad(F.hex(F.when(F.col("s.symbol") == END_SYMBOL, 32).otherwise(F.col("s.symbol"))), 2, "0"))
+    seen = durable(longest.select(F.concat("context", byte).alias("key"), F.log10(F.col("s.n") / (F.col("total") + F.col("kinds"))).alias("log")))
+    asked = met.where("n = 0").select(F.explode("missed").alias("key")).distinct().join(seen, "key", "left_anti")
+    need = met.select("id", F.explode("missed").alias("key"))
+    rest = need.join(seen.union(_unseen(asked, rare, shared, order)), "key").groupBy("id").agg(F.sum("log").alias("rest"))
+    return met.join(rest, "id", "left").select("word", "n", (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))
+
+
+def _unseen(asked: DataFrame, rare: DataFrame, shared, order: int) -> DataFrame:
+    """(key, log) of symbols that didn't follow their longest context in training: all its endings are needed."""
+
+    @per_task
+    def ends():
+        model = _worker_model(shared, order, False)
+
+        def step(keys):
+            out = [(k, c) for k in keys for c in model.lacking(k[:-1])]
+            return [list(c) for c in zip(*out, strict=True)] if out else None
+
+        return step
+
+    @per_task
+    def score():
+        model = _worker_model(shared, order, False)
+
+        def step(keys, found):
+            logs = []
+            for k, some in zip(keys, found, strict=True):
+                more = {x["context"]: {y["symbol"]: y["n"] for y in x["next"]} for x in some}
+                logs.append(math.log10(model.symbol(k[:-1], symbol_of(k), {c: (d, sum(d.values())) for c, d in more.items()})))
+            return keys, logs
+
+        return step
+
+    wanted = map_rows(asked, ends, "key binary, context binary").join(rare.select("context", "next"), "context", "left")
+    found = wanted.groupBy("key").agg(F.collect_list(F.when(F.col("next").isNotNull(), F.struct("context", "next"))).alias("found"))
+    return map_rows(found, score, "key binary, log double")
+
+
+def hot_words(words: DataFrame, limit: int) -> tuple[bytes, bytes, bytes]:
+    """The ``limit`` most frequent words, blank between, their counts and scores: compact to broadcast."""
+    top = words.where("n > 0 and length(word) <= 64").orderBy(F.desc("n"), "word").limit(limit).toArrow()
+    return b" ".join(top["word"].to_pylist()), np.asarray(top["n"].to_numpy(), "<i8").tobytes(), np.asarray(top["score"].to_numpy(), "<f8").tobytes()
 
 
 def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from rows that aren't held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    counts = durable(word_counts(rows.where("not held_out")))
-    total, kinds = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    shared = spark.sparkContext.broadcast(trie(counts, order))
-    hot = spark.sparkContext.broadcast(hot_words(counts, HOT_WORDS))
+    counts = durable(word_counts(rows).withColumn("id", F.monotonically_increasing_id()))
+    total, kinds = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first())
+    table = durable(scored_words(counts, order, MAX_NODES))
+    hot = spark.sparkContext.broadcast(hot_words(table, HOT_WORDS))
     floor = math.log10(total + SMOOTH * (kinds + 1))
 
     @per_task
     def score():
-        model, weight = _worker_model(shared, hot, order)
-        code, known = model.__getitem__, weight.get
+        place, figures = _worker_words(hot)
+        known = place.get
 
         def step(key, doc, held, texts):
             out = [[] for _ in range(9)]
             for row, d, h, t in zip(key, doc, held, texts, strict=True):
                 words = words_of(t, lower=True)
                 words.append(END)
-                logs = list(map(known, words))
-                rest = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
-                found = [x for x in logs if x is not None]
+                at = list(map(known, words))
+                rest = Counter(w for w, x in zip(words, at, strict=True) if x is None)
+                found = [x for x in at if x is not None]
+                log, own = figures[found].sum(0).tolist()
                 # The document's own figures go with its first rare word. No word has a blank,
                 # so the stand-in for a document without one meets no count.
-                first = (d, h, len(words), len(found), math.fsum(found), math.fsum(map(code, words)))
+                first = (d, h, len(words), len(found), log, own)
                 for w, n in rest.items() or ((b" %d" % row, 0),):
                     for c, v in zip(out, (row, w, n, *first), strict=True):
                         c.append(v)
@@ -191,29 +290,39 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    part = map_rows(keyed, score, f"key bigint, word binary, n int, doc_id {kind}, held_out boolean, n_tokens bigint, hot bigint, hot_log double, score double")
-    met = part.join(counts.withColumnRenamed("n", "c"), "word", "left")
+    part = map_rows(keyed, score, f"key bigint, word binary, n int, doc_id {kind}, held_out boolean, n_tokens bigint, hot bigint, hot_log double, hot_score double")
+    met = part.join(table.withColumnRenamed("n", "c"), "word", "left")
     got = met.groupBy("key").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot", "hot_log", "score")),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare"),
+        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot", "hot_log", "hot_score")),
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("rare_log"),
+        F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))).alias("rare_score"),
     )
     return got.select(
         "doc_id", "held_out", "n_tokens", (F.col("hot") + F.col("rare")).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("hot_log") + F.col("rare_log") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), "score",
+        (F.col("hot_log") + F.col("rare_log") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("hot_score") + F.col("rare_score")).alias("score"),
     )
 
 
 _OPEN: dict = {}
 
 
-def _worker_model(shared, hot, order: int) -> tuple[Model, dict[bytes, float]]:
-    """One model and one table of hot words in each worker process, for all its tasks."""
-    words, ns = hot.value
-    key = (len(words), hash(words), hash(ns))
+def _worker_model(shared, order: int, whole: bool) -> Model:
+    """One model in each worker process, for all its tasks."""
+    name, rows = shared.value
+    if name not in _OPEN:
+        _OPEN.clear()
+        _OPEN[name] = Model(rows, order, whole=whole)
+    return _OPEN[name]
+
+
+def _worker_words(hot) -> tuple[dict[bytes, int], np.ndarray]:
+    """One table of hot words in each worker process: their places, and logarithm of the count and score by place."""
+    words, ns, scores = hot.value
+    key = (len(words), hash(words), hash(ns), hash(scores))
     if key not in _OPEN:
         _OPEN.clear()
         table = words.split(b" ") if ns else []  # the end's token is empty
-        weight = dict(zip(table, np.log10(np.frombuffer(ns, "<i8") + SMOOTH).tolist(), strict=True))
-        _OPEN[key] = Model(shared.value, order), weight
+        figures = np.stack([np.log10(np.frombuffer(ns, "<i8") + SMOOTH), np.frombuffer(scores, "<f8")], 1)
+        _OPEN[key] = {w: k for k, w in enumerate(table)}, figures
     return _OPEN[key]
