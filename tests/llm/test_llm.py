@@ -540,6 +540,23 @@ def test_matcher_finds_what_brute_force_does():
         assert {i for i, *_ in m.matches(text)} == {i for i in want if len(decontaminate.normal(items[i][1])) >= 40}
 
 
+def test_matcher_reads_a_recurring_piece_at_each_offset():
+    rng = np.random.default_rng(3)
+    budget, m = 8, 100
+    for _ in range(20):
+        item = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), m))
+        cuts = [m * k // (budget + 1) for k in range(budget + 2)]
+        item = item[: cuts[4]] + item[: cuts[5] - cuts[4]] + item[cuts[5] :]
+        pieces = decontaminate.split(item, budget)
+        assert pieces[0][1] == pieces[4][1]
+        copy = list(item)
+        for a, b in zip(cuts[:4], cuts[1:5], strict=True):
+            copy[(a + b) // 2] = "0"
+        text = "zero " * 30 + "".join(copy) + " one" * 30
+        assert decontaminate.myers(item, decontaminate.normal(text), budget)[0] == 4
+        assert [x[:2] for x in decontaminate.Matcher([(7, item)], 0.08, 40).matches(text)] == [(7, 4)]
+
+
 def test_words():
     assert texts.words_of("A\x0bb c \x1cd", lower=True) == [b"a", b"b\xe2\x80\x83c", b"\x1cd"]
     assert texts.words_of(None) == []

@@ -108,10 +108,11 @@ class Matcher:
                 if budget:
                     lo, hi = max(0, start - budget), start + len(item) + budget
                     own = windows.setdefault(k, [])
-                    if own and lo <= own[-1][1]:
-                        own[-1][1] = max(own[-1][1], hi)
-                    else:
-                        own.append([lo, hi])
+                    # Hits come by their ends, not by the starts they imply: a window may reach back over several.
+                    while own and lo <= own[-1][1]:
+                        last = own.pop()
+                        lo, hi = min(lo, last[0]), max(hi, last[1])
+                    own.append([lo, hi])
         for k, own in windows.items():
             if k in done:
                 continue
