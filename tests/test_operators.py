@@ -148,6 +148,30 @@ def test_agglomerate_equals_greedy(spark):
         assert same_partition(got, greedy(edges, 0.6))
 
 
+def test_round_bounds_raise(spark):
+    """On a path of rising priorities only one pair is mutual in a round; a bound that cuts the work short is an error."""
+    path = spark.createDataFrame([(k, k + 1, 1, 0.1 * k) for k in range(4)], "u bigint, v bigint, n bigint, s double")
+    with pytest.raises(RuntimeError):
+        rag.agglomerate(path, 0.6, max_rounds=2)
+    assert {r["component"] for r in rag.agglomerate(path, 0.6, max_rounds=4).collect()} == {0}
+    line = np.zeros((1, 1, 20), int)
+    line[0, 0, 0] = 5
+    with pytest.raises(RuntimeError):
+        label.fill_background(frame(spark, line, "label", "bigint"), max_rounds=2)
+    assert (cube_of(label.fill_background(frame(spark, line, "label", "bigint"), max_rounds=7), line.shape) == 5).all()
+
+
+def test_learned_agglomeration_goes_on_to_the_threshold(spark, monkeypatch):
+    """Scores that rise along a row of fragments: one merge a round, more rounds than three."""
+    row = np.repeat(np.arange(1, 8), 2).reshape(1, 1, 14)
+    p = np.repeat(np.arange(7), 2).reshape(1, 1, 14) / 100
+    monkeypatch.setattr(detect.ml, "assemble", lambda table, names: table)
+    monkeypatch.setattr(detect.ml, "edge_features", lambda faces: faces.groupBy("u", "v").agg(F.avg("m").alias("m")))
+    monkeypatch.setattr(detect.ml, "predict", lambda model, rows: rows.withColumn("prob", F.array(1 - F.col("m"), F.col("m"))))
+    got = detect.learned_agglomeration(frame(spark, row, "label", "bigint"), frame(spark, p, "p", "double"), None, ["m"]).collect()
+    assert {r["node"]: r["component"] for r in got} == dict.fromkeys(range(1, 8), 1)
+
+
 def test_watershed_is_a_minimum_spanning_forest(spark):
     cube = RNG.permutation(6 * 7).reshape(1, 6, 7)
     mask = cube < 6

@@ -72,14 +72,14 @@ def train_policy(fragments: DataFrame, p: DataFrame, truth: DataFrame, trees: in
     return ml.train_forest(ml.assemble(rows.withColumn("label", 1 - F.col("label")), names), trees=trees, depth=6), names
 
 
-def learned_agglomeration(fragments: DataFrame, p: DataFrame, model, names: list[str], threshold: float = 0.5, rounds: int = 3) -> DataFrame:
-    """(node, component) over all rounds: score the edges, contract the mutual best, take features anew."""
+def learned_agglomeration(fragments: DataFrame, p: DataFrame, model, names: list[str], threshold: float = 0.5) -> DataFrame:
+    """(node, component): score the edges, contract the mutual best, take features anew, until no edge is under ``threshold``."""
     now, total = fragments, None
-    for _ in range(rounds):
+    while True:
         both = now.join(p.select("z", "y", "x", "p"), ["z", "y", "x"])
         feats = ml.assemble(ml.edge_features(rag.boundary(both)), names)
         scored = ml.predict(model, feats).select("u", "v", F.lit(1).cast("bigint").alias("n"), F.col("prob")[1].alias("s"))
-        step = durable(rag.agglomerate(durable(scored), threshold, max_rounds=1))
+        step = durable(rag.agglomerate(durable(scored), threshold, once=True))
         total = step if total is None else durable(total.join(step.select(F.col("node").alias("component"), F.col("component").alias("_n")), "component", "left").select("node", F.coalesce("_n", "component").alias("component")))
         if step.where("node <> component").isEmpty():
             break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+from itertools import count, product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,14 +61,15 @@ def components(foreground: DataFrame, connectivity: int, ny: int, nx: int) -> Da
     return relabel(rooted.select("z", "y", "x", "label"))
 
 
-def fill_background(labels: DataFrame, r: int = 3, label: str = "label", max_rounds: int = 200) -> DataFrame:
+def fill_background(labels: DataFrame, r: int = 3, label: str = "label", max_rounds: int | None = None) -> DataFrame:
     """Background takes the largest label within a disk, again and again; labels never change.
 
     Slices go in parallel; it ends when a round changes nothing, so an empty slice stays empty.
+    If ``max_rounds`` are given and don't suffice, that is an error.
     """
     now = durable(labels.select("z", "y", "x", F.col(label).cast("bigint").alias(label)))
     left = now.where(F.col(label) == 0).count()
-    for _ in range(max_rounds):
+    for done in count():
         if not left:
             break
         # Only labels travel; each background voxel keeps the largest that reaches it.
@@ -77,6 +78,8 @@ def fill_background(labels: DataFrame, r: int = 3, label: str = "label", max_rou
         was, left = left, now.where(F.col(label) == 0).count()
         if left == was:
             break
+        if left and done + 1 == max_rounds:
+            raise RuntimeError(f"background is left after {max_rounds} rounds")
     return now
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,17 +25,19 @@ def rag(voxels: DataFrame, label: str = "label", value: str = "p") -> DataFrame:
     return boundary(voxels, label, value).groupBy("u", "v").agg(F.count("*").alias("n"), F.sum("m").alias("s"))
 
 
-def agglomerate(edges: DataFrame, threshold: float, priority: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int = 60) -> DataFrame:
+def agglomerate(edges: DataFrame, threshold: float, priority: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int | None = None, once: bool = False) -> DataFrame:
     """(node, component) of the regions merged while some edge's priority is under ``threshold``.
 
     Rounds of mutual nearest neighbours: each region's least edge, kept if it is the other's
     least too. The mean is reducible, so this gives what merging the least edge again and again
     gives, up to ties; with another ``priority`` (adds column ``w``) it is an approximation.
+    The least edge of all is always mutual, so rounds go on until no edge is left under the
+    threshold; if ``max_rounds`` are given and don't suffice, that is an error. ``once``: one round alone.
     """
     score = priority or (lambda e: e.withColumn("w", F.col("s") / F.col("n")))
     extra = [c for c in edges.columns if c not in ("u", "v")]
     now, joined = durable(edges), None
-    for _ in range(max_rounds):
+    for done in count():
         scored = score(now).where(F.col("w") < threshold)
         ends = scored.select(F.col("u").alias("node"), F.col("v").alias("other"), "w").union(scored.select("v", "u", "w"))
         key = F.struct("w", F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"))
@@ -43,8 +46,12 @@ def agglomerate(edges: DataFrame, threshold: float, priority: Callable[[DataFram
         step = durable(pairs.select(F.col("hi").alias("old"), F.col("lo").alias("new")))
         if step.isEmpty():
             break
+        if done == max_rounds:
+            raise RuntimeError(f"edges under the threshold are left after {max_rounds} rounds")
         # Mutual pairs share no region, so no mapping meets another.
         joined = step if joined is None else durable(joined.join(step.select(F.col("old").alias("new"), F.col("new").alias("_n")), "new", "left").select("old", F.coalesce("_n", "new").alias("new")).union(step))
+        if once:
+            break
         moved = now
         for c in ("u", "v"):
             moved = moved.join(step.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")

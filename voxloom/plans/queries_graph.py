@@ -108,7 +108,7 @@ def policy(t):
     return detect.train_policy(t.fx_lbl, t.fx_pt, truth, trees=10)
 
 
-query("gra8_learned")(lambda t: detect.learned_agglomeration(t.fx_lbl, t.fx_pt, *policy(t), rounds=2))
+query("gra8_learned")(lambda t: detect.learned_agglomeration(t.fx_lbl, t.fx_pt, *policy(t)))
 query("gra9_segmentation")(lambda t: detect.agglomerated(t.fx_lbl, t.fx_pt, 0.45))
 query("gra10_watershed")(lambda t: rag.watershed(t.fx_em, 30, 25, 50, flat=True))
 
