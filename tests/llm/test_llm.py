@@ -437,57 +437,78 @@ def test_ppm_words_met_by_join(spark, docs, monkeypatch):
     assert sorted(map(str, ppm.scores(docs, held).select("doc_id", "n_known", F.round("base_score", 6), F.round("score", 6)).collect())) == whole
 
 
+class Ppm:
+    """PPM, method C with exclusion, from its definition: counts of every context in a dictionary."""
+
+    def __init__(self, texts, order=ppm.ORDER):
+        self.order, self.seen = order, {}
+        for t in texts:
+            for before, s in self.symbols(t):
+                for k in range(order + 1):
+                    self.seen.setdefault(before[order - k :], Counter())[s] += 1
+
+    def symbols(self, text):
+        data = b"\n" * self.order + b" ".join(re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())) + b"\n"
+        return [(data[i - self.order : i], data[i]) for i in range(self.order, len(data))]
+
+    def p(self, before, s):
+        p, gone = 1.0, set()
+        for k in range(self.order, -1, -1):
+            new = {x: n for x, n in self.seen.get(before[self.order - k :], {}).items() if x not in gone}
+            if new:
+                total = sum(new.values()) + len(new)
+                if s in new:
+                    return p * new[s] / total
+                p *= len(new) / total
+                gone |= new.keys()
+        return p / (ppm.SYMBOLS - len(gone))
+
+    def score(self, text):
+        return sum(math.log10(self.p(*x)) for x in self.symbols(text))
+
+
 def test_ppm_probabilities_sum_to_one():
-    rows = Counter()
-    for w in (b"abra", b"abba", b"cab", b""):
-        before = b" "
-        for s in ppm.symbols(w):
-            for k in range(min(3, len(before)) + 1):
-                rows[before[len(before) - k :], s] += 1
-            before += bytes([s]) if s < 256 else b""
-    m = ppm.Model([(c, s, n) for (c, s), n in rows.items()], 3)
-    for context in (b" ", b" a", b"ab", b"abr", b"zz"):
-        assert sum(m.symbol(context, s) for s in range(257)) == pytest.approx(1)
-    assert m[b"abba"] > m[b"zzzz"]
-
-
-def ppm_of(texts):
-    """A model of all context counts of the words, by brute force."""
-    seen = Counter()
-    for w, n in Counter(w for t in texts for w in [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]).items():
-        before = b" "
-        for s in ppm.symbols(w):
-            for k in range(min(ppm.ORDER, len(before)) + 1):
-                seen[before[len(before) - k :], s] += n
-            before += bytes([s]) if s < 256 else b""
-    return ppm.Model([(c, s, n) for (c, s), n in seen.items()])
-
-
-def check_ppm(docs):
-    """Rows with ids from 100 on are held out; every score is that of the whole context table."""
-    rows = docs.collect()
-    model = ppm_of([r["text"] for r in rows if (r["doc_id"] or 0) < 100])
-    want = sorted((r["doc_id"] or 0, sum(model[w] for w in [*re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().lower()), b""])) for r in rows)
-    got = sorted((r["doc_id"] or 0, r["score"]) for r in ppm.scores(docs, F.col("doc_id") >= 100).collect())
+    m = Ppm(["abra abba", "cab", None], 3)
+    alphabet = [b for b in range(256) if b not in (9, 11, 12, 13)]
+    assert len(alphabet) == ppm.SYMBOLS
+    for context in (b"\n\n\n", b" ab", b"abr", b"zz "):
+        assert sum(m.p(context, s) for s in alphabet) == pytest.approx(1)
+
+
+def test_grams_are_contexts_and_symbols():
+    texts_ = [[], [b"a"], [b"bc", b"d"], []]
+    key, own = ppm.grams(texts_, 2)
+    data = [b"\n\n\n", b"\n\na", b"\na\n", b"\n\nb", b"\nbc", b"bc ", b"c d", b" d\n", b"\n\n\n"]
+    assert [int(k).to_bytes(3) for k in key] == data
+    assert own.tolist() == [0, 1, 1, 2, 2, 2, 2, 2, 3]
+
+
+def test_prices_by_table():
+    keys = np.unique(RNG.integers(0, 1 << 48, 5000))
+    logs = -RNG.random(len(keys))
+    asked = np.concatenate([RNG.choice(keys, 700), RNG.integers(0, 1 << 48, 300)])
+    for n in (0, 1, 4000):
+        got, lost = ppm.Prices(keys[:n], logs[:n])(asked)
+        held = dict(zip(keys[:n].tolist(), logs[:n].tolist(), strict=True))
+        assert got.tolist() == [held.get(k, 0.0) for k in asked.tolist()]
+        assert sorted(lost.tolist()) == [i for i, k in enumerate(asked.tolist()) if k not in held]
+
+
+@pytest.mark.parametrize("hot", [0, 100, 1_000_000])
+def test_ppm_scores_are_those_of_brute_force(docs, monkeypatch, hot):
+    """Rows with ids from 100 on are held out; every score is that of the whole trie, whatever is broadcast."""
+    monkeypatch.setattr(ppm, "HOT_GRAMS", hot)
+    monkeypatch.setattr(ppm, "GATHER", max(hot, 500))
+    more = docs.sparkSession.createDataFrame([(100, "alphabet gammadelta zzz naïf"), (101, "x1y2 été\x01\x02"), (102, "alphabet " * 3), (103, BASE)], "doc_id bigint, text string")
+    every = docs.select("doc_id", "text").union(more)
+    rows = every.collect()
+    model = Ppm([r["text"] for r in rows if (r["doc_id"] or 0) < 100])
+    want = sorted((r["doc_id"] or 0, model.score(r["text"])) for r in rows)
+    got = sorted((r["doc_id"] or 0, r["score"]) for r in ppm.scores(every, F.col("doc_id") >= 100).collect())
     assert [x[0] for x in got] == [x[0] for x in want]
     assert [x[1] for x in got] == pytest.approx([x[1] for x in want], rel=1e-9)
 
 
-@pytest.mark.parametrize("nodes", [0, 40, 200])
-def test_ppm_contexts_met_by_join(docs, monkeypatch, nodes):
-    words = docs.sparkSession.createDataFrame([(100, "alphabet gammadelta zzz naïf"), (101, "x1y2 été\x01\x02"), (102, "alphabet " * 3)], "doc_id bigint, text string")
-    monkeypatch.setattr(ppm, "MAX_NODES", nodes)
-    check_ppm(docs.select("doc_id", "text").union(words))
-
-
-def test_ppm_keeps_all_contexts_of_a_large_vocabulary(spark):
-    rng = np.random.default_rng(5)
-    words = ["".join(map(chr, 97 + w)) for w in rng.integers(0, 26, (70_000, 10))]
-    rows = [(i, " ".join(words[1000 * i : 1000 * i + 1000])) for i in range(70)] + [(100, " ".join(words[:50])), (101, " ".join(w[:6] for w in words[:50]))]
-    assert len({(w[k : k + 5], w[k + 5]) for w in words for k in range(5)}) > 2 * ppm.MAX_NODES // 3
-    check_ppm(spark.createDataFrame(rows, "doc_id bigint, text string"))
-
-
 def test_ppm_without_training(docs, none):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] < 0 for r in ppm.scores(docs, F.lit(True)).collect())
     assert ppm.scores(none, F.lit(False)).count() == 0

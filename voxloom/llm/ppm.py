@@ -1,26 +1,30 @@
 """Language-model scores by prediction by partial matching (PPM, method C).
 
-The model is a trie of byte contexts: a word's bytes and the blank after it are predicted
-from at most ``ORDER`` bytes before, back to the blank that opens the word; the end of the
-text is a word of its own. In a context, the escape's probability is d / (n + d) for d
-different symbols seen n times; a symbol's share is c / (n + d); symbols that a longer
-context offered are excluded from the shorter ones. Below order 0 all 257 symbols are
-equally likely. The model is pretrained: its counts come from every training word, and a
-text's score is the log10 probability of its lower-cased words.
-
-Since no context reaches beyond a word, a word's score depends on the word alone. So the
-corpus is gathered once, as word counts (a shuffle with map-side combine, which grows with
-the input); the context counts are sums over that table, and each different word is scored
-once. The whole context table counts, whatever its size.
-
-What is broadcast is bounded: the most frequent contexts, of at most ``MAX_NODES`` symbol
-counts, and of the word table the ``HOT_WORDS`` most frequent. A context is seen no more
-often than its endings, so with a context all its endings are broadcast. Words that need
-other contexts meet them in a join on context and symbol; documents meet the counts and
-scores of other words in a join on the word.
+The model is a trie of byte contexts over whole texts: each byte of a text's lower-cased
+words, with one blank between, and the end of the text are predicted from the ``ORDER``
+symbols before, across blanks; before a text stand ends. In a context, the escape's probability
+is d / (n + d) for d different symbols seen n times; a symbol's share is c / (n + d);
+symbols that a longer context offered are excluded from the shorter ones. Below order 0
+all ``SYMBOLS`` symbols are equally likely. The model is pretrained: its counts come from
+every training text, and a text's score is the log10 probability of its symbols.
+
+A context and its symbol, ``ORDER`` + 1 bytes, are one integer: a gram. The trie's lowest
+level is the table of grams with their counts; every level above is an aggregate of the one
+below, since the contexts of a level are the endings of those below it. What a gram costs
+depends on the gram alone, so each different one is priced once:
+
+* a gram of the training texts costs c / (n + d) of its whole context;
+* the others walk up the levels, a join each. The symbols excluded on arrival are just those
+  of the context below, so how often they were seen (``under``) is a figure of that context.
+
+Scores are sums of prices. The most frequent grams and words are broadcast, at most
+``HOT_GRAMS`` and ``HOT_WORDS``; documents meet the prices and counts of all others in one join.
+Both tables grow with the input, and their bounds change no score.
 
 Null text is empty: one end, nothing else. Repeated rows each give a row with the same
-scores. With no training rows, N and V are 0 and every word is unknown.
+scores. Long texts are cut nowhere. With no training rows, N and V are 0, every word is
+unknown and all symbols are equally likely. An empty table gives no rows. Columns other than
+the id and the text don't pass through, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,23 +37,74 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.texts import Cache, map_rows, per_task, words_of
+from voxloom.llm.texts import map_rows, map_stream, per_task, words_of
 from voxloom.plans.durable import durable
 
 ORDER = 5
-MAX_NODES = 400_000
+HOT_GRAMS = 1_000_000
 HOT_WORDS = 300_000
-CACHE_ENTRIES = 200_000
-CODED_ENTRIES = 300_000
+#: Grams that a task gathers before it sorts, counts and passes them on.
+GATHER = 6_000_000
 #: The end's token; no word is empty.
 END = b""
-END_SYMBOL = 256
-SYMBOLS = 257
+#: The end's symbol: a blank that no sequence of words holds. It stands before texts as well.
+END_SYMBOL = 10
+#: All bytes but the six blanks, then the blank between words and the end.
+SYMBOLS = 252
 SMOOTH = 0.1
 
 
-def symbols(word: bytes) -> list[int]:
-    return [*word, 32] if word else [END_SYMBOL]
+def grams(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, text's place) of every symbol of the texts, given as words."""
+    pad = bytes([END_SYMBOL]) * order
+    said = [b" ".join(words) for words in texts]
+    data = np.frombuffer(pad + pad.join(said) + pad, np.uint8)
+    sizes = np.fromiter(map(len, said), np.int64, len(said)) + 1
+    key = np.zeros(len(data) - order, np.int64)
+    for k in range(order + 1):
+        key <<= 8
+        key |= data[k : len(data) - order + k]
+    # Of the ends between two texts the first is a symbol; the others are context only.
+    first = np.cumsum(np.r_[0, sizes[:-1] + order - 1])
+    own = np.repeat(np.arange(len(said)), sizes)
+    at = np.arange(len(own)) + np.repeat(first - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+    return key[at], own
+
+
+def counted(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and how often each comes."""
+    x = np.concatenate(keys)
+    x.sort()
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return x[starts], np.diff(np.r_[starts, len(x)])
+
+
+def gram_counts(docs: DataFrame, order: int, text: str = "text", held_out: str = "held_out") -> DataFrame:
+    """(gram, n) of all symbols of whole texts; held-out rows add 0."""
+
+    def count(batches):
+        held: dict[bool, list] = {False: [], True: []}
+        size = 0
+
+        def passed():
+            for h, keys in held.items():
+                if keys:
+                    k, n = counted(keys)
+                    yield [k, n * 0 if h else n]
+                    keys.clear()
+
+        for texts, flags in batches:
+            for h, keys in held.items():
+                some = [words_of(t, lower=True) for t, f in zip(texts, flags, strict=True) if f == h]
+                if some:
+                    keys.append(grams(some, order)[0])
+                    size += len(keys[-1])
+            if size >= GATHER:
+                yield from passed()
+                size = 0
+        yield from passed()
+
+    return map_stream(docs.select(text, held_out), count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def word_counts(docs: DataFrame, text: str = "text", held_out: str = "held_out") -> DataFrame:
@@ -69,217 +124,155 @@ def word_counts(docs: DataFrame, text: str = "text", held_out: str = "held_out")
     return map_rows(docs.select(text, held_out), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def context_counts(counts: DataFrame, order: int) -> DataFrame:
-    """(context binary, symbol int, n) for contexts of up to ``order`` bytes after the opening blank."""
-
-    @per_task
-    def spread():
-        def step(words, ns):
-            out: Counter = Counter()
-            for w, n in zip(words, ns, strict=True):
-                before = b" "
-                for s in symbols(w):
-                    for k in range(min(order, len(before)) + 1):
-                        out[before[len(before) - k :], s] += n
-                    before += bytes([s]) if s < 256 else b""
-            return [c for c, _ in out], [s for _, s in out], list(out.values())
-
-        return step
-
-    return map_rows(counts.select("word", "n"), spread, "context binary, symbol int, n bigint").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
-def contexts(counts: DataFrame, order: int) -> DataFrame:
-    """(context, total, next, bin): each context's symbols with their counts; ``bin`` grows with the total."""
-    rows = context_counts(counts.where("n > 0"), order).groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("next"))
-    return durable(rows.withColumn("bin", F.floor(F.log2("total") * 8)))
-
-
-def least_bin(table: DataFrame, max_nodes: int) -> tuple[int | None, bool]:
-    """The least bin of the contexts that are broadcast, ``max_nodes`` symbol counts at most, and whether these are all."""
-    least, total = None, 0
-    bins = sorted(((r[0], r[1]) for r in table.groupBy("bin").agg(F.sum(F.size("next"))).collect()), reverse=True)
-    for b, n in bins:
-        total += n
-        if total > max_nodes:
-            return least, False
-        least = b
-    return least, True
-
-
-def keys_of(word: bytes, order: int) -> list[bytes]:
-    """Context and symbol of each of the word's places; no word has a blank, so two blanks are the end's."""
-    padded = b" " + word + b" "
-    return [padded[max(0, i - order) : i + 1] for i in range(1, len(padded))]
-
-
-def symbol_of(key: bytes) -> int:
-    return END_SYMBOL if key == b"  " else key[-1]
-
-
-class Model(Cache):
-    """Word -> log10 probability, filled on a miss. ``whole``: contexts that it lacks were never seen."""
-
-    def __init__(self, rows: list[tuple[bytes, int, int]], order: int = ORDER, limit: int = CACHE_ENTRIES, whole: bool = True):
-        super().__init__(limit)
-        self.order, self.whole = order, whole
-        seen: dict[bytes, dict[int, int]] = {}
-        for c, s, n in rows:
-            seen.setdefault(c, {})[s] = n
-        self.contexts = {c: (d, sum(d.values())) for c, d in seen.items()}
-        self.coded = Coded(self)
-
-    def symbol(self, before: bytes, s: int, more: dict[bytes, tuple[dict[int, int], int]] | None = None) -> float:
-        """Probability of ``s`` after ``before``; ``more`` has contexts that the model lacks."""
-        p, gone = 1.0, None
-        for k in range(min(self.order, len(before)), -1, -1):
-            c = before[len(before) - k :]
-            got = self.contexts.get(c)
-            if got is None and more:
-                got = more.get(c)
-            if got is None:
-                continue
-            d, n = got
-            kinds = len(d)
-            if gone:
-                dead = [x for x in d if x in gone]
-                n -= sum(d[x] for x in dead)
-                kinds -= len(dead)
-            if kinds == 0:
-                continue
-            if s in d:  # not in a longer context, or it would have been coded there
-                return p * d[s] / (n + kinds)
-            p *= kinds / (n + kinds)
-            gone = d.keys() if gone is None else gone | d.keys()
-        return p / (SYMBOLS - len(gone or ()))
-
-    def make(self, word: bytes) -> float:
-        return sum(map(self.coded.__getitem__, keys_of(word, self.order)))
-
-    def part(self, word: bytes) -> tuple[float, list[bytes]]:
-        """The log10 probability of the word's places that the model can tell, and the keys of the others."""
-        keys = keys_of(word, self.order)
-        logs = list(map(self.coded.__getitem__, keys))
-        total = sum(logs)
-        if total == total:
-            return total, []
-        return sum(x for x in logs if x == x), [k for k, x in zip(keys, logs, strict=True) if x != x]
-
-    def lacking(self, before: bytes) -> list[bytes]:
-        """The endings of ``before``, itself too, that the model lacks: the longest ones."""
-        ends = (before[k:] for k in range(len(before) + 1))
-        return [c for c in ends if c not in self.contexts]
-
-
-class Coded(Cache):
-    """Context and symbol as bytes -> log10 probability, NaN if the model can't tell; words share most of them."""
-
-    def __init__(self, model: Model):
-        super().__init__(CODED_ENTRIES)
-        self.model = model
-
-    def make(self, key: bytes) -> float:
-        if not self.model.whole and key[:-1] not in self.model.contexts:
-            return math.nan
-        return math.log10(self.model.symbol(key[:-1], symbol_of(key)))
-
-
-def scored_words(counts: DataFrame, order: int, max_nodes: int) -> DataFrame:
-    """(word, n, score) of ``counts`` (id, word, n): the log10 probability under the whole context table."""
-    table = contexts(counts, order)
-    least, whole = least_bin(table, max_nodes)
-    often = [] if least is None else table.where(F.col("bin") >= least).select("context", F.explode("next").alias("s")).select("context", "s.symbol", "s.n").collect()
-    shared = counts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(bytes(r[0]), r[1], r[2]) for r in often]))
-
-    @per_task
-    def score():
-        model = _worker_model(shared, order, whole)
-
-        def step(ids, words, ns):
-            logs, missed = zip(*map(model.part, words), strict=True)
-            return ids, words, ns, logs, missed
-
-        return step
-
-    met = map_rows(counts.select("id", "word", "n"), score, "id bigint, word binary, n bigint, score double, missed array<binary>")
-    if whole:
-        return met.select("word", "n", "score")
-    met = durable(met)
-    rare = table if least is None else table.where(F.col("bin") < least)
-    # What training words need is in the context table as it stands: their symbols were seen after the longest context.
-    longest = rare.where((F.length("context") == order) | F.expr("substring(context, 1, 1) = x'20'")).select("context", "total", F.size("next").alias("kinds"), F.explode("next").alias("s"))
-    byte = F.unhex(F.lpad(F.hex(F.when(F.col("s.symbol") == END_SYMBOL, 32).otherwise(F.col("s.symbol"))), 2, "0"))
-    seen = durable(longest.select(F.concat("context", byte).alias("key"), F.log10(F.col("s.n") / (F.col("total") + F.col("kinds"))).alias("log")))
-    asked = met.where("n = 0").select(F.explode("missed").alias("key")).distinct().join(seen, "key", "left_anti")
-    need = met.select("id", F.explode("missed").alias("key"))
-    rest = need.join(seen.union(_unseen(asked, rare, shared, order)), "key").groupBy("id").agg(F.sum("log").alias("rest"))
-    return met.join(rest, "id", "left").select("word", "n", (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))
-
-
-def _unseen(asked: DataFrame, rare: DataFrame, shared, order: int) -> DataFrame:
-    """(key, log) of symbols that didn't follow their longest context in training: all its endings are needed."""
-
-    @per_task
-    def ends():
-        model = _worker_model(shared, order, False)
-
-        def step(keys):
-            out = [(k, c) for k in keys for c in model.lacking(k[:-1])]
-            return [list(c) for c in zip(*out, strict=True)] if out else None
-
-        return step
-
-    @per_task
-    def score():
-        model = _worker_model(shared, order, False)
-
-        def step(keys, found):
-            logs = []
-            for k, some in zip(keys, found, strict=True):
-                more = {x["context"]: {y["symbol"]: y["n"] for y in x["next"]} for x in some}
-                logs.append(math.log10(model.symbol(k[:-1], symbol_of(k), {c: (d, sum(d.values())) for c, d in more.items()})))
-            return keys, logs
-
-        return step
-
-    wanted = map_rows(asked, ends, "key binary, context binary").join(rare.select("context", "next"), "context", "left")
-    found = wanted.groupBy("key").agg(F.collect_list(F.when(F.col("next").isNotNull(), F.struct("context", "next"))).alias("found"))
-    return map_rows(found, score, "key binary, log double")
-
-
-def hot_words(words: DataFrame, limit: int) -> tuple[bytes, bytes, bytes]:
-    """The ``limit`` most frequent words, blank between, their counts and scores: compact to broadcast."""
-    top = words.where("n > 0 and length(word) <= 64").orderBy(F.desc("n"), "word").limit(limit).toArrow()
-    return b" ".join(top["word"].to_pylist()), np.asarray(top["n"].to_numpy(), "<i8").tobytes(), np.asarray(top["score"].to_numpy(), "<f8").tobytes()
+def _low(gram: str, symbols: int) -> Column:
+    """The last ``symbols`` symbols of a gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * symbols) - 1).cast("bigint"))
+
+
+def trie(seen: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(counts, contexts) by level. ``counts``: (gram, n), grams of level + 1 symbols.
+
+    ``contexts``: (context, total, kinds, under); under: how often the context's symbols
+    were seen in the context that is shorter by one.
+    """
+    counts = [seen]
+    for k in range(order - 1, -1, -1):
+        counts.insert(0, durable(counts[0].groupBy(_low("gram", k + 1).alias("gram")).agg(F.sum("n").alias("n"))))
+    contexts = []
+    for k, level in enumerate(counts):
+        if k:
+            level = level.withColumn("short", _low("gram", k)).join(counts[k - 1].select(F.col("gram").alias("short"), F.col("n").alias("m")), "short")
+        else:
+            level = level.withColumn("m", F.lit(0).cast("bigint"))
+        contexts.append(level.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("m").alias("under")))
+    return counts, contexts
+
+
+def prices(table: DataFrame, order: int) -> DataFrame:
+    """(gram, n, log) of ``table`` (gram, n): the log10 probability of each gram's symbol after its context."""
+    counts, contexts = trie(durable(table.where("n > 0")), order)
+    own = contexts[order].select("context", "total", "kinds")
+    met = counts[order].withColumn("context", F.shiftright("gram", 8)).join(own, "context")
+    known = met.select("gram", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("log"))
+    zero = F.lit(0).cast("bigint")
+    left = table.where("n = 0").select("gram", F.lit(0.0).alias("log"), zero.alias("gone"), zero.alias("gone_kinds"), F.lit(False).alias("done"))
+    for k in range(order, -1, -1):
+        left = left.withColumn("key", _low("gram", k + 1)).withColumn("context", F.shiftright("key", 8))
+        if k < order:
+            left = left.join(counts[k].select(F.col("gram").alias("key"), "n"), "key", "left")
+        else:
+            left = left.withColumn("n", F.lit(None).cast("bigint"))
+        left = left.join(contexts[k], "context", "left")
+        total, kinds = F.col("total") - F.col("gone"), F.col("kinds") - F.col("gone_kinds")
+        # A context that offers nothing new says nothing; a null one was never seen.
+        says = ~F.col("done") & F.coalesce(kinds > 0, F.lit(False))
+        step = F.when(says, F.log10(F.coalesce(F.col("n"), kinds) / (total + kinds))).otherwise(0.0)
+        here = F.col("total").isNotNull()
+        left = left.select(
+            "gram", (F.col("log") + step).alias("log"),
+            F.when(here, F.col("under")).otherwise(F.col("gone")).alias("gone"), F.when(here, F.col("kinds")).otherwise(F.col("gone_kinds")).alias("gone_kinds"),
+            (F.col("done") | (says & F.col("n").isNotNull())).alias("done"),
+        )
+    rest = F.when(F.col("done"), 0.0).otherwise(-F.log10(F.lit(float(SYMBOLS)) - F.col("gone_kinds")))
+    return known.union(left.select("gram", zero.alias("n"), (F.col("log") + rest).alias("log")))
+
+
+def frequent(table: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``table`` of the highest counts ``n``: all down to one that leaves at most ``limit``."""
+    bins = table.where("n > 0").groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.min("n").alias("least"), F.count("*").alias("rows")).orderBy(F.desc("bin")).collect()
+    rows, least = 0, None
+    for b in bins:
+        rows += b["rows"]
+        if rows > limit:
+            break
+        least = b["least"]
+    return table.where(F.col("n") >= F.lit(least) if least is not None else F.lit(False))
+
+
+def hot_words(words: DataFrame, limit: int) -> tuple[bytes, bytes]:
+    """Frequent words, blank between, and their counts: compact to broadcast."""
+    top = frequent(words.where("length(word) <= 64"), limit).toArrow()
+    return b" ".join(top["word"].to_pylist()), np.asarray(top["n"].to_numpy(), "<i8").tobytes()
+
+
+def hot_grams(priced: DataFrame, limit: int) -> tuple[bytes, bytes]:
+    """Frequent grams and their prices."""
+    top = frequent(priced, limit).select("gram", "log").toArrow()
+    return np.asarray(top["gram"].to_numpy(), "<i8").tobytes(), np.asarray(top["log"].to_numpy(), "<f8").tobytes()
+
+
+class Prices:
+    """Grams' prices in an open hash table, looked up by the array."""
+
+    EMPTY = np.int64(-1)
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.logs = np.full(1 << bits, self.EMPTY), np.zeros(1 << bits)
+        slot = self._slot(keys)
+        while len(keys):
+            # Of the keys that want a free slot, the last to be written has it; the rest go on.
+            free = np.flatnonzero(self.keys[slot] == self.EMPTY)
+            self.keys[slot[free]] = keys[free]
+            set_ = self.keys[slot] == keys
+            self.logs[slot[set_]] = logs[set_]
+            keys, logs, slot = keys[~set_], logs[~set_], (slot[~set_] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(logs, places of the keys that the table lacks, whose log is 0)."""
+        slot = self._slot(keys)
+        got = self.keys[slot]
+        out = np.where(got == keys, self.logs[slot], 0.0)
+        lost, open_ = [np.flatnonzero(got == self.EMPTY)], np.flatnonzero((got != keys) & (got != self.EMPTY))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & self.mask
+            got = self.keys[slot]
+            hit, none = got == keys[open_], got == self.EMPTY
+            out[open_[hit]] = self.logs[slot[hit]]
+            lost.append(open_[none])
+            open_, slot = open_[~(hit | none)], slot[~(hit | none)]
+        return out, np.concatenate(lost)
 
 
 def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns from rows that aren't held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    counts = durable(word_counts(rows).withColumn("id", F.monotonically_increasing_id()))
-    total, kinds = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first())
-    table = durable(scored_words(counts, order, MAX_NODES))
-    hot = spark.sparkContext.broadcast(hot_words(table, HOT_WORDS))
+    words = durable(word_counts(rows))
+    total, kinds = (int(x or 0) for x in words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first())
+    priced = durable(prices(durable(gram_counts(rows, order)), order))
+    hot = spark.sparkContext.broadcast((uuid.uuid4().hex, *hot_words(words, HOT_WORDS), *hot_grams(priced, HOT_GRAMS)))
     floor = math.log10(total + SMOOTH * (kinds + 1))
 
     @per_task
     def score():
-        place, figures = _worker_words(hot)
+        place, figures, price = _worker_tables(hot)
         known = place.get
 
         def step(key, doc, held, texts):
             out = [[] for _ in range(9)]
-            for row, d, h, t in zip(key, doc, held, texts, strict=True):
-                words = words_of(t, lower=True)
+            cut = [words_of(t, lower=True) for t in texts]
+            keys, own = grams(cut, order)
+            logs, lost = price(keys)
+            sums = np.bincount(own, logs, len(cut)).tolist()
+            rare: list[Counter] = [Counter() for _ in cut]
+            for k, n in zip(own[lost].tolist(), keys[lost].tolist(), strict=True):
+                rare[k][b" " + n.to_bytes(8)] += 1
+            for row, d, h, words, own_score, rest in zip(key, doc, held, cut, sums, rare, strict=True):
                 words.append(END)
                 at = list(map(known, words))
-                rest = Counter(w for w, x in zip(words, at, strict=True) if x is None)
                 found = [x for x in at if x is not None]
-                log, own = figures[found].sum(0).tolist()
-                # The document's own figures go with its first rare word. No word has a blank,
-                # so the stand-in for a document without one meets no count.
-                first = (d, h, len(words), len(found), log, own)
+                if len(found) < len(words):
+                    rest.update(w for w, x in zip(words, at, strict=True) if x is None)
+                # The document's own figures go with its first rare token. No word has a blank,
+                # so the stand-in for a document without one meets nothing.
+                first = (d, h, len(words), len(found), float(figures[found].sum()), own_score)
                 for w, n in rest.items() or ((b" %d" % row, 0),):
                     for c, v in zip(out, (row, w, n, *first), strict=True):
                         c.append(v)
@@ -290,13 +283,16 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text")
     kind = dict(rows.dtypes)["doc_id"]
-    part = map_rows(keyed, score, f"key bigint, word binary, n int, doc_id {kind}, held_out boolean, n_tokens bigint, hot bigint, hot_log double, hot_score double")
-    met = part.join(table.withColumnRenamed("n", "c"), "word", "left")
+    part = map_rows(keyed, score, f"key bigint, token binary, n int, doc_id {kind}, held_out boolean, n_tokens bigint, hot bigint, hot_log double, hot_score double")
+    # Words and grams, the latter after a blank as eight bytes, are met in one join.
+    as_bytes = F.concat(F.lit(b" "), F.unhex(F.lpad(F.hex("gram"), 16, "0")))
+    table = words.select(F.col("word").alias("token"), F.col("n").alias("c"), F.lit(0.0).alias("log")).union(priced.select(as_bytes, F.lit(None).cast("bigint"), "log"))
+    met = part.join(table, "token", "left")
     got = met.groupBy("key").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "hot", "hot_log", "hot_score")),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("rare_log"),
-        F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))).alias("rare_score"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + F.lit(SMOOTH))).otherwise(0.0)).alias("rare_log"),
+        F.sum(F.col("n") * F.coalesce("log", F.lit(0.0))).alias("rare_score"),
     )
     return got.select(
         "doc_id", "held_out", "n_tokens", (F.col("hot") + F.col("rare")).cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
@@ -307,22 +303,11 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 _OPEN: dict = {}
 
 
-def _worker_model(shared, order: int, whole: bool) -> Model:
-    """One model in each worker process, for all its tasks."""
-    name, rows = shared.value
+def _worker_tables(hot) -> tuple[dict[bytes, int], np.ndarray, Prices]:
+    """One set of tables in each worker process: hot words' places, logarithms of their counts by place, grams' prices."""
+    name, words, ns, keys, logs = hot.value
     if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = Model(rows, order, whole=whole)
-    return _OPEN[name]
-
-
-def _worker_words(hot) -> tuple[dict[bytes, int], np.ndarray]:
-    """One table of hot words in each worker process: their places, and logarithm of the count and score by place."""
-    words, ns, scores = hot.value
-    key = (len(words), hash(words), hash(ns), hash(scores))
-    if key not in _OPEN:
         _OPEN.clear()
         table = words.split(b" ") if ns else []  # the end's token is empty
-        figures = np.stack([np.log10(np.frombuffer(ns, "<i8") + SMOOTH), np.frombuffer(scores, "<f8")], 1)
-        _OPEN[key] = {w: k for k, w in enumerate(table)}, figures
-    return _OPEN[key]
+        _OPEN[name] = {w: k for k, w in enumerate(table)}, np.log10(np.frombuffer(ns, "<i8") + SMOOTH), Prices(np.frombuffer(keys, "<i8"), np.frombuffer(logs, "<f8"))
+    return _OPEN[name]

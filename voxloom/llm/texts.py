@@ -53,18 +53,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def small_batches(spark) -> None:
-    """Rows of texts are long: batches of Spark's default length would hold too much off its heap."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE)
-
-
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(columns as Python lists, in order) -> list of output columns`` for each Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,6 +71,21 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_stream(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn(iterator over slices, as Python lists)`` yields output columns, arrays or lists, as often as it likes."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship(df.sparkSession)
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = ([c.to_pylist() for c in part.columns] for batch in batches for part in _slices(batch))
+        for cols in fn(slices):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def per_task(factory):
     """Mark ``factory`` as one that makes the batch function once in each task."""
     factory.per_task = True
