@@ -37,10 +37,11 @@ from voxloom.plans.tiles import tiled
 COSINE = 0.98
 #: Target recall of links as long as the threshold allows; shorter ones fare better. 1 is exact.
 RECALL = 0.9999
+#: Rows on which the codebooks are fitted at least; they take 16 for each centroid, so 65,536 at most.
 SAMPLE = 4096
 #: Vectors of a label that a cell holds on average; the codebooks grow with the table.
 CELL_ROWS = 32
-MAX_CENTROIDS = 512
+MAX_CENTROIDS = 4096
 TILE = 1024
 #: Vectors placed at once; each may go to many cells.
 SLICE = 128
@@ -70,7 +71,7 @@ def bounds(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Rows by centroids: how far a row is, at least, from any point whose nearest centroid that is."""
     d = _squares(x, c)
     home = d.argmin(1)
-    gap = np.sqrt(_squares(c, c))[home]
+    gap = np.sqrt(_squares(c[home], c))
     plane = (d - d[np.arange(len(x)), home][:, None]) / (2 * np.where(gap > 0, gap, np.inf))
     plane[np.arange(len(x)), home] = 0
     return np.maximum(plane, 0)
@@ -109,15 +110,16 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"), F.col(label).alias("label"))
     sound = "label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     v = v.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
-    # One representative of equal rows; -0.0 is 0.0.
-    key = F.when(F.col("sound"), F.xxhash64("label", F.expr("transform(v, x -> cast(x as double) + 0.0D)")))
-    rows = v.withColumn("rep", key)
-    reps = durable(rows.where("sound").groupBy("rep").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v")))
+    # One representative of equal rows, by 128 bits of hash; -0.0 is 0.0.
+    plain = F.expr("transform(v, x -> cast(x as double) + 0.0D)")
+    rows = v.withColumn("h", F.when(F.col("sound"), F.struct(F.xxhash64("label", plain).alias("a"), F.xxhash64(plain, F.lit(1), "label").alias("b"))))
+    reps = rows.where("sound").groupBy("h").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
+    reps = durable(reps.withColumn("rep", F.monotonically_increasing_id()))
     total, labels, width = reps.agg(F.count("*"), F.approx_count_distinct("label", 0.05), F.max(F.size("v"))).first()
     if not total:
-        return v.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
-    picked = _units([_padded(r[0], width) for r in reps.orderBy("rep").limit(sample).select("v").collect()])
-    k = int(max(1, min(MAX_CENTROIDS, sample // 4, (total / (cell_rows * max(1, labels))) ** 0.5)))
+        return v.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    k = int(max(1, min(MAX_CENTROIDS, (total / (cell_rows * max(1, labels))) ** 0.5)))
+    picked = _units([_padded(r[0], width) for r in reps.orderBy("h").limit(max(sample, 16 * k)).select("v").collect()])
     half = (width + 1) // 2
     books = spark.sparkContext.broadcast((centroids(picked[:, :half], k), centroids(picked[:, half:], k) if width > 1 else np.zeros((1, 0))))
     limit = (2 - 2 * cosine) * reach(recall, width) + SLACK
@@ -165,11 +167,11 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     found = durable(dealt.groupBy("label", "dim", "cell", "ta", "tb").applyInPandas(verify, "rep bigint, n bigint, to bigint"))
     linked = found.where("n > 0").groupBy("rep").agg(F.sum("n").alias("others"))
     parts = connected_components(found.where("n = 0"), "rep", "to").withColumnRenamed("node", "rep")
-    graded = reps.select("rep", "weight", "least").join(linked, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    graded = reps.select("rep", "h", "weight", "least").join(linked, "rep", "left").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = graded.groupBy("component").agg(F.min("least").alias("component_id"))
-    graded = graded.join(least, "component").select("rep", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    good = rows.where("sound").select("vec_id", "rep").join(graded, "rep").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").cast("bigint").alias("component_id"))
-    bad = rows.where("not sound").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"))
+    graded = graded.join(least, "component").select("h", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    good = rows.where("sound").select("vec_id", "h").join(graded, "h").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    bad = rows.where("not sound").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -1,16 +1,20 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is cut into the
-fewest greedy phrases that occur in that labelled text; phrases times the bits that a
+fewest greedy phrases that occur in that labelled text, across words; phrases times the bits that a
 position in the labelled text takes, for each character, estimates the cross entropy
-(Ziv and Merhav 1993). The language with the least wins. Runs of letters are parsed with a
-blank on either side and phrases end with words, so a worker parses each different word once.
+(Ziv and Merhav 1993). The language with the least wins. Texts are lower-cased and reduced to
+runs of letters with one blank between and around.
 
 The labelled text is a bounded sample: ``sample_chars`` characters a language, from the
 ``sample_docs`` training rows that come first in the order of their ids' hash. Every text
-is predicted whole. Null text, or text without a letter, is ``und`` with score 0; so is
+is predicted whole, however long. Null text, or text without a letter, is ``und`` with score 0; so is
 every text if nothing was learned. Ties go to the language that sorts first. Null
 languages are never learned from. Repeated rows each give a row.
+
+``typical`` says what texts cost in their own language: the phrases a character of labelled rows
+that the automata don't hold. A text of ``n`` characters is ``foreign`` to its winner if it takes over
+``EXCESS`` times that, and by more than ``SLACK`` phrases, so that a few odd words in a short text aren't held against it.
 """
 
 from __future__ import annotations
@@ -22,12 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.suffix import SuffixAutomaton
-from voxloom.llm.texts import Cache, map_rows, per_task
+from voxloom.llm.texts import fresh, map_rows, per_task
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 60_000
-CACHE_ENTRIES = 150_000
+#: Times a language's own phrases a character that a text may take, and phrases that it may take beyond.
+EXCESS, SLACK = 1.6, 12
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -40,16 +45,27 @@ def fold_of(doc_id: str | Column, folds: int) -> Column:
 
 def labelled_sample(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Language -> at most ``chars`` characters of lower-cased text of ``docs`` rows."""
+    return {k: " ".join(v)[:chars] for k, v in _labelled(train, doc_id, text, lang, docs, chars).items()}
+
+
+def labelled_halves(train: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[dict[str, str], dict[str, str]]:
+    """Two samples of different rows, one to learn from and one for ``typical``."""
+    rows = _labelled(train, doc_id, text, lang, 2 * docs, 2 * chars)
+    return tuple({k: " ".join(v[half::2])[:chars] for k, v in rows.items() if v[half::2]} for half in (0, 1))
+
+
+def _labelled(train: DataFrame, doc_id: str, text: str, lang: str, docs: int, chars: int) -> dict[str, list[str]]:
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     rows = train.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
     keys = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("_n") <= docs)
+    # At most ``docs`` ids a language.
     chosen = rows.join(F.broadcast(keys.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi")
     # Each row brings its even share, or all of a shorter text; so no row alone makes up a language.
     chosen = chosen.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs).select("lang", F.col("_n").alias("n"), F.lower(F.substring("text", 1, max(1, 8 * chars // docs))).alias("text"))
     out: dict[str, list[str]] = {}
     for r in chosen.orderBy("lang", "n").collect():
         out.setdefault(r["lang"], []).append(" ".join(r["text"].split()))
-    return {k: " ".join(v)[:chars] for k, v in out.items()}
+    return out
 
 
 def letters(text: str) -> str:
@@ -58,11 +74,10 @@ def letters(text: str) -> str:
     return f" {' '.join(runs)} " if runs else ""
 
 
-class Parser(Cache):
-    """Word -> its characters and its phrases in every language, 32 bits each in one integer; filled on a miss."""
+class Parser:
+    """Phrases of a text in every language."""
 
-    def __init__(self, sample: dict[str, str], limit: int = CACHE_ENTRIES):
-        super().__init__(limit)
+    def __init__(self, sample: dict[str, str]):
         self.languages = sorted(sample)
         self.automata, self.bits = [], []
         for k in self.languages:
@@ -72,35 +87,36 @@ class Parser(Cache):
             self.automata.append(a)
             self.bits.append(math.log2(len(sample[k]) + 2))
 
-    def make(self, word: str) -> int:
-        padded, n = letters(word), 0
-        for a in reversed(self.automata):
-            n = (n << 32) + a.phrases(padded)
-        return (n << 32) + max(0, len(padded) - 1)
-
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score, bits a character); a score of 1 is sure, near 0.5 a close call."""
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0, 0.0
-        total = sum(map(self.__getitem__, text.split()))
-        size, cost = max(1, total & 0xFFFFFFFF), []
-        total >>= 32
-        for bits in self.bits:
-            cost.append((total & 0xFFFFFFFF) * bits / size)
-            total >>= 32
+    def phrases(self, text: str | None) -> tuple[int, list[int]]:
+        """The reduced text's characters, and its phrases by language; (0, []) if there is no letter."""
+        reduced = letters(text) if text and any(map(str.isalpha, text)) else ""
+        return (len(reduced) - 1, [a.phrases(reduced) for a in self.automata]) if reduced else (0, [])
+
+    def predict(self, text: str | None) -> tuple[str, float, float, int, int]:
+        """(language, score, bits a character, characters, phrases); a score of 1 is sure, near 0.5 a close call."""
+        size, found = self.phrases(text)
+        if not found:
+            return UNDETERMINED, 0.0, 0.0, size, 0
+        cost = [n * bits / size for n, bits in zip(found, self.bits, strict=True)]
         best = min(range(len(cost)), key=cost.__getitem__)
         if len(cost) == 1:
-            return self.languages[0], 1.0, cost[0]
+            return self.languages[0], 1.0, cost[0], size, found[0]
         second = min(c for k, c in enumerate(cost) if k != best)
-        return self.languages[best], second / (second + cost[best]), cost[best]
+        return self.languages[best], second / (second + cost[best]), cost[best], size, found[best]
+
 
+OUTPUT = {"lang_pred": "string", "score": "double", "bits": "double", "size": "bigint", "phrases": "bigint"}
 
-def identify(docs: DataFrame, sample: dict[str, str], text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and bits (cross entropy a character); other columns stay."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sample)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "bits", "_text")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, bits double"])
+
+def identify(docs: DataFrame, sample: dict[str, str], text: str = "text", names: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with ``OUTPUT``: language, score, bits (cross entropy a character), characters and phrases.
+
+    Columns of ``docs`` with these names are replaced, unless ``names`` gives others; all others stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(sample)
+    new = {(names or {}).get(c, c): kind for c, kind in OUTPUT.items()}
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}` {kind}" for c, kind in new.items())])
 
     @per_task
     def label():
@@ -108,11 +124,30 @@ def identify(docs: DataFrame, sample: dict[str, str], text: str = "text") -> Dat
 
         def step(*cols):
             got = [parser.predict(t) for t in cols[-1]]
-            return [*cols[:-1], *([g[k] for g in got] for k in range(3))]
+            return [*cols[:-1], *([g[k] for g in got] for k in range(len(OUTPUT)))]
 
         return step
 
-    return map_rows(docs.select(*keep, F.col(text).alias("_text")), label, schema)
+    return map_rows(docs.select(*keep, F.col(text).alias(fresh("text", keep))), label, schema)
+
+
+def typical(sample: dict[str, str], more: dict[str, str]) -> dict[str, float]:
+    """Language -> phrases a character of its texts ``more``, which ``sample`` doesn't hold."""
+    parser, out = Parser(sample), {}
+    for k, a in zip(parser.languages, parser.automata, strict=True):
+        reduced = letters(more.get(k, ""))
+        if reduced:
+            out[k] = a.phrases(reduced) / (len(reduced) - 1)
+    return out
+
+
+def foreign(usual: dict[str, float], lang: str = "lang_pred", size: str = "size", phrases: str = "phrases") -> Column:
+    """Whether a text is in none of the languages: far more phrases than its winner's own texts take."""
+    expected = F.lit(None).cast("double")
+    for k, rate in usual.items():
+        expected = F.when(F.col(lang) == k, F.lit(rate)).otherwise(expected)
+    expected = expected * F.col(size)
+    return F.coalesce(F.col(phrases) > F.greatest(EXCESS * expected, expected + SLACK), F.lit(False))
 
 
 _OPEN: dict = {}

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.llm.texts import small_batches
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -67,7 +70,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxloom.llm.embeddings import embedding_links
 
-    return embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+    found = embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return found.withColumn("component_id", F.col("component_id").cast("bigint"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,9 @@ part and is never the least. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,8 @@ from voxloom.plans.tiles import tiled
 SEED = 42
 #: Fingerprints in a table bucket beyond which it is searched by balls or tiles.
 BUCKET = 16
+#: Points of a segment's ball at most.
+BALL = 10_000
 #: Rows by rows of a tile.
 TILE = 1024
 #: Shingles hashed at once, so that a long text's hashes stay small.
@@ -112,58 +117,52 @@ def radii(distance: int, parts: int) -> list[int]:
 
 
 def links(nodes: DataFrame, bits: int, distance: int, width: int, ball: list[int], bucket: int = BUCKET) -> DataFrame:
-    """(a, b) edges whose components are those of all pairs within ``distance`` that the search meets.
+    """(a, b) edges whose components are those of all pairs within ``distance`` that the balls meet.
 
-    ``nodes``: distinct (node bigint, fp array<bigint>). Radii of ``ball`` are -1, 0 or 1.
+    ``nodes``: distinct (node bigint, fp array<bigint>). ``ball``: each segment's radius, -1 for none.
     """
-    values = [(s, _segment(at, n)) for s, (at, n) in enumerate(segments(bits, width)) if ball[s] >= 0]
-    own = F.array(*(_key(s, v) for s, v in values))
-    # Of two values that differ in one bit only the one without it asks for the other.
-    flipped = F.flatten(F.array(*(_flipped(s, v, width) for s, v in values if ball[s] >= 1)))
+    own = own_keys(bits, width, ball)
     table = nodes.select("node", F.explode(own).alias("key"))
     large = durable(table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"))
+    asks = nodes.select(F.col("node").alias("a"), F.explode(F.concat(own, ball_keys(bits, width, ball))).alias("key"))
+    small = table.join(large, "key", "left_anti").select("key", F.col("node").alias("b"))
+    # One row stands for a large bucket: who meets it is compared below.
+    met = asks.join(small.unionByName(large.withColumn("b", F.lit(None).cast("bigint"))), "key").where("b is null or a <> b")
     if bits == 64 and distance <= 2:  # the node is the fingerprint
-        asks = nodes.select(F.col("node").alias("a"), F.explode(F.concat(own, flipped)).alias("key"))
-        small = table.join(large, "key", "left_anti").select("key", F.col("node").alias("b"))
-        # One row stands for a large bucket: who meets it is compared below.
-        met = asks.join(small.unionByName(large.withColumn("b", F.lit(None).cast("bigint"))), "key").where("b is null or a <> b")
         met = durable(met.where(F.col("b").isNull() | (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)))
         return met.where("b is not null").select("a", "b").union(_by_balls(met.where("b is null").select(F.col("a").alias("node")).distinct()))
-    # Equal values first. What they join needs no more links, so the balls only look for others.
-    none = nodes.select("node", "fp", F.col("node").alias("group"))
-    near = durable(_met(none, own, own, large, bits, distance))
-    joined = connected_components(near, "a", "b")
-    grouped = durable(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("group")))
-    return near.union(_met(grouped, flipped, own, large, bits, distance))
-
-
-def _met(nodes: DataFrame, wanted, own, large: DataFrame, bits: int, distance: int) -> DataFrame:
-    """(a, b) within ``distance``, of different groups, where a asks for a key that b has."""
-    asks = nodes.select(F.col("node").alias("a"), F.col("group").alias("ga"), F.explode(wanted).alias("key"))
-    table = nodes.select("node", "group", F.explode(own).alias("key"))
-    members = table.join(large, "key", "left_semi")
-    small = table.join(large, "key", "left_anti").select("key", F.col("node").alias("b"), F.col("group").alias("gb"), F.col("group").alias("last"))
-    # One row stands for a large bucket; who meets it, unless all of it is of its own group, is compared in tiles.
-    one = members.groupBy("key").agg(F.min("group").alias("gb"), F.max("group").alias("last")).withColumn("b", F.lit(None).cast("bigint"))
-    met = durable(asks.join(small.unionByName(one.select(small.columns)), "key").where("ga <> gb or ga <> last").select("key", "a", "b"))
+    met = durable(met.select("key", "a", "b"))
     pairs = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     prints = lambda x: nodes.select(F.col("node").alias(x), F.col("fp").alias(f"f{x}"))
     far = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(1, bits // 64)), F.bit_count(F.col("fa")[0].bitwiseXOR(F.col("fb")[0])))
     pairs = pairs.join(prints("a"), "a").join(prints("b"), "b").where(far <= distance).select("a", "b")
     prints = nodes.select("node", "fp")
     visitors = met.where("b is null").select("key", F.col("a").alias("node")).join(prints, "node")
-    met_keys = visitors.select("key").distinct()
-    return pairs.union(_by_tiles(members.select("key", "node").join(met_keys, "key", "left_semi").join(prints, "node"), visitors, distance))
+    members = table.join(visitors.select("key").distinct(), "key", "left_semi").join(prints, "node")
+    return pairs.union(_by_tiles(members.select("key", "node", "fp"), visitors, distance))
+
+
+def own_keys(bits: int, width: int, ball: list[int] | None = None):
+    """The segments' values as keys of their tables."""
+    return F.array(*(_key(s, _segment(at, n)) for s, (at, n) in enumerate(segments(bits, width)) if not ball or ball[s] >= 0))
+
+
+def ball_keys(bits: int, width: int, ball: list[int]):
+    """The other keys within the radii. Of two values in reach of each other only the smaller one asks."""
+    return F.flatten(F.array(*(_flipped(s, _segment(at, n), n, ball[s]) for s, (at, n) in enumerate(segments(bits, width)) if ball[s] >= 1), F.array().cast("array<bigint>")))
 
 
 def _key(s: int, v):
     return F.lit(s << 32).cast("bigint").bitwiseOR(v)
 
 
-def _flipped(s: int, v, width: int):
-    """The keys one bit away from ``v`` that have the bit."""
-    bits = F.array(*(F.lit(1 << i).cast("bigint") for i in range(width)))
-    return F.transform(F.filter(bits, lambda m: v.bitwiseAND(m) == 0), lambda m: _key(s, v.bitwiseOR(m)))
+def _flipped(s: int, v, width: int, radius: int):
+    """The larger keys that differ from ``v`` in 1 to ``radius`` bits."""
+    size = sum(math.comb(width, r) for r in range(1, radius + 1))
+    if size > BALL:
+        raise ValueError(f"a ball of radius {radius} in {width} bits has {size} points: take more segments")
+    masks = F.array(*(F.lit(sum(1 << i for i in flips)).cast("bigint") for r in range(1, radius + 1) for flips in combinations(range(width), r)))
+    return F.transform(F.filter(masks, lambda m: v.bitwiseXOR(m) > v), lambda m: _key(s, v.bitwiseXOR(m)))
 
 
 def _segment(at: int, n: int):
@@ -265,20 +264,3 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def hex_fingerprint(fp):
     """A fingerprint's words as 16 lower-case hex digits each."""
     return F.array_join(F.transform(fp, lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
-
-
-#: Near copies by five-word shingles: 256 bits, of which cosines from 0.889 (a Jaccard
-#: similarity of 0.8 between sets of one size) upward leave at most 39 in doubt.
-NEAR = {"shingle": 5, "bits": 256, "distance": 39, "width": 24, "ball": [1] * 10}
-
-
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs``, all columns, with one row of each group: that of the least id, then text hash.
-
-    With ``NEAR`` the ball of radius 1 in each of ten segments meets most, not all, pairs
-    within the distance; measured recall is in the README. Repeated rows leave one.
-    """
-    keyed = docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h")))
-    groups = simhash_groups(keyed, "_key", text, **(how or NEAR))
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

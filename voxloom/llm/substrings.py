@@ -19,27 +19,28 @@ match, and each shard meets only its own passages:
    before (the matching statistic); where that reaches a window's length, the window has
    an earlier start.
 
-An anchor with more than ``HOT`` runs (a frequent phrase in many contexts) would make a
-large shard: its windows go by themselves, each keyed by its own words, to as many tasks as
-there are different windows.
+An anchor with more than ``HOT`` different sequences (a frequent phrase in many contexts) would
+make a large shard, so it is cut further: each different window of it is a shard of its own.
+
+Against a reference of bounded size, ``matched_spans`` broadcasts the automata themselves.
 
 Null text has no words. Texts under ``window`` words lose nothing. Equal rows get equal
 results and don't make each other go; rows that share an id but not the text are told apart
-by the text's hash. A null id sorts before all others. Columns other than the id and the
-text don't pass through. An empty table gives no rows.
+by the text's hash. Ids may be of any type that sorts; a null id sorts before all others.
+Columns other than the id and the text don't pass through, so names can't clash. Texts are
+hashed in blocks, so a very long one takes memory in proportion to its words. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.suffix import SuffixAutomaton
-from voxloom.llm.texts import Cache, map_rows, per_task, words_of
+from voxloom.llm.texts import map_rows, per_task, words_of
 from voxloom.plans.durable import durable
 
 WINDOW = 20
@@ -47,25 +48,74 @@ GRAM = 5
 HOT = 1000
 #: States at which a task's automaton is dropped, once its shard is done.
 STATES = 100_000
-NO_ID = -(1 << 63)
-
-
-class WordHash(Cache):
-    def make(self, word: bytes) -> int:
-        import xxhash
-
-        return xxhash.xxh64_intdigest(word, 1)
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
+#: Words of a broadcast reference shard.
+SHARD_WORDS = 200_000
 
 
-def grams(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each ``size`` consecutive words."""
-    n = len(h) - size + 1
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A public 64-bit finalizer."""
     with np.errstate(over="ignore"):
-        x = np.zeros(n, np.uint64)
-        for k in range(size):
-            x = x * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
+class Hashes:
+    """Hashes of factors of number sequences: differences of prefix sums of a polynomial modulo 2**64, then mixed."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+        self.letters = _mix(np.arange(1, 257, dtype=np.uint64))
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            with np.errstate(over="ignore"):
+                one = np.ones(1, np.uint64)
+                self.up = np.cumprod(np.r_[one, np.full(2 * n, self.BASE, np.uint64)])
+                self.down = np.cumprod(np.r_[one, np.full(2 * n, pow(self.BASE, -1, 1 << 64), np.uint64)])
+
+    def factors(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each x[start:end]; it depends on the numbers alone."""
+        self._powers(len(x))
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.zeros(1, np.uint64), np.cumsum(x * self.up[: len(x)])]
+            return _mix((sums[ends] - sums[starts]) * self.down[starts])
+
+    def words(self, data: bytes) -> np.ndarray:
+        """The hash of each word."""
+        out = []
+        raw = np.frombuffer(data, np.uint8)
+        at = 0
+        while at < len(raw):
+            end = min(at + BLOCK, len(raw))
+            blank = _BLANK[raw[at:end]]
+            if end < len(raw):  # a block ends at a blank
+                last = len(blank) - 1 - int(blank[::-1].argmax())
+                while not blank[last]:
+                    end = min(end + BLOCK, len(raw))
+                    blank = _BLANK[raw[at:end]]
+                    last = len(blank) - 1 - int(blank[::-1].argmax())
+                    if end == len(raw):
+                        break
+                if blank[last]:
+                    end, blank = at + last + 1, blank[: last + 1]
+            edge = np.flatnonzero(np.diff(np.r_[True, blank, True].view(np.int8)))
+            out.append(self.factors(self.letters[raw[at:end]], edge[::2], edge[1::2]))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def grams(h: np.ndarray, size: int, by: Hashes) -> np.ndarray:
+    """A hash of each ``size`` consecutive words."""
+    at = np.arange(len(h) - size + 1)
+    return by.factors(h, at, at + size)
 
 
 def anchors(g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,31 +128,48 @@ def anchors(g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return v, p
 
 
-def runs_of(texts: list[str | None], known: WordHash, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text's place, anchor, first window, windows) of all runs, over a batch of texts at once."""
-    cut = [words_of(t) for t in texts]
-    ends = np.cumsum([len(c) for c in cut])
-    n = int(ends[-1]) if len(ends) else 0
-    if n < window:
-        return (np.zeros(0, np.int64),) * 4
-    h = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.uint64, n)
-    v, p = anchors(grams(h, gram), window - gram + 1)
+def runs_of(texts: list[str | None], by: Hashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text's place, anchor, sequence, first window, windows) of all runs, over texts at once.
+
+    ``sequence``: a hash of the words that the run's windows cover.
+    """
+    said = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    h = by.words(b"\n".join(said))
+    ends = np.cumsum([len(t.split()) for t in said])
+    if len(h) < window:
+        return (np.zeros(0, np.int64),) * 5
+    v, p = anchors(grams(h, gram, by), window - gram + 1)
     at = np.arange(len(v))
     doc = np.searchsorted(ends, at, "right")
     whole = at + window <= ends[doc]
     first = whole & np.r_[True, ~whole[:-1] | (p[1:] != p[:-1])]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     count = np.bincount(np.cumsum(first)[whole] - 1)
     own = doc[starts]
-    return own, v[starts].view(np.int64), starts - np.r_[0, ends][own], count
+    sequence = by.factors(h, starts, starts + count + window - 1)
+    return own, v[starts].view(np.int64), sequence.view(np.int64), starts - np.r_[0, ends][own], count
+
+
+def _groups(texts: list[str | None], size: int = 4 * BLOCK):
+    """(first, end) of consecutive texts of about ``size`` characters."""
+    start, n = 0, 0
+    for k, t in enumerate(texts):
+        n += len(t or "")
+        if n >= size:
+            yield start, k + 1
+            start, n = k + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(rows, marks): rows (uid, did, z), z the packed text; marks (uid, runs, kept), what step 1 found and step 3 lets stay."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("did"), F.col(text).alias("text"))
-    rows = rows.select(F.xxhash64("did", "text").alias("uid"), "did", "text")
+    """(rows, marks): rows (doc, z), z the packed text; marks (doc, runs): of each document the runs of
+    step 1, as (at, n, keep 0), and those whose windows stay, as (at, n, bits of the windows)."""
+    rows = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h")).alias("doc"), F.col(text).alias("text"))
+    doc_kind = rows.schema["doc"].dataType.simpleString()
+    assert window - gram + 1 < 64
 
     @per_task
     def squeeze():
@@ -110,75 +177,65 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
 
         c = zstandard.ZstdCompressor(level=3)
 
-        def step(uid, did, texts):
-            return uid, did, [None if t is None else c.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
+        def step(doc, texts):
+            return doc, [None if t is None else c.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
 
         return step
 
     # One exchange of the packed texts serves every join below.
-    packed = map_rows(rows, squeeze, "uid bigint, did bigint, z binary")
-
-    @per_task
-    def find():
-        known = WordHash(150_000)
-
-        def step(uid, texts):
-            own, v, start, n = runs_of(texts, known, window, gram)
-            return np.array(uid, np.int64)[own], v, start * 256 + n
-
-        return step
-
-    assert window - gram + 1 < 256
-    runs = map_rows(rows.select("uid", "text"), find, "uid bigint, v bigint, run bigint")
-    again = runs.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v", (F.col("n") > hot).alias("hot"))
-    lists = durable(runs.join(again, "v").groupBy("uid").agg(F.collect_set(F.struct("run", "v", "hot")).alias("runs")))
-
-    @per_task
-    def name():
-        """Each sequence by a hash: its words are needed only where a shard has several."""
-        import xxhash
-
-        whole = unpacker()
-
-        def step(uid, did, z, found):
-            out = [[] for _ in range(6)]
-            for u, d, t, rs in zip(uid, did, z, found, strict=True):
-                words = words_of(whole(t))
-                for r in rs:
-                    start, n = divmod(r["run"], 256)
-                    for at, k in [(start + k, 1) for k in range(n)] if r["hot"] else [(start, n)]:
-                        seq = b" ".join(words[at : at + k + window - 1])
-                        v = xxhash.xxh64_intdigest(seq, 2) - (1 << 63) if r["hot"] else r["v"]
-                        for c, x in zip(out, (v, xxhash.xxh64_intdigest(seq, 3) - (1 << 63), k, d, at, u), strict=True):
-                            c.append(x)
-            return out
-
-        return step
-
-    names = map_rows(packed.join(lists, "uid").select("uid", "did", "z", "runs"), name, "v bigint, h bigint, n int, did bigint, at int, uid bigint")
-    firsts = names.groupBy("v", "h").agg(F.min(F.struct("did", "at", "uid")).alias("f"), F.first("n").alias("n")).select("v", "f.did", "f.at", "f.uid", "n")
-    # A shard has at most ``hot`` sequences, or one.
-    firsts = firsts.withColumn("kinds", F.count("*").over(Window.partitionBy("v")))
-    # No window comes twice within a run, so the only sequence of a shard all stays.
-    lone = firsts.where("kinds = 1").select("uid", "at", (F.expr("shiftleft(1L, n)") - 1).alias("mask"))
-    mixed = firsts.where("kinds > 1").groupBy("uid").agg(F.collect_list(F.struct("v", "at", "n")).alias("parts"))
+    packed = map_rows(rows, squeeze, f"doc {doc_kind}, z binary")
+
+    def found(wanted: str, schema: str) -> DataFrame:
+        @per_task
+        def find():
+            by = Hashes()
+
+            def step(doc, texts):
+                parts = [(a, runs_of(texts[a:b], by, window, gram)) for a, b in _groups(texts)]
+                own, v, h, at, n = (np.concatenate([x[k] + (a if k == 0 else 0) for a, x in parts]) for k in range(5))
+                out = {"v": v, "h": h, "at": at, "n": n}
+                if "doc" in wanted:
+                    out["doc"] = [doc[k] for k in own.tolist()]
+                return [out[c] for c in wanted.split()]
+
+            return step
+
+        return map_rows(rows, find, schema)
+
+    # The texts are parsed twice, which is cheaper than to keep all runs.
+    again = found("v", "v bigint").groupBy("v").agg(F.count("*").alias("times")).where("times > 1").select("v")
+    runs = durable(found("v h at n doc", f"v bigint, h bigint, at int, n int, doc {doc_kind}").join(again, "v"))
+    # No window comes twice within a run, so windows that start earlier lie in other sequences or in an earlier copy of this one.
+    firsts = durable(runs.groupBy("v", "h").agg(F.min(F.struct("doc", "at", "n")).alias("f")).select("v", "f.doc", "f.at", "f.n"))
+    kinds = firsts.groupBy("v").agg(F.count("*").alias("kinds"))
+    firsts = firsts.join(kinds.where("kinds > 1"), "v", "left")
+    # The only sequence of a shard all stays.
+    lone = firsts.where("kinds is null").select("doc", "at", "n", (F.expr("shiftleft(1L, n)") - 1).alias("keep"))
+    parts = firsts.where("kinds > 1").groupBy("doc").agg(F.collect_list(F.struct("v", "at", "n", (F.col("kinds") > hot).alias("hot"))).alias("parts"))
 
     @per_task
     def cut():
-        whole = unpacker()
+        whole, by = unpacker(), Hashes()
 
-        def step(uid, did, z, parts):
-            rows = []
-            for u, d, t, ps in zip(uid, did, z, parts, strict=True):
+        def step(doc, z, parts):
+            out = []
+            for d, t, ps in zip(doc, z, parts, strict=True):
                 words = words_of(whole(t))
-                rows += [(p["v"], d, p["at"], u, p["n"], b" ".join(words[p["at"] : p["at"] + p["n"] + window - 1])) for p in {(p["v"], p["at"]): p for p in ps}.values()]
-            return [list(c) for c in zip(*rows, strict=True)] if rows else None
+                h = by.words(b" ".join(words)) if any(p["hot"] for p in ps) else None
+                for p in {(p["v"], p["at"]): p for p in ps}.values():
+                    if p["hot"]:
+                        at = np.arange(p["at"], p["at"] + p["n"])
+                        out += [(x, d, k, 1, None) for x, k in zip(by.factors(h, at, at + window).view(np.int64).tolist(), at.tolist(), strict=True)]
+                    else:
+                        out.append((p["v"], d, p["at"], p["n"], b" ".join(words[p["at"] : p["at"] + p["n"] + window - 1])))
+            return [list(c) for c in zip(*out, strict=True)] if out else None
 
         return step
 
-    shards = map_rows(packed.join(mixed, "uid").select("uid", "did", "z", "parts"), cut, "v bigint, did bigint, at int, uid bigint, n int, seq binary")
+    shards = map_rows(packed.join(parts, "doc").select("doc", "z", "parts"), cut, f"v bigint, doc {doc_kind}, at int, n int, seq binary")
+    windows = shards.where("seq is null").groupBy("v").agg(F.min(F.struct("doc", "at")).alias("f")).select("f.doc", "f.at", F.lit(1).alias("n"), F.lit(1).cast("bigint").alias("keep"))
     # Rows equal in all would come twice; the judge drops the second.
-    shards = shards.repartition("v").sortWithinPartitions("v", "did", "at", "uid").select("v", "uid", "at", "n", "seq")
+    mixed = shards.where("seq is not null").repartition("v").sortWithinPartitions("v", "doc", "at").select("v", "doc", "at", "n", "seq")
 
     @per_task
     def judge():
@@ -193,9 +250,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
                     mask |= 1 << (j - window + 1)
             return mask
 
-        def step(v, uid, at, n, seqs):
+        def step(v, doc, at, n, seqs):
             out = []
-            for row in zip(v, uid, at, n, seqs, strict=True):
+            for row in zip(v, doc, at, n, seqs, strict=True):
                 if row[:3] == state["last"]:
                     continue
                 state["last"] = row[:3]
@@ -204,14 +261,15 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
                     if len(state["automaton"]) > STATES:
                         state["automaton"] = SuffixAutomaton()
                 if mask := stream(row[4]):
-                    out.append((row[1], row[2], mask))
+                    out.append((*row[1:4], mask))
             return [list(c) for c in zip(*out, strict=True)] if out else None
 
         return step
 
-    stays = map_rows(shards, judge, "uid bigint, at int, mask bigint")
-    kept = stays.union(lone).groupBy("uid").agg(F.collect_set(F.struct("at", "mask")).alias("kept"))
-    return packed, lists.select("uid", F.transform("runs", lambda r: r["run"]).alias("runs")).join(kept, "uid", "left")
+    stays = map_rows(mixed, judge, f"doc {doc_kind}, at int, n int, keep bigint")
+    every = runs.select("doc", "at", "n", F.lit(0).cast("bigint").alias("keep"))
+    marks = every.union(lone).union(stays).union(windows).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "keep")).alias("runs"))
+    return packed, marks
 
 
 def unpacker():
@@ -222,14 +280,13 @@ def unpacker():
     return lambda z: None if z is None else d.decompress(z).decode("utf-8", "surrogatepass")
 
 
-def removed_words(n: int, runs: list[int], kept: list, window: int) -> np.ndarray:
+def removed_words(n: int, runs: list, window: int) -> np.ndarray:
     """Which of ``n`` words go."""
     gone = np.zeros(n + 1, bool)
     for r in runs:
-        start, k = divmod(r, 256)
-        gone[start : start + k] = True
-    for x in kept or ():
-        at, mask = x["at"], x["mask"]
+        gone[r["at"] : r["at"] + r["n"]] = True
+    for r in runs:
+        at, mask = r["at"], r["keep"]
         while mask:
             low = mask & -mask
             gone[at + low.bit_length() - 1] = False
@@ -249,22 +306,76 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def rest():
         whole = unpacker()
 
-        def step(did, z, runs, kept):
+        def step(ids, z, runs):
             out = [[] for _ in range(5 if with_text else 4)]
-            for d, t, r, k in zip(did, z, runs, kept, strict=True):
+            for d, t, r in zip(ids, z, runs, strict=True):
                 words, n = words_of(whole(t)), 0
                 left = words
                 if r:
-                    gone = removed_words(len(words), r, k, window)
+                    gone = removed_words(len(words), r, window)
                     n = int(gone.sum())
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 data = b" ".join(left)
-                row = (None if d == NO_ID else d, len(words), n, hashlib.sha256(data).hexdigest(), *([data.decode("utf-8", "replace")] if with_text else ()))
+                row = (d, len(words), n, hashlib.sha256(data).hexdigest(), *([data.decode("utf-8", "replace")] if with_text else ()))
                 for c, x in zip(out, row, strict=True):
                     c.append(x)
             return out
 
         return step
 
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return map_rows(rows.join(marks, "uid", "left").select("did", "z", "runs", "kept"), rest, schema)
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
+    return map_rows(rows.join(marks, "doc", "left").select("doc.id", "z", "runs"), rest, schema)
+
+
+def matched_spans(docs: DataFrame, reference: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, spans array<struct<start,end>>): maximal runs of at least ``least`` words that ``reference`` holds.
+
+    ``reference`` (text) is of bounded size: it is cut into shards of about ``shard_words`` words,
+    whose automata are built in the workers from a broadcast, one pass over the documents each.
+    Words are counted from 0, ends are exclusive; spans of different shards are united.
+    """
+    size = reference.select(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n = max(1, -(-size // shard_words))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    row = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    out = None
+    for k in range(n):
+        part = [r[0] for r in reference.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).where("text is not null").select("text").distinct().toLocalIterator()]
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        @per_task
+        def match(shared=shared):
+            automaton = SuffixAutomaton()
+            for t in shared.value:
+                automaton.begin()
+                for w in words_of(t):
+                    automaton.extend(w)
+
+            def step(rows, ids, texts):
+                return rows, ids, [spans_of(automaton, words_of(t), least) for t in texts]
+
+            return step
+
+        got = map_rows(row, match, f"row bigint, doc_id {kind}, spans array<struct<start:int,end:int>>")
+        out = got if out is None else out.union(got)
+    if n == 1:
+        return out.select("doc_id", "spans")
+    joined = F.array_sort(F.flatten(F.collect_list("spans")))
+    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    merge = F.aggregate("spans", empty, lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(
+        F.element_at(acc, -1)["end"] >= x["start"],
+        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
+    ).otherwise(F.concat(acc, F.array(x))))
+    return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), joined.alias("spans")).select("doc_id", merge.alias("spans"))
+
+
+def spans_of(automaton: SuffixAutomaton, words: list[bytes], least: int) -> list[dict[str, int]]:
+    """Matching statistics of ``words``, as the maximal spans of length ``least`` or more, united where they touch."""
+    out: list[dict[str, int]] = []
+    for end, n in enumerate(automaton.statistics(words), 1):
+        if n >= least:
+            if out and end - n <= out[-1]["end"]:
+                out[-1] = {"start": min(out[-1]["start"], end - n), "end": end}
+            else:
+                out.append({"start": end - n, "end": end})
+    return out

@@ -52,6 +52,18 @@ class SuffixAutomaton:
             p = link[p]
         return new
 
+    def statistics(self, symbols):
+        """The length of the longest suffix, at each of ``symbols``, that the automaton recognises."""
+        nxt, link, length, at, n = self.next, self.link, self.length, 0, 0
+        for c in symbols:
+            while at and c not in nxt[at]:
+                at = link[at]
+                n = length[at]
+            to = nxt[at].get(c)
+            if to is not None:
+                at, n = to, n + 1
+            yield n
+
     def phrases(self, symbols) -> int:
         """Cross-parsing: how many longest matches, or single unknown symbols, make up ``symbols``."""
         nxt, at, n, root = self.next, 0, 0, True

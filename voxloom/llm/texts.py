@@ -22,6 +22,14 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, or one like it, that isn't among ``taken`` in whatever case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 class Cache(dict):
     """What ``make(key)`` gave, for the keys met lately: between ``limit`` and twice as many are held."""
 
@@ -53,6 +61,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def small_batches(spark) -> None:
+    """For applications over long texts: batches of Spark's default length hold much off its heap.
+
+    Operators leave the session's settings alone; the queries and the pipeline call this.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE)
+
+
 def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(columns as Python lists, in order) -> list of output columns`` for each Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup of pre-token lengths, all on the map side.
 
-Tier one is a compact table of the corpus' frequent pre-tokens, broadcast to every
-worker; its size is bounded by ``hot_entries``. Tier two is a cache in each worker
+Tier one is a compact table of the lengths of frequent pre-tokens, counted on a sample of rows
+from all over the table and broadcast to every worker; its size is bounded by ``hot_entries``. Tier two is a cache in each worker
 that the tokenizer fills on a miss. No pre-token is ever shuffled.
 
 A pre-token here is a run of non-blank characters with the one space before it, or a
@@ -10,19 +10,21 @@ The library itself encodes every piece that is not in a table, so a count is wha
 library gives for the whole text. Texts with characters on whose class the library
 and Python could differ, or with a special token's string, go to the library whole.
 
-Null text counts as empty: 0 bytes, 0 tokens. Repeated rows each give a row. The
-operator's columns replace clashing ones of the input; others are kept.
+Null text counts as empty: 0 bytes, 0 tokens. Repeated rows each give a row. Texts of any
+length are counted whole. The operator's columns replace ones of the input with the same
+names; all others are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.texts import Cache, byte_letters, map_rows, per_task
+from voxloom.llm.texts import Cache, byte_letters, fresh, map_rows, per_task
 
 #: The sample from which tier one is filled; it steers speed only, never counts.
 HOT_ROWS = 2000
@@ -67,8 +69,8 @@ class Misses(Cache):
 class Lengths(dict):
     """Tier one: the frequent pieces' lengths; what it lacks goes to tier two."""
 
-    def __init__(self, misses: Misses, hot):
-        super().__init__((p, misses.make(p)) for p in hot)
+    def __init__(self, misses: Misses, hot: dict[str, int]):
+        super().__init__(hot)
         self.misses = misses
 
     def __missing__(self, piece: str) -> int:
@@ -82,24 +84,25 @@ class Lengths(dict):
         return sum(map(self.__getitem__, _PIECE.findall(text)))
 
 
-def hot_pieces(docs: DataFrame, text: str, rows: int, chars: int, entries: int) -> list[str]:
-    """Frequent pieces in the first ``chars`` characters of at most ``rows`` rows, for tier one.
+def hot_lengths(docs: DataFrame, misses: Misses, text: str, rows: int, chars: int, entries: int) -> dict[str, int]:
+    """Lengths of the frequent pieces in the first ``chars`` characters of about ``rows`` rows, drawn evenly.
 
-    The driver sees at most rows * chars characters. Texts are counted whole elsewhere;
-    which pieces stand in tier one changes speed alone.
+    The driver sees at most twice rows * chars characters and encodes each frequent piece once.
+    Texts are counted whole elsewhere; which pieces stand in tier one changes speed alone.
     """
+    total = docs.count()
+    some = docs if total <= rows else docs.sample(rows / total, seed=1)
     count: Counter = Counter()
-    for (t,) in docs.select(F.substring(text, 1, chars)).take(rows):
+    for (t,) in some.select(F.substring(text, 1, chars)).take(2 * rows):
         count.update(_PIECE.findall(t or ""))
-    return [p for p, _ in count.most_common(entries) if len(p) <= 64]
+    return {p: misses.make(p) for p, _ in count.most_common(entries) if len(p) <= 64}
 
 
 def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = 1024, hot_rows: int = HOT_ROWS, hot_chars: int = HOT_CHARS, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``)."""
-    spark = docs.sparkSession
-    hot = spark.sparkContext.broadcast(hot_pieces(docs, text, hot_rows, hot_chars, hot_entries))
-    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit", "_text")]
-    kept = docs.select(*keep, F.col(text).alias("_text"))
+    hot = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, hot_lengths(docs, Misses(tokenizer, 0), text, hot_rows, hot_chars, hot_entries)))
+    keep = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    kept = docs.select(*keep, F.col(text).alias(fresh("text", keep)))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes bigint, n_tokens bigint, over_limit boolean"])
 
     @per_task
@@ -122,9 +125,8 @@ _OPEN: dict = {}
 
 def _worker_lengths(path: str, hot) -> Lengths:
     """One table in each worker process, for all its tasks."""
-    pieces = hot.value
-    key = (path, len(pieces), hash(tuple(pieces)))
-    if key not in _OPEN:
+    name, lengths = hot.value
+    if name not in _OPEN:
         _OPEN.clear()
-        _OPEN[key] = Lengths(Misses(path, CACHE_ENTRIES), pieces)
-    return _OPEN[key]
+        _OPEN[name] = Lengths(Misses(path, CACHE_ENTRIES), lengths)
+    return _OPEN[name]

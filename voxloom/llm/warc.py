@@ -27,6 +27,7 @@ import json
 import struct
 import uuid
 import zipfile
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from voxloom.plans.durable import durable, shared_dir
 
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 2 << 20
+#: Archive bytes that one task reads back.
+TASK_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,16 +50,16 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id, url: str | None, payload: bytes, size: int, digest: str, refers_to, revisit: bool) -> bytes:
     """``size``: of the payload, which a revisit names but doesn't hold."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_id(page_id)}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page{_id(page_id)}>", f"WARC-Date: {DATE}"]
     if url:
         head.append("WARC-Target-URI: " + "".join(url.split()))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if revisit:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{_id(refers_to)}>"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page{_id(refers_to)}>"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -78,13 +81,14 @@ def parse(data: bytes) -> dict:
     return {"page_id": _page(fields["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(fields.get("warc-refers-to"))}
 
 
-def _id(page_id: int | None) -> str:
-    return "none" if page_id is None else str(page_id)
+def _id(page_id) -> str:
+    """The id as text that a header may hold; nothing for null."""
+    return "" if page_id is None else ":" + quote(str(page_id), safe="")
 
 
-def _page(urn: str | None) -> int | None:
-    x = urn[len("<urn:page:") : -1] if urn else "none"
-    return None if x == "none" else int(x)
+def _page(urn: str | None) -> str | None:
+    x = urn[len("<urn:page") : -1] if urn else ""
+    return unquote(x[1:]) if x else None
 
 
 class ZipDirectory:
@@ -161,9 +165,10 @@ def _opened(path: str):
 
 def classified(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, payload, size, digest, revisit, refers_to)."""
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = F.length("payload") >= least
+    # Only digests that come again are met; a payload that comes once doesn't wait for a match.
     top = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
     joined = rows.join(top, "digest", "left")
     revisit = F.col("top").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("top"))
@@ -200,7 +205,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 for r in batch.slice(at, 256).to_pylist():
                     digest = base64.b32encode(bytes.fromhex(r["digest"])).decode()
                     data = gzip.compress(record(r["page_id"], r["url"], r["payload"], r["size"], digest, r["refers_to"], r["revisit"]), 3, mtime=0)
-                    index.append(f"{_id(r['page_id'])} {json.dumps({'offset': warc.tell(), 'length': len(data)})}\n")
+                    index.append(f"page{_id(r['page_id'])} {json.dumps({'offset': warc.tell(), 'length': len(data)})}\n")
                     warc.write(data)
                     if warc.tell() >= archive_bytes:
                         yield flush()
@@ -213,8 +218,8 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     return durable(records.mapInArrow(write, "path string, bytes bigint, records bigint"))
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record."""
+def read_archives(archives: DataFrame, kind: str = "string") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; ids are read as ``kind``."""
 
     @per_task
     def locate():
@@ -252,7 +257,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
         return step
 
     ranges = map_rows(archives.select("path"), locate, "path string, at bigint, n bigint, lengths array<bigint>")
-    return map_rows(ranges.repartition("path", "at"), fetch, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
+    # Ranges say nothing of the bytes behind them, so the number of tasks is set by these.
+    dealt = durable(ranges).repartition(max(1, -(-total // TASK_BYTES)), "path", "at")
+    got = map_rows(dealt, fetch, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+    return got.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def new_folder(spark: SparkSession, name: str = "warc") -> str:
@@ -262,4 +271,4 @@ def new_folder(spark: SparkSession, name: str = "warc") -> str:
 def round_trip(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
     folder = new_folder(pages.sparkSession)
-    return read_archives(write_archives(classified(pages, least), folder, archive_bytes))
+    return read_archives(write_archives(classified(pages, least), folder, archive_bytes), pages.schema["page_id"].dataType.simpleString())
