@@ -7,16 +7,29 @@ from itertools import count, product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.operators import stencil
+from voxloom.operators import blocks, stencil
 from voxloom.operators.graph import connected_components
 from voxloom.operators.regionprops import size_filter
 from voxloom.plans.durable import durable
 
 
 def mapped(labels: DataFrame, mapping: DataFrame, label: str = "label", old: str = "old", new: str = "new") -> DataFrame:
-    """Apply an id mapping; ids that it lacks stay."""
+    """Apply an id mapping; ids that it lacks stay, and so does background, which meets no join."""
     m = mapping.select(F.col(old).alias(label), F.col(new).cast("bigint").alias("_new"))
-    return labels.join(m, label, "left").withColumn(label, F.coalesce("_new", label)).select(*labels.columns)
+    some = labels.where(F.col(label) > 0).join(m, label, "left").withColumn(label, F.coalesce("_new", label)).select(*labels.columns)
+    return some.union(labels.where(~F.coalesce(F.col(label) > 0, F.lit(False))))
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str = "_n") -> DataFrame:
+    """``rows`` (different in ``keys``) with their ranks from 1 in the order of ``keys``.
+
+    Ranges of the keys are ranked each by themselves, then offset by the counts before.
+    """
+    parts = durable(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    n = parts.groupBy("_part").agg(F.count("*").alias("_c"))  # a row a range
+    first = n.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    return local.join(first, "_part").withColumn(name, (F.col("_first") + F.col("_local")).cast("bigint")).drop("_part", "_local", "_first")
 
 
 def relabel(labels: DataFrame, label: str = "label", per_slice: bool = False) -> DataFrame:
@@ -24,15 +37,18 @@ def relabel(labels: DataFrame, label: str = "label", per_slice: bool = False) ->
 
     Ranks are made on the distinct labels only and joined back, never over voxels.
     """
-    keys = ["z", label] if per_slice else [label]
-    ranks = labels.where(F.col(label) > 0).select(*keys).distinct()
-    ranks = ranks.withColumn("_n", F.dense_rank().over(Window.orderBy(*keys)).cast("bigint"))
-    return labels.join(ranks, keys, "left").withColumn(label, F.coalesce("_n", F.lit(0).cast("bigint"))).select(*labels.columns)
+    return renumbered(labels, label, per_slice)[0]
 
 
-def width_needed(n: int) -> int:
-    """Bits of the narrowest unsigned integer that holds ``n`` labels."""
-    return 8 if n < 1 << 8 else 16 if n < 1 << 16 else 32
+def renumbered(labels: DataFrame, label: str = "label", per_slice: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(labels 1..N, (n, bits)): N, and the bits of the narrowest unsigned integer that holds it."""
+    keys = ["z", label] if per_slice else [label]
+    some = labels.where(F.col(label) > 0)
+    ranks = numbered(some.select(*keys).distinct(), keys)
+    out = some.join(ranks, keys).withColumn(label, F.col("_n")).select(*labels.columns)
+    rest = labels.where(~F.coalesce(F.col(label) > 0, F.lit(False))).withColumn(label, F.lit(0).cast("bigint")).select(*labels.columns)
+    n = F.coalesce(F.max("_n"), F.lit(0).cast("bigint"))
+    return out.union(rest), ranks.agg(n.alias("n"), F.when(n < 1 << 8, 8).when(n < 1 << 16, 16).otherwise(32).alias("bits"))
 
 
 def half_offsets(connectivity: int) -> list[tuple[int, int, int]]:
@@ -53,12 +69,15 @@ def neighbours(voxels: DataFrame, connectivity: int, columns: list[str]) -> Data
 
 
 def components(foreground: DataFrame, connectivity: int, ny: int, nx: int) -> DataFrame:
-    """(z, y, x, label): connected components of the voxels given, 1..N in the order of their first voxel (z, x, y)."""
-    at = foreground.select("z", "y", "x", (F.col("z").cast("bigint") * ny * nx + F.col("x") * ny + F.col("y")).alias("i"))
-    at = durable(at.distinct())
-    joined = connected_components(neighbours(at, connectivity, ["i"]), "a_i", "b_i")
-    rooted = at.join(joined.select(F.col("node").alias("i"), F.col("component").alias("root")), "i", "left").withColumn("label", F.coalesce("root", "i") + 1)
-    return relabel(rooted.select("z", "y", "x", "label"))
+    """(z, y, x, label): connected components of the voxels given, 1..N in the order of their first voxel (z, x, y).
+
+    Blocks find their own components; only voxels on blocks' faces meet their neighbours in a join, and
+    only components that go on in another block are nodes of the graph.
+    """
+    own = durable(blocks.components(foreground, half_offsets(connectivity), ny, nx))
+    across = neighbours(own.where(blocks.on_faces()), connectivity, ["root"]).where("a_root <> b_root").select("a_root", "b_root").distinct()
+    joined = connected_components(across, "a_root", "b_root").select(F.col("node").alias("root"), "component")
+    return relabel(own.join(joined, "root", "left").select("z", "y", "x", (F.coalesce("component", "root") + 1).alias("label")))
 
 
 def fill_background(labels: DataFrame, r: int = 3, label: str = "label", max_rounds: int | None = None) -> DataFrame:

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def centred(voxels: DataFrame, value: str = "v", by: str = "z", scale: str = "slice") -> DataFrame:
     """``value`` less its slice's mean, over the largest absolute value of the slice or of all ('global')."""
-    return _scaled(voxels.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(by))), value, by, scale)
+    return _scaled(less_mean(voxels, value, by), value, by, scale)
+
+
+def less_mean(voxels: DataFrame, value: str = "v", by: str = "z") -> DataFrame:
+    """``value`` less its slice's mean: an aggregate of a row a slice, joined back."""
+    means = voxels.groupBy(by).agg(F.avg(value).alias("_mean"))
+    return voxels.join(means, by).withColumn(value, F.col(value) - F.col("_mean")).select(*voxels.columns)
 
 
 def _scaled(rows: DataFrame, value: str, by: str, scale: str) -> DataFrame:
     if scale == "slice":
-        top = F.max(F.abs(value)).over(Window.partitionBy(by))
+        out = rows.join(rows.groupBy(by).agg(F.max(F.abs(value)).alias("_top")), by)
     else:
-        rows = rows.crossJoin(F.broadcast(rows.agg(F.max(F.abs(value)).alias("_top"))))  # one row
-        top = F.col("_top")
-    return rows.withColumn(value, F.try_divide(F.col(value), top)).drop("_top")
+        out = rows.crossJoin(rows.agg(F.max(F.abs(value)).alias("_top")))  # one row
+    return out.withColumn(value, F.try_divide(F.col(value), F.col("_top"))).select(*rows.columns)
 
 
 def log_compressed(v: Column, knee: float = 5.0) -> Column:

@@ -23,9 +23,11 @@ def size_filter(labels: DataFrame, low: int, high: int | None = None, label: str
 
     The sizes are an aggregate joined back, not a window, so a giant object's voxels stay spread.
     """
-    sizes = labels.where(F.col(label) > 0).groupBy(label).agg(F.count("*").alias("_n"))
+    some = labels.where(F.col(label) > 0)
+    sizes = some.groupBy(label).agg(F.count("*").alias("_n"))
     keep = sizes.where((F.col("_n") >= low) & (F.lit(True) if high is None else F.col("_n") <= high)).select(F.col(label), F.lit(True).alias("_keep"))
-    return labels.join(keep, label, "left").withColumn(label, F.when(F.col("_keep"), F.col(label)).otherwise(0).cast("bigint")).select(*labels.columns)
+    kept = some.join(keep, label, "left").withColumn(label, F.when(F.col("_keep"), F.col(label)).otherwise(0).cast("bigint")).select(*labels.columns)
+    return kept.union(labels.where(~F.coalesce(F.col(label) > 0, F.lit(False))).withColumn(label, F.lit(0).cast("bigint")).select(*labels.columns))
 
 
 def contingency(pairs: DataFrame, by: list[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -67,6 +69,14 @@ def merge_counts(groups: DataFrame, root: str = "component", node: str = "node")
     return groups.groupBy(root).agg(F.count_if(F.col(node) != F.col(root)).alias("children"))
 
 
+def merge_totals(groups: DataFrame, requested: DataFrame, root: str = "component", node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
+    """One row: parents, children, objects, merges requested, and those failed: ones whose ends are null, or that
+    ask to merge an object with itself."""
+    own = groups.agg(F.count_if(F.col(node) == F.col(root)).alias("parents"), F.count_if(F.col(node) != F.col(root)).alias("children"), F.count("*").alias("objects"))
+    failed = F.col(src).isNull() | F.col(dst).isNull() | (F.col(src) == F.col(dst))
+    return own.crossJoin(requested.agg(F.count("*").alias("requested"), F.count_if(failed).alias("failed")))  # one row each
+
+
 def argmax(probabilities: Column) -> Column:
     """The first of the largest, from 0."""
     return F.array_position(probabilities, F.array_max(probabilities)) - 1

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 AXES = ("z", "y", "x")
 
 
+def extent(voxels: DataFrame) -> dict[str, tuple[int, int]]:
+    """The half-open box that holds all voxels; empty on each axis if there are none."""
+    ends = voxels.agg(*(f(a).alias(f"{a}{k}") for a in AXES for f, k in ((F.min, 0), (F.max, 1)))).first()
+    return {a: (ends[f"{a}0"], ends[f"{a}1"] + 1) if ends[f"{a}0"] is not None else (0, 0) for a in AXES}
+
+
 def grid(spark: SparkSession, extent: dict[str, tuple[int, int]], span: dict[str, int]) -> DataFrame:
     """(region_id, kind, z0, z1, y0, y1, x0, x1): blocks of ``span``, the last of an axis clipped."""
     out = spark.range(1).select()

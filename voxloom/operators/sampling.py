@@ -2,7 +2,7 @@
 
 Random orders come from a hash of the coordinates, so a run repeats exactly. Class ranks are
 row numbers in partitions of class and hash bucket, put together by the counts before, so a
-class that holds nearly all voxels isn't sorted in one task.
+class that holds nearly all voxels isn't sorted in one task; buckets grow in number with the class.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: A public spatial hash's primes and its range here.
 PRIMES, RANGE = {"z": 73856093, "y": 19349663, "x": 83492791}, 1000003
-BUCKETS = 64
+#: Rows that are ranked together, on average.
+BUCKET_ROWS = 100_000
 
 
 def spread() -> Column:
@@ -33,8 +34,10 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "ran
 
     Ranges of that number are ranked each by themselves, then offset by the counts before.
     """
-    part = F.floor(order[0] * BUCKETS / RANGE).cast("int")
-    keyed = rows.withColumn("_part", part)
+    parts = F.ceil(F.count("*") / BUCKET_ROWS).alias("_parts")
+    sizes = rows.groupBy(*by).agg(parts) if by else rows.agg(parts)
+    keyed = rows.join(sizes, by) if by else rows.crossJoin(sizes)  # one row
+    keyed = keyed.withColumn("_part", F.floor(order[0] * F.col("_parts") / RANGE).cast("int")).drop("_parts")
     n = keyed.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
     first = n.withColumn("_first", F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     local = keyed.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))

@@ -1,20 +1,22 @@
 """Neighbourhood operators on voxels (z, y, x, value).
 
-One primitive: each voxel is sent to the cells that it neighbours (an array of shifts,
-exploded), and each cell aggregates what it got. That is one shuffle with partial
-aggregation wherever the aggregate allows; there is no join and never a range join.
+Filters work on blocks of slices with a halo (``blocks.by_slice``). For other aggregates each
+voxel is sent to the cells that it neighbours (an array of shifts, exploded), and each cell
+aggregates what it got: one shuffle with partial aggregation, no join.
 Cells outside the volume don't exist; ``border`` says what stands for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators import blocks
+
 Offset = tuple[int, int, int]
 
 
@@ -90,36 +92,63 @@ def unpadded(voxels: DataFrame, n: int, extent: dict[str, tuple[int, int]]) -> D
 
 
 def median(voxels: DataFrame, r: int, value: str = "v", border: str = "zero", extent: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """Median over (2r+1)^2 cells of a slice; missing cells are 0, or mirrored."""
-    n = (2 * r + 1) ** 2
+    """Median over (2r+1)^2 cells of a slice; missing cells are 0, or left out of what is mirrored."""
     if border == "mirror":
-        return stencil(voxels, box(r), F.percentile("v", F.lit(0.5)), value, value, "mirror", extent)
-    # Zeros stand for what is missing: the sorted values start with them, or with what lies under them.
-    have = F.array_sort(F.collect_list("v"))
-    got = stencil(voxels, box(r), have, value, "_a", "none", extent)
-    filled = F.array_sort(F.concat("_a", F.array_repeat(F.lit(0).cast(dict(voxels.dtypes)[value]), (F.lit(n) - F.size("_a")).cast("int"))))
-    return got.select("z", "y", "x", F.element_at(filled, n // 2 + 1).cast("double").alias(value))
+        padded = mirrored(voxels.select("z", "y", "x", value), r, extent)
+        there = lambda v, t: blocks.row_by_row(blocks.windows(np.where(t, v, np.nan), r), lambda w: np.nanmedian(w, axis=2))
+        return blocks.by_slice(padded, value, r, there, value, "double", extent)
+    return blocks.by_slice(voxels, value, r, lambda v, t: blocks.row_by_row(blocks.windows(v, r), lambda w: np.median(w, axis=2)), value, "double")
+
+
+def _reach(offsets: Iterable[tuple]) -> tuple[list[tuple], int]:
+    """The offsets, all within a slice, and how far they reach."""
+    offsets = [*offsets]
+    if any(o[0] for o in offsets):
+        raise ValueError("offsets must lie within a slice")
+    return offsets, max(max(abs(o[1]), abs(o[2])) for o in offsets)
 
 
 def dilate(voxels: DataFrame, offsets: Iterable[tuple], value: str = "v", top: float | None = None) -> DataFrame:
     """Grey dilation, flat or with heights; saturates at ``top``."""
-    reach = F.max(F.col("v") + F.col("w"))
-    return stencil(voxels, [(-o[0], -o[1], -o[2], *o[3:]) for o in offsets], F.least(reach, F.lit(float(top))) if top is not None else reach, value, value)
+    offsets, r = _reach(offsets)
+
+    def reach(v, t):
+        v, out = np.where(t, v, -np.inf), None
+        for o in offsets:
+            near = blocks.shifted(v, r, o[1], o[2]) + (o[3] if len(o) > 3 else 0.0)
+            out = near if out is None else np.maximum(out, near)
+        return out if top is None else np.minimum(out, top)
+
+    return blocks.by_slice(voxels, value, r, reach, value, "double")
+
+
+def _holding(voxels: DataFrame, offsets: Iterable[Offset], mask: str, how: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    offsets, r = _reach(offsets)
+
+    def hold(v, t):
+        out = None
+        for o in offsets:
+            near = blocks.shifted(v, r, o[1], o[2]) > 0
+            out = near if out is None else how(out, near)
+        return out
+
+    return blocks.by_slice(voxels.withColumn(mask, F.col(mask).cast("int")), mask, r, hold, mask, "boolean")
 
 
 def binary_dilate(voxels: DataFrame, offsets: Iterable[Offset], mask: str = "m") -> DataFrame:
-    return stencil(voxels, offsets, F.bool_or("v"), mask, mask)
+    return _holding(voxels, offsets, mask, np.logical_or)
 
 
 def binary_erode(voxels: DataFrame, offsets: Iterable[Offset], mask: str = "m") -> DataFrame:
     """True where the whole neighbourhood is; cells that don't exist are false."""
-    offsets = [*offsets]
-    return stencil(voxels, offsets, F.count_if("v") == len(offsets), mask, mask)
+    return _holding(voxels, offsets, mask, np.logical_and)
 
 
 def label_interior(labels: DataFrame, r: int, target: int, extent: dict[str, tuple[int, int]], value: str = "label") -> DataFrame:
     """True where every cell of the (2r+1)^2 box is ``target``; the border is mirrored."""
-    return stencil(labels, box(r), F.count_if(F.col("v") == target) == (2 * r + 1) ** 2, value, "inside", "mirror", extent)
+    is_target = mirrored(labels.select("z", "y", "x", (F.col(value) == target).cast("int").alias(value)), r, extent)
+    inside = lambda v, t: blocks.row_by_row(blocks.windows(v, r), lambda w: w.min(2) > 0)
+    return blocks.by_slice(is_target, value, r, inside, "inside", "boolean", extent)
 
 
 def local_contrast(voxels: DataFrame, kernel: int = 7, value: str = "v", compat: bool = False) -> DataFrame:
@@ -128,10 +157,23 @@ def local_contrast(voxels: DataFrame, kernel: int = 7, value: str = "v", compat:
     ``compat``: the window's first corner takes the voxel's place in the quotient.
     """
     r = kernel // 2
-    own = (F.col("dy") == 0) & (F.col("dx") == 0)
-    num = (F.col("dy") == -r) & (F.col("dx") == -r) if compat else own
-    q = F.try_divide(F.max(F.when(num, F.col("v").cast("double"))), F.stddev_pop(F.when(~own, F.col("v").cast("double"))))
-    return stencil(voxels, box(r), q, value, value)
+
+    def contrast(v, t):
+        seen = np.where(t, v, np.nan)
+        others = np.ones(kernel * kernel, bool)
+        others[len(others) // 2] = False
+
+        def spread(w):
+            w = w[:, :, others]
+            n = np.isfinite(w).sum(2)
+            mean = np.nansum(w, 2) / np.maximum(n, 1)
+            return np.where(n > 0, np.sqrt(np.nansum((w - mean[:, :, None]) ** 2, 2) / np.maximum(n, 1)), np.nan)
+
+        deviation = blocks.row_by_row(blocks.windows(seen, r), spread)
+        own = blocks.shifted(seen, r, -r, -r) if compat else blocks.shifted(seen, r, 0, 0)
+        return np.where(deviation > 0, own / np.where(deviation > 0, deviation, 1), np.nan)
+
+    return blocks.by_slice(voxels, value, r, contrast, value, "double")
 
 
 def z_neighbours(voxels: DataFrame, n: int, z_range: tuple[int, int], value: str = "v") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import detect, graph, label, metrics, ml, objects, rag, regionprops, regions, reticula, sampling, seam, stencil, values
 from voxloom.plans.durable import durable
-from voxloom.plans.queries_volume import BOX, COMPONENTS, DICE, EXT, FACING, GRID, PAD, SPAN, YX, facing, flood, fresh, grid, r6, seam_regions
+from voxloom.plans.queries_volume import BOX, COMPONENTS, DICE, FACING, GRID, PAD, SPAN, YX, extent, facing, flood, fresh, grid, r6, seam_regions
 from voxloom.plans.registry import query
 from voxloom.sources import volumes
 from voxloom.streaming.merges import MergeTable, stream_performance
@@ -159,21 +159,21 @@ def train_rows(t):
 
 
 def forest(t, trees: int = 10):
-    return ml.train_forest(durable(train_rows(t).where("z < 4")), trees=trees, depth=5)
+    return ml.train_forest(durable(train_rows(t).where("z % 7 < 4")), trees=trees, depth=5)
 
 
-query("ml1_forest")(lambda t: ml.predict(forest(t), train_rows(t).where("z >= 4")).select("z", "y", "x", "label", "pred"))
+query("ml1_forest")(lambda t: ml.predict(forest(t), train_rows(t).where("z % 7 >= 4")).select("z", "y", "x", "label", "pred"))
 query("ml2_edge_features", f"with {FACES} select u, v, round(avg(m), 6) mean, round(stddev_pop(m), 6) std, round(avg(case when floor(m * 25) = 10 then 1.0 else 0.0 end), 6) h10, round(quantile_cont(m, 0.5), 6) pct1, round(avg(case when m > 0.9 then 1.0 else 0.0 end), 6) contact2 from faces group by u, v")(
     lambda t: ml.edge_features(rag.boundary(fragments(t))).select("u", "v", *r6("mean", "std", "h10", "pct1", "contact2"))
 )
 query("ml3_policy")(lambda t: ml.predict((mn := policy(t))[0], ml.assemble(ml.edge_features(rag.boundary(fragments(t))), mn[1])).select("u", "v", "pred", F.col("prob")[1].alias("p")))
-query("ml4_pixel_classifier")(lambda t: ml.score_pixels(ml.train_pixels(t.fx_em.where("z < 4"), t.fx_pt, trees=10), t.fx_em.where("z >= 4")))
-query("ml5_scored_tiles")(lambda t: ml.score_tiles(detect.train_tiles(t.fx_em, t.fx_pt.where("z < 4")), stencil.tiles(t.fx_em.where("z >= 4"), 2)).select("z", "y", "x", F.col("prob")[1].alias("p")))
+query("ml4_pixel_classifier")(lambda t: ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")))
+query("ml5_scored_tiles")(lambda t: ml.score_tiles(detect.train_tiles(t.fx_em, t.fx_pt.where("z % 7 < 4")), stencil.tiles(t.fx_em.where("z % 7 >= 4"), 2)).select("z", "y", "x", F.col("prob")[1].alias("p")))
 query("ml6_objects")(lambda t: detect.detect_and_classify(t.fx_em, t.fx_pt.select("z", "y", "x", "p"), t.fx_pt, 25, 50, threshold=0.55))
 query("ml7_per_tree")(lambda t: ml.per_tree(forest(t), train_rows(t).where("z = 6"), ["z", "y", "x"]))
-query("ml8_importance")(lambda t: ml.permutation_importance(forest(t), train_rows(t).drop("features").where("z >= 4"), ["v", *ml.PIXEL], regions.to_linear(25, 50)))
+query("ml8_importance")(lambda t: ml.permutation_importance(forest(t), train_rows(t).drop("features").where("z % 7 >= 4"), ["v", *ml.PIXEL], regions.to_linear(25, 50)))
 query("ml9_proximity")(lambda t: ml.proximity(forest(t), train_rows(t).where("z = 6 and y < 5").withColumn("i", regions.to_linear(25, 50)), "i"))
-query("ml10_report")(lambda t: ml.validation_report(ml.score_pixels(ml.train_pixels(t.fx_em.where("z < 4"), t.fx_pt, trees=10), t.fx_em.where("z >= 4")).join(t.fx_pt.select("z", "y", "x", "t"), ["z", "y", "x"]).withColumn("p", F.col("prob")[1])))
+query("ml10_report")(lambda t: ml.validation_report(ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")).join(t.fx_pt.select("z", "y", "x", "t"), ["z", "y", "x"]).withColumn("p", F.col("prob")[1])))
 
 # Metrics
 
@@ -221,9 +221,9 @@ query("met10_f_scores_filtered")(lambda t: metrics.at_thresholds(stencil.median(
 query("stn9_rings", None)(lambda t: reticula.rings(t.fx_em).select("sz", "sy", "sx", "r", "n", "n_light", F.size("black").alias("n_black")))
 query("det1_watershed_segments")(lambda t: detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=1, dilate_z=1, threshold=110, min_size=4, median=1))
 query("det2_reticula")(lambda t: detect.find_reticula(t.fx_em, 25, 50)[0])
-query("det3_pixel_pipeline")(lambda t: detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, EXT, ml.train_pixels(t.fx_em, t.fx_pt, trees=5)))
+query("det3_pixel_pipeline")(lambda t: detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, extent(t), ml.train_pixels(t.fx_em, t.fx_pt, trees=5)))
 query("det4_object_pipeline")(
-    lambda t: detect.detect_and_classify(t.fx_em, detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, EXT, ml.train_pixels(t.fx_em, t.fx_pt, trees=5)), t.fx_pt, 25, 50, threshold=0.5)
+    lambda t: detect.detect_and_classify(t.fx_em, detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, extent(t), ml.train_pixels(t.fx_em, t.fx_pt, trees=5)), t.fx_pt, 25, 50, threshold=0.5)
 )
 query("det5_agglomerative")(lambda t: detect.agglomerated(detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=0, threshold=60, min_size=3, median=1), t.fx_pt, 0.4))
 query("det6_policy_training")(lambda t: ml.predict((mn := policy(t))[0], ml.assemble(ml.edge_features(rag.boundary(volumes.cutout(fragments(t), BOX))), mn[1])).select("u", "v", "pred"))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import graph, label, normalize, regionprops, regions, seam, stencil, values
 from voxloom.plans.durable import shared_dir
-from voxloom.plans.registry import EXTENT, query
+from voxloom.plans.registry import SLICE, query
 from voxloom.sources import sinks, volumes
 
-EXT = {a: (0, n) for a, n in EXTENT.items()}
+YX = {a: (0, n) for a, n in SLICE.items()}
+#: The number of slices, in SQL.
+DEEP = "(select max(z) + 1 from fx_em)"
 BOX = {"z": (1, 5), "y": (5, 20), "x": (10, 35)}
 SPAN, PAD = {"z": 3, "y": 10, "x": 20}, {"z": 1, "y": 2, "x": 3}
 IN_BOX = "z >= 1 and z < 5 and y >= 5 and y < 20 and x >= 10 and x < 35"
@@ -27,15 +29,21 @@ def fresh(t, name: str) -> str:
     return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def extent(t):
+    """The volume's own extent."""
+    return regions.extent(t.fx_em)
+
+
 def grid(t):
-    return regions.grid(t.spark, EXT, SPAN)
+    return regions.grid(t.spark, extent(t), SPAN)
 
 
 #: The same grid in SQL.
-GRID = """with zs as (select unnest(range(0, 7, 3)) z0), ys as (select unnest(range(0, 25, 10)) y0), xs as (select unnest(range(0, 50, 20)) x0),
-    g as (select cast((z0 // 3 * 3 + y0 // 10) * 3 + x0 // 20 as bigint) region_id, 'cutout' kind, cast(z0 as int) z0, cast(least(z0 + 3, 7) as int) z1,
-    cast(y0 as int) y0, cast(least(y0 + 10, 25) as int) y1, cast(x0 as int) x0, cast(least(x0 + 20, 50) as int) x1 from zs, ys, xs)"""
-PADDED = GRID + """, p as (select region_id, kind, greatest(z0 - 1, 0) z0, least(z1 + 1, 7) z1, greatest(y0 - 2, 0) y0, least(y1 + 2, 25) y1, greatest(x0 - 3, 0) x0, least(x1 + 3, 50) x1 from g)"""
+GRID = """with ext as (select max(z) + 1 nz, max(y) + 1 ny, max(x) + 1 nx from fx_em), zs as (select unnest(range(0, (select nz from ext), 3)) z0),
+    ys as (select unnest(range(0, (select ny from ext), 10)) y0), xs as (select unnest(range(0, (select nx from ext), 20)) x0),
+    g as (select cast((z0 // 3 * ((ny + 9) // 10) + y0 // 10) * ((nx + 19) // 20) + x0 // 20 as bigint) region_id, 'cutout' kind, cast(z0 as int) z0, cast(least(z0 + 3, nz) as int) z1,
+    cast(y0 as int) y0, cast(least(y0 + 10, ny) as int) y1, cast(x0 as int) x0, cast(least(x0 + 20, nx) as int) x1 from zs, ys, xs, ext)"""
+PADDED = GRID + """, p as (select region_id, kind, greatest(z0 - 1, 0) z0, cast(least(z1 + 1, nz) as int) z1, greatest(y0 - 2, 0) y0, cast(least(y1 + 2, ny) as int) y1, greatest(x0 - 3, 0) x0, cast(least(x1 + 3, nx) as int) x1 from g, ext)"""
 
 
 # Sources and sinks
@@ -140,26 +148,26 @@ def _(t):
 # Regions
 
 query("reg1_grid", GRID + " select * from g")(grid)
-query("reg2_padded", PADDED + " select * from p")(lambda t: regions.padded(grid(t), PAD, EXT))
+query("reg2_padded", PADDED + " select * from p")(lambda t: regions.padded(grid(t), PAD, extent(t)))
 query("reg3_aligned", GRID + " select region_id, kind, z0, z1, cast(y0 // 4 * 4 as int) y0, cast((y1 + 3) // 4 * 4 as int) y1, cast(x0 // 8 * 8 as int) x0, cast((x1 + 7) // 8 * 8 as int) x1 from g")(
     lambda t: regions.aligned(grid(t), {"y": 4, "x": 8})
 )
-query("reg4_seams", GRID + """ select region_id, 'merge' kind, 'z' axis, z1 - 1 z0, z1 + 1 z1, y0, y1, x0, x1 from g where z1 < 7
-    union all select region_id, 'merge', 'y', z0, z1, y1 - 1, y1 + 1, x0, x1 from g where y1 < 25
-    union all select region_id, 'merge', 'x', z0, z1, y0, y1, x1 - 1, x1 + 1 from g where x1 < 50""")(lambda t: regions.seams(grid(t)))
+query("reg4_seams", GRID + """ select region_id, 'merge' kind, 'z' axis, z1 - 1 z0, z1 + 1 z1, y0, y1, x0, x1 from g, ext where z1 < nz
+    union all select region_id, 'merge', 'y', z0, z1, y1 - 1, y1 + 1, x0, x1 from g, ext where y1 < ny
+    union all select region_id, 'merge', 'x', z0, z1, y0, y1, x1 - 1, x1 + 1 from g, ext where x1 < nx""")(lambda t: regions.seams(grid(t)))
 query("reg5_shuffled", GRID + " select region_id, cast(row_number() over (order by region_id * 7919 % 1009, region_id) as int) place from g")(
     lambda t: regions.shuffled(grid(t), F.col("region_id") * 7919 % 1009).select("region_id", F.row_number().over(Window.orderBy(F.col("region_id") * 7919 % 1009, "region_id")).alias("place"))
 )
 query("reg6_pyramid", "select z, y // 2 y, x // 2 x, round(avg(v), 6) v from fx_em group by all")(lambda t: regions.pyramid(t.fx_em, 1).select("z", "y", "x", *r6("v")))
 query("reg6_pyramid_labels", """with c as (select z, cast(y // 4 as int) y, cast(x // 4 as int) x, label, count(*) n from fx_lbl group by all)
     select z, y, x, label from c qualify row_number() over (partition by z, y, x order by n desc, label) = 1""")(lambda t: regions.pyramid(t.fx_lbl, 2, "label", labels=True))
-query("reg7_crop", "select z, y, x, v from fx_em where z between 1 and 5 and y between 2 and 22 and x between 3 and 46")(lambda t: regions.crop(t.fx_em.select("z", "y", "x", "v"), EXT, PAD))
-query("reg8_trim", PADDED + """ select p.region_id, e.z, e.y, e.x, e.v from p join fx_em e on e.z >= z0 + case when z0 = 0 then 0 else 1 end and e.z < z1 - case when z1 = 7 then 0 else 1 end
-    and e.y >= y0 + case when y0 = 0 then 0 else 2 end and e.y < y1 - case when y1 = 25 then 0 else 2 end and e.x >= x0 + case when x0 = 0 then 0 else 3 end and e.x < x1 - case when x1 = 50 then 0 else 3 end""")(
-    lambda t: regions.trimmed(regions.in_regions(t.fx_em.select("z", "y", "x", "v"), (p := regions.padded(grid(t), PAD, EXT)), SPAN), p, PAD, EXT)
+query("reg7_crop", GRID + " select z, y, x, v from fx_em, ext where z between 1 and nz - 2 and y between 2 and ny - 3 and x between 3 and nx - 4")(lambda t: regions.crop(t.fx_em.select("z", "y", "x", "v"), extent(t), PAD))
+query("reg8_trim", PADDED + """ select p.region_id, e.z, e.y, e.x, e.v from p cross join ext join fx_em e on e.z >= z0 + case when z0 = 0 then 0 else 1 end and e.z < z1 - case when z1 = nz then 0 else 1 end
+    and e.y >= y0 + case when y0 = 0 then 0 else 2 end and e.y < y1 - case when y1 = ny then 0 else 2 end and e.x >= x0 + case when x0 = 0 then 0 else 3 end and e.x < x1 - case when x1 = nx then 0 else 3 end""")(
+    lambda t: regions.trimmed(regions.in_regions(t.fx_em.select("z", "y", "x", "v"), (p := regions.padded(grid(t), PAD, (e := extent(t)))), SPAN), p, PAD, e)
 )
 query("reg8_owned", GRID + " select g.region_id, e.z, e.y, e.x, e.v from g join fx_em e on e.z >= g.z0 and e.z < g.z1 and e.y >= g.y0 and e.y < g.y1 and e.x >= g.x0 and e.x < g.x1")(
-    lambda t: regions.owned(regions.in_regions(t.fx_em.select("z", "y", "x", "v"), regions.padded(grid(t), PAD, EXT), SPAN), grid(t))
+    lambda t: regions.owned(regions.in_regions(t.fx_em.select("z", "y", "x", "v"), regions.padded(grid(t), PAD, extent(t)), SPAN), grid(t))
 )
 query("reg9_slices", "select z, y, x, v from fx_em where z in (0, 2, 4)")(lambda t: regions.slices(t.fx_em.select("z", "y", "x", "v"), range(0, 6, 2)))
 
@@ -200,7 +208,7 @@ FACING = "facing as (select cast(a.z as bigint) region_id, a.y u, a.x v, a.label
 
 
 def seam_regions(t):
-    return regions.seams(regions.grid(t.spark, EXT, {"z": 1, "y": 25, "x": 50}))
+    return regions.seams(regions.grid(t.spark, extent(t), {"z": 1, **SLICE}))
 
 
 def facing(t):
@@ -223,7 +231,6 @@ def around(r: int, agg: str, cond: str = "true", src: str = "fx_em", cols: str =
 
 MY = "case when c.y + o.dy < 0 then -1 - c.y - o.dy when c.y + o.dy >= 25 then 49 - c.y - o.dy else c.y + o.dy end"
 MX = "case when c.x + o.dx < 0 then -1 - c.x - o.dx when c.x + o.dx >= 50 then 99 - c.x - o.dx else c.x + o.dx end"
-YX = {"y": EXT["y"], "x": EXT["x"]}
 
 query("stn1_median", around(4, "quantile_cont(coalesce(e.v, 0), 0.5) v", join="left join"))(lambda t: stencil.median(t.fx_em, 4))
 query("stn2_median_mirror", around(2, "quantile_cont(e.v, 0.5) v", y=MY, x=MX))(lambda t: stencil.median(t.fx_em, 2, border="mirror", extent=YX))
@@ -245,8 +252,8 @@ query("stn8_local_contrast", around(3, "round(max(c.v) / nullif(stddev_pop(e.v)
 query("stn10_tiles", around(2, "cast(sum(e.v * ((o.dy + 2) * 5 + o.dx + 3)) as bigint) weighed", how="having count(*) = 25"))(
     lambda t: stencil.tiles(t.fx_em, 2).select("z", "y", "x", F.aggregate(F.transform(F.flatten("tile"), lambda v, i: v * (i + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("weighed"))
 )
-query("stn11_z_neighbours", """with o as (select cast(unnest(range(-2, 3)) as int) channel), w as (select z, y, x, channel, case when z + channel >= 7 then 12 - z - channel when z + channel < 0 then -z - channel else z + channel end s from fx_em, o)
-    select w.z, w.y, w.x, w.channel, e.v from w join fx_em e on e.z = w.s and e.y = w.y and e.x = w.x""")(lambda t: stencil.z_neighbours(t.fx_em, 2, (0, 7)))
+query("stn11_z_neighbours", f"""with o as (select cast(unnest(range(-2, 3)) as int) channel), w as (select z, y, x, channel, case when z + channel >= {DEEP} then 2 * {DEEP} - 2 - z - channel when z + channel < 0 then -z - channel else z + channel end s from fx_em, o)
+    select w.z, w.y, w.x, w.channel, e.v from w join fx_em e on e.z = w.s and e.y = w.y and e.x = w.x""")(lambda t: stencil.z_neighbours(t.fx_em, 2, extent(t)["z"]))
 query("stn12_visible_regions")(lambda t: stencil.visible_regions(mask(t).select("z", "y", "x", F.col("m").cast("int").alias("label")), 3, 0))
 query("pad1_mirrored", """with yy as (select cast(unnest(range(-3, 28)) as int) y), xx as (select cast(unnest(range(-3, 53)) as int) x)
     select e.z, yy.y, xx.x, e.v from yy, xx, fx_em e where e.y = case when yy.y < 0 then -1 - yy.y when yy.y >= 25 then 49 - yy.y else yy.y end and e.x = case when xx.x < 0 then -1 - xx.x when xx.x >= 50 then 99 - xx.x else xx.x end""")(
@@ -266,7 +273,7 @@ query("nrm2_global", CENTRED + " select z, y, x, round(v / max(abs(v)) over (),
 query("nrm3_contrast", """with w as (select z, y, x, v - avg(v) over (partition by z) v from fx_em), d as (select unnest(range(-3, 4)) d), o as (select cast(p.d as int) dy, cast(q.d as int) dx from d p, d q),
     l as (select c.z, c.y, c.x, max(c.v) / nullif(stddev_pop(e.v) filter (o.dy <> 0 or o.dx <> 0), 0) v from w c cross join o join w e on e.z = c.z and e.y = c.y + o.dy and e.x = c.x + o.dx group by c.z, c.y, c.x),
     k as (select z, y, x, case when v > 0.5 then 0.5 + ln(v) when v < -0.5 then -0.5 - ln(abs(v)) else v end v from l) select z, y, x, round(v / max(abs(v)) over (partition by z), 6) v from k""")(
-    lambda t: normalize.compressed(stencil.local_contrast(t.fx_em.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("z"))), 7), knee=0.5).select("z", "y", "x", *r6("v"))
+    lambda t: normalize.compressed(stencil.local_contrast(normalize.less_mean(t.fx_em), 7), knee=0.5).select("z", "y", "x", *r6("v"))
 )
 query("nrm4_summary", """with m as (select z, v, avg(v) over (partition by z) a from fx_em) select z, round(avg(v), 6) mean, round(stddev_pop(v), 6) std, round(avg(power(v - a, 3)) / power(var_pop(v), 1.5), 6) skew,
     cast(min(v) as double) low, cast(max(v) as double) high, quantile_cont(v, 0.25) q1, quantile_cont(v, 0.5) median, quantile_cont(v, 0.75) q3, round(100 * avg(case when v <> 0 then 1.0 else 0.0 end), 6) nonzero_percent from m group by z""")(

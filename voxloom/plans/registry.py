@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Derived tables; the same text runs in Spark and in an ANSI engine, {name} being a table.
 DERIVED = {
-    "fx_em": """select cast(l_linenumber - 1 as int) z, cast(l_suppkey % 25 as int) y, cast(l_partkey % 50 as int) x,
+    "fx_em": """select cast(l_linenumber - 1 + 7 * floor(l_orderkey / 15000.0) as int) z, cast(l_suppkey % 25 as int) y, cast(l_partkey % 50 as int) x,
         cast(sum(cast(l_quantity as bigint)) * 37 % 256 as int) v, cast(sum(l_partkey * 7 + l_suppkey * 13) % 128 as int) n
         from {lineitem} group by 1, 2, 3""",
     "fx_pt": """select z, y, x, cast(v as double) / cast(255 as double) p, case when v + n - 64 >= 128 then 1 else 0 end t from {fx_em}""",
@@ -19,8 +19,8 @@ DERIVED = {
     "fx_edges": "select o_orderkey src, o_orderkey + 1 + o_custkey % 7 dst from {orders} where o_custkey % 5 = 0",
     "fx_stream": "select ts, user_id src, event_id % 1000 dst from {events} where event_type = 'purchase'",
 }
-#: The derived volume's extent.
-EXTENT = {"z": 7, "y": 25, "x": 50}
+#: A slice's extent: the moduli above. The number of slices grows with the orders.
+SLICE = {"y": 25, "x": 50}
 
 
 class Tables:
