@@ -563,9 +563,8 @@ def test_language_of_odd_texts(spark, docs, none):
     assert got[None]["lang_pred"] == got["   "]["lang_pred"] == "und"
     assert got[None]["score"] == 0
     one = language.Parser(sample)
-    assert one.predict("abba 123")[0] == "xx"
-    assert one.predict("qq")[0] == "xx"  # a tie: the language that sorts first
-    assert one.predict("12 ½ ²!")[0] == "und"
+    # A tie goes to the language that sorts first.
+    assert [one.predict(t)[0] for t in ("abba 123", "qq", "12 ½ ²!")] == ["xx", "xx", "und"]
     assert language.Parser({}).predict("abc")[0] == "und"
     assert language.labelled_sample(none) == {}
     assert language.identify(none, sample).count() == 0
@@ -588,6 +587,25 @@ def brute_language(sample, text):
     return min(cost, key=cost.get)
 
 
+def test_parses_stop_only_where_they_lose(monkeypatch):
+    monkeypatch.setattr(language, "PROBE", 10)
+    words = lambda n, of: " ".join("".join(RNG.choice(list(of), int(k))) for k in RNG.integers(1, 6, n))
+    p = language.Parser({"a": words(60, "abcé"), "b": words(60, "abxy"), "c": "z"})
+    for t in [words(int(n), of) for n in RNG.integers(0, 60, 30) for of in ("abcxyzé日", "abc", "xy")] + ["z", "zz é"]:
+        reduced = language.letters(t)
+        whole = [a.phrases(reduced) for a in p.automata]
+        for a, n in zip(p.automata, whole, strict=True):
+            for most in (0, 1, n - 1, n, n + 1):
+                got, read = a.parsed(reduced, most)
+                assert (got, read) == (n, len(reduced)) if n <= most else got > most
+        if reduced:
+            cost = [n * b / (len(reduced) - 1) for n, b in zip(whole, p.bits, strict=True)]
+            lang, score, bits, size, n = p.predict(t)
+            assert (lang, size) == (p.languages[cost.index(min(cost))], len(reduced) - 1)
+            assert (bits, n) == (pytest.approx(min(cost)), whole[cost.index(min(cost))])
+            assert 0.5 <= score <= 1
+
+
 def test_language_against_brute_force(spark, sf_dir, docs):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(60)
     sample = language.labelled_sample(rows, chars=2000)

@@ -12,7 +12,6 @@ with equal text or id each give a row; columns other than id and text don't pass
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 
@@ -131,7 +130,3 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, text])
     out = map_rows(docs.select(*others, text), hide, schema).select(*docs.columns)
     return out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
-
-
-def hashed(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

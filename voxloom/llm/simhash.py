@@ -144,7 +144,12 @@ def links(nodes: DataFrame, bits: int, distance: int, width: int, ball: list[int
 
 def own_keys(bits: int, width: int, ball: list[int] | None = None):
     """The segments' values as keys of their tables."""
-    return F.array(*(_key(s, _segment(at, n)) for s, (at, n) in enumerate(segments(bits, width)) if not ball or ball[s] >= 0))
+    return F.array(*(segment_key(s, at, n) for s, (at, n) in enumerate(segments(bits, width)) if not ball or ball[s] >= 0))
+
+
+def segment_key(s: int, at: int, n: int):
+    """The key of segment ``s``, its number above the value of its ``n`` bits."""
+    return _key(s, _segment(at, n))
 
 
 def ball_keys(bits: int, width: int, ball: list[int]):

@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,8 +166,8 @@ def _groups(texts: list[str | None], size: int = 4 * BLOCK):
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(rows, marks): rows (doc, z), z the packed text; marks (doc, runs): of each document the runs of
-    step 1, as (at, n, keep 0), and those whose windows stay, as (at, n, bits of the windows)."""
+    """(rows, marks): rows (doc, z), z the packed text; marks (doc, runs, at, keep): of each document the runs of
+    step 1, as first window * 64 + windows, and first windows and bits of those windows that stay."""
     rows = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h")).alias("doc"), F.col(text).alias("text"))
     doc_kind = rows.schema["doc"].dataType.simpleString()
     assert window - gram + 1 < 64
@@ -183,7 +184,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
         return step
 
     # One exchange of the packed texts serves every join below.
-    packed = map_rows(rows, squeeze, f"doc {doc_kind}, z binary")
+    packed = map_rows(rows, squeeze, f"doc {doc_kind}, z binary", raw=["doc"])
 
     def found(wanted: str, schema: str) -> DataFrame:
         @per_task
@@ -195,12 +196,12 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
                 own, v, h, at, n = (np.concatenate([x[k] + (a if k == 0 else 0) for a, x in parts]) for k in range(5))
                 out = {"v": v, "h": h, "at": at, "n": n}
                 if "doc" in wanted:
-                    out["doc"] = [doc[k] for k in own.tolist()]
+                    out["doc"] = doc.take(pa.array(own))
                 return [out[c] for c in wanted.split()]
 
             return step
 
-        return map_rows(rows, find, schema)
+        return map_rows(rows, find, schema, raw=["doc"])
 
     # The texts are parsed twice, which is cheaper than to keep all runs.
     again = found("v", "v bigint").groupBy("v").agg(F.count("*").alias("times")).where("times > 1").select("v")
@@ -220,7 +221,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
         def step(doc, z, parts):
             out = []
             for d, t, ps in zip(doc, z, parts, strict=True):
-                words = words_of(whole(t))
+                words = whole(t).split()
                 h = by.words(b" ".join(words)) if any(p["hot"] for p in ps) else None
                 for p in {(p["v"], p["at"]): p for p in ps}.values():
                     if p["hot"]:
@@ -268,33 +269,35 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
 
     stays = map_rows(mixed, judge, f"doc {doc_kind}, at int, n int, keep bigint")
     every = runs.select("doc", "at", "n", F.lit(0).cast("bigint").alias("keep"))
-    marks = every.union(lone).union(stays).union(windows).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "keep")).alias("runs"))
-    return packed, marks
+    found_, keep = F.when(F.col("keep") == 0, F.col("at").cast("bigint") * 64 + F.col("n")), F.col("keep") != 0
+    marks = every.union(lone).union(stays).union(windows).groupBy("doc").agg(
+        F.collect_list(found_).alias("runs"), F.collect_list(F.when(keep, F.struct("at", "keep"))).alias("kept")
+    )
+    return packed, marks.select("doc", "runs", F.col("kept.at").alias("at"), F.col("kept.keep").alias("keep"))
 
 
 def unpacker():
-    """Packed bytes -> text."""
+    """Packed bytes -> text in UTF-8; nothing for null."""
     import zstandard
 
     d = zstandard.ZstdDecompressor()
-    return lambda z: None if z is None else d.decompress(z).decode("utf-8", "surrogatepass")
+    return lambda z: b"" if z is None else d.decompress(z)
 
 
-def removed_words(n: int, runs: list, window: int) -> np.ndarray:
+def removed_words(n: int, runs: list[int], at: list[int], keep: list[int], window: int) -> np.ndarray:
     """Which of ``n`` words go."""
-    gone = np.zeros(n + 1, bool)
-    for r in runs:
-        gone[r["at"] : r["at"] + r["n"]] = True
-    for r in runs:
-        at, mask = r["at"], r["keep"]
-        while mask:
-            low = mask & -mask
-            gone[at + low.bit_length() - 1] = False
-            mask ^= low
-    steps = np.zeros(n + window + 1, np.int32)
+    r = np.array(runs, np.int64)
+    gone = _covered(n, r >> 6, (r >> 6) + (r & 63))
+    if keep:
+        bits = (np.array(keep, np.int64)[:, None] >> np.arange(63)) & 1
+        k, j = np.nonzero(bits)
+        gone[np.array(at, np.int64)[k] + j] = False
     starts = np.flatnonzero(gone)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + window, -1)
+    return _covered(n, starts, starts + window)
+
+
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    steps = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(steps)[:n] > 0
 
 
@@ -306,25 +309,25 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def rest():
         whole = unpacker()
 
-        def step(ids, z, runs):
-            out = [[] for _ in range(5 if with_text else 4)]
-            for d, t, r in zip(ids, z, runs, strict=True):
-                words, n = words_of(whole(t)), 0
+        def step(ids, z, runs, at, keep):
+            out = [[] for _ in range(4 if with_text else 3)]
+            for t, r, a, k in zip(z, runs, at, keep, strict=True):
+                words, n = whole(t).split(), 0
                 left = words
                 if r:
-                    gone = removed_words(len(words), r, window)
+                    gone = removed_words(len(words), r, a, k, window)
                     n = int(gone.sum())
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 data = b" ".join(left)
-                row = (d, len(words), n, hashlib.sha256(data).hexdigest(), *([data.decode("utf-8", "replace")] if with_text else ()))
+                row = (len(words), n, hashlib.sha256(data).hexdigest(), *([data.decode("utf-8", "replace")] if with_text else ()))
                 for c, x in zip(out, row, strict=True):
                     c.append(x)
-            return out
+            return [ids, *out]
 
         return step
 
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return map_rows(rows.join(marks, "doc", "left").select("doc.id", "z", "runs"), rest, schema)
+    return map_rows(rows.join(marks, "doc", "left").select("doc.id", "z", "runs", "at", "keep"), rest, schema, raw=["id"])
 
 
 def matched_spans(docs: DataFrame, reference: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:

@@ -66,10 +66,17 @@ class SuffixAutomaton:
 
     def phrases(self, symbols) -> int:
         """Cross-parsing: how many longest matches, or single unknown symbols, make up ``symbols``."""
+        return self.parsed(symbols)[0]
+
+    def parsed(self, symbols, most: int | None = None) -> tuple[int, int]:
+        """(phrases, symbols read): of all ``symbols``, or up to where over ``most`` phrases are needed."""
         nxt, at, n, root = self.next, 0, 0, True
-        for c in symbols:
+        left = iter(symbols)
+        for c in left:
             to = nxt[at].get(c)
             if to is None:
+                if most is not None and n >= most:  # the phrase before is one too many, or the next is
+                    return n + 1, len(symbols) - left.__length_hint__()
                 if not root:
                     n += 1  # the phrase before ends
                 to = nxt[0].get(c)
@@ -78,4 +85,4 @@ class SuffixAutomaton:
                     at, root = 0, True
                     continue
             at, root = to, False
-        return n + (not root)
+        return n + (not root), len(symbols)

@@ -70,24 +70,33 @@ def small_batches(spark) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE)
 
 
-def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(columns as Python lists, in order) -> list of output columns`` for each Arrow batch."""
+def map_rows(df: DataFrame, fn, schema: str, raw: Iterable[str] = ()) -> DataFrame:
+    """``fn(columns as Python lists, in order) -> list of output columns`` for each Arrow batch.
+
+    Columns named in ``raw`` stay Arrow arrays: they are passed on, or taken from, without becoming objects.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(df.sparkSession)
-    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    arrow, raw = to_arrow_schema(T.StructType.fromDDL(schema)), {*raw}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = fn() if getattr(fn, "per_task", False) else fn
         for batch in batches:
             for part in _slices(batch):
-                cols = step(*[c.to_pylist() for c in part.columns])
+                cols = step(*[c if n in raw else c.to_pylist() for n, c in zip(part.schema.names, part.columns, strict=True)])
                 if cols is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def _column(c, kind: pa.DataType) -> pa.Array:
+    if isinstance(c, pa.Array):
+        return c if c.type == kind else c.cast(kind)
+    return pa.array(c, type=kind)
+
+
 def map_stream(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn(iterator over slices, as Python lists)`` yields output columns, arrays or lists, as often as it likes."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -117,7 +117,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
 
         return step
 
-    return map_rows(kept, count, schema)
+    return map_rows(kept, count, schema, raw=keep)
 
 
 _OPEN: dict = {}
