@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import detect, graph, label, ml, objects, rag, regions, reticula, sampling, seam, stencil
+from voxloom.functions import scalars
+from voxloom.operators import blocks, detect, graph, label, ml, objects, rag, regions, reticula, sampling, seam, stencil
 from voxloom.sources import sinks, volumes
 
 RNG = np.random.default_rng(5)
@@ -194,7 +195,8 @@ def test_watershed_is_a_minimum_spanning_forest(spark):
 
 def test_ncc():
     a = RNG.random((7, 9)) < 0.4
-    assert seam.ncc(a, a) == (1.0, 0.0)
+    assert seam.ncc(a, a) == pytest.approx((1.0, 0.0), abs=1e-9)
+    assert seam.ncc(np.ones((3, 3), bool), np.ones((3, 3), bool)) == (1.0, 0.0)
     assert seam.ncc(np.ones((3, 3), bool), a[:3, :3])[0] == 0
     big = np.zeros((12, 12), bool)
     big[3:6, 4:8] = True
@@ -203,6 +205,179 @@ def test_ncc():
     assert far == pytest.approx(np.hypot(2, 1), abs=1e-6)
 
 
+def slow_ncc(t, x):
+    """The correlation at every shift, from its definition."""
+    if t.all() and x.all():
+        return 1.0, 0.0
+    if t.min() == t.max() or x.min() == x.max():
+        return 0.0, np.inf
+    (h, w), best = t.shape, []
+    padded = np.zeros((3 * h - 2, 3 * w - 2))
+    padded[h - 1 : 2 * h - 1, w - 1 : 2 * w - 1] = x
+    d = t - t.mean()
+    for dy, dx in product(range(2 * h - 1), range(2 * w - 1)):
+        part = padded[dy : dy + h, dx : dx + w]
+        e = part - part.mean()
+        norm = np.sqrt((d**2).sum() * (e**2).sum())
+        best.append((round((d * e).sum() / norm, 9) if norm > 1e-9 else 0.0, dy - h + 1, dx - w + 1))
+    top = max(best)[0]
+    return top, float(np.hypot(*np.mean([b[1:] for b in best if b[0] == top], 0)))
+
+
+def sequential_correlation(a, b, overlap, distance):
+    """Each id of one plane in turn grows a union on the other; both planes lose what a merge takes."""
+    planes, out = [a.copy(), b.copy()], []
+    for of in (0, 1):
+        for i in [x for x in np.unique(planes[of]) if x]:
+            mine, other = planes[of] == i, planes[1 - of]
+            met = [x for x in other[mine] if x]
+            order = sorted(set(met), key=lambda x, met=met: (-met.count(x), x))
+            for k in range(1, len(order) + 1):
+                grown = np.isin(other, order[:k])
+                y0, x0 = (min(np.nonzero(m.any(1 - ax))[0].min() for m in (mine, grown)) for ax in (0, 1))
+                ny, nx = (max(np.ptp(np.nonzero(m.any(1 - ax))[0]) + 1 for m in (mine, grown)) for ax in (0, 1))
+                box = np.s_[y0 : y0 + ny + 1, x0 : x0 + nx + 1]
+                score, far = slow_ncc(mine[box].astype(float), grown[box].astype(float))
+                if score >= overlap and far <= distance:
+                    out += [(min(i, o), max(i, o)) for o in order[:k] if o != i]
+                    planes[of][mine] = 0
+                    other[grown] = 0
+                    break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_correlation_equals_sequential(spark, seed):
+    rng = np.random.default_rng(seed)
+    a = np.kron(rng.integers(0, 6, (4, 4)), np.ones((3, 3), int))
+    b = np.roll(np.where(a > 0, a + rng.integers(0, 2) * 3, 0), rng.integers(0, 2, 2), (0, 1))
+    b[rng.random(b.shape) < 0.1] = 4  # ids of both planes, too
+    rows = [(1, int(u), int(v), int(a[u, v]), int(b[u, v])) for u, v in np.ndindex(a.shape)]
+    df = spark.createDataFrame(rows, "region_id bigint, u int, v int, a bigint, b bigint")
+    for overlap, distance in ((0.6, 20.0), (0.3, 2.0)):
+        got = sorted((r["src"], r["dst"]) for r in seam.by_correlation(df, overlap, distance).collect())
+        assert got == sequential_correlation(a, b, overlap, distance)
+
+
+def test_correlation_keeps_ids_apart_by_plane(spark):
+    rows = [(1, u, v, 1 if v < 5 else 7, 7 if v < 5 else 9) for u in range(6) for v in range(10)]
+    got = seam.by_correlation(spark.createDataFrame(rows, "region_id bigint, u int, v int, a bigint, b bigint")).collect()
+    assert sorted((r["src"], r["dst"]) for r in got) == [(1, 7), (7, 9)]
+
+
+def test_components_across_blocks(spark, monkeypatch):
+    mask = RNG.random((5, 11, 13)) < 0.35
+    small = (2, 3, 4)
+    monkeypatch.setattr(blocks.components, "__defaults__", (small,))
+    monkeypatch.setattr(blocks.on_faces, "__defaults__", (small,))
+    for connectivity, near in ((26, lambda d: True), (6, lambda d: sum(map(abs, d)) == 1)):
+        got = label.components(frame(spark, mask, "m", "int", bool), connectivity, 11, 13)
+        assert (cube_of(got, mask.shape) == flood(mask, near)).all()
+
+
+@pytest.mark.parametrize("size", [4, 128])
+def test_stencils_across_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks.by_slice, "__defaults__", (None, size))
+    cube = RNG.integers(0, 255, (2, 13, 17))
+    df = frame(spark, cube, "v", "int")
+    padded = np.pad(cube, ((0, 0), (2, 2), (2, 2)))
+    want = np.array([[[np.median(padded[z, y : y + 5, x : x + 5]) for x in range(17)] for y in range(13)] for z in range(2)])
+    assert (cube_of(stencil.median(df, 2), cube.shape, "v") == want).all()
+    low = np.pad(cube.astype(float), ((0, 0), (2, 2), (2, 2)), constant_values=-np.inf)
+    ball = stencil.ball(2, 7.0)
+    want = np.array([[[max(low[z, y + 2 + o[1], x + 2 + o[2]] + o[3] for o in ball) for x in range(17)] for y in range(13)] for z in range(2)])
+    assert np.allclose(cube_of(stencil.dilate(df, ball), cube.shape, "v"), want)
+
+
+def test_numbered_ranks_in_ranges(spark):
+    ids = [int(x) for x in RNG.permutation(3000)[:1000]]
+    df = spark.createDataFrame([(i,) for i in ids], "label bigint").repartition(7)
+    got = {r["label"]: r["_n"] for r in label.numbered(df, ["label"]).collect()}
+    assert got == {x: k for k, x in enumerate(sorted(ids), 1)}
+
+
+def test_long_chain_agglomerates(spark):
+    edges = spark.createDataFrame([(k, k + 1, 1, k * 37 % 101 / 200) for k in range(100)], "u bigint, v bigint, n bigint, s double")
+    assert {r["component"] for r in rag.agglomerate(edges, 0.9).collect()} == {0}
+
+
+def test_detected_objects(spark):
+    """Smooth, threshold, 26 neighbours, sizes: step by step in numpy."""
+    p = RNG.random((3, 12, 12))
+    p[:, 3:8, 3:8] = 0.95
+    w = {o: np.exp(-(o[1] ** 2 + o[2] ** 2) / 2) for o in stencil.box(2)}
+    smooth = np.zeros_like(p)
+    for z, y, x in np.ndindex(p.shape):
+        near = [(p[z, y + dy, x + dx], k) for (_, dy, dx), k in w.items() if 0 <= y + dy < 12 and 0 <= x + dx < 12]
+        smooth[z, y, x] = sum(v * k for v, k in near) / sum(k for _, k in near)
+    found = flood(smooth >= 0.6, lambda d: True)
+    sizes = np.bincount(found.ravel())
+    want, n = np.zeros_like(found), 0
+    for k in range(1, len(sizes)):
+        if 4 <= sizes[k] <= 500:
+            n += 1
+            want[found == k] = n
+    assert (cube_of(label.detect_objects(frame(spark, p, "p"), 12, 12, threshold=0.6, low=4, high=500), p.shape) == want).all()
+
+
+def forest_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), int(a + b > 1)) for i, (a, b) in enumerate(rng.random((300, 2)))]
+    return ml.assemble(spark.createDataFrame(rows, "i bigint, a double, b double, label int"), ["a", "b"])
+
+
+def test_votes_and_cutoff(spark):
+    rows = forest_rows(spark)
+    model = ml.train_forest(rows, trees=7, depth=4)
+    got = ml.per_tree(model, rows, ["i"], classes=["no", "yes"], cutoff=[0.8, 0.2]).collect()
+    for r in got:
+        yes = r["tree_classes"].count("yes")
+        assert r["votes"] == [7 - yes, yes]
+        assert r["called"] == ("yes" if yes / 0.2 > (7 - yes) / 0.8 else "no")
+    assert ml.train_forest(rows.withColumn("w", F.lit(1.0)), trees=3, depth=3, weight="w", mtry=1, rate=0.5, cutoff=[0.5, 0.5]).getNumTrees == 3
+
+
+def test_proximity_equals_brute_force(spark):
+    rows = forest_rows(spark)
+    model = ml.train_forest(rows, trees=6, depth=3)
+    leaves = {r["i"]: r["leaves"] for r in ml.leaves_of(model, rows, ["i"]).collect()}
+    pairs, members = ml.proximity(model, rows, "i", 0.5)
+    own = {r["i"]: r["class"] for r in members.collect()}
+    assert all(leaves[i] == leaves[c] for i, c in own.items())
+    got = {(r["a"], r["b"]): r["share"] for r in pairs.collect()}
+    kinds = sorted(set(own.values()))
+    share = lambda a, b: sum(p == q for p, q in zip(leaves[a], leaves[b], strict=True)) / 6
+    assert got == {(a, b): share(a, b) for a in kinds for b in kinds if a < b and share(a, b) >= 0.5}
+
+
+def test_importances(spark):
+    rows = forest_rows(spark).withColumn("c", F.lit(0.5)).drop("features")
+    model = ml.train_forest(ml.assemble(rows, ["a", "b", "c"]), trees=10, depth=4)
+    got = {(r["feature"], r["class"]): (r["loss"], r["sd"]) for r in ml.permutation_importance(model, rows, ["a", "b", "c"], F.col("i"), times=3).collect()}
+    assert len(got) == 9
+    assert got["c", None] == (0.0, 0.0)
+    assert min(got["a", None][0], got["b", None][0]) > 0.1
+    gini = {r["feature"]: r["gini"] for r in ml.gini(model, ["a", "b", "c"]).collect()}
+    assert gini["c"] == 0
+    assert sum(gini.values()) == pytest.approx(1)
+
+
+def test_batches_turn_as_one(spark):
+    df = spark.range(60).select((F.col("id") % 6).cast("int").alias("batch"), F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4))).alias("tile"))
+    kinds = {}
+    for r in sampling.augmented_batches(df, "batch").collect():
+        kinds.setdefault(r["batch"], set()).add(str(r["tile"]))
+    assert all(len(k) == 1 for k in kinds.values())
+    assert {x for k in kinds.values() for x in k} <= {"[[1, 2], [3, 4]]", "[[3, 4], [1, 2]]", "[[2, 1], [4, 3]]"}
+
+
+def test_scalar_functions(spark):
+    row = spark.range(1).select(
+        scalars.round_away(F.lit(-2.5)).alias("r"), scalars.squeezed(F.array(F.array(F.lit(1), F.lit(2)))).alias("s"), F.array(F.lit(1), F.lit(2)).alias("a"), F.array(F.lit(3), F.lit(4)).alias("b")
+    ).select("r", "s", scalars.stacked(F.col("a"), F.col("b")).alias("st"), scalars.reader_of(F.lit("X.TIFF")).alias("k"), scalars.token_of("t", F.lit(12)).alias("t"), scalars.reshaped(F.sequence(F.lit(1), F.lit(5)), 2).alias("re")).first()
+    assert (row["r"], row["s"], row["st"], row["k"], row["t"], row["re"]) == (-3.0, [1, 2], [[1, 3], [2, 4]], "tiff", "t_000012", [[1, 2], [3, 4], [5]])
+
+
 def test_dice_equals_sequential(spark):
     rng = np.random.default_rng(3)
     rows = [(1, u, v, int(a), int(b)) for u, v, a, b in zip(np.repeat(range(12), 12), np.tile(range(12), 12), rng.integers(0, 6, 144), rng.integers(4, 10, 144), strict=True)]
@@ -319,5 +494,12 @@ def test_merge_table_survives_a_repeat(spark, tmp_path):
     t.apply(e((1, 2), (5, 6)), 0)
     t.apply(e((2, 5)), 1)
     t.apply(e((2, 5)), 1)
+    assert t.log().where("v = 1").count() == 2  # only what changed
     t.apply(e((9, 8)), 2)
-    assert {r["node"]: r["component"] for r in t.read().collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+    t.apply(e((1, 8), (8, 8), (0, 9)), 3)
+    t.apply(e((0, 6)), 4)
+    t.apply(e((1, 8), (8, 8), (0, 9)), 3)
+    assert {r["node"]: r["component"] for r in t.read().collect()} == dict.fromkeys((0, 1, 2, 5, 6, 8, 9), 0)
+    t.apply(e((40, 41)), 5)
+    assert t.read(before=2).count() == 4
+    assert {r["node"]: r["component"] for r in t.read(before=3).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}

@@ -28,7 +28,7 @@ def reshaped(flat: Column, width: int) -> Column:
 
 def stacked(*arrays: Column) -> Column:
     """Elements side by side: one array for each place."""
-    return F.transform(F.arrays_zip(*arrays), lambda s: F.array(*(s[str(i)] for i in range(len(arrays)))))
+    return F.transform(F.sequence(F.lit(1), F.size(arrays[0])), lambda i: F.array(*(F.element_at(a, i) for a in arrays)))
 
 
 def reader_of(path: Column) -> Column:

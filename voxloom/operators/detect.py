@@ -100,6 +100,34 @@ def merge_blocks(labels: DataFrame, seams: DataFrame, axis: str = "z", how: str
     return graph.groups(parts), label.mapped(labels, parts.select(F.col("node").alias("old"), F.col("component").alias("new")))
 
 
+#: Slices of the training variants.
+VARIANTS = {"full": None, "50": 50, "10": 10}
+
+
+def train_from_volumes(voxels: DataFrame, p: DataFrame, truth: DataFrame, ny: int, nx: int, variant: str = "full", flat: bool = False, trees: int = 20, **how):
+    """(model, feature names): data preparation, fragments by watershed (``flat``: slice by slice) and the policy learned from the truth.
+
+    ``variant``: all slices, or the first 50 or 10.
+    """
+    first = VARIANTS[variant]
+    part = (lambda df: df) if first is None else (lambda df: df.where(F.col("z") < first))
+    v = part(p).select("z", "y", "x", values.to_intensity(F.col("p")).alias("v"))
+    if flat:
+        # Slices that are two apart have no neighbours.
+        apart = v.withColumn("z", F.col("z") * 2)
+        fragments = rag.watershed(apart, how.get("threshold", 60), ny, nx).withColumn("z", (F.col("z") / 2).cast("int"))
+    else:
+        fragments = rag.watershed(v, how.get("threshold", 60), ny, nx)
+    return train_policy(durable(fragments), part(p), part(truth), trees=trees)
+
+
+def score_volume(voxels: DataFrame, model, border: int, extent: dict[str, tuple[int, int]], band: tuple[int, int], path: str, truth: DataFrame | None = None, r: int = 2) -> DataFrame:
+    """The whole membrane job: scores, saved slice by slice as 1 - p under ``path``, and metrics against ``truth`` if there is one."""
+    scored = durable(score_membranes(voxels, model, border, extent, band, r))
+    sinks.save_slices(sinks.rescaled_slices(scored.select("z", "y", "x", (1 - F.col("p")).alias("v")), rescale=False), path)
+    return scored if truth is None else metrics.performance(scored.select("z", "y", "x", "p").join(truth.select("z", "y", "x", "t"), ["z", "y", "x"]), 0.5, ["z"])
+
+
 def score_membranes(voxels: DataFrame, model, border: int, extent: dict[str, tuple[int, int]], band: tuple[int, int], r: int = 2) -> DataFrame:
     """(z, y, x, v, p, p_not): pad, mask, tiles about what the mask leaves, scores, overrides, pad off.
 
@@ -122,5 +150,3 @@ def train_tiles(voxels: DataFrame, truth: DataFrame, r: int = 2, iterations: int
     rows = durable(cut.select(array_to_vector(flat).alias("features"), F.col("label").cast("double").alias("label")))
     return MultilayerPerceptronClassifier(layers=[(2 * r + 1) ** 2, 8, 2], maxIter=iterations, seed=1).fit(rows)
 
-
-report = metrics.performance

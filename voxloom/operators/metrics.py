@@ -68,6 +68,22 @@ def calibration(scored: DataFrame, bins: int = 10, by: str = "z", p: str = "p",
     return both.withColumn("centre", (F.col("bin") + 0.5) / bins)
 
 
+def calibration_closed(scored: DataFrame, bins: int = 10, by: str = "z", p: str = "p", t: str = "t") -> DataFrame:
+    """The other form of ``calibration``: bins are (low, high], and one that nothing falls in has a share of 1.
+
+    All slices have all bins; a p of 0 is in none.
+    """
+    k = (F.ceil(F.col(p) * bins) - 1).cast("int")
+    rows = scored.select(by, k.alias("bin"), F.col(t).cast("double").alias("t")).where(F.col("bin").between(0, bins - 1))
+    sums = rows.groupBy(by, "bin").agg(F.count("*").alias("n"), F.sum("t").alias("s"))
+    total = sums.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select(F.lit(None).cast("int").alias(by), "bin", "n", "s")
+    groups = scored.select(by).distinct().unionByName(total.select(by).limit(0)).union(scored.sparkSession.createDataFrame([(None,)], f"{by} int"))
+    frame = groups.select(F.col(by).alias("_by"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    both = sums.unionByName(total)
+    out = frame.join(both, frame["_by"].eqNullSafe(both[by]) & (frame["bin"] == both["bin"]), "left")
+    return out.select(F.col("_by").alias(by), frame["bin"], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("s") / F.col("n"), F.lit(1.0)).alias("share"), ((frame["bin"] + 0.5) / bins).alias("centre"))
+
+
 def cubic_fit(curve: DataFrame, by: list[str], x: str = "centre", y: str = "share") -> DataFrame:
     """Coefficients of y = a x^3 + b x^2 + d x by least squares; null where the bins don't settle them.
 

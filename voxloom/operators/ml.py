@@ -37,48 +37,100 @@ def predict(model: RandomForestClassificationModel, rows: DataFrame) -> DataFram
     return out.withColumns({"votes": vector_to_array("rawPrediction"), "prob": vector_to_array("probability"), "pred": F.col("prediction").cast("int")}).drop("rawPrediction", "probability", "prediction")
 
 
-def per_tree(model: RandomForestClassificationModel, rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, tree, leaf) of every tree."""
-    return model.transform(rows).select(*key, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+def leaves_of(model: RandomForestClassificationModel, rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, leaves): the leaf of every tree."""
+    return model.transform(rows).select(*key, F.transform(vector_to_array("leaves"), lambda x: x.cast("int")).alias("leaves"))
+
+
+def per_tree(model: RandomForestClassificationModel, rows: DataFrame, key: list[str], classes: list | None = None, cutoff: list[float] | None = None) -> DataFrame:
+    """(key, tree_classes, votes, called): each tree's class, the trees for each class, and the class with
+    the most votes for its ``cutoff`` (even by default; the first of equals). ``classes``: original labels by code."""
+    out, names = rows, [f"_tree{k}" for k in range(model.getNumTrees)]
+    for tree, name in zip(model.trees, names, strict=True):
+        out = tree.setPredictionCol(name).setRawPredictionCol("").setProbabilityCol("").setLeafCol("").transform(out)
+    kinds = model.numClasses
+    label = (lambda c: F.element_at(F.array(*map(F.lit, classes)), c + 1)) if classes else (lambda c: c)
+    out = out.select(*key, F.array(*(F.col(n).cast("int") for n in names)).alias("_t"))
+    votes = lambda k: F.size(F.filter("_t", lambda c: c == k))
+    out = out.withColumn("votes", F.array(*map(votes, range(kinds))))
+    share = F.array(*(F.col("votes")[k] / F.lit(float(cutoff[k] if cutoff else 1 / kinds)) for k in range(kinds)))
+    called = (F.array_position(share, F.array_max(share)) - 1).cast("int")
+    return out.select(*key, F.transform("_t", label).alias("tree_classes"), "votes", label(called).alias("called"))
+
+
+def proximity(model: RandomForestClassificationModel, rows: DataFrame, key: str, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): rows that end in the same leaf of every tree are one class, named by its least key.
+
+    ``pairs`` (a, b, share): classes that share a leaf in at least ``least`` of the trees; ``members`` (key, class).
+    Classes that share so many leaves share one of the first few trees', so they meet there, in
+    tiles of bounded size.
+    """
+    from voxloom.plans.durable import durable
+    from voxloom.plans.ship import ship
+    from voxloom.plans.tiles import tiled
 
+    ship(rows.sparkSession)
+    trees = model.getNumTrees
+    need = max(1, -(-int(least * trees * 1000) // 1000))
+    members = durable(leaves_of(model, rows, [key]))
+    classes = durable(members.groupBy("leaves").agg(F.min(key).alias("class")))
+    met = classes.select("class", "leaves", F.posexplode(F.slice("leaves", 1, trees - need + 1)).alias("tree", "leaf"))
+    both = met.withColumn("visits", F.explode(F.array(F.lit(False), F.lit(True))))
+    dealt = tiled(both, ["tree", "leaf"], F.col("visits"), F.col("class"), 1024)
 
-def proximity(model: RandomForestClassificationModel, rows: DataFrame, key: str, max_leaf: int = 1000) -> DataFrame:
-    """(a, b, share): the share of trees in which two rows end in one leaf, for pairs that ever do.
+    def compare(pdf):
+        import numpy as np
+        import pandas as pd
+
+        m, v = pdf[~pdf["visits"]], pdf[pdf["visits"]]
+        lm, lv = (np.array(x["leaves"].tolist(), np.int32).reshape(len(x), -1) for x in (m, v))
+        im, iv, out = m["class"].to_numpy(), v["class"].to_numpy(), []
+        for at in range(0, len(v), 64):
+            n = (lv[at : at + 64, None, :] == lm[None, :, :]).sum(2)
+            i, j = np.nonzero((n >= need) & (iv[at : at + 64, None] < im[None, :]))
+            out.append(pd.DataFrame({"a": iv[at : at + 64][i], "b": im[j], "share": n[i, j] / trees}))
+        return pd.concat(out)
+
+    pairs = dealt.groupBy("tree", "leaf", "ta", "tb").applyInPandas(compare, "a bigint, b bigint, share double").distinct()
+    return pairs, members.join(classes, "leaves").select(key, "class")
 
-    The output is pairs by nature; a leaf with more than ``max_leaf`` rows raises an error
-    rather than growing with its square.
-    """
-    leaves = per_tree(model, rows, [key])
-    size = leaves.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-    checked = leaves.join(size, ["tree", "leaf"]).select("tree", "leaf", F.col(key).alias("a"), F.when(F.col("n") <= max_leaf, 1).otherwise(F.raise_error(F.lit("a leaf holds too many rows for pairs")).cast("int")).alias("ok")).where("ok = 1")
-    pairs = checked.select("tree", "leaf", "a").join(leaves.withColumnRenamed(key, "b"), ["tree", "leaf"]).where("a < b")
-    return pairs.groupBy("a", "b").agg((F.count("*") / model.getNumTrees).alias("share"))
 
+def gini(model: RandomForestClassificationModel, names: list[str]) -> DataFrame:
+    """(feature, gini): importances by the impurity that splits take away."""
+    from pyspark.sql import SparkSession
 
-def importance(model: RandomForestClassificationModel, names: list[str]) -> list[tuple[str, float]]:
-    """Gini importances by feature."""
-    return list(zip(names, (float(x) for x in model.featureImportances.toArray()), strict=True))
+    found = zip(names, (float(x) for x in model.featureImportances.toArray()), strict=True)
+    return SparkSession.getActiveSession().createDataFrame([*found], "feature string, gini double")
 
 
-def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame, names: list[str], key: Column, label: str = "label") -> DataFrame:
-    """(feature, loss): accuracy lost when a feature's values trade places.
+def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame, names: list[str], key: Column, label: str = "label", times: int = 1) -> DataFrame:
+    """(feature, class, loss, sd): accuracy lost when a feature's values trade places, over ``times`` permutations.
 
-    Each row takes the feature from the row next in a random order within a hash bucket: one
-    shuffle a feature, no global sort.
+    ``class`` null: over all rows. Each row takes the feature from the row next in a random order within a
+    hash bucket of bounded size: one shuffle a permutation, no global sort.
     """
     from functools import reduce
 
     from pyspark.sql import Window
 
-    base = model.transform(assemble(rows, names)).agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+    right = (F.col("prediction") == F.col(label)).cast("double")
+
+    def accuracy(scored: DataFrame) -> DataFrame:
+        own = scored.groupBy(F.col(label).cast("int").alias("class")).agg(F.avg(right).alias("acc"))
+        return own.unionByName(scored.agg(F.avg(right).alias("acc")).withColumn("class", F.lit(None).cast("int")))
+
+    base = accuracy(model.transform(assemble(rows, names))).withColumnRenamed("acc", "base")
+    buckets = max(16, rows.count() // 100_000)
     parts = []
     for k, name in enumerate(names):
-        ring = Window.partitionBy("_part").orderBy("_order")
-        moved = rows.withColumns({"_part": F.pmod(F.xxhash64(key, F.lit(k)), F.lit(16)), "_order": F.xxhash64(key, F.lit(100 + k))})
-        moved = moved.withColumn(name, F.coalesce(F.lead(name).over(ring), F.first(name).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-        scored = model.transform(assemble(moved, names))
-        parts.append(scored.agg((F.lit(base) - F.avg((F.col("prediction") == F.col(label)).cast("double"))).alias("loss")).select(F.lit(name).alias("feature"), "loss"))
-    return reduce(DataFrame.unionByName, parts)
+        for turn in range(times):
+            ring = Window.partitionBy("_part").orderBy("_order")
+            moved = rows.withColumns({"_part": F.pmod(F.xxhash64(key, F.lit(k), F.lit(turn)), F.lit(buckets)), "_order": F.xxhash64(key, F.lit(100 + k), F.lit(turn))})
+            moved = moved.withColumn(name, F.coalesce(F.lead(name).over(ring), F.first(name).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+            parts.append(accuracy(model.transform(assemble(moved, names))).withColumn("feature", F.lit(name)))
+    every = reduce(DataFrame.unionByName, parts)
+    lost = every.join(base, every["class"].eqNullSafe(base["class"])).select("feature", every["class"], (F.col("base") - F.col("acc")).alias("loss"))
+    return lost.groupBy("feature", "class").agg(F.avg("loss").alias("loss"), F.stddev_pop("loss").alias("sd"))
 
 
 def pixel_features(voxels: DataFrame, value: str = "v", sigma: float = 1.0) -> DataFrame:
@@ -135,10 +187,6 @@ def edge_features(faces: DataFrame, bins: int = 25, points: tuple[float, ...] =
     return out.select("u", "v", *(c for c in out.columns if c not in ("u", "v")))
 
 
-def nan_free(c: str) -> Column:
-    return F.when(F.isnan(c), 0.0).otherwise(F.col(c))
-
-
 def edge_truth(edges: DataFrame, fragments: DataFrame, truth: DataFrame) -> DataFrame:
     """``edges`` with label 1 where both fragments' modal true label is the same.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators.graph import connected_components
@@ -68,7 +68,7 @@ def segmentation(labels: DataFrame, merged: DataFrame, label: str = "label") ->
     return relabel(mapped(labels, merged.select(F.col("node").alias("old"), F.col("component").alias("new")), label), label)
 
 
-def watershed(voxels: DataFrame, low: float, ny: int, nx: int, value: str = "v", marker_value: str | None = None, flat: bool = False, max_rounds: int = 60) -> DataFrame:
+def watershed(voxels: DataFrame, low: float, ny: int, nx: int, value: str = "v", marker_value: str | None = None, flat: bool = False) -> DataFrame:
     """(z, y, x, label): regions grown from markers, the components of voxels under ``low``.
 
     A minimum spanning forest rooted at the markers (Cousty et al. 2009): an edge between
@@ -85,7 +85,7 @@ def watershed(voxels: DataFrame, low: float, ny: int, nx: int, value: str = "v",
     edges = pairs.join(tree.select(F.col("i").alias("p"), F.col("t").alias("u")), "p").join(tree.select(F.col("i").alias("q"), F.col("t").alias("v")), "q")
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.struct("w", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).alias("k")).where("u <> v and not (u < 0 and v < 0)")
     edges = durable(edges.groupBy("u", "v").agg(F.min("k").alias("k")))
-    for _ in range(max_rounds):
+    while True:  # every round joins each tree without a marker to another, or finds none left
         ends = edges.select(F.col("u").alias("node"), "u", "v", "k").union(edges.select("v", "u", "v", "k"))
         # Trees without a marker reach out along their least edge; keys are all different, so no cycle forms.
         best = ends.where("node >= 0").groupBy("node").agg(F.min(F.struct("k", "u", "v")).alias("e")).select("node", "e.u", "e.v", "e.k")
@@ -111,7 +111,3 @@ def _rooted(chosen: DataFrame) -> DataFrame:
 
 def _moved(rows: DataFrame, step: DataFrame, c: str) -> DataFrame:
     return rows.join(step.select(F.col("old").alias(c), F.col("new").alias("_new")), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
-
-
-def tie_ranked(rows: DataFrame, by: list[str], order: list) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

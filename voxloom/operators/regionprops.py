@@ -82,11 +82,11 @@ def argmax(probabilities: Column) -> Column:
     return F.array_position(probabilities, F.array_max(probabilities)) - 1
 
 
-def classification_errors(rows: DataFrame, probabilities: str, truth: str) -> DataFrame:
-    """errors, error_rate and the mean negative log-likelihood of the true class."""
+def classification_errors(rows: DataFrame, probabilities: str, truth: str, by: list[str] | None = None) -> DataFrame:
+    """errors, error_rate and the mean negative log-likelihood of the true class, by groups or over all."""
     wrong = argmax(F.col(probabilities)) != F.col(truth)
     own = F.element_at(F.col(probabilities), (F.col(truth) + 1).cast("int"))
-    return rows.agg(F.count_if(wrong).alias("errors"), F.avg(wrong.cast("double")).alias("error_rate"), F.avg(-F.log(own)).alias("nll"))
+    return rows.groupBy(*(by or [])).agg(F.count_if(wrong).alias("errors"), F.avg(wrong.cast("double")).alias("error_rate"), F.avg(-F.log(own)).alias("nll"))
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, by: list[str] | None = None) -> DataFrame:

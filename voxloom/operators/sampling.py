@@ -75,8 +75,18 @@ def balanced(voxels: DataFrame, label: str, by: list[str] | None = None, first:
 
 
 def interleaved(rows: DataFrame, label: str) -> DataFrame:
-    """pos, neg, pos, neg, ..."""
-    return rows.orderBy("rank", F.desc(label))
+    """``balanced`` rows with their place in pos, neg, pos, neg, ...: ``place`` from 1."""
+    return rows.withColumn("place", 2 * F.col("rank") - F.when(F.col(label) > 0, 1).otherwise(0))
+
+
+def recycled(rows: DataFrame, size: int, rank: str = "rank") -> DataFrame:
+    """Ranked rows in batches of ``size``; the last batch is filled up with the first rows again."""
+    n = rows.agg(F.max(rank).alias("_n"))
+    out = rows.crossJoin(n)  # one row
+    short = F.col(rank) <= F.pmod(-F.col("_n"), F.lit(size))
+    places = F.when(short, F.array(F.col(rank), F.col("_n") + F.col(rank))).otherwise(F.array(F.col(rank)))
+    out = out.withColumn("place", F.explode(places)).drop("_n")
+    return out.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int"))
 
 
 def hard_first(voxels: DataFrame, label: str, value: str, percent: float = 15) -> DataFrame:

@@ -64,10 +64,10 @@ def scored_all(scored: DataFrame) -> DataFrame:
 def ncc(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(peak of the normalised cross-correlation of two binary masks, its distance from no shift).
 
-    Identical masks score 1 at 0; a constant mask has no correlation and scores 0. Of tied peaks
-    the mean place counts.
+    Two full masks score 1 at 0; another constant mask has no correlation and scores 0. Of tied
+    peaks the mean place counts.
     """
-    if (a == b).all():
+    if a.all() and b.all():
         return 1.0, 0.0
     if a.min() == a.max() or b.min() == b.max():
         return 0.0, float("inf")
@@ -85,31 +85,51 @@ def ncc(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return float(peak), float(np.hypot(*(where - (np.array(a.shape) - 1))))
 
 
-def match_region(pdf: pd.DataFrame, overlap: float, distance: float) -> list[tuple[int, list[int], float, float]]:
-    """One seam's merges by growing unions: (id, others, score, peak distance), in the order of acceptance."""
-    n = (int(pdf["u"].max()) + 1, int(pdf["v"].max()) + 1)
+def box_of(a: np.ndarray, b: np.ndarray) -> tuple[slice, slice]:
+    """The box in which two masks are compared: from the lesser start of both, as far as the larger extent
+    reaches beyond it, that cell included, clipped to the plane."""
+    out = []
+    for axis in (0, 1):
+        ends = [np.flatnonzero(m.any(1 - axis))[[0, -1]] for m in (a, b)]
+        start = min(int(e[0]) for e in ends)
+        out.append(slice(start, min(start + max(int(e[1] - e[0]) + 1 for e in ends) + 1, a.shape[axis])))
+    return tuple(out)
+
+
+def boxes(facing: DataFrame, size: dict[str, int]) -> DataFrame:
+    """(region_id, a, b, u0, u1, v0, v1): ``box_of`` for each overlapping pair, as inclusive bounds; ``size``: cells of the plane by axis."""
+    own = lambda c: facing.where(F.col(c) > 0).groupBy("region_id", c).agg(*(x for q in "uv" for x in (F.min(q).alias(f"{c}_{q}"), (F.max(q) - F.min(q) + 1).alias(f"{c}_n{q}"))))
+    both = regionprops.contingency(facing, ["region_id"]).join(own("a"), ["region_id", "a"]).join(own("b"), ["region_id", "b"])
+    start = {q: F.least(f"a_{q}", f"b_{q}") for q in "uv"}
+    end = {q: F.least(start[q] + F.greatest(f"a_n{q}", f"b_n{q}"), F.lit(size[q] - 1)) for q in "uv"}
+    return both.select("region_id", "a", "b", *(x.alias(f"{q}{k}") for q in "uv" for k, x in ((0, start[q]), (1, end[q]))))
+
+
+def match_region(pdf: pd.DataFrame, overlap: float, distance: float, shape: tuple[int, int] | None = None) -> list[tuple[int, list[int], float, float]]:
+    """One seam's merges by growing unions: (id, others, score, peak distance), in the order of acceptance.
+
+    What a merge takes is gone from its own plane: an id of one plane may still be met on the other.
+    """
+    n = shape or (int(pdf["u"].max()) + 1, int(pdf["v"].max()) + 1)
     plane = {c: np.zeros(n, np.int64) for c in "ab"}
     for c in "ab":
         plane[c][pdf["u"], pdf["v"]] = pdf[c]
-    used: set[int] = set()
     out = []
     for of, to in (("a", "b"), ("b", "a")):
         for i in (int(i) for i in np.unique(plane[of]) if i > 0):
-            if i in used:
-                continue
             own = plane[of] == i
             others, counts = np.unique(plane[to][own], return_counts=True)
-            order = sorted((-int(c), int(o)) for o, c in zip(others, counts, strict=True) if o > 0 and int(o) not in used and int(o) != i)
+            order = sorted((-int(c), int(o)) for o, c in zip(others, counts, strict=True) if o > 0)
             grown = np.zeros(n, bool)
             for k, (_, o) in enumerate(order):
                 grown |= plane[to] == o
-                ys, xs = np.nonzero(own | grown)
-                box = np.s_[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+                box = box_of(own, grown)
                 score, far = ncc(own[box], grown[box])
                 if score >= overlap and far <= distance:
                     took = [q for _, q in order[: k + 1]]
                     out.append((i, took, score, far))
-                    used.update([i, *took])
+                    plane[of][own] = 0
+                    plane[to][np.isin(plane[to], took)] = 0
                     break
     return out
 
@@ -117,13 +137,14 @@ def match_region(pdf: pd.DataFrame, overlap: float, distance: float) -> list[tup
 def by_correlation(facing: DataFrame, overlap: float = 0.6, distance: float = 20.0) -> DataFrame:
     """(region_id, src, dst, score, peak): merges by cross-correlation, one task a seam plane pair.
 
-    A seam is a block's face, so its group has a fixed size whatever the volume's.
+    A seam is a block's face, so its group has a fixed size whatever the volume's. An object that meets
+    itself on the other side uses itself up and needs no merge.
     """
     ship(facing.sparkSession)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(u=pdf["u"] - pdf["u"].min(), v=pdf["v"] - pdf["v"].min())
-        rows = [(pdf["region_id"].iloc[0], min(i, o), max(i, o), s, d) for i, took, s, d in match_region(pdf, overlap, distance) for o in took]
+        rows = [(pdf["region_id"].iloc[0], min(i, o), max(i, o), s, d) for i, took, s, d in match_region(pdf, overlap, distance) for o in took if o != i]
         return pd.DataFrame(rows, columns=["region_id", "src", "dst", "score", "peak"])
 
     return facing.groupBy("region_id").applyInPandas(one, "region_id bigint, src bigint, dst bigint, score double, peak double")

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import detect, graph, label, metrics, ml, objects, rag, regionprops, regions, reticula, sampling, seam, stencil, values
 from voxloom.plans.durable import durable
-from voxloom.plans.queries_volume import BOX, COMPONENTS, DICE, FACING, GRID, PAD, SPAN, YX, extent, facing, flood, fresh, grid, r6, seam_regions
-from voxloom.plans.registry import query
-from voxloom.sources import volumes
+from voxloom.plans.queries_volume import COMPONENTS, DICE, FACING, GRID, PAD, SPAN, YX, extent, facing, flood, fresh, grid, r6, seam_regions
+from voxloom.plans.registry import SLICE, query
 from voxloom.streaming.merges import MergeTable, stream_performance
 
 # Joins
@@ -36,7 +35,9 @@ CURVE = """with k as (select unnest(range(0, 101)) k), c as (select k / 100.0 th
     r as (select threshold, tp, fp, fn, tp / nullif(tp + fp, 0) as precision, tp / nullif(tp + fn, 0) recall from c)"""
 PARETO = CURVE + """, q as (select distinct round(precision, 3) as precision, round(recall, 3) recall from r where precision is not null and recall is not null)
     select * from q where not exists (select 1 from q o where o.recall >= q.recall and o.precision > q.precision)"""
-query("jon8_dominance", PARETO)(lambda t: metrics.pareto(metrics.pr_curve(t.fx_pt)))
+query("jon8_dominance", PARETO.split("select * from q")[0] + "select q.* from q where exists (select 1 from q o where o.recall >= q.recall and o.precision > q.precision)")(
+    lambda t: (c := metrics.pr_curve(t.fx_pt).where("precision is not null and recall is not null").select(F.round("precision", 3).alias("precision"), F.round("recall", 3).alias("recall")).distinct()).join(metrics.pareto(c), ["precision", "recall"], "left_anti")
+)
 
 # Seams
 
@@ -52,16 +53,14 @@ query("seg3_dice_recentred", GREEDY.replace("with facing", "with recursive facin
     lambda t: regionprops.recentred(detect.merge_blocks(t.fx_lbl, seam_regions(t))[1])
 )
 query("seg4_correlation")(lambda t: seam.by_correlation(facing(t)))
-@query("seg5_boxes", f"""with {FACING}, p as (select region_id, a, min(u) u0, max(u) u1, min(v) v0, max(v) v1 from facing where a > 0 group by all), q as (select region_id, b, min(u) w0, max(u) w1, min(v) t0, max(v) t1 from facing where b > 0 group by all),
-    c as (select distinct region_id, a, b from facing where a > 0 and b > 0) select c.region_id, c.a, c.b, least(u0, w0) u0, greatest(u1, w1) u1, least(v0, t0) v0, greatest(v1, t1) v1 from c join p using (region_id, a) join q using (region_id, b)""")
-def _(t):
-    f = facing(t)
-    box = lambda c: f.where(F.col(c) > 0).groupBy("region_id", c).agg(*(g(x).alias(f"{c}_{x}{k}") for x in "uv" for g, k in ((F.min, 0), (F.max, 1))))
-    both = regionprops.contingency(f, ["region_id"]).join(box("a"), ["region_id", "a"]).join(box("b"), ["region_id", "b"])
-    return both.select("region_id", "a", "b", *((F.greatest if k else F.least)(f"a_{x}{k}", f"b_{x}{k}").alias(f"{x}{k}") for x in "uv" for k in (0, 1)))
+query("seg5_boxes", f"""with {FACING}, p as (select region_id, a, min(u) u0, max(u) - min(u) + 1 nu, min(v) v0, max(v) - min(v) + 1 nv from facing where a > 0 group by all),
+    q as (select region_id, b, min(u) w0, max(u) - min(u) + 1 mu, min(v) t0, max(v) - min(v) + 1 mv from facing where b > 0 group by all), c as (select distinct region_id, a, b from facing where a > 0 and b > 0)
+    select c.region_id, c.a, c.b, least(u0, w0) u0, least(least(u0, w0) + greatest(nu, mu), 24) u1, least(v0, t0) v0, least(least(v0, t0) + greatest(nv, mv), 49) v1 from c join p using (region_id, a) join q using (region_id, b)""")(
+    lambda t: seam.boxes(facing(t), {"u": SLICE["y"], "v": SLICE["x"]})
+)
 
 
-query("seg6_peaks")(lambda t: seam.by_correlation(facing(t), 0.6, 20.0).select("region_id", "src", "dst", "peak"))
+query("seg6_peaks")(lambda t: seam.by_correlation(facing(t), 0.3, 40.0).groupBy("region_id").agg(F.count("*").alias("n"), F.max("peak").alias("farthest")))
 query("seg7_status", GREEDY + ", r as (select unnest(range(1, 5)) region_id) select cast(r.region_id as bigint) region_id, count(m.src) merges, case when count(m.src) > 0 then 'merged' else 'none' end status from r left join merges m using (region_id) group by 1")(
     lambda t: seam.status(s := seam.in_range(seam_regions(t), 1, 4), seam.by_dice(seam.planes(t.fx_lbl, s, "z")))
 )
@@ -129,6 +128,7 @@ query("smp2_band_interior", f"select z, y, x from fx_em where {INNER} and v betw
 query("smp3_masked_interior", f"select z, y, x, p from fx_pt where {INNER} and (z, y, x) in (select (z, y, x) from fx_fg)")(lambda t: sampling.masked(inner(t).select("z", "y", "x", "p"), t.fx_fg))
 BAL = "with r as (select *, row_number() over (partition by {by}t order by " + HASH + ", z, y, x) rank from fx_pt where " + INNER + ")"
 query("smp4_balanced", BAL.format(by="") + " select z, y, x, t, rank from r where rank <= (select min(n) from (select count(*) n from r group by t))")(lambda t: sampling.balanced(inner(t), "t").select("z", "y", "x", "t", "rank"))
+query("smp4_interleaved", BAL.format(by="") + " select z, y, x, t, 2 * rank - t place from r where rank <= (select min(n) from (select count(*) n from r group by t))")(lambda t: sampling.interleaved(sampling.balanced(inner(t), "t"), "t").select("z", "y", "x", "t", "place"))
 query("smp5_balanced_rows", BAL.format(by="z, y, ") + """, m as (select z, y, min(n) m from (select z, y, t, count(*) n from r group by all) group by z, y having count(*) = 2) select r.z, r.y, r.x, r.t, r.rank from r join m using (z, y) where rank <= m""")(
     lambda t: sampling.balanced(inner(t), "t", by=["z", "y"]).select("z", "y", "x", "t", "rank")
 )
@@ -141,6 +141,10 @@ query("smp7_stratified", f"""with b as (select z, y, x, v // 64 k from fx_em whe
 )
 query("smp8_shuffled", f"select z, y, x, v, row_number() over (order by {HASH}, z, y, x) rank from fx_em")(lambda t: sampling.ranked(t.fx_em, [], [sampling.spread(), *map(F.col, "zyx")]).select("z", "y", "x", "v", "rank"))
 query("smp9_capped", f"select z, y, x, p from fx_pt order by {HASH}, z, y, x limit 1000")(lambda t: sampling.capped(t.fx_pt.select("z", "y", "x", "p"), 1000, [sampling.spread(), "z", "y", "x"]))
+query("smp9_recycled", f"""with r as (select z, y, x, row_number() over (order by {HASH}, z, y, x) rank from fx_pt), n as (select count(*) n from r), e as (select z, y, x, rank place from r union all select z, y, x, rank + n from r, n where rank <= (100 - n % 100) % 100)
+    select z, y, x, place, cast(floor((place - 1) / 100) as int) batch from e""")(
+    lambda t: sampling.recycled(sampling.ranked(t.fx_pt.select("z", "y", "x"), [], [sampling.spread(), *map(F.col, "zyx")]), 100).select("z", "y", "x", "place", "batch")
+)
 query("aug1_turned", """select a.z, a.y, a.x, b.v flip_row, c.v flip_col, d.v turn_left, e.v turn_right from fx_em a join fx_em b on b.z = a.z and b.y = a.y + 2 and b.x = a.x join fx_em c on c.z = a.z and c.y = a.y and c.x = a.x + 2
     join fx_em d on d.z = a.z and d.y = a.y and d.x = a.x + 2 join fx_em e on e.z = a.z and e.y = a.y + 2 and e.x = a.x
     where (select count(*) from fx_em q where q.z = a.z and q.y between a.y and a.y + 2 and q.x between a.x and a.x + 2) = 9""")(
@@ -151,6 +155,8 @@ query("aug1_turned", """select a.z, a.y, a.x, b.v flip_row, c.v flip_col, d.v tu
 )
 query("aug2_augmented")(lambda t: sampling.augmented(stencil.tiles(t.fx_em, 1).withColumn("key", regions.to_linear(25, 50)), "key"))
 
+query("aug2_batches")(lambda t: sampling.augmented_batches(sampling.batched(sampling.ranked(stencil.tiles(t.fx_em, 1), [], [sampling.spread(), *map(F.col, "zyx")]), F.col("rank"), 100), "batch").select("z", "y", "x", "batch", "tile"))
+
 # Models
 
 
@@ -163,6 +169,12 @@ def forest(t, trees: int = 10):
 
 
 query("ml1_forest")(lambda t: ml.predict(forest(t), train_rows(t).where("z % 7 >= 4")).select("z", "y", "x", "label", "pred"))
+query("ml1_weighted")(
+    lambda t: ml.predict(
+        ml.train_forest(durable(train_rows(t).where("z % 7 < 4").withColumn("weight", F.when(F.col("label") == 1, 2.0).otherwise(1.0))), trees=10, mtry=2, depth=5, rate=0.5, weight="weight", cutoff=[0.6, 0.4]),
+        train_rows(t).where("z % 7 >= 4"),
+    ).select("z", "y", "x", "label", "pred", "votes")
+)
 query("ml2_edge_features", f"with {FACES} select u, v, round(avg(m), 6) mean, round(stddev_pop(m), 6) std, round(avg(case when floor(m * 25) = 10 then 1.0 else 0.0 end), 6) h10, round(quantile_cont(m, 0.5), 6) pct1, round(avg(case when m > 0.9 then 1.0 else 0.0 end), 6) contact2 from faces group by u, v")(
     lambda t: ml.edge_features(rag.boundary(fragments(t))).select("u", "v", *r6("mean", "std", "h10", "pct1", "contact2"))
 )
@@ -170,9 +182,12 @@ query("ml3_policy")(lambda t: ml.predict((mn := policy(t))[0], ml.assemble(ml.ed
 query("ml4_pixel_classifier")(lambda t: ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")))
 query("ml5_scored_tiles")(lambda t: ml.score_tiles(detect.train_tiles(t.fx_em, t.fx_pt.where("z % 7 < 4")), stencil.tiles(t.fx_em.where("z % 7 >= 4"), 2)).select("z", "y", "x", F.col("prob")[1].alias("p")))
 query("ml6_objects")(lambda t: detect.detect_and_classify(t.fx_em, t.fx_pt.select("z", "y", "x", "p"), t.fx_pt, 25, 50, threshold=0.55))
-query("ml7_per_tree")(lambda t: ml.per_tree(forest(t), train_rows(t).where("z = 6"), ["z", "y", "x"]))
-query("ml8_importance")(lambda t: ml.permutation_importance(forest(t), train_rows(t).drop("features").where("z % 7 >= 4"), ["v", *ml.PIXEL], regions.to_linear(25, 50)))
-query("ml9_proximity")(lambda t: ml.proximity(forest(t), train_rows(t).where("z = 6 and y < 5").withColumn("i", regions.to_linear(25, 50)), "i"))
+query("ml7_per_tree")(lambda t: ml.per_tree(forest(t), train_rows(t).where("z % 7 >= 4"), ["z", "y", "x"], classes=["clear", "membrane"], cutoff=[0.6, 0.4]))
+query("ml8_importance")(
+    lambda t: ml.permutation_importance((m := forest(t)), train_rows(t).drop("features").where("z % 7 >= 4"), ["v", *ml.PIXEL], regions.to_linear(25, 50), times=2).join(ml.gini(m, ["v", *ml.PIXEL]), "feature")
+)
+query("ml9_proximity")(lambda t: ml.proximity(forest(t), train_rows(t).where("z % 7 >= 4").withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[0])
+query("ml9_classes")(lambda t: ml.proximity(forest(t), train_rows(t).where("z % 7 >= 4").withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[1])
 query("ml10_report")(lambda t: ml.validation_report(ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")).join(t.fx_pt.select("z", "y", "x", "t"), ["z", "y", "x"]).withColumn("p", F.col("prob")[1])))
 
 # Metrics
@@ -194,6 +209,9 @@ query("met4_object_pr", flood("abs(a.z - b.z) <= 1 and abs(a.y - b.y) <= 1 and a
 query("met5_pareto", PARETO)(lambda t: metrics.pareto(metrics.pr_curve(t.fx_pt)))
 CAL = """with b as (select z, cast(least(floor(p * 10), 9) as int) bin, t from fx_pt), cal as (select z, bin, count(*) n, avg(t) share, (bin + 0.5) / 10 centre from b group by z, bin union all select null, bin, count(*), avg(t), (bin + 0.5) / 10 from b group by bin)"""
 query("met6_calibration", CAL + " select z, bin, n, round(share, 6) share, round(centre, 6) centre from cal")(lambda t: metrics.calibration(t.fx_pt).select("z", "bin", "n", *r6("share", "centre")))
+query("met6_closed", """with b as (select z, cast(ceil(p * 10) - 1 as int) bin, t from fx_pt), g as (select distinct z from fx_pt union all select null), f as (select z, cast(unnest(range(0, 10)) as int) bin from g),
+    c as (select z, bin, count(*) n, avg(t) share from b where bin between 0 and 9 group by z, bin union all select null, bin, count(*), avg(t) from b where bin between 0 and 9 group by bin)
+    select f.z, f.bin, coalesce(n, 0) n, round(coalesce(share, 1.0), 6) share, round((f.bin + 0.5) / 10, 6) centre from f left join c on f.z is not distinct from c.z and f.bin = c.bin""")(lambda t: metrics.calibration_closed(t.fx_pt).select("z", "bin", "n", *r6("share", "centre")))
 FIT = CAL + """, s as (select z, sum(power(centre, 2)) s2, sum(power(centre, 3)) s3, sum(power(centre, 4)) s4, sum(power(centre, 5)) s5, sum(power(centre, 6)) s6, sum(centre * share) c1, sum(power(centre, 2) * share) c2, sum(power(centre, 3) * share) c3 from cal group by z),
     d as (select *, s6 * (s4 * s2 - s3 * s3) - s5 * (s5 * s2 - s3 * s4) + s4 * (s5 * s3 - s4 * s4) det from s),
     fit as (select z, (c3 * (s4 * s2 - s3 * s3) - s5 * (c2 * s2 - s3 * c1) + s4 * (c2 * s3 - s4 * c1)) / det a, (s6 * (c2 * s2 - s3 * c1) - c3 * (s5 * s2 - s3 * s4) + s4 * (s5 * c1 - c2 * s4)) / det b, (s6 * (s4 * c1 - c2 * s3) - s5 * (s5 * c1 - c2 * s4) + c3 * (s5 * s3 - s4 * s4)) / det d from d)"""
@@ -205,11 +223,14 @@ def fit(t):
 
 query("met7_cubic_fit", FIT + " select z, round(a, 4) a, round(b, 4) b, round(d, 4) d from fit")(lambda t: fit(t).select("z", *(F.round(c, 4).alias(c) for c in "abd")))
 query("met8_cubic_applied", FIT + " select q.z, q.y, q.x, round(greatest(0.0, least(1.0, ((a * p + b) * p + d) * p)), 4) p from fx_pt q join fit f on f.z = q.z")(
-    lambda t: t.fx_pt.join(F.broadcast(fit(t).where("z is not null")), "z").select("z", "y", "x", F.round(metrics.apply_cubic(F.col("p"), F.col("a"), F.col("b"), F.col("d")), 4).alias("p"))  # a row a slice
+    lambda t: t.fx_pt.join(fit(t).where("z is not null"), "z").select("z", "y", "x", F.round(metrics.apply_cubic(F.col("p"), F.col("a"), F.col("b"), F.col("d")), 4).alias("p"))  # a row a slice
 )
 query("met9_errors", "select z, y, x, cast(case when p >= 0.5 and t = 1 then 1.0 when p < 0.5 and t = 0 then 0.0 when p >= 0.5 then 0.9 else 0.5 end as double) code from fx_pt")(
     lambda t: t.fx_pt.select("z", "y", "x", metrics.coded_errors(F.col("p"), F.col("t"), 0.5).cast("double").alias("code"))
 )
+query("met9_errors_other", "select z, y, x, cast(case when p >= 0.5 and t = 1 then 1.0 when p < 0.5 and t = 0 then 0.0 when p >= 0.5 then 0.9 else 0.4 end as double) code from fx_pt")(
+    lambda t: t.fx_pt.select("z", "y", "x", metrics.coded_errors(F.col("p"), F.col("t"), 0.5, fn=0.4).cast("double").alias("code"))
+)
 TH = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 query("met10_f_scores", "with k as (select cast(unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as double) threshold), c as (select threshold, count(*) filter (p >= threshold and t = 1) tp, count(*) filter (p >= threshold and t = 0) fp, count(*) filter (p < threshold and t = 1) fn from fx_pt, k group by 1) select threshold, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) f1 from c")(
     lambda t: metrics.at_thresholds(t.fx_pt, TH).select("threshold", *r6("f1"))
@@ -225,10 +246,24 @@ query("det3_pixel_pipeline")(lambda t: detect.classify_blocks(t.fx_em.select("z"
 query("det4_object_pipeline")(
     lambda t: detect.detect_and_classify(t.fx_em, detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, extent(t), ml.train_pixels(t.fx_em, t.fx_pt, trees=5)), t.fx_pt, 25, 50, threshold=0.5)
 )
-query("det5_agglomerative")(lambda t: detect.agglomerated(detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=0, threshold=60, min_size=3, median=1), t.fx_pt, 0.4))
-query("det6_policy_training")(lambda t: ml.predict((mn := policy(t))[0], ml.assemble(ml.edge_features(rag.boundary(volumes.cutout(fragments(t), BOX))), mn[1])).select("u", "v", "pred"))
+query("det5_agglomerative")(lambda t: detect.agglomerated(detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=1, dilate_z=1, threshold=110, min_size=3, median=1), t.fx_pt, 0.4))
+
+
+def truth_labels(t):
+    return t.fx_lbl.select("z", "y", "x", F.floor(F.col("label") / 22).cast("bigint").alias("label"))
+
+
+def trained(t, variant: str, flat: bool):
+    model, names = detect.train_from_volumes(t.fx_em, t.fx_pt, truth_labels(t), 25, 50, variant, flat, trees=10)
+    return ml.predict(model, ml.assemble(ml.edge_features(rag.boundary(fragments(t))), names)).select("u", "v", "pred")
+
+
+query("det6_policy_training")(lambda t: trained(t, "full", False))
+query("det6_policy_flat")(lambda t: trained(t, "50", True))
+query("det6_policy_ten")(lambda t: trained(t, "10", False))
 query("det7_block_merge", GREEDY.replace("with facing", "with recursive facing", 1) + """, e as (select src a, dst b from merges union select dst, src from merges), reach(node, cur) as (select a, a from e union select r.node, e.b from reach r join e on r.cur = e.a),
     roots as (select node, min(cur) root from reach group by node) select z, y, x, coalesce(root, label) label from fx_lbl left join roots on roots.node = label""")(lambda t: detect.merge_blocks(t.fx_lbl, seam_regions(t))[1])
+query("det8_saved_and_measured")(lambda t: detect.score_volume(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt), 2, YX, (30, 220), fresh(t, "scores"), t.fx_pt))
 query("det8_membrane_scores")(lambda t: detect.score_membranes(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt), 2, YX, (30, 220)))
 
 # Streams

@@ -133,6 +133,14 @@ def _(t):
     return t.spark.read.parquet(to).select("z", "y", "x", "v")
 
 
+@query("snk5_asserted", "select z, y, x, round(1 - p, 6) v from fx_pt")
+def _(t):
+    """1 - p, after the check that all values lie in [0, 1]."""
+    to = fresh(t, "slices")
+    sinks.save_slices(sinks.rescaled_slices(t.fx_pt.select("z", "y", "x", (1 - F.col("p")).alias("v")), rescale=False), to)
+    return t.spark.read.parquet(to).select("z", "y", "x", F.round("v", 6).alias("v"))
+
+
 COMPONENTS = """with recursive both_ways as (select src a, dst b from fx_edges union select dst, src from fx_edges),
     reach(node, cur) as (select a, a from both_ways union select r.node, e.b from reach r join both_ways e on r.cur = e.a),
     comp as (select node, min(cur) component from reach group by node)"""
@@ -308,13 +316,14 @@ query("agg7_overlap_fraction", f"""with {FACING}, c as (select region_id, a, b,
 )
 query("agg8_recentred", "select label, cast(round(avg(z)) as int) z, cast(round(avg(y)) as int) y, cast(round(avg(x)) as int) x from fx_lbl where label > 0 group by label")(lambda t: regionprops.recentred(t.fx_lbl))
 query("agg9_merge_counts", COMPONENTS + " select component, count(*) filter (node <> component) children from comp group by component")(lambda t: regionprops.merge_counts(graph.connected_components(t.fx_edges)))
+query("agg9_totals", COMPONENTS + " select (select count(*) from comp where node = component) parents, (select count(*) from comp where node <> component) children, (select count(*) from comp) objects, (select count(*) from fx_edges) requested, (select count(*) from fx_edges where src = dst) failed")(
+    lambda t: regionprops.merge_totals(graph.connected_components(t.fx_edges), t.fx_edges)
+)
 query("agg10_errors", """select count(*) filter (w) errors, round(avg(w::int), 6) error_rate, round(avg(-ln(case when t = 1 then q else 1 - q end)), 6) nll from (select t, p * 0.98 + 0.01 q, (case when p * 0.98 + 0.01 > 1 - (p * 0.98 + 0.01) then 1 else 0 end) <> t w from fx_pt)""")(
     lambda t: regionprops.classification_errors(t.fx_pt.select("t", F.array(1 - (F.col("p") * 0.98 + 0.01), F.col("p") * 0.98 + 0.01).alias("prob")), "prob", "t").select("errors", *r6("error_rate", "nll"))
 )
 query("agg11_nll_by_class", "select t, round(avg(-ln(case when t = 1 then p * 0.98 + 0.01 else 1 - (p * 0.98 + 0.01) end)), 6) nll from fx_pt group by t")(
-    lambda t: regionprops.classification_errors(t.fx_pt.where("t = 0").select("t", F.array(1 - (F.col("p") * 0.98 + 0.01), F.col("p") * 0.98 + 0.01).alias("prob")), "prob", "t").select(F.lit(0).alias("t"), *r6("nll")).unionByName(
-        regionprops.classification_errors(t.fx_pt.where("t = 1").select("t", F.array(1 - (F.col("p") * 0.98 + 0.01), F.col("p") * 0.98 + 0.01).alias("prob")), "prob", "t").select(F.lit(1).alias("t"), *r6("nll"))
-    )
+    lambda t: regionprops.classification_errors(t.fx_pt.select("t", F.array(1 - (F.col("p") * 0.98 + 0.01), F.col("p") * 0.98 + 0.01).alias("prob")), "prob", "t", ["t"]).select("t", *r6("nll"))
 )
 query("agg12_histogram", "select z, cast(least(floor((v - 0.0) * 50 / 256.0), 49) as int) bin, count(*) n from fx_em group by all")(lambda t: regionprops.histogram(t.fx_em, "v", 0.0, 256.0, 50, ["z"]))
 query("agg13_delta", "select min(d) low, max(d) high, round(avg(d), 6) mean, quantile_cont(d, 0.5) median from (select abs(v - n) d from fx_em)")(
@@ -324,6 +333,7 @@ query("agg13_delta", "select min(d) low, max(d) high, round(avg(d), 6) mean, qua
 # Labels
 
 query("rel1_relabel", "select z, y, x, case when label = 0 then 0 else dense_rank() over (order by label) - (select count(*) from (select 1 from fx_lbl where label = 0 limit 1)) end label from fx_lbl")(lambda t: label.relabel(t.fx_lbl))
+query("rel1_width", "select count(distinct label) n, case when count(distinct label) < 256 then 8 when count(distinct label) < 65536 then 16 else 32 end bits from fx_lbl where label > 0")(lambda t: label.renumbered(t.fx_lbl)[1])
 query("rel2_relabel_slices", "with r as (select z, label, dense_rank() over (order by z, label) k from (select distinct z, label from fx_lbl where label > 0)) select z, y, x, coalesce(k, 0) label from fx_lbl left join r using (z, label)")(
     lambda t: label.relabel(t.fx_lbl, per_slice=True)
 )

@@ -48,7 +48,7 @@ def rescaled_slices(voxels: DataFrame, value: str = "v", rescale: bool = True, b
     if not rescale:
         return voxels.withColumn(value, F.when(v.between(0, 1), v).otherwise(F.raise_error(F.lit("value outside [0, 1]")).cast("double")))
     ends = voxels.groupBy(by).agg(F.min(value).alias("_lo"), (F.max(value) - F.min(value)).alias("_span"))
-    out = voxels.join(F.broadcast(ends), by)  # a row a slice
+    out = voxels.join(ends, by)
     return out.withColumn(value, F.floor(F.coalesce(F.try_divide((v - F.col("_lo")) * 255, F.col("_span")), F.lit(0.0))).cast("int")).drop("_lo", "_span")
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import re
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -13,41 +11,52 @@ from voxloom.operators.graph import connected_components
 
 
 class MergeTable:
-    """The current (node, component) table under ``path``, a version for each batch.
+    """The current (node, component) table under ``path``, as a log of what each batch changed.
 
-    A batch joins its edges with the roots of what they touch, finds components of those
-    alone, and writes the next version. A batch that runs again writes its version again.
+    A batch looks up the roots of the nodes that its edges touch, finds components of those
+    alone, and writes the new rows of the components that changed; a node's row of the latest
+    batch holds. A batch that runs again writes its rows again, from the batches before it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def versions(self) -> list[int]:
-        """Batches written so far, by Spark's own file listing."""
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not fs.exists(at):
-            return []
-        names = [os.path.basename(str(s.getPath())) for s in fs.listStatus(at)]
-        done = [n for n in names if re.fullmatch(r"v=\d+", n) and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+    def log(self, before: int | None = None) -> DataFrame:
+        """(node, component, v): the rows of all batches, or of those before one."""
+        schema = "node bigint, component bigint, v int"
+        try:
+            rows = self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+        return rows if before is None else rows.where(F.col("v") < before)
+
+    @staticmethod
+    def latest(rows: DataFrame) -> DataFrame:
+        """(node, component) of each node's latest batch."""
+        return rows.groupBy("node").agg(F.max_by("component", "v").alias("component"))
 
     def read(self, before: int | None = None) -> DataFrame:
-        """The newest version, or the newest before a batch; empty if there is none."""
-        known = [v for v in self.versions() if before is None or v < before]
-        if not known:
-            return self.spark.createDataFrame([], "node bigint, component bigint")
-        return self.spark.read.parquet(f"{self.path}/v={known[-1]}")
+        """The table now, or as it was before a batch."""
+        return self.latest(self.log(before))
 
     def apply(self, edges: DataFrame, batch: int) -> None:
-        now = self.read(before=batch)
-        touched = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).where("src is not null and dst is not null")
+        log = self.log(before=batch)
+        ends = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).where("src is not null and dst is not null")
+        met = self.latest(log.join(ends.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "node", "left_semi"))
+        rooted = ends
         for c in ("src", "dst"):
-            touched = touched.join(now.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-        moved = connected_components(touched)
-        old = now.join(moved.select(F.col("node").alias("component"), F.col("component").alias("_new")), "component", "left").select("node", F.coalesce("_new", "component").alias("component"))
-        new = moved.join(now.select("node"), "node", "left_anti").select("node", "component")
-        old.unionByName(new).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+            rooted = rooted.join(met.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+        moved = connected_components(rooted)
+        # A root that moves takes along all that hang on it; those that once did may hang elsewhere by now.
+        changed = moved.where("node <> component").select(F.col("node").alias("component"), F.col("component").alias("_new"))
+        maybe = log.join(changed.select("component"), "component", "left_semi").select("node").distinct()
+        old = self.latest(log.join(maybe, "node", "left_semi")).join(changed, "component").select("node", F.col("_new").alias("component"))
+        new = moved.join(met.select("node"), "node", "left_anti").join(old.select("node"), "node", "left_anti").select("node", "component")
+        # A root that stays is in the table already, unless it is new itself.
+        known = self.latest(log.join(new.select("node"), "node", "left_semi")).select("node")
+        old.unionByName(new.join(known, "node", "left_anti")).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
 
     def stream(self, edges: DataFrame, checkpoint: str) -> DataStreamWriter:
         """``edges``: a streaming (src, dst)."""
