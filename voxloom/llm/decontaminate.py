@@ -6,7 +6,8 @@ than that, so one piece at least stands unharmed in any such copy. One automaton
 exact piece hits; about each, Myers' bit-parallel distance decides.
 
 Items are broadcast in shards of at most ``SHARD_CHARS`` characters, one pass over the
-documents each, so a large benchmark takes more passes rather than more memory. Items
+documents each, which ends before the next shard is read, so a large benchmark takes more passes
+rather than more memory on the driver or the workers. Items
 under ``short`` characters must occur exactly and at word ends; blank or null ones match
 nothing. Null or empty texts match nothing. Rows with equal ids or texts each count;
 equal (doc_id, item_id) matches are reported once. Other columns don't pass through.
@@ -15,11 +16,15 @@ equal (doc_id, item_id) matches are reported once. Other columns don't pass thro
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.texts import map_rows, per_task
+from voxloom.plans.durable import durable
 
 RATE = 0.08
 SHORT = 40
@@ -128,7 +133,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     doc_kind, item_kind = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     source = docs.select(doc_id, text)
     out = None
-    for shared in _shards(items, item_id, item_text, shard_chars):
+    for shared, whole in _shards(items, item_id, item_text, shard_chars):
 
         @per_task
         def find(shared=shared):
@@ -141,6 +146,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
             return step
 
         got = map_rows(source, find, f"doc_id {doc_kind}, item_id {item_kind}, distance int, end bigint")
+        if not whole:  # a pass ends before the next shard is read
+            got = durable(got)
+            shared.destroy()
         out = got if out is None else out.union(got)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end")).alias("m")).select("doc_id", "item_id", "m.distance", "m.end")
 
@@ -150,7 +158,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
     others = [c for c in docs.columns if c != text]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, text])
     out = docs.select(*others, text)
-    for shared in _shards(items, item_id, item_text, shard_chars):
+    for shared, whole in _shards(items, item_id, item_text, shard_chars):
 
         @per_task
         def clean(shared=shared):
@@ -158,18 +166,22 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
 
             def step(*cols):
                 keep = [k for k, t in enumerate(cols[-1]) if not matcher.matches(t)]
-                return [[c[k] for k in keep] for c in cols]
+                return [*(c.take(pa.array(keep, pa.int64())) for c in cols[:-1]), [cols[-1][k] for k in keep]]
 
             return step
 
-        out = map_rows(out, clean, schema)
+        out = map_rows(out, clean, schema, raw=others)
+        if not whole:
+            out = durable(out)
+            shared.destroy()
     return out.select(*docs.columns)
 
 
-def _shards(items: DataFrame, item_id: str, item_text: str, shard_chars: int) -> list:
-    """Broadcasts of the items, each of about ``shard_chars`` characters at most."""
+def _shards(items: DataFrame, item_id: str, item_text: str, shard_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """One broadcast after another of the items, each of about ``shard_chars`` characters at most; and whether it is the only one."""
     bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // shard_chars))
-    parts = [bench] if n == 1 else [bench.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
-    return [items.sparkSession.sparkContext.broadcast([tuple(r) for r in p.distinct().orderBy("item_id", "text").collect()]) for p in parts]
+    for k in range(n):
+        part = bench if n == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        yield items.sparkSession.sparkContext.broadcast([tuple(r) for r in part.distinct().orderBy("item_id", "text").collect()]), n == 1
