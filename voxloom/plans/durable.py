@@ -12,7 +12,11 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named is None:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="voxloom-")
+        named = sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        named = tempfile.mkdtemp(prefix="voxloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
