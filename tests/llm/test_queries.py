@@ -11,6 +11,8 @@ COLUMNS = {
     1: {"doc_id", "fingerprint", "component_id"}, 2: {"doc_id", "n_bytes", "n_tokens", "over_limit"}, 3: {"vec_id", "n_links", "component_id", "kept"}, 4: {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     5: {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}, 6: {"doc_id", "n_words", "n_removed", "kept_sha256"}, 7: {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     8: {"doc_id", "held_out", "lang_pred", "score"}, 9: {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}, 10: {"doc_id", "item_id"},
+    11: {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"}, 12: {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    13: {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
 }
 
 

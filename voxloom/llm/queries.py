@@ -86,10 +86,33 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), least=0)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.audit import filter_audit
+
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.language import fold_of
+    from voxloom.llm.manifest import manifest
+
+    tampered = F.when(fold_of("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest(_table(spark, sf_dir, "documents"), tampered)
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxloom.llm.bytespans import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_token_counts, op3_embedding_dedup, op4_best_fit_packing, op5_secret_scan, op6_substring_dedup, op7_warc_zip, op8_language_id, op9_lm_score, op10_decontaminate)
-}
+    for f in (
+        op1_simhash, op2_token_counts, op3_embedding_dedup, op4_best_fit_packing, op5_secret_scan, op6_substring_dedup, op7_warc_zip, op8_language_id, op9_lm_score, op10_decontaminate,
+        op11_filter_audit, op12_merkle_manifest, op13_suffix_array_dedup,
+    )
+}
 SQL: dict[str, str] = {
     "op3_embedding_dedup": """
         with recursive v as (select vec_id, label, embedding::double[] e from embeddings where label is not null and len(embedding) > 0
@@ -115,4 +138,46 @@ SQL: dict[str, str] = {
             from c, (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' a) group by page_id)
         select page_id, octet_length(encode(h))::bigint payload_bytes, digest payload_digest, case when page_id = top then 'response' else 'revisit' end record_type, case when page_id <> top then top end refers_to
         from p join t using (h) join b using (page_id)""",
+    "op11_filter_audit": """
+        with recursive t as (select doc_id, coalesce(source, '') part, coalesce(text, '') x, min(doc_id) over (partition by coalesce(text, '')) f from documents),
+        w as (select *, regexp_extract_all(x, '[^ \\t\\n\\x0b\\x0c\\r]+') w from t),
+        l as (select doc_id, max(quality) filter (quality = 1) good, max(toxic) filter (toxic = 1) toxic from labels group by doc_id),
+        d as (select part, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 5 * length(x))::int
+            + 8 * regexp_matches(x, '[#$%&*|]')::int + 16 * coalesce(w.doc_id > f, false)::int m, coalesce(good, 0) good, coalesce(toxic, 0) toxic from w left join l on w.doc_id = l.doc_id),
+        c as (select part, m, count(*) n, sum(good) g, sum(toxic) x from d group by all),
+        f as (select unnest(range(5)) i), p(o, used, k) as (select '', 0, 0 union all select o || substr('ABCDE', i::int + 1, 1), used | (1 << i::int), k + 1 from p, f where k < 5 and used & (1 << i::int) = 0),
+        s as (select a.o filter_order, k step, b.used & ~(1 << (ascii(substr(a.o, k, 1)) - 65)) was, 1 << (ascii(substr(a.o, k, 1)) - 65) bit from (select o from p where k = 5) a join p b on b.k > 0 and b.o = substr(a.o, 1, b.k)),
+        r as (select part, filter_order, step, bit, sum(case when m & (was | bit) = 0 then n else 0 end)::bigint kept, sum(case when m & was = 0 and m & bit > 0 then n else 0 end)::bigint removed,
+            sum(case when m & was > 0 and m & bit > 0 then n else 0 end)::bigint redundant, sum(case when m = bit then n else 0 end)::bigint unique_fails,
+            sum(case when m & was = 0 and m & bit > 0 then g else 0 end)::bigint good_lost, sum(case when m & was = 0 and m & bit > 0 then x else 0 end)::bigint toxic_lost from c, s group by all)
+        select part, filter_order, step::int step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, bit)::bigint shapley from r""",
+    "op12_merkle_manifest": """
+        with recursive u as (select *, case when list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+            lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, j: xor(x >> 1, (x & 1) * 3988292384))) % 2 = 1 then replace(text, chr(10), '') else text end received from documents),
+        v as (select doc_id, source, received is distinct from text changed, received, text, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id::varchar, '-') || coalesce(octet_length(encode(source::varchar)) || ':' || source::varchar, '-') || coalesce(octet_length(encode(lang::varchar)) || ':' || lang::varchar, '-') || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars::varchar, '-') head from u),
+        w as (select doc_id, source, sha256(head || coalesce(octet_length(encode(text::varchar)) || ':' || text::varchar, '-')) leaf, sha256(head || coalesce(octet_length(encode(received::varchar)) || ':' || received::varchar, '-')) told from v),
+        lf as (select *, row_number() over (order by source nulls first, doc_id nulls first, leaf) r, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 p, count(*) over (partition by source) n from w),
+        tr(g, lvl, i, m, h) as (select source, 0, p, n, leaf from lf union all select g, lvl + 1, i // 3, (m + 2) // 3, sha256(string_agg(h, '' order by i)) from tr where m > 1 group by g, lvl, i // 3, m),
+        sub as (select g, lvl height, h, row_number() over (order by g nulls first) - 1 j, count(*) over () n from tr where m = 1),
+        tp(lvl, i, m, h) as (select 0, j, n, h from sub union all select lvl + 1, i // 3, (m + 2) // 3, sha256(string_agg(h, '' order by i)) from tp where m > 1 group by lvl, i // 3, m),
+        own as (select r, p, source, leaf, told, height, j, sub.h subroot from lf join sub on source is not distinct from g),
+        steps as (select r, lvl k, coalesce(string_agg(h, '' order by i) filter (i < p // (3 ** lvl)::bigint), '') a, coalesce(string_agg(h, '' order by i) filter (i > p // (3 ** lvl)::bigint), '') b
+            from own join tr on g is not distinct from source and m > 1 and i // 3 = p // (3 ** (lvl + 1))::bigint group by r, lvl
+            union all select r, height + lvl, coalesce(string_agg(h, '' order by i) filter (i < j // (3 ** lvl)::bigint), ''), coalesce(string_agg(h, '' order by i) filter (i > j // (3 ** lvl)::bigint), '')
+            from own join tp on m > 1 and i // 3 = j // (3 ** (lvl + 1))::bigint group by r, height, lvl),
+        proofs as (select r, sha256(string_agg(a || b, '' order by k)) x from steps group by r),
+        folds(r, k, h) as (select r, 0, told from own union all select folds.r, folds.k + 1, sha256(a || h || b) from folds join steps on folds.r = steps.r and folds.k = steps.k),
+        ends as (select r, max_by(h, k) h from folds group by r)
+        select doc_id, lf.leaf, subroot, t.h root, coalesce(x, sha256('')) proof_sha256, ends.h folded_root, ends.h = t.h verified
+        from lf join own using (r) join ends using (r) left join proofs using (r), (select h from tp where m = 1) t""",
+    "op13_suffix_array_dedup": """
+        with d as (select doc_id, encode(coalesce(text, '')) b from documents), h as (select doc_id, hex(b) x, octet_length(b) n, row_number() over () r from d),
+        cut as (select r, o, n, substr(x, 1 + 2 * o::int, 2398) y from (select r, x, n, unnest(range(0, n, 1000)) o from h)),
+        win as (select r, o + i i, md5_number(substr(y, 1 + 2 * i::int, 400)) s from (select r, o, y, unnest(range(least(1000, n - 199 - o))) i from cut where n - 199 > o)),
+        twice as (select s from win group by s having count(*) > 1),
+        gone as (select distinct r, unnest(range(i, i + 200)) k from win semi join twice using (s)),
+        kept as (select r, k, y from (select r, o + k k, substr(y, 1 + 2 * k::int, 2) y from (select r, o, y, unnest(range(least(1000, n - o))) k from cut)) anti join gone using (r, k)),
+        left_over as (select r, string_agg(y, '' order by k) y from kept group by r),
+        spans as (select r, count(*) n_removed, count(*) filter (g.k - 1 <> coalesce(p, -2)) n_spans from (select r, k, lag(k) over (partition by r order by k) p from gone) g group by r)
+        select doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(y, ''))) kept_sha256 from h left join left_over using (r) left join spans using (r)""",
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from voxloom.plans.durable import shared_dir
 from voxloom.plans.ship import ship
 
 #: Words are maximal runs of anything but these ASCII blanks; ``bytes.split()`` cuts at just these.
@@ -70,6 +72,13 @@ def small_batches(spark) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", SLICE)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends there, and it takes less disk than a checkpoint."""
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def map_rows(df: DataFrame, fn, schema: str, raw: Iterable[str] = ()) -> DataFrame:
     """``fn(columns as Python lists, in order) -> list of output columns`` for each Arrow batch.
 
