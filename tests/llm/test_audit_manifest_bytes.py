@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from voxloom.llm import audit, bytespans, manifest
 from voxloom.llm.deepshallow import suffix_order
+from voxloom.llm.texts import blocks
 
 RNG = np.random.default_rng(5)
 WORDS = ["alpha", "Beta", "gamma", "été", "x$", "DELTA", "eps\nilon", "日本"]
@@ -81,7 +82,7 @@ def test_audit_of_nothing(docs, labels):
 def test_words_in_blocks():
     data = " \n".join(f"w{i}" for i in range(500)).encode() + b"x" * 90 + b" "
     for size in (1, 7, 64, 10_000):
-        parts = list(audit.blocks(data, size))
+        parts = list(blocks(data, size))
         assert b"".join(parts) == data
         assert [w for p in parts for w in p.split()] == data.split()
 

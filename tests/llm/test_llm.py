@@ -460,6 +460,30 @@ def test_word_hashes(monkeypatch):
     assert len(by.words(b"")) == len(by.words(b" \n ")) == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    """Thue-Morse words and their letter swaps are alike for polynomials modulo powers of two."""
+    filler = " ".join(f"w{k}" for k in range(12))
+    rows = [(k, f"{filler} {w} {filler}") for k, w in enumerate((thue_morse(n), thue_morse(n, "b", "a")))]
+    rows += [(2, " ".join(thue_morse(n, "x ", "y ").split())), (3, " ".join(thue_morse(n, "y ", "x ").split()))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_repeats(rows, 20)
+    assert got.where("doc_id < 2").agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_segment_keys(spark):
+    rng = np.random.default_rng(3)
+    words = rng.integers(-(2**63), 2**63, (20, 8))
+    got = spark.createDataFrame([(w.tolist(),) for w in words], "fp array<bigint>").select(F.array(*neardup.segment_keys(512, 24)).alias("keys")).collect()
+    for w, r in zip(words, got, strict=True):
+        bits = np.unpackbits(w.astype(np.int64).view(np.uint8), bitorder="little")
+        assert r["keys"] == [(s << 32) + sum(int(x) << j for j, x in enumerate(bits[24 * s : 24 * s + 24])) for s in range(21)]
+
+
 @pytest.mark.parametrize("shard", [20, 100_000])
 def test_spans_of_a_reference(spark, shard):
     ref = [text_of(40) for _ in range(6)] + [None]

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.texts import map_rows
+from voxloom.llm.texts import blocks, map_rows
 from voxloom.plans.durable import durable
 
 FILTERS = "ABCDE"
@@ -39,27 +38,16 @@ MEASURES = ("rows", "good", "toxic")
 #: Bytes that are split into words at once.
 BLOCK = 1 << 20
 
-_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _SIGNS = re.compile(rb"[#$%&*|]")
 
 
-def blocks(data: bytes, size: int = BLOCK) -> Iterator[bytes]:
-    """``data`` in pieces of about ``size`` bytes that end at blanks."""
-    at = 0
-    while at < len(data):
-        cut = _BLANK.search(data, at + size)
-        end = cut.start() if cut else len(data)
-        yield data[at:end] if at or end < len(data) else data
-        at = end
-
-
 def failures(text: str | None) -> tuple[int, bytes]:
     """(bits of the failed filters A to D, A the lowest; SHA-256 of the text)."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     n, seen = 0, set()
-    for b in blocks(data):
+    for b in blocks(data, BLOCK):
         words = b.split()
         n += len(words)
         seen.update(words)

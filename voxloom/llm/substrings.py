@@ -11,8 +11,8 @@ match, and each shard meets only its own passages:
 1. The least hash among a window's ``GRAM``-word grams is its anchor. Equal windows have
    equal anchors; consecutive windows that share the anchor's place are a run. Only runs
    whose anchor occurs again anywhere can hold a repeated window.
-2. Runs with one anchor form a shard, as word sequences. Equal sequences are merged first, by a
-   hash beside the anchor's and with map-side combine, remembering the earliest, so copies by
+2. Runs with one anchor form a shard, as word sequences. Equal sequences are merged first, by 64 bits of XXH3
+   beside the anchor's 64 and with map-side combine, remembering the earliest, so copies by
    the thousand are one sequence; all windows of a later copy start earlier in the first.
 3. Where a shard has several sequences, their words are fetched and stream through a suffix automaton in the order of
    their first occurrence. The automaton gives at each word the longest match with anything
@@ -20,7 +20,7 @@ match, and each shard meets only its own passages:
    an earlier start.
 
 An anchor with more than ``HOT`` different sequences (a frequent phrase in many contexts) would
-make a large shard, so it is cut further: each different window of it is a shard of its own.
+make a large shard, so it is cut further: each different window of it (128 bits of XXH3) is a shard of its own.
 
 Against a reference of bounded size, ``matched_spans`` broadcasts the automata themselves.
 
@@ -37,11 +37,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.suffix import SuffixAutomaton
-from voxloom.llm.texts import map_rows, per_task, words_of
+from voxloom.llm.texts import Cache, blocks, map_rows, per_task, words_of
 from voxloom.plans.durable import durable
 
 WINDOW = 20
@@ -51,6 +52,8 @@ HOT = 1000
 STATES = 100_000
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
+#: Words whose hashes a task keeps.
+KNOWN = 200_000
 #: Words of a broadcast reference shard.
 SHARD_WORDS = 200_000
 
@@ -63,60 +66,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-class Hashes:
-    """Hashes of factors of number sequences: differences of prefix sums of a polynomial modulo 2**64, then mixed."""
+class _Known(Cache):
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
+
 
-    BASE = 0x9E3779B97F4A7C15
+class Hashes:
+    """Hashes of words (XXH3 of their bytes), kept for those met lately, and of sequences of words."""
 
     def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-        self.letters = _mix(np.arange(1, 257, dtype=np.uint64))
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                one = np.ones(1, np.uint64)
-                self.up = np.cumprod(np.r_[one, np.full(2 * n, self.BASE, np.uint64)])
-                self.down = np.cumprod(np.r_[one, np.full(2 * n, pow(self.BASE, -1, 1 << 64), np.uint64)])
-
-    def factors(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of each x[start:end]; it depends on the numbers alone."""
-        self._powers(len(x))
-        with np.errstate(over="ignore"):
-            sums = np.r_[np.zeros(1, np.uint64), np.cumsum(x * self.up[: len(x)])]
-            return _mix((sums[ends] - sums[starts]) * self.down[starts])
+        self.known = _Known(KNOWN)
 
     def words(self, data: bytes) -> np.ndarray:
         """The hash of each word."""
         out = []
-        raw = np.frombuffer(data, np.uint8)
-        at = 0
-        while at < len(raw):
-            end = min(at + BLOCK, len(raw))
-            blank = _BLANK[raw[at:end]]
-            if end < len(raw):  # a block ends at a blank
-                last = len(blank) - 1 - int(blank[::-1].argmax())
-                while not blank[last]:
-                    end = min(end + BLOCK, len(raw))
-                    blank = _BLANK[raw[at:end]]
-                    last = len(blank) - 1 - int(blank[::-1].argmax())
-                    if end == len(raw):
-                        break
-                if blank[last]:
-                    end, blank = at + last + 1, blank[: last + 1]
-            edge = np.flatnonzero(np.diff(np.r_[True, blank, True].view(np.int8)))
-            out.append(self.factors(self.letters[raw[at:end]], edge[::2], edge[1::2]))
-            at = end
+        for part in blocks(data, BLOCK):
+            words = part.split()
+            out.append(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+def sequences(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash (XXH3) of each h[start:end]."""
+    raw = memoryview(h.tobytes())
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((8 * starts).tolist(), (8 * ends).tolist(), strict=True)], np.uint64)
 
 
-def grams(h: np.ndarray, size: int, by: Hashes) -> np.ndarray:
-    """A hash of each ``size`` consecutive words."""
-    at = np.arange(len(h) - size + 1)
-    return by.factors(h, at, at + size)
+def grams(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive words, mixed word by word."""
+    n = len(h) - size + 1
+    g = h[:n]
+    with np.errstate(over="ignore"):
+        for k in range(1, size):
+            g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + h[k : k + n]
+    return _mix(g)
 
 
 def anchors(g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +122,7 @@ def runs_of(texts: list[str | None], by: Hashes, window: int, gram: int) -> tupl
     ends = np.cumsum([len(t.split()) for t in said])
     if len(h) < window:
         return (np.zeros(0, np.int64),) * 5
-    v, p = anchors(grams(h, gram, by), window - gram + 1)
+    v, p = anchors(grams(h, gram), window - gram + 1)
     at = np.arange(len(v))
     doc = np.searchsorted(ends, at, "right")
     whole = at + window <= ends[doc]
@@ -149,7 +132,7 @@ def runs_of(texts: list[str | None], by: Hashes, window: int, gram: int) -> tupl
         return (np.zeros(0, np.int64),) * 5
     count = np.bincount(np.cumsum(first)[whole] - 1)
     own = doc[starts]
-    sequence = by.factors(h, starts, starts + count + window - 1)
+    sequence = sequences(h, starts, starts + count + window - 1)
     return own, v[starts].view(np.int64), sequence.view(np.int64), starts - np.r_[0, ends][own], count
 
 
@@ -225,16 +208,17 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
                 h = by.words(b" ".join(words)) if any(p["hot"] for p in ps) else None
                 for p in {(p["v"], p["at"]): p for p in ps}.values():
                     if p["hot"]:
-                        at = np.arange(p["at"], p["at"] + p["n"])
-                        out += [(x, d, k, 1, None) for x, k in zip(by.factors(h, at, at + window).view(np.int64).tolist(), at.tolist(), strict=True)]
+                        for k in range(p["at"], p["at"] + p["n"]):
+                            v, w = np.frombuffer(xxhash.xxh3_128_digest(h[k : k + window].tobytes()), np.int64).tolist()
+                            out.append((v, w, d, k, 1, None))
                     else:
-                        out.append((p["v"], d, p["at"], p["n"], b" ".join(words[p["at"] : p["at"] + p["n"] + window - 1])))
+                        out.append((p["v"], 0, d, p["at"], p["n"], b" ".join(words[p["at"] : p["at"] + p["n"] + window - 1])))
             return [list(c) for c in zip(*out, strict=True)] if out else None
 
         return step
 
-    shards = map_rows(packed.join(parts, "doc").select("doc", "z", "parts"), cut, f"v bigint, doc {doc_kind}, at int, n int, seq binary")
-    windows = shards.where("seq is null").groupBy("v").agg(F.min(F.struct("doc", "at")).alias("f")).select("f.doc", "f.at", F.lit(1).alias("n"), F.lit(1).cast("bigint").alias("keep"))
+    shards = map_rows(packed.join(parts, "doc").select("doc", "z", "parts"), cut, f"v bigint, w bigint, doc {doc_kind}, at int, n int, seq binary")
+    windows = shards.where("seq is null").groupBy("v", "w").agg(F.min(F.struct("doc", "at")).alias("f")).select("f.doc", "f.at", F.lit(1).alias("n"), F.lit(1).cast("bigint").alias("keep"))
     # Rows equal in all would come twice; the judge drops the second.
     mixed = shards.where("seq is not null").repartition("v").sortWithinPartitions("v", "doc", "at").select("v", "doc", "at", "n", "seq")
 

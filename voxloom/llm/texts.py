@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +25,19 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def blocks(data: bytes, size: int) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes that end at blanks."""
+    at = 0
+    while at < len(data):
+        cut = _BLANK.search(data, at + size)
+        end = cut.start() if cut else len(data)
+        yield data[at:end] if at or end < len(data) else data
+        at = end
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, or one like it, that isn't among ``taken`` in whatever case."""
     low = {c.lower() for c in taken}
