@@ -450,14 +450,13 @@ def test_substrings_with_ids_of_text_and_long_texts(spark):
 
 def test_word_hashes(monkeypatch):
     words = [b"a", b"b", b"ab", b"ba", b"aa", b"x" * 300, "é".encode(), b"ab"]
-    by = substrings.Hashes()
-    one = by.words(b" ".join(words) + b"  \n")
+    one = substrings.word_hashes(b" ".join(words) + b"  \n")
     assert len(set(one.tolist())) == 7
     assert one[2] == one[7]
     monkeypatch.setattr(substrings, "BLOCK", 7)
     for data in (b" ".join(words), b"\n" + b"\t ".join(words) + b" "):
-        assert substrings.Hashes().words(data).tolist() == one.tolist()
-    assert len(by.words(b"")) == len(by.words(b" \n ")) == 0
+        assert substrings.word_hashes(data).tolist() == one.tolist()
+    assert len(substrings.word_hashes(b"")) == len(substrings.word_hashes(b" \n ")) == 0
 
 
 def thue_morse(n, a="a", b="b"):

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.suffix import SuffixAutomaton
-from voxloom.llm.texts import Cache, blocks, map_rows, per_task, words_of
+from voxloom.llm.texts import blocks, map_rows, per_task, words_of
 from voxloom.plans.durable import durable
 
 WINDOW = 20
@@ -52,8 +52,6 @@ HOT = 1000
 STATES = 100_000
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
-#: Words whose hashes a task keeps.
-KNOWN = 200_000
 #: Words of a broadcast reference shard.
 SHARD_WORDS = 200_000
 
@@ -66,24 +64,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-class _Known(Cache):
-    def make(self, word: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(word)
-
-
-class Hashes:
-    """Hashes of words (XXH3 of their bytes), kept for those met lately, and of sequences of words."""
-
-    def __init__(self):
-        self.known = _Known(KNOWN)
-
-    def words(self, data: bytes) -> np.ndarray:
-        """The hash of each word."""
-        out = []
-        for part in blocks(data, BLOCK):
-            words = part.split()
-            out.append(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def word_hashes(data: bytes) -> np.ndarray:
+    """The hash (XXH3) of each word."""
+    out = []
+    for part in blocks(data, BLOCK):
+        words = part.split()
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def sequences(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -112,13 +99,13 @@ def anchors(g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return v, p
 
 
-def runs_of(texts: list[str | None], by: Hashes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(texts: list[str | None], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text's place, anchor, sequence, first window, windows) of all runs, over texts at once.
 
     ``sequence``: a hash of the words that the run's windows cover.
     """
     said = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    h = by.words(b"\n".join(said))
+    h = word_hashes(b"\n".join(said))
     ends = np.cumsum([len(t.split()) for t in said])
     if len(h) < window:
         return (np.zeros(0, np.int64),) * 5
@@ -170,19 +157,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     packed = map_rows(rows, squeeze, f"doc {doc_kind}, z binary", raw=["doc"])
 
     def found(wanted: str, schema: str) -> DataFrame:
-        @per_task
-        def find():
-            by = Hashes()
-
-            def step(doc, texts):
-                parts = [(a, runs_of(texts[a:b], by, window, gram)) for a, b in _groups(texts)]
-                own, v, h, at, n = (np.concatenate([x[k] + (a if k == 0 else 0) for a, x in parts]) for k in range(5))
-                out = {"v": v, "h": h, "at": at, "n": n}
-                if "doc" in wanted:
-                    out["doc"] = doc.take(pa.array(own))
-                return [out[c] for c in wanted.split()]
-
-            return step
+        def find(doc, texts):
+            parts = [(a, runs_of(texts[a:b], window, gram)) for a, b in _groups(texts)]
+            own, v, h, at, n = (np.concatenate([x[k] + (a if k == 0 else 0) for a, x in parts]) for k in range(5))
+            out = {"v": v, "h": h, "at": at, "n": n}
+            if "doc" in wanted:
+                out["doc"] = doc.take(pa.array(own))
+            return [out[c] for c in wanted.split()]
 
         return map_rows(rows, find, schema, raw=["doc"])
 
@@ -199,13 +180,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
 
     @per_task
     def cut():
-        whole, by = unpacker(), Hashes()
+        whole = unpacker()
 
         def step(doc, z, parts):
             out = []
             for d, t, ps in zip(doc, z, parts, strict=True):
                 words = whole(t).split()
-                h = by.words(b" ".join(words)) if any(p["hot"] for p in ps) else None
+                h = word_hashes(b" ".join(words)) if any(p["hot"] for p in ps) else None
                 for p in {(p["v"], p["at"]): p for p in ps}.values():
                     if p["hot"]:
                         for k in range(p["at"], p["at"] + p["n"]):
