@@ -503,3 +503,97 @@ def test_merge_table_survives_a_repeat(spark, tmp_path):
     t.apply(e((40, 41)), 5)
     assert t.read(before=2).count() == 4
     assert {r["node"]: r["component"] for r in t.read(before=3).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
+
+
+def holed(shape, share=0.06):
+    """A cube of intensities and which of its voxels exist."""
+    return RNG.integers(0, 255, shape), RNG.random(shape) >= share
+
+
+def with_holes(spark, cube, there, name="v", kind="int"):
+    cast = {"double": float, "int": int, "bigint": int}[kind]
+    return spark.createDataFrame([(*map(int, p), cast(cube[p])) for p in zip(*np.nonzero(there), strict=True)], f"z int, y int, x int, {name} {kind}")
+
+
+@pytest.mark.parametrize("size", [5, 128])
+def test_membrane_scores_of_a_volume_with_holes(spark, tmp_path, monkeypatch, size):
+    """Every voxel in the band has the score of its tile, holes being 0 and borders mirrored; all are saved."""
+    monkeypatch.setattr(blocks.on_slices, "__defaults__", (size,))
+    cube, there = holed((2, 13, 17))
+    extent = {"y": (0, 13), "x": (0, 17)}
+    weights = RNG.random(25) / 30
+    scorer = lambda rows: 1 / (1 + np.exp(-(rows @ weights)))
+    got = detect.score_membranes(with_holes(spark, cube, there), scorer, 2, extent, (30, 220)).collect()
+    padded = np.pad(np.where(there, cube, 0), ((0, 0), (2, 2), (2, 2)), mode="symmetric")
+    want = {}
+    for z, y, x in zip(*np.nonzero(there), strict=True):
+        v = cube[z, y, x]
+        tile = padded[z, y : y + 5, x : x + 5].reshape(1, -1) / 255
+        want[z, y, x] = 0.0 if v > 220 else 1.0 if v < 30 else scorer(tile)[0]
+    assert {(r["z"], r["y"], r["x"]): r["p"] for r in got} == pytest.approx(want)
+    assert all(r["v"] == cube[r["z"], r["y"], r["x"]] and r["p"] + r["p_not"] == pytest.approx(1) for r in got)
+    truth = with_holes(spark, (cube > 128).astype(int), there, "t")
+    told = detect.score_volume(with_holes(spark, cube, there), scorer, 2, extent, (30, 220), str(tmp_path / "saved"), truth)
+    assert told.agg(F.sum(F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))).first()[0] == there.sum()
+    saved = spark.read.parquet(str(tmp_path / "saved")).collect()
+    assert {(r["z"], r["y"], r["x"]): r["v"] for r in saved} == pytest.approx({p: 1 - s for p, s in want.items()})
+
+
+def test_tile_scorer_equals_spark(spark):
+    rows = with_holes(spark, *holed((1, 12, 12), 0.0))
+    truth = rows.select("z", "y", "x", (F.col("v") > 128).cast("int").alias("t"))
+    model = detect.train_tiles(rows, truth)
+    a = {(r["y"], r["x"]): r["p"] for r in ml.score_blocks(rows, ml.tile_scorer(model, detect.SCALE), 2, whole=True).collect()}
+    b = {(r["y"], r["x"]): r["prob"][1] for r in ml.score_tiles(model, stencil.tiles(rows, 2), scale=detect.SCALE).collect()}
+    assert a == pytest.approx(b)
+    assert len(a) == 64
+    with pytest.raises(TypeError):
+        ml.tile_scorer(3)
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 400])
+def test_tiles_are_whole(spark, monkeypatch, cells):
+    monkeypatch.setattr(stencil, "TILE_CELLS", cells)
+    cube, there = holed((2, 14, 19))
+    rows = with_holes(spark, cube, there)
+    centres = rows.where("(y + x) % 2 = 0")
+    want = {(z, y, x): cube[z, y - 1 : y + 2, x - 1 : x + 2].tolist() for z in range(2) for y in range(1, 13) for x in range(1, 18) if there[z, y - 1 : y + 2, x - 1 : x + 2].all()}
+    assert {(r["z"], r["y"], r["x"]): r["tile"] for r in stencil.tiles(rows, 1).collect()} == want
+    assert {(r["z"], r["y"], r["x"]): r["tile"] for r in stencil.tiles(rows, 1, centres=centres).collect()} == {p: t for p, t in want.items() if (p[1] + p[2]) % 2 == 0}
+    assert stencil.tiles(rows, 1).schema["tile"].dataType.simpleString() == "array<array<int>>"
+
+
+def test_rescaling_lets_nulls_be(spark):
+    rows = spark.createDataFrame([(0, 0, 0, None), (0, 0, 1, 0.5), (0, 0, 2, 1.0)], "z int, y int, x int, v double")
+    assert [r["v"] for r in sinks.rescaled_slices(rows, rescale=False).orderBy("x").collect()] == [None, 0.5, 1.0]
+    assert [r["v"] for r in sinks.rescaled_slices(rows).orderBy("x").collect()] == [None, 0, 255]
+    with pytest.raises(Exception, match="outside"):
+        sinks.rescaled_slices(rows.withColumn("v", F.col("v") + 1), rescale=False).collect()
+
+
+@pytest.mark.parametrize("size", [9, 128])
+def test_reticula_across_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks.on_slices, "__defaults__", (size,))
+    cube = np.where(RNG.random((2, 40, 45)) < 0.02, 20, 200) + RNG.integers(0, 20, (2, 40, 45))
+    cube[0, 10:13, 10:13] = cube[1, 7:9, 17:20] = 30
+    there = RNG.random(cube.shape) >= 0.03
+    seen, want = {}, np.zeros(cube.shape, bool)
+    for z, y, x in zip(*np.nonzero(there & (cube < 45)), strict=True):
+        dark, stop = [(y, x)], None
+        for r in range(1, 17):
+            cells = [(y + dy, x + dx) for dy, dx in reticula.ring(r) if 0 <= y + dy < 40 and 0 <= x + dx < 45 and there[z, y + dy, x + dx]]
+            black = [c for c in cells if cube[z][c] < int(45 + r * 0.5)]
+            light = sum(cube[z][c] > 87 for c in set(cells) - set(black))
+            if cells:
+                seen[z, y, x, r] = (len(cells), light, len(black))
+            if stop is None:
+                dark += black
+                if cells and light >= len(cells) - 5:
+                    stop = r
+        if stop and 2 <= stop <= 15:
+            for c in dark:
+                want[z][c] = True
+    rows = with_holes(spark, cube, there)
+    assert {(r["sz"], r["sy"], r["sx"], r["r"]): (r["n"], r["n_light"], r["n_black"]) for r in reticula.rings(rows).collect()} == seen
+    assert {(r["z"], r["y"], r["x"]) for r in reticula.detect(rows).collect()} == set(zip(*np.nonzero(want), strict=True))
+    assert want.any()

@@ -60,6 +60,60 @@ def by_slice(voxels: DataFrame, value: str, halo: int, kernel: Callable[[np.ndar
     return seen.groupBy("z", "by", "bx").applyInPandas(one, f"z int, y int, x int, `{out}` {kind}")
 
 
+def on_slices(voxels: DataFrame, inputs: list[str], halo: int, kernel: Callable, schema: str, size: int = BLOCK) -> DataFrame:
+    """Rows of ``schema`` from ``kernel(values, there, corner)`` on each block of a slice.
+
+    ``values``: an array of doubles for each of ``inputs``, 0 where no voxel is; ``there``: which cells hold one; both with the halo.
+    ``corner``: (z, y, x) of the first cell, in the halo. The kernel gives a list of columns; inner cells are its own, cells in the halo
+    belong to other blocks as well.
+    """
+    ship(voxels.sparkSession)
+    seen = voxels.select("z", "y", "x", *(F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(inputs)))
+    seen = seen.withColumn("by", F.explode(_with_halo("y", size, halo))).withColumn("bx", F.explode(_with_halo("x", size, halo)))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, by, bx = (int(pdf[c].iloc[0]) for c in ("z", "by", "bx"))
+        corner = (z, by * size - halo, bx * size - halo)
+        y, x = pdf["y"].to_numpy() - corner[1], pdf["x"].to_numpy() - corner[2]
+        # Only the part that holds voxels is filled in.
+        shape = tuple(max(2 * halo + 1, min(size + 2 * halo, int(c.max()) + 1 + halo)) for c in (y, x))
+        there = np.zeros(shape, bool)
+        there[y, x] = True
+        values = [np.zeros(shape) for _ in inputs]
+        for k, v in enumerate(values):
+            v[y, x] = np.nan_to_num(pdf[f"v{k}"].to_numpy(float))
+        return pd.DataFrame(dict(zip(names, kernel(values, there, corner), strict=True)))
+
+    return seen.groupBy("z", "by", "bx").applyInPandas(one, schema)
+
+
+def inner(cells: np.ndarray, halo: int) -> np.ndarray:
+    return cells[halo : cells.shape[0] - halo, halo : cells.shape[1] - halo]
+
+
+def places(cells: np.ndarray, halo: int, corner: tuple[int, int, int]) -> list[np.ndarray]:
+    """The z, y and x of the chosen inner cells."""
+    y, x = np.nonzero(cells)
+    return [np.full(len(y), corner[0], np.int32), (y + corner[1] + halo).astype(np.int32), (x + corner[2] + halo).astype(np.int32)]
+
+
+def on_boxes(voxels: DataFrame, columns: list[str], halo: tuple[int, int, int], kernel: Callable, schema: str, size: tuple[int, int, int]) -> DataFrame:
+    """Rows of ``schema`` from ``kernel(rows, own)`` on each box of voxels: ``rows`` has z, y, x and ``columns``; ``own``: which aren't in the halo."""
+    ship(voxels.sparkSession)
+    seen = voxels.select("z", "y", "x", *columns)
+    for a, s, h in zip("zyx", size, halo, strict=True):
+        seen = seen.withColumn(f"b{a}", F.explode(_with_halo(a, s, h)))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.ones(len(pdf), bool)
+        for a, s in zip("zyx", size, strict=True):
+            own &= pdf[a].to_numpy() // s == pdf[f"b{a}"].to_numpy()
+        return kernel(pdf, own)
+
+    return seen.groupBy("bz", "by", "bx").applyInPandas(one, schema)
+
+
 def windows(values: np.ndarray, halo: int) -> np.ndarray:
     """Each inner cell's (2 halo + 1)^2 neighbourhood, as a view."""
     return np.lib.stride_tricks.sliding_window_view(values, (2 * halo + 1, 2 * halo + 1))

@@ -128,15 +128,21 @@ def score_volume(voxels: DataFrame, model, border: int, extent: dict[str, tuple[
     return scored if truth is None else metrics.performance(scored.select("z", "y", "x", "p").join(truth.select("z", "y", "x", "t"), ["z", "y", "x"]), 0.5, ["z"])
 
 
+#: Intensities are divided by this before a perceptron sees them, in training and in scoring.
+SCALE = 255.0
+
+
 def score_membranes(voxels: DataFrame, model, border: int, extent: dict[str, tuple[int, int]], band: tuple[int, int], r: int = 2) -> DataFrame:
     """(z, y, x, v, p, p_not): pad, mask, tiles about what the mask leaves, scores, overrides, pad off.
 
-    The cheap mask comes before tiles and the model; what it leaves out gets the override's value.
+    Blocks cut and score their own tiles. The cheap mask comes before both; what it leaves out gets the override's value, so every voxel
+    has a score. Holes count as 0. ``model``: a perceptron, or a function of flattened tiles over ``SCALE``.
     """
+    if border < r:
+        raise ValueError("the border must be as wide as a tile reaches")
     padded = stencil.mirrored(voxels.select("z", "y", "x", "v"), border, extent)
-    keep = voxels.where(values.band(F.col("v"), *band))
-    scored = ml.score_tiles(model, stencil.tiles(padded, r, centres=keep)).select("z", "y", "x", F.col("prob")[1].alias("p"))
-    return values.override_trivial(voxels.select("z", "y", "x", "v").join(scored, ["z", "y", "x"], "left"), "v", *band)
+    scored = ml.score_blocks(padded, ml.tile_scorer(model, SCALE), r, band=band, extent={a: extent[a] for a in ("y", "x")})
+    return values.override_trivial(scored, "v", *band)
 
 
 def train_tiles(voxels: DataFrame, truth: DataFrame, r: int = 2, iterations: int = 20):
@@ -146,7 +152,7 @@ def train_tiles(voxels: DataFrame, truth: DataFrame, r: int = 2, iterations: int
 
     chosen = sampling.balanced(truth.select("z", "y", "x", "t"), "t")
     cut = stencil.tiles(voxels, r, centres=chosen).join(chosen.select("z", "y", "x", F.col("t").alias("label")), ["z", "y", "x"])
-    flat = F.flatten(F.transform("tile", lambda row: F.transform(row, lambda x: x.cast("double") / 255)))
+    flat = F.flatten(F.transform("tile", lambda row: F.transform(row, lambda x: x.cast("double") / SCALE)))
     rows = durable(cut.select(array_to_vector(flat).alias("features"), F.col("label").cast("double").alias("label")))
     return MultilayerPerceptronClassifier(layers=[(2 * r + 1) ** 2, 8, 2], maxIter=iterations, seed=1).fit(rows)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.operators import metrics, stencil, values
+from voxloom.operators import blocks, metrics, stencil, values
 
 MAX_CATEGORIES = 32
 
@@ -164,9 +168,62 @@ def score_pixels(model: RandomForestClassificationModel, voxels: DataFrame, valu
     return predict(model, assemble(pixel_features(voxels, value), [value, *PIXEL])).select("z", "y", "x", value, "prob", "pred")
 
 
-def score_tiles(model, tiles: DataFrame, tile: str = "tile") -> DataFrame:
-    """Any Spark ML classifier on flattened tiles."""
-    flat = tiles.withColumn("features", array_to_vector(F.flatten(F.transform(tile, lambda r: F.transform(r, lambda x: x.cast("double"))))))
+def tile_scorer(model, scale: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of flattened tiles (rows) that gives the probability of class 1: the layers of a perceptron in numpy, or ``model`` itself if it is one."""
+    if not isinstance(model, MultilayerPerceptronClassificationModel):
+        if not callable(model):
+            raise TypeError("a perceptron or a function of tiles is needed; score_tiles takes any Spark ML classifier")
+        return lambda rows: model(rows / scale)
+    layers, left = [], model.weights.toArray()
+    for n, m in zip(model.getLayers(), model.getLayers()[1:], strict=False):
+        layers.append((left[: n * m].reshape(n, m), left[n * m : n * m + m]))
+        left = left[n * m + m :]
+
+    def score(rows: np.ndarray) -> np.ndarray:
+        x = rows / scale
+        for k, (w, b) in enumerate(layers):
+            x = x @ w + b
+            if k < len(layers) - 1:
+                x = 1 / (1 + np.exp(-x))
+        x = np.exp(x - x.max(1, keepdims=True))
+        return x[:, 1] / x.sum(1)
+
+    return score
+
+
+def score_blocks(voxels: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], r: int, value: str = "v", band: tuple[float, float] | None = None, whole: bool = False, extent: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(z, y, x, value, p): ``scorer`` on the (2r+1)^2 tile about each voxel, cut and scored in the block's own task.
+
+    Cells of a tile where no voxel is count as 0, as in a dense cutout; so a voxel beside a hole or an edge has a score like any other.
+    ``whole``: only voxels with whole tiles are given. Voxels out of ``band`` have no score; those beyond ``extent`` are seen, not given.
+    """
+
+    def score(values, there, corner):
+        v = blocks.inner(values[0], r)
+        cells = blocks.inner(there, r).copy()
+        if whole:
+            cells &= blocks.row_by_row(blocks.windows(there, r), lambda w: w.all(2))
+        z, y, x = blocks.places(cells, r, corner)
+        own = v[cells]
+        p = np.full(len(own), np.nan)
+        asked = np.flatnonzero((own >= band[0]) & (own <= band[1])) if band else np.arange(len(own))
+        view, (yy, xx) = blocks.windows(values[0], r), np.nonzero(cells)
+        step = max(1, stencil.TILE_CELLS // (2 * r + 1) ** 2)
+        for at in range(0, len(asked), step):
+            some = asked[at : at + step]
+            p[some] = scorer(view[yy[some], xx[some]].reshape(len(some), -1))
+        return [z, y, x, own, pd.Series(p).astype(object).where(~np.isnan(p), None)]
+
+    kind = voxels.schema[value].dataType.simpleString()
+    out = blocks.on_slices(voxels, [value], r, score, f"z int, y int, x int, {value} double, p double").withColumn(value, F.col(value).cast(kind))
+    for a, (lo, hi) in (extent or {}).items():
+        out = out.where(F.col(a).between(lo, hi - 1))
+    return out
+
+
+def score_tiles(model, tiles: DataFrame, tile: str = "tile", scale: float = 1.0) -> DataFrame:
+    """Any Spark ML classifier on flattened tiles, their values over ``scale``."""
+    flat = tiles.withColumn("features", array_to_vector(F.flatten(F.transform(tile, lambda r: F.transform(r, lambda x: x.cast("double") / scale)))))
     return model.transform(flat).withColumn("prob", vector_to_array("probability"))
 
 

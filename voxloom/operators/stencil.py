@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from voxloom.operators import blocks
 
 Offset = tuple[int, int, int]
+#: Cells of a block's tiles.
+TILE_CELLS = 1 << 21
 
 
 def box(r: int) -> list[Offset]:
@@ -187,14 +189,28 @@ def z_neighbours(voxels: DataFrame, n: int, z_range: tuple[int, int], value: str
 
 
 def tiles(voxels: DataFrame, r: int, value: str = "v", centres: DataFrame | None = None) -> DataFrame:
-    """(z, y, x, tile): (2r+1)^2 values about each centre, rows in order; whole tiles only."""
-    got = gathered(voxels, box(r), value)
+    """(z, y, x, tile): (2r+1)^2 values about each centre, rows in order; whole tiles only.
+
+    Tiles are views of blocks with a halo, so a voxel is sent to the few blocks that see it and only tiles that are asked for are made.
+    """
+    n, inputs = 2 * r + 1, [value]
     if centres is not None:
-        got = got.join(centres.select("z", "y", "x"), ["z", "y", "x"], "left_semi")
-    n = 2 * r + 1
-    flat = F.transform(F.array_sort(F.collect_list(F.struct("dy", "dx", "v"))), lambda s: s["v"])
-    out = got.groupBy("z", "y", "x").agg(flat.alias("flat")).where(F.size("flat") == n * n)
-    return out.select("z", "y", "x", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.slice("flat", i * n + 1, n)).alias("tile"))
+        chosen = centres.select("z", "y", "x").distinct().withColumn("_centre", F.lit(1))
+        voxels = voxels.join(chosen, ["z", "y", "x"], "left").withColumn("_centre", F.coalesce("_centre", F.lit(0)))
+        inputs.append("_centre")
+    kind = voxels.schema[value].dataType.simpleString()
+    whole_numbers = kind in ("tinyint", "smallint", "int", "bigint")
+
+    def cut(values, there, corner):
+        cells = blocks.row_by_row(blocks.windows(there, r), lambda w: w.all(2))
+        if len(values) > 1:
+            cells &= blocks.inner(values[1], r) > 0
+        found = blocks.windows(values[0], r)[cells]
+        return [*blocks.places(cells, r, corner), pd.Series((found.astype(np.int64) if whole_numbers else found).tolist(), dtype=object)]
+
+    # A block's tiles are held at once.
+    size = max(8, min(blocks.BLOCK, int((TILE_CELLS / (n * n)) ** 0.5)))
+    return blocks.on_slices(voxels, inputs, r, cut, f"z int, y int, x int, tile array<array<{kind}>>", size)
 
 
 def visible_regions(labels: DataFrame, r: int, membrane: int, value: str = "label") -> DataFrame:

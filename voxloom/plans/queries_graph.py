@@ -180,7 +180,7 @@ query("ml2_edge_features", f"with {FACES} select u, v, round(avg(m), 6) mean, ro
 )
 query("ml3_policy")(lambda t: ml.predict((mn := policy(t))[0], ml.assemble(ml.edge_features(rag.boundary(fragments(t))), mn[1])).select("u", "v", "pred", F.col("prob")[1].alias("p")))
 query("ml4_pixel_classifier")(lambda t: ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")))
-query("ml5_scored_tiles")(lambda t: ml.score_tiles(detect.train_tiles(t.fx_em, t.fx_pt.where("z % 7 < 4")), stencil.tiles(t.fx_em.where("z % 7 >= 4"), 2)).select("z", "y", "x", F.col("prob")[1].alias("p")))
+query("ml5_scored_tiles")(lambda t: ml.score_blocks(t.fx_em.where("z % 7 >= 4"), ml.tile_scorer(detect.train_tiles(t.fx_em, t.fx_pt.where("z % 7 < 4")), detect.SCALE), 2, whole=True).select("z", "y", "x", "p"))
 query("ml6_objects")(lambda t: detect.detect_and_classify(t.fx_em, t.fx_pt.select("z", "y", "x", "p"), t.fx_pt, 25, 50, threshold=0.55))
 query("ml7_per_tree")(lambda t: ml.per_tree(forest(t), train_rows(t).where("z % 7 >= 4"), ["z", "y", "x"], classes=["clear", "membrane"], cutoff=[0.6, 0.4]))
 query("ml8_importance")(
@@ -239,7 +239,10 @@ query("met10_f_scores_filtered")(lambda t: metrics.at_thresholds(stencil.median(
 
 # Detectors
 
-query("stn9_rings", None)(lambda t: reticula.rings(t.fx_em).select("sz", "sy", "sx", "r", "n", "n_light", F.size("black").alias("n_black")))
+RING = "(k = 0 or k = r + 2 or c = 0 or c = 2 * r)"
+query("stn9_rings", f"""with o as (select r, k + 1 - r dy, c + 1 - r dx from (select r, k, unnest(range(2 * r + 1)) c from (select r, unnest(range(2 * r + 1)) k from (select unnest(range(1, 17)) r))) where {RING}),
+    s as (select z, y, x from fx_em where v < 45), met as (select s.z sz, s.y sy, s.x sx, r, e.v v, floor(45 + r * 0.5) b from s cross join o join fx_em e on e.z = s.z and e.y = s.y + dy and e.x = s.x + dx)
+    select sz, sy, sx, r::int r, count(*) n, count(*) filter (v >= b and v > 87) n_light, count(*) filter (v < b) n_black from met group by sz, sy, sx, r""")(lambda t: reticula.rings(t.fx_em))
 query("det1_watershed_segments")(lambda t: detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=1, dilate_z=1, threshold=110, min_size=4, median=1))
 query("det2_reticula")(lambda t: detect.find_reticula(t.fx_em, 25, 50)[0])
 query("det3_pixel_pipeline")(lambda t: detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, extent(t), ml.train_pixels(t.fx_em, t.fx_pt, trees=5)))

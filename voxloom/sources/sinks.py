@@ -40,16 +40,16 @@ def shifted(labels: DataFrame, base: int, label: str = "label") -> DataFrame:
 
 
 def rescaled_slices(voxels: DataFrame, value: str = "v", rescale: bool = True, by: str = "z") -> DataFrame:
-    """Each slice to 0..255; or, without ``rescale``, an error unless the values lie in [0, 1].
+    """Each slice to 0..255; or, without ``rescale``, an error unless the values lie in [0, 1]. A null stays null.
 
     The slice extremes are a small aggregate joined back.
     """
     v = F.col(value)
     if not rescale:
-        return voxels.withColumn(value, F.when(v.between(0, 1), v).otherwise(F.raise_error(F.lit("value outside [0, 1]")).cast("double")))
+        return voxels.withColumn(value, F.when(v.isNull() | v.between(0, 1), v).otherwise(F.raise_error(F.lit("value outside [0, 1]")).cast("double")))
     ends = voxels.groupBy(by).agg(F.min(value).alias("_lo"), (F.max(value) - F.min(value)).alias("_span"))
     out = voxels.join(ends, by)
-    return out.withColumn(value, F.floor(F.coalesce(F.try_divide((v - F.col("_lo")) * 255, F.col("_span")), F.lit(0.0))).cast("int")).drop("_lo", "_span")
+    return out.withColumn(value, F.when(v.isNotNull(), F.floor(F.coalesce(F.try_divide((v - F.col("_lo")) * 255, F.col("_span")), F.lit(0.0))).cast("int"))).drop("_lo", "_span")
 
 
 def save_slices(voxels: DataFrame, path: str, by: str = "z") -> None:
