@@ -193,6 +193,36 @@ def test_watershed_is_a_minimum_spanning_forest(spark):
     assert (got[mask] == markers[mask]).all()
 
 
+def kruskal(cube, there, markers, ny, nx, near):
+    """A minimum spanning forest rooted at the markers, edges in one order."""
+    at = lambda p: p[0] * ny * nx + p[2] * ny + p[1]
+    nodes = [p for p in np.ndindex(cube.shape) if there[p]]
+    edges = sorted({(max(cube[p], cube[q]), min(at(p), at(q)), max(at(p), at(q))) for p in nodes for q in neighbours(cube.shape, p, near) if there[q]})
+    tree = {at(p): (-markers[p] if markers[p] else at(p)) for p in nodes}
+    for _, p, q in edges:
+        a, b = tree[p], tree[q]
+        if a != b and not (a < 0 and b < 0):
+            for k, t in tree.items():
+                if t == max(a, b):
+                    tree[k] = min(a, b)
+    return {p: max(0, -tree[at(p)]) for p in nodes}
+
+
+@pytest.mark.parametrize("size", [(2, 3, 4), (1, 5, 5), (16, 64, 64)])
+@pytest.mark.parametrize("flat", [False, True])
+def test_watershed_in_blocks(spark, size, flat):
+    """The forest doesn't depend on the blocks: ties in weight, holes, and parts without a marker."""
+    cube, there = RNG.integers(0, 9, (3, 9, 10)), RNG.random((3, 9, 10)) >= 0.1
+    cube[:, :, 4:6] = RNG.integers(3, 9, (3, 9, 2))
+    there[:, :, 7] = False
+    near = (lambda d: d[0] == 0) if flat else (lambda d: True)
+    cube[:, :, 8:] += 2  # beyond the gap nothing is under the threshold
+    markers = flood((cube < 2) & there, near)
+    got = {(r["z"], r["y"], r["x"]): r["label"] for r in rag.watershed(with_holes(spark, cube, there), 2, 9, 10, flat=flat, size=size).collect()}
+    assert got == kruskal(cube, there, markers, 9, 10, near)
+    assert 0 in got.values()
+
+
 def test_ncc():
     a = RNG.random((7, 9)) < 0.4
     assert seam.ncc(a, a) == pytest.approx((1.0, 0.0), abs=1e-9)

@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.operators import blocks
 from voxloom.operators.graph import connected_components
-from voxloom.operators.label import components, mapped, neighbours, relabel
+from voxloom.operators.label import components, half_offsets, mapped, neighbours, relabel
 from voxloom.plans.durable import durable
 
+#: Voxels of a block that grows its own part of a forest.
+FOREST_BLOCK = (16, 64, 64)
+
 
 def boundary(voxels: DataFrame, label: str = "label", value: str = "p", connectivity: int = 6) -> DataFrame:
     """(u, v, m): one row for each face between two labels, m the mean of the two values."""
@@ -68,23 +74,33 @@ def segmentation(labels: DataFrame, merged: DataFrame, label: str = "label") ->
     return relabel(mapped(labels, merged.select(F.col("node").alias("old"), F.col("component").alias("new")), label), label)
 
 
-def watershed(voxels: DataFrame, low: float, ny: int, nx: int, value: str = "v", marker_value: str | None = None, flat: bool = False) -> DataFrame:
+def watershed(voxels: DataFrame, low: float, ny: int, nx: int, value: str = "v", marker_value: str | None = None, flat: bool = False, size: tuple[int, int, int] = FOREST_BLOCK) -> DataFrame:
     """(z, y, x, label): regions grown from markers, the components of voxels under ``low``.
 
     A minimum spanning forest rooted at the markers (Cousty et al. 2009): an edge between
     neighbours weighs the larger of their values; rounds of least edges join voxels and trees
     until all hang on a marker. No ridge lines; ties go by weight, then by the pair's indices.
     Voxels that no path joins to a marker are 0.
+
+    Blocks grow their own part of the forest (``grown_in_block``). What goes on globally are the trees that reach out of a
+    block, and for each pair of trees their least edge.
     """
     markers = components(voxels.where(F.col(marker_value or value) < low), 8 if flat else 26, ny, nx)
-    at = durable(voxels.select("z", "y", "x", F.col(value).alias("v"), (F.col("z").cast("bigint") * ny * nx + F.col("x") * ny + F.col("y")).alias("i")))
-    # Trees have ids: a marker's is negative, so that it is the least of any union.
-    tree = at.join(markers.select("z", "y", "x", F.col("label").alias("m")), ["z", "y", "x"], "left").select("i", F.coalesce(-F.col("m"), F.col("i")).alias("t"))
-    tree = durable(tree)
-    pairs = neighbours(at, 8 if flat else 26, ["i", "v"]).select(F.col("a_i").alias("p"), F.col("b_i").alias("q"), F.greatest("a_v", "b_v").alias("w"))
-    edges = pairs.join(tree.select(F.col("i").alias("p"), F.col("t").alias("u")), "p").join(tree.select(F.col("i").alias("q"), F.col("t").alias("v")), "q")
-    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.struct("w", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).alias("k")).where("u <> v and not (u < 0 and v < 0)")
-    edges = durable(edges.groupBy("u", "v").agg(F.min("k").alias("k")))
+    at = voxels.select("z", "y", "x", F.col(value).cast("double").alias("v"), (F.col("z").cast("bigint") * ny * nx + F.col("x") * ny + F.col("y")).alias("i"))
+    # Trees have ids: a marker's is negative, so that it is the least of any union; another's is its least voxel's.
+    marked = at.join(markers.select("z", "y", "x", F.col("label").alias("m")), ["z", "y", "x"], "left").select("z", "y", "x", "i", "v", F.coalesce(-F.col("m"), F.col("i")).alias("t"))
+    offsets = half_offsets(8 if flat else 26)
+    halo = (0 if flat else 1, 1, 1)
+    made = durable(blocks.on_boxes(marked, ["i", "v", "t"], halo, lambda pdf, own: grown_in_block(pdf, own, offsets), FOREST, (1, *size[1:]) if flat else size))
+    leaf = made.where("i is not null").select("z", "y", "x", "i", "t")
+    inside, across = made.where("i is null and q is null"), made.where("q is not null")
+    key = F.struct("w", "lo", "hi").alias("k")
+    edges = inside.select("u", F.col("t").alias("v"), key).union(across.join(leaf.select(F.col("i").alias("q"), F.col("t").alias("far")), "q").select("u", "far", key))
+    edges = edges.where("u <> v and not (u < 0 and v < 0)").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("k").alias("k"))
+    edges = durable(edges)
+    # Only trees that go on are followed through the rounds.
+    open_ = edges.select(F.explode(F.array("u", "v")).alias("t0")).where("t0 >= 0").distinct()
+    tree = durable(open_.withColumn("t", F.col("t0")))
     while True:  # every round joins each tree without a marker to another, or finds none left
         ends = edges.select(F.col("u").alias("node"), "u", "v", "k").union(edges.select("v", "u", "v", "k"))
         # Trees without a marker reach out along their least edge; keys are all different, so no cycle forms.
@@ -96,7 +112,92 @@ def watershed(voxels: DataFrame, low: float, ny: int, nx: int, value: str = "v",
         tree = durable(_moved(tree, step, "t"))
         edges = _moved(_moved(edges, step, "u"), step, "v").where("u <> v and not (u < 0 and v < 0)")
         edges = durable(edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("k").alias("k")))
-    return at.join(tree, "i").select("z", "y", "x", F.when(F.col("t") < 0, -F.col("t")).otherwise(0).cast("bigint").alias("label"))
+    # Most voxels hang on a marker already.
+    settled = leaf.where("t < 0").select("z", "y", "x", "t")
+    rest = leaf.where("t >= 0").withColumnRenamed("t", "t0").join(tree, "t0", "left").select("z", "y", "x", F.coalesce("t", "t0").alias("t"))
+    return settled.union(rest).select("z", "y", "x", F.when(F.col("t") < 0, -F.col("t")).otherwise(0).cast("bigint").alias("label"))
+
+
+#: Rows of a block's forest. A voxel: z, y, x, i and its tree t. An edge: trees u and t inside, or u and a voxel q of another block; its key is (w, lo, hi).
+FOREST = "z int, y int, x int, i bigint, t bigint, u bigint, q bigint, w double, lo bigint, hi bigint"
+
+
+def grown_in_block(pdf: pd.DataFrame, own: np.ndarray, offsets: list[tuple[int, int, int]]) -> pd.DataFrame:
+    """The part of the forest that a block can tell: its trees, and the edges that go on.
+
+    With a halo of one voxel a block knows every edge of its own voxels. A tree without a marker joins along its least edge,
+    as in any round, wherever that edge leads to a voxel of the block or to a marker; if it leads to a voxel of
+    another block, the tree waits. When all wait or hang on markers, each pair of trees keeps its least edge.
+    """
+    pdf = pdf.reset_index(drop=True)
+    i, v, t = pdf["i"].to_numpy(np.int64), pdf["v"].to_numpy(float), pdf["t"].to_numpy(np.int64)
+    places = [pdf[a].to_numpy(np.int64) for a in "zyx"]
+    corner = [int(c.min()) - 1 for c in places]
+    at = [c - o for c, o in zip(places, corner, strict=True)]
+    grid = np.full([int(c.max()) + 2 for c in at], -1, np.int64)
+    grid[tuple(at)] = np.arange(len(i))
+    ends = []
+    for o in offsets:
+        far = grid[tuple(c + d for c, d in zip(at, o, strict=True))]
+        have = np.flatnonzero(far >= 0)
+        ends.append(np.stack([have, far[have]]))
+    a, b = np.concatenate(ends, 1)
+    seen = own[a] | own[b]
+    a, b = a[seen], b[seen]
+    w, lo, hi = np.maximum(v[a], v[b]), np.minimum(i[a], i[b]), np.maximum(i[a], i[b])
+    order = np.lexsort((hi, lo, w))
+    # Each edge is told by the block of its first voxel, if it leads out.
+    told = own[a][order]
+    a, b, w, lo, hi = (c[order] for c in (a, b, w, lo, hi))
+
+    ids, node = np.unique(t, return_inverse=True)
+    rooted = ids < 0
+    outside = np.zeros(len(ids), bool)
+    outside[node[~own & (t >= 0)]] = True
+    root = np.arange(len(ids))  # ids ascend, so the least of a union is its marker, or its least voxel
+    none = len(a)
+    live = np.arange(none)
+    while True:
+        ra, rb = root[node[a[live]]], root[node[b[live]]]
+        on = (ra != rb) & ~(rooted[ra] & rooted[rb])
+        live, ra, rb = live[on], ra[on], rb[on]
+        best = np.full(len(ids), none, np.int64)
+        for r in (ra, rb):
+            # Edges are in order, so the first of a tree is its least.
+            first = np.unique(r, return_index=True)
+            np.minimum.at(best, first[0], live[first[1]])
+        asks = np.flatnonzero((best < none) & ~rooted & ~outside & (root == np.arange(len(ids))))
+        e = best[asks]
+        ea, eb = root[node[a[e]]], root[node[b[e]]]
+        inside = ~(outside[ea] | outside[eb])
+        if not inside.any():
+            break
+        up = blocks.least_roots(len(ids), np.stack([ea[inside], eb[inside]]))
+        root = up[root]
+    ra, rb = root[node[a[live]]], root[node[b[live]]]
+    leads_out = outside[ra] | outside[rb]
+    # An edge that leads out ends at a voxel of another block; its tree is that block's to tell.
+    a_, b_, out_a = a[live], b[live], outside[ra]
+    u = np.where(out_a, ids[rb], ids[ra])
+    q = np.where(leads_out, np.where(out_a, i[a_], i[b_]), -1)
+    other = np.where(leads_out, 0, np.where(out_a, ids[ra], ids[rb]))
+    keep = ~(outside[ra] & outside[rb]) & (~leads_out | told[live])
+    u, q, other, k = u[keep], q[keep], other[keep], live[keep]
+    lone = q < 0
+    u, other = np.where(lone, np.minimum(u, other), u), np.where(lone, np.maximum(u, other), other)
+    # The first of each pair, in order, is its least.
+    pair = np.unique(np.stack([u, q, other]), axis=1, return_index=True)[1]
+    u, q, other, k = u[pair], q[pair], other[pair], k[pair]
+    n, m = int(own.sum()), len(k)
+    voxel = np.r_[np.ones(n, bool), np.zeros(m, bool)]
+    first = lambda c: np.r_[c, np.zeros(m, c.dtype)]
+    last = lambda c: np.r_[np.zeros(n, c.dtype), c]
+    where = lambda c, there: pd.Series(c).astype("Int64").where(there)
+    return pd.DataFrame({
+        "z": where(first(places[0][own]), voxel).astype("Int32"), "y": where(first(places[1][own]), voxel).astype("Int32"), "x": where(first(places[2][own]), voxel).astype("Int32"),
+        "i": where(first(i[own]), voxel), "t": pd.Series(np.r_[ids[root[node[own]]], other]).astype("Int64"), "u": where(last(u), ~voxel), "q": where(last(q), ~voxel & (last(q) >= 0)),
+        "w": pd.Series(last(w[k])).where(~voxel), "lo": where(last(lo[k]), ~voxel), "hi": where(last(hi[k]), ~voxel),
+    })
 
 
 def _rooted(chosen: DataFrame) -> DataFrame:
