@@ -92,6 +92,82 @@ def test_fill_background(spark):
     assert (cube_of(label.fill_background(frame(spark, cube, "label", "bigint")), cube.shape) == want).all()
 
 
+def test_filling_moves_the_front_alone(spark, monkeypatch):
+    """Each round sends only what the last one labelled."""
+    cube = np.zeros((2, 12, 40), int)
+    cube[0, :, :2], cube[0, 3, 30], cube[1, 5, 20] = 4, 9, 2
+    sent = []
+    was = stencil.gathered
+    monkeypatch.setattr(stencil, "gathered", lambda voxels, *a, **k: sent.append(voxels.count()) or was(voxels, *a, **k))
+    got = cube_of(label.fill_background(frame(spark, cube, "label", "bigint")), cube.shape)
+    want = cube.copy()
+    while (want == 0).any():
+        now = want.copy()
+        for z, y, x in zip(*np.nonzero(want == 0), strict=True):
+            now[z, y, x] = max(want[z, y + dy, x + dx] for _, dy, dx in stencil.disk(3) if 0 <= y + dy < 12 and 0 <= x + dx < 40)
+        want = now
+    assert (got == want).all()
+    assert sum(sent) <= cube.size  # a voxel travels once
+
+
+def features_by_hand(cube, there, sigma, scales):
+    """The pixel features, one voxel at a time."""
+    z_, ny, nx = cube.shape
+    have = lambda z, y, x: 0 <= y < ny and 0 <= x < nx and there[z, y, x]
+
+    def smooth(f, s):
+        r, out = max(1, round(2 * s)), np.zeros(cube.shape)
+        for z, y, x in np.ndindex(cube.shape):
+            near = [(f[z, y + dy, x + dx], np.exp(-(dy * dy + dx * dx) / (2 * s * s))) for _, dy, dx in stencil.box(r) if have(z, y + dy, x + dx)]
+            out[z, y, x] = sum(v * w for v, w in near) / sum(w for _, w in near) if near else 0
+        return out
+
+    def around(f, p, dy, dx):
+        z, y, x = p
+        return f[z, y + dy, x + dx] if have(z, y + dy, x + dx) else f[p]
+
+    def every(fn):
+        return np.array([fn(p) if there[p] else 0.0 for p in np.ndindex(cube.shape)]).reshape(cube.shape)
+
+    def slope(f):
+        return every(lambda p: (around(f, p, 1, 0) - around(f, p, -1, 0)) / 2), every(lambda p: (around(f, p, 0, 1) - around(f, p, 0, -1)) / 2)
+
+    def laplacian(f):
+        return every(lambda p: sum(around(f, p, *o) for o in ((1, 0), (-1, 0), (0, 1), (0, -1))) - 4 * f[p])
+
+    def eigen(a, b, c):
+        both = np.linalg.eigvalsh(np.stack([np.stack([a, b], -1), np.stack([b, c], -1)], -1))
+        return both[..., 1], both[..., 0]
+
+    cube = np.where(there, cube, 0).astype(float)
+    gy, gx = slope(cube)
+    r = max(1, round(2 * sigma))
+    spread = every(lambda p: np.std([cube[p[0], p[1] + dy, p[2] + dx] for _, dy, dx in stencil.box(r) if have(p[0], p[1] + dy, p[2] + dx)]))
+    out = {"smooth": smooth(cube, sigma), "gradient": np.hypot(gy, gx), "laplacian": laplacian(cube), "deviation": spread}
+    for s in scales:
+        f, k = smooth(cube, s), str(s).replace(".", "_")
+        gy, gx = slope(f)
+        out |= {f"smooth_{k}": f, f"edge_{k}": np.hypot(gy, gx), f"log_{k}": laplacian(f)}
+        out[f"tensor1_{k}"], out[f"tensor2_{k}"] = eigen(smooth(gy * gy, s), smooth(gy * gx, s), smooth(gx * gx, s))
+        (yy, yx), (xy, xx) = slope(gy), slope(gx)
+        out[f"hessian1_{k}"], out[f"hessian2_{k}"] = eigen(yy, (yx + xy) / 2, xx)
+    return out
+
+
+@pytest.mark.parametrize("size", [6, 128])
+def test_pixel_features(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks.on_slices, "__defaults__", (size,))
+    cube, there = holed((2, 11, 13))
+    scales = (1.0, 1.6)
+    want = features_by_hand(cube, there, 1.0, scales)
+    got = ml.pixel_features(with_holes(spark, cube, there), scales=scales)
+    assert got.columns == ["z", "y", "x", "v", *ml.PIXEL, *ml.scale_names(scales)]
+    rows = got.collect()
+    assert {(r["z"], r["y"], r["x"]) for r in rows} == set(zip(*np.nonzero(there), strict=True))
+    for name, f in want.items():
+        assert [r[name] for r in rows] == pytest.approx([f[r["z"], r["y"], r["x"]] for r in rows], abs=1e-6), name
+
+
 def test_visible_regions(spark):
     cube = RNG.integers(0, 2, (1, 9, 9))
     got = stencil.visible_regions(frame(spark, cube, "label", "int"), 2, 0).collect()
@@ -153,8 +229,8 @@ def test_round_bounds_raise(spark):
     """On a path of rising priorities only one pair is mutual in a round; a bound that cuts the work short is an error."""
     path = spark.createDataFrame([(k, k + 1, 1, 0.1 * k) for k in range(4)], "u bigint, v bigint, n bigint, s double")
     with pytest.raises(RuntimeError):
-        rag.agglomerate(path, 0.6, max_rounds=2)
-    assert {r["component"] for r in rag.agglomerate(path, 0.6, max_rounds=4).collect()} == {0}
+        rag.agglomerate(path, 0.6, max_rounds=2, part_edges=0)
+    assert {r["component"] for r in rag.agglomerate(path, 0.6, max_rounds=4, part_edges=0).collect()} == {0}
     line = np.zeros((1, 1, 20), int)
     line[0, 0, 0] = 5
     with pytest.raises(RuntimeError):
@@ -331,6 +407,34 @@ def test_long_chain_agglomerates(spark):
     assert {r["component"] for r in rag.agglomerate(edges, 0.9).collect()} == {0}
 
 
+@pytest.mark.parametrize("part", [12, 40, 200_000])
+def test_parts_agglomerate_as_greedy_does(spark, part):
+    """Parts of any size, with regions of more edges than a part, merge what the least edges give."""
+    rng = np.random.default_rng(9)
+    edges = {}
+    for k in range(30):
+        for j in {*rng.integers(0, 30, 2).tolist(), (k + 1) % 30, 7}:
+            if j != k:
+                n = int(rng.integers(1, 9))
+                edges[min(j, k), max(j, k)] = (n, float(n * rng.random()))
+    df = spark.createDataFrame([(*k, *x) for k, x in edges.items()], "u bigint, v bigint, n bigint, s double")
+    got = {r["node"]: r["component"] for r in rag.agglomerate(df, 0.5, part_edges=part).collect()}
+    assert got == greedy(edges, 0.5)
+    assert 1 < len(set(got.values())) < len(got)
+
+
+def test_rising_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 regions, each merged only after the one before: no round of the whole graph, or few where parts are small."""
+    rounds = []
+    was = rag._mutual
+    monkeypatch.setattr(rag, "_mutual", lambda scored: rounds.append(1) or was(scored))
+    edges = spark.range(10_000).selectExpr("id u", "id + 1 v", "1L n", "id / 20000.0D s")
+    assert {r["component"] for r in rag.agglomerate(edges, 0.9).select("component").distinct().collect()} == {0}
+    assert not rounds
+    assert {r["component"] for r in rag.agglomerate(edges, 0.9, part_edges=4000).select("component").distinct().collect()} == {0}
+    assert len(rounds) <= 4
+
+
 def test_detected_objects(spark):
     """Smooth, threshold, 26 neighbours, sizes: step by step in numpy."""
     p = RNG.random((3, 12, 12))

@@ -70,7 +70,7 @@ def on_slices(voxels: DataFrame, inputs: list[str], halo: int, kernel: Callable,
     ship(voxels.sparkSession)
     seen = voxels.select("z", "y", "x", *(F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(inputs)))
     seen = seen.withColumn("by", F.explode(_with_halo("y", size, halo))).withColumn("bx", F.explode(_with_halo("x", size, halo)))
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = [f.split()[0].strip("`") for f in schema.split(", ")]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         z, by, bx = (int(pdf[c].iloc[0]) for c in ("z", "by", "bx"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count, product
 
 from pyspark.sql import DataFrame, Window
@@ -80,34 +81,41 @@ def components(foreground: DataFrame, connectivity: int, ny: int, nx: int) -> Da
     return relabel(own.join(joined, "root", "left").select("z", "y", "x", (F.coalesce("component", "root") + 1).alias("label")))
 
 
+#: Rounds of filling after which their results are put together.
+TOGETHER = 20
+
+
 def fill_background(labels: DataFrame, r: int = 3, label: str = "label", max_rounds: int | None = None) -> DataFrame:
     """Background takes the largest label within a disk, again and again; labels never change.
 
-    Slices go in parallel; it ends when a round changes nothing, so an empty slice stays empty.
+    A voxel that no label reached in a round can only be reached by what that round labelled, so just this front travels, and meets
+    just what is still background. Slices go in parallel; it ends when a round changes nothing, so an empty slice stays empty.
     If ``max_rounds`` are given and don't suffice, that is an error.
     """
-    now = durable(labels.select("z", "y", "x", F.col(label).cast("bigint").alias(label)))
-    left = now.where(F.col(label) == 0).count()
+    now = labels.select("z", "y", "x", F.col(label).cast("bigint").alias(label))
+    is_label = F.coalesce(F.col(label) > 0, F.lit(False))
+    front, left, filled = now.where(is_label), durable(now.where(~is_label).select("z", "y", "x", F.lit(0).cast("bigint").alias(label))), []
+    filled.append(front)
     for done in count():
-        if not left:
+        if left.isEmpty():
             break
-        # Only labels travel; each background voxel keeps the largest that reaches it.
-        reached = stencil.gathered(now.where(F.col(label) > 0), stencil.disk(r), label).groupBy("z", "y", "x").agg(F.max("v").alias("_v"))
-        now = durable(now.join(reached, ["z", "y", "x"], "left").withColumn(label, F.when(F.col(label) > 0, F.col(label)).otherwise(F.coalesce("_v", F.lit(0)))).drop("_v"))
-        was, left = left, now.where(F.col(label) == 0).count()
-        if left == was:
+        # Each background voxel keeps the largest label that reaches it.
+        reached = stencil.gathered(front, stencil.disk(r), label).groupBy("z", "y", "x").agg(F.max("v").alias("_v"))
+        met = durable(left.join(reached, ["z", "y", "x"], "left"))
+        front = met.where("_v is not null").select("z", "y", "x", F.col("_v").alias(label))
+        left = met.where("_v is null").drop("_v")
+        if front.isEmpty():
             break
-        if left and done + 1 == max_rounds:
+        if done + 1 == max_rounds and not left.isEmpty():
             raise RuntimeError(f"background is left after {max_rounds} rounds")
-    return now
+        filled.append(front)
+        if len(filled) > TOGETHER:
+            filled = [filled[0], durable(reduce(DataFrame.union, filled[1:]))]
+    return reduce(DataFrame.union, [*filled, left])
 
 
 def detect_objects(probabilities: DataFrame, ny: int, nx: int, sigma: float = 1.0, threshold: float = 0.7, low: int = 1000, high: int | None = 1_000_000, value: str = "p") -> DataFrame:
     """(z, y, x, label): smooth, threshold, label with 26 neighbours, keep objects of low..high voxels."""
-    import math
-
-    r = max(1, round(2 * sigma))
-    weights = [(*o, math.exp(-(o[1] ** 2 + o[2] ** 2) / (2 * sigma**2))) for o in stencil.box(r)]
-    smooth = stencil.stencil(probabilities, weights, F.sum(F.col("v") * F.col("w")) / F.sum("w"), value, value)
+    smooth = stencil.gaussian(probabilities, sigma, value)
     found = components(smooth.where(F.col(value) >= threshold), 26, ny, nx)
     return relabel(size_filter(found, low, high).where("label > 0"))

@@ -137,35 +137,73 @@ def permutation_importance(model: RandomForestClassificationModel, rows: DataFra
     return lost.groupBy("feature", "class").agg(F.avg("loss").alias("loss"), F.stddev_pop("loss").alias("sd"))
 
 
-def pixel_features(voxels: DataFrame, value: str = "v", sigma: float = 1.0) -> DataFrame:
-    """(z, y, x, value, smooth, gradient, laplacian, deviation): colour, edge and texture about each voxel."""
-    import math
+PIXEL = ["smooth", "gradient", "laplacian", "deviation"]
+#: Scales at which the pixel classifier looks at smoothed intensities.
+SCALES = (1.0, 1.6)
 
-    r = max(1, round(2 * sigma))
-    weights = [(*o, math.exp(-(o[1] ** 2 + o[2] ** 2) / (2 * sigma**2))) for o in stencil.box(r)]
-    at = lambda dy, dx: F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col("v").cast("double")))
-    own = at(0, 0)
-    side = {n: F.coalesce(at(*o), own) for n, o in {"u": (-1, 0), "d": (1, 0), "l": (0, -1), "r": (0, 1)}.items()}
-    got = stencil.gathered(voxels, weights, value).groupBy("z", "y", "x").agg(
-        own.alias(value), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("smooth"),
-        F.hypot((side["d"] - side["u"]) / 2, (side["r"] - side["l"]) / 2).alias("gradient"),
-        (side["u"] + side["d"] + side["l"] + side["r"] - 4 * own).alias("laplacian"), F.stddev_pop("v").alias("deviation"),
-    )
-    return got.where(F.col(value).isNotNull())
 
+def scale_names(scales: tuple[float, ...]) -> list[str]:
+    return [f"{n}_{str(s).replace('.', '_')}" for s in scales for n in ("smooth", "edge", "log", "tensor1", "tensor2", "hessian1", "hessian2")]
 
-PIXEL = ["smooth", "gradient", "laplacian", "deviation"]
+
+def _slope(f: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Central differences down and right, and the sum of differences to the four neighbours; a missing neighbour is the cell itself."""
+    side = []
+    for axis, way in ((0, 1), (0, -1), (1, 1), (1, -1)):
+        near, have = np.roll(f, -way, axis), np.roll(there, -way, axis)
+        edge = [slice(None)] * 2
+        edge[axis] = -1 if way == 1 else 0
+        have[tuple(edge)] = False
+        side.append(np.where(have, near, f))
+    down, up, right, left = side
+    return np.where(there, (down - up) / 2, 0), np.where(there, (right - left) / 2, 0), np.where(there, down + up + right + left - 4 * f, 0)
+
+
+def _eigen(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The larger and the smaller eigenvalue of [[a, b], [b, c]]."""
+    mid, far = (a + c) / 2, np.hypot((a - c) / 2, b)
+    return mid + far, mid - far
+
+
+def pixel_features(voxels: DataFrame, value: str = "v", sigma: float = 1.0, scales: tuple[float, ...] = ()) -> DataFrame:
+    """(z, y, x, value, smooth, gradient, laplacian, deviation, ...): colour, edge and texture about each voxel.
+
+    At each of ``scales`` (``scale_names``): the Gaussian mean, its gradient's size and its Laplacian, and the eigenvalues, larger first, of
+    the structure tensor (Gaussian means of products of gradients) and of the Hessian. All of it comes from one pass over blocks with a halo;
+    cells where no voxel is count for nothing, and stand for the voxel itself in a difference.
+    """
+    r = max(1, round(2 * sigma))
+    halo = max([r + 1, *(2 * max(1, round(2 * s)) + 2 for s in scales)])
+    names = [*PIXEL, *scale_names(scales)]
+
+    def look(values, there, corner):
+        v = values[0]
+        gy, gx, lap = _slope(v, there)
+        mean = v[there].mean() if there.any() else 0.0
+        spread = blocks.row_by_row(blocks.windows(np.where(there, v - mean, np.nan), r), lambda a: np.nanstd(np.where(np.isnan(a).all(2, keepdims=True), 0, a), axis=2))
+        out = [stencil.smoothed(v, there, sigma), np.hypot(gy, gx), lap, np.pad(spread, r)]
+        for s in scales:
+            f = stencil.smoothed(v, there, s)
+            gy, gx, lap = _slope(f, there)
+            (yy, yx, _), (xy, xx, _) = _slope(gy, there), _slope(gx, there)
+            out += [f, np.hypot(gy, gx), lap, *_eigen(*(stencil.smoothed(g, there, s) for g in (gy * gy, gy * gx, gx * gx))), *_eigen(yy, (yx + xy) / 2, xx)]
+        cells = blocks.inner(there, halo)
+        return [*blocks.places(cells, halo, corner), *(blocks.inner(f, halo)[cells] for f in (v, *out))]
+
+    kind = voxels.schema[value].dataType.simpleString()
+    got = blocks.on_slices(voxels.select("z", "y", "x", value), [value], halo, look, "z int, y int, x int, " + ", ".join(f"`{c}` double" for c in (value, *names)), max(blocks.BLOCK, 2 * halo))
+    return got.withColumn(value, F.col(value).cast(kind))
 
 
-def train_pixels(voxels: DataFrame, truth: DataFrame, value: str = "v", label: str = "t", trees: int = 20, **how) -> RandomForestClassificationModel:
-    """A pixel classifier on features at one scale; ``truth`` (z, y, x, label) may be sparse."""
-    rows = pixel_features(voxels, value).join(truth.select("z", "y", "x", F.col(label).alias("label")), ["z", "y", "x"])
-    return train_forest(assemble(rows, [value, *PIXEL]), trees=trees, **how)
+def train_pixels(voxels: DataFrame, truth: DataFrame, value: str = "v", label: str = "t", trees: int = 20, scales: tuple[float, ...] = SCALES, **how) -> RandomForestClassificationModel:
+    """A pixel classifier on features at ``scales``; ``truth`` (z, y, x, label) may be sparse."""
+    rows = pixel_features(voxels, value, scales=scales).join(truth.select("z", "y", "x", F.col(label).alias("label")), ["z", "y", "x"])
+    return train_forest(assemble(rows, [value, *PIXEL, *scale_names(scales)]), trees=trees, **how)
 
 
-def score_pixels(model: RandomForestClassificationModel, voxels: DataFrame, value: str = "v") -> DataFrame:
+def score_pixels(model: RandomForestClassificationModel, voxels: DataFrame, value: str = "v", scales: tuple[float, ...] = SCALES) -> DataFrame:
     """(z, y, x, value, prob array)."""
-    return predict(model, assemble(pixel_features(voxels, value), [value, *PIXEL])).select("z", "y", "x", value, "prob", "pred")
+    return predict(model, assemble(pixel_features(voxels, value, scales=scales), [value, *PIXEL, *scale_names(scales)])).select("z", "y", "x", value, "prob", "pred")
 
 
 def tile_scorer(model, scale: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 from itertools import count
 
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 
 from voxloom.operators import blocks
 from voxloom.operators.graph import connected_components
-from voxloom.operators.label import components, half_offsets, mapped, neighbours, relabel
+from voxloom.operators.label import components, half_offsets, mapped, neighbours, numbered, relabel
 from voxloom.plans.durable import durable
+from voxloom.plans.ship import ship
+
+#: Edges of a part of an adjacency graph that one task merges.
+PART_EDGES = 200_000
 
 #: Voxels of a block that grows its own part of a forest.
 FOREST_BLOCK = (16, 64, 64)
@@ -31,44 +36,129 @@ def rag(voxels: DataFrame, label: str = "label", value: str = "p") -> DataFrame:
     return boundary(voxels, label, value).groupBy("u", "v").agg(F.count("*").alias("n"), F.sum("m").alias("s"))
 
 
-def agglomerate(edges: DataFrame, threshold: float, priority: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int | None = None, once: bool = False) -> DataFrame:
+def agglomerate(edges: DataFrame, threshold: float, priority: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int | None = None, once: bool = False, part_edges: int = PART_EDGES) -> DataFrame:
     """(node, component) of the regions merged while some edge's priority is under ``threshold``.
 
-    Rounds of mutual nearest neighbours: each region's least edge, kept if it is the other's
-    least too. The mean is reducible, so this gives what merging the least edge again and again
-    gives, up to ties; with another ``priority`` (adds column ``w``) it is an approximation.
+    Mutual nearest neighbours merge: two regions whose least edges are each other's. The mean is reducible, so any order of such merges
+    gives what merging the least edge again and again gives, up to ties. So parts of the graph of about ``part_edges`` edges merge all they can in one task
+    (``merged_in_part``), however long a chain of merges is, and a round over the whole graph does what crosses parts; the graph that
+    is left is parted anew, until one part holds it.
+    With another ``priority`` (adds column ``w``) there are rounds alone, and it is an approximation.
     The least edge of all is always mutual, so rounds go on until no edge is left under the
     threshold; if ``max_rounds`` are given and don't suffice, that is an error. ``once``: one round alone.
     """
     score = priority or (lambda e: e.withColumn("w", F.col("s") / F.col("n")))
     extra = [c for c in edges.columns if c not in ("u", "v")]
+    in_parts = priority is None and not once
     now, joined = durable(edges), None
+
+    def apply(step: DataFrame) -> None:
+        nonlocal now, joined
+        joined = step if joined is None else durable(joined.join(step.select(F.col("old").alias("new"), F.col("new").alias("_n")), "new", "left").select("old", F.coalesce("_n", "new").alias("new")).union(step))
+        moved = now
+        for c in ("u", "v"):
+            moved = moved.join(step.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        moved = moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *extra)
+        now = durable(moved.groupBy("u", "v").agg(*(F.sum(c).alias(c) for c in extra)))
+
     for done in count():
-        scored = score(now).where(F.col("w") < threshold)
-        ends = scored.select(F.col("u").alias("node"), F.col("v").alias("other"), "w").union(scored.select("v", "u", "w"))
-        key = F.struct("w", F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"))
-        best = ends.groupBy("node").agg(F.min(key).alias("k"))
-        pairs = best.groupBy(F.col("k.lo").alias("lo"), F.col("k.hi").alias("hi")).agg(F.count("*").alias("asks")).where("asks = 2")
-        step = durable(pairs.select(F.col("hi").alias("old"), F.col("lo").alias("new")))
+        whole = False
+        if in_parts:
+            step, whole = _merged_in_parts(now, threshold, part_edges)
+            step = durable(step)
+            if not step.isEmpty():
+                apply(step)
+        if whole:
+            break
+        step = durable(_mutual(score(now).where(F.col("w") < threshold)))
         if step.isEmpty():
             break
         if done == max_rounds:
             raise RuntimeError(f"edges under the threshold are left after {max_rounds} rounds")
-        # Mutual pairs share no region, so no mapping meets another.
-        joined = step if joined is None else durable(joined.join(step.select(F.col("old").alias("new"), F.col("new").alias("_n")), "new", "left").select("old", F.coalesce("_n", "new").alias("new")).union(step))
+        apply(step)
         if once:
             break
-        moved = now
-        for c in ("u", "v"):
-            moved = moved.join(step.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
-        moved = moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *extra)
-        now = durable(moved.groupBy("u", "v").agg(*(F.sum(c).alias(c) for c in extra)))
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     if joined is None:
         return nodes.withColumn("component", F.col("node"))
     return nodes.join(joined.withColumnRenamed("old", "node"), "node", "left").select("node", F.coalesce("new", "node").alias("component"))
 
 
+def _mutual(scored: DataFrame) -> DataFrame:
+    """(old, new): pairs whose least edges are each other's. They share no region, so no mapping meets another."""
+    ends = scored.select(F.col("u").alias("node"), F.col("v").alias("other"), "w").union(scored.select("v", "u", "w"))
+    key = F.struct("w", F.least("node", "other").alias("lo"), F.greatest("node", "other").alias("hi"))
+    best = ends.groupBy("node").agg(F.min(key).alias("k"))
+    pairs = best.groupBy(F.col("k.lo").alias("lo"), F.col("k.hi").alias("hi")).agg(F.count("*").alias("asks")).where("asks = 2")
+    return pairs.select(F.col("hi").alias("old"), F.col("lo").alias("new"))
+
+
+def _merged_in_parts(edges: DataFrame, threshold: float, most: int) -> tuple[DataFrame, bool]:
+    """(old, new) of what parts merge by themselves, and whether one part held the whole graph.
+
+    Parts are ranges of ids, as near regions mostly have near ids. A region with more than ``most`` edges belongs to no part.
+    """
+    total = edges.count()
+    if total <= most:
+        dealt = edges.select("u", "v", "n", "s", F.lit(0).cast("bigint").alias("part"), F.lit(True).alias("in_u"), F.lit(True).alias("in_v"))
+    else:
+        degrees = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("d")).where(F.col("d") <= most)
+        ranks = numbered(degrees.select("node"), ["node"])
+        each = max(1, degrees.count() * most // (2 * total))
+        parts = durable(ranks.select("node", F.floor((F.col("_n") - 1) / each).alias("part")))
+        of = lambda c: parts.select(F.col("node").alias(c), F.col("part").alias(f"p{c}"))
+        met = edges.select("u", "v", "n", "s").join(of("u"), "u", "left").join(of("v"), "v", "left")
+        groups = F.array_distinct(F.filter(F.array("pu", "pv"), lambda p: p.isNotNull()))
+        met = met.withColumn("part", F.explode(groups))
+        here = lambda c: F.coalesce(F.col(c) == F.col("part"), F.lit(False))
+        dealt = met.select("u", "v", "n", "s", "part", here("pu").alias("in_u"), here("pv").alias("in_v"))
+    ship(edges.sparkSession)
+    merge = lambda pdf: merged_in_part(pdf, threshold)
+    return dealt.groupBy("part").applyInPandas(merge, "old bigint, new bigint"), total <= most
+
+
+def merged_in_part(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(old, new): merges of mutual nearest neighbours among the regions of a part, all of whose edges are known.
+
+    Edges are taken in order of their means. If both ends are the part's own and free, they merge, and their edges add up. Else the ends are held: what is
+    nearest to them lies outside, or is held itself. Merges elsewhere can only raise the mean of an edge that leads out, so a held region is held rightly or waits for the next round.
+    """
+    inside = {*pdf["u"][pdf["in_u"]].tolist(), *pdf["v"][pdf["in_v"]].tolist()}
+    near: dict[int, dict[int, tuple]] = {}
+    heap = []
+    for u, v, n, s in zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["n"].tolist(), pdf["s"].tolist(), strict=True):
+        near.setdefault(u, {})[v] = near.setdefault(v, {})[u] = (n, s)
+        heap.append((s / n, u, v))
+    heapq.heapify(heap)
+    into, held = {}, set()
+    while heap:
+        w, u, v = heapq.heappop(heap)
+        if w >= threshold:
+            break
+        have = near.get(u, {}).get(v)
+        if have is None or have[1] / have[0] != w:
+            continue  # an edge that has been merged or has a new mean
+        if u not in inside or v not in inside or u in held or v in held:
+            held.update(x for x in (u, v) if x in inside)
+            continue
+        lo, hi = min(u, v), max(u, v)
+        into[hi] = lo
+        del near[lo][hi], near[hi][lo]
+        for x, (n, s) in near.pop(hi).items():
+            del near[x][hi]
+            if x in near[lo]:
+                n, s = n + near[lo][x][0], s + near[lo][x][1]
+            near[lo][x] = near[x][lo] = (n, s)
+            heapq.heappush(heap, (s / n, min(lo, x), max(lo, x)))
+    out = []
+    for old in into:
+        new = into[old]
+        while new in into:
+            new = into[new]
+        out.append((old, new))
+    return pd.DataFrame(out, columns=["old", "new"], dtype="int64")
+
+
 def segmentation(labels: DataFrame, merged: DataFrame, label: str = "label") -> DataFrame:
     """The merged volume, labels 1..N."""
     return relabel(mapped(labels, merged.select(F.col("node").alias("old"), F.col("component").alias("new")), label), label)

@@ -153,6 +153,26 @@ def label_interior(labels: DataFrame, r: int, target: int, extent: dict[str, tup
     return blocks.by_slice(is_target, value, r, inside, "inside", "boolean", extent)
 
 
+def smoothed(v: np.ndarray, there: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian means over the existing cells of a box of radius 2 sigma; cells nearer to the edge than that lack some. 0 where nothing exists."""
+    r = max(1, round(2 * sigma))
+    w = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma**2))
+
+    def along(a: np.ndarray, axis: int) -> np.ndarray:
+        a = np.pad(a, [(r, r) if k == axis else (0, 0) for k in range(2)])
+        n = a.shape[axis] - 2 * r
+        return sum(w[k] * np.take(a, range(k, k + n), axis) for k in range(2 * r + 1))
+
+    total, weight = along(along(np.where(there, v, 0.0), 0), 1), along(along(there.astype(float), 0), 1)
+    return np.where(weight > 0, total / np.where(weight > 0, weight, 1), 0.0)
+
+
+def gaussian(voxels: DataFrame, sigma: float = 1.0, value: str = "v") -> DataFrame:
+    """Gaussian smoothing within slices, over the voxels that exist."""
+    r = max(1, round(2 * sigma))
+    return blocks.by_slice(voxels, value, r, lambda v, t: blocks.inner(smoothed(v, t, sigma), r), value, "double")
+
+
 def local_contrast(voxels: DataFrame, kernel: int = 7, value: str = "v", compat: bool = False) -> DataFrame:
     """Voxel over the population deviation of its k by k neighbours but itself (that exist).
 
@@ -160,20 +180,25 @@ def local_contrast(voxels: DataFrame, kernel: int = 7, value: str = "v", compat:
     """
     r = kernel // 2
 
+    def box_sums(a):
+        """Sums over each inner cell's window, from running sums on both axes."""
+        total = np.pad(a, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+        return total[kernel:, kernel:] - total[:-kernel, kernel:] - total[kernel:, :-kernel] + total[:-kernel, :-kernel]
+
     def contrast(v, t):
-        seen = np.where(t, v, np.nan)
-        others = np.ones(kernel * kernel, bool)
-        others[len(others) // 2] = False
-
-        def spread(w):
-            w = w[:, :, others]
-            n = np.isfinite(w).sum(2)
-            mean = np.nansum(w, 2) / np.maximum(n, 1)
-            return np.where(n > 0, np.sqrt(np.nansum((w - mean[:, :, None]) ** 2, 2) / np.maximum(n, 1)), np.nan)
-
-        deviation = blocks.row_by_row(blocks.windows(seen, r), spread)
-        own = blocks.shifted(seen, r, -r, -r) if compat else blocks.shifted(seen, r, 0, 0)
-        return np.where(deviation > 0, own / np.where(deviation > 0, deviation, 1), np.nan)
+        # Values less their mean, so that squares stay near each other in size.
+        mean = v[t].mean() if t.any() else 0.0
+        near = np.where(t, v - mean, 0.0)
+        own_there, own = blocks.inner(t, r).astype(float), blocks.inner(near, r)
+        n, s1, s2 = (box_sums(x) for x in (t.astype(float), near, near * near))
+        n, s1, s2 = n - own_there, s1 - own, s2 - own * own
+        many = np.maximum(n, 1)
+        variance = np.where(n > 0, np.maximum(s2 / many - (s1 / many) ** 2, 0), np.nan)
+        # What running sums leave of equal values isn't a deviation.
+        variance = np.where(variance <= 1e-12 * np.maximum(s2 / many, 1e-300) * max(t.size, 1) ** 0.5, 0, variance)
+        deviation = np.sqrt(variance)
+        at = blocks.shifted(np.where(t, v, np.nan), r, -r, -r) if compat else blocks.shifted(np.where(t, v, np.nan), r, 0, 0)
+        return np.where(deviation > 0, at / np.where(deviation > 0, deviation, 1), np.nan)
 
     return blocks.by_slice(voxels, value, r, contrast, value, "double")
 

@@ -179,6 +179,15 @@ query("ml2_edge_features", f"with {FACES} select u, v, round(avg(m), 6) mean, ro
     lambda t: ml.edge_features(rag.boundary(fragments(t))).select("u", "v", *r6("mean", "std", "h10", "pct1", "contact2"))
 )
 query("ml3_policy")(lambda t: ml.predict((mn := policy(t))[0], ml.assemble(ml.edge_features(rag.boundary(fragments(t))), mn[1])).select("u", "v", "pred", F.col("prob")[1].alias("p")))
+NEAR = "select c.z, c.y, c.x, max(c.v) v, {} from fx_em c cross join (select cast(unnest(range(-3, 4)) as int) dy) a cross join (select cast(unnest(range(-3, 4)) as int) dx) b join fx_em e on e.z = c.z and e.y = c.y + dy and e.x = c.x + dx group by c.z, c.y, c.x"
+GAUSS = "sum(e.v * exp(-(dy * dy + dx * dx) / (2 * {0} * {0}))) filter (abs(dy) <= {1} and abs(dx) <= {1}) / sum(exp(-(dy * dy + dx * dx) / (2 * {0} * {0}))) filter (abs(dy) <= {1} and abs(dx) <= {1})"
+AT = "coalesce(max(e.v) filter (dy = {} and dx = {}), max(c.v))"
+LINEAR = NEAR.format(f"""round({GAUSS.format(1.0, 2)}, 4) smooth, round({GAUSS.format(1.6, 3)}, 4) wider, round(sqrt((({AT.format(1, 0)} - {AT.format(-1, 0)}) / 2.0) ** 2 + (({AT.format(0, 1)} - {AT.format(0, -1)}) / 2.0) ** 2), 4) gradient,
+    cast({AT.format(1, 0)} + {AT.format(-1, 0)} + {AT.format(0, 1)} + {AT.format(0, -1)} - 4 * max(c.v) as double) laplacian, round(stddev_pop(e.v) filter (abs(dy) <= 2 and abs(dx) <= 2), 4) deviation""")
+query("ml4_linear_features", LINEAR)(
+    lambda t: ml.pixel_features(t.fx_em, scales=(1.6,)).select("z", "y", "x", "v", *(F.round(c, 4).alias(n) for c, n in (("smooth", "smooth"), ("smooth_1_6", "wider"), ("gradient", "gradient"))), "laplacian", F.round("deviation", 4).alias("deviation"))
+)
+query("ml4_structure_features")(lambda t: ml.pixel_features(t.fx_em, scales=ml.SCALES))
 query("ml4_pixel_classifier")(lambda t: ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")))
 query("ml5_scored_tiles")(lambda t: ml.score_blocks(t.fx_em.where("z % 7 >= 4"), ml.tile_scorer(detect.train_tiles(t.fx_em, t.fx_pt.where("z % 7 < 4")), detect.SCALE), 2, whole=True).select("z", "y", "x", "p"))
 query("ml6_objects")(lambda t: detect.detect_and_classify(t.fx_em, t.fx_pt.select("z", "y", "x", "p"), t.fx_pt, 25, 50, threshold=0.55))
@@ -244,6 +253,7 @@ query("stn9_rings", f"""with o as (select r, k + 1 - r dy, c + 1 - r dx from (se
     s as (select z, y, x from fx_em where v < 45), met as (select s.z sz, s.y sy, s.x sx, r, e.v v, floor(45 + r * 0.5) b from s cross join o join fx_em e on e.z = s.z and e.y = s.y + dy and e.x = s.x + dx)
     select sz, sy, sx, r::int r, count(*) n, count(*) filter (v >= b and v > 87) n_light, count(*) filter (v < b) n_black from met group by sz, sy, sx, r""")(lambda t: reticula.rings(t.fx_em))
 query("det1_watershed_segments")(lambda t: detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=1, dilate_z=1, threshold=110, min_size=4, median=1))
+query("det1_original_radii")(lambda t: detect.watershed_segments(t.fx_pt, 25, 50, threshold=130))
 query("det2_reticula")(lambda t: detect.find_reticula(t.fx_em, 25, 50)[0])
 query("det3_pixel_pipeline")(lambda t: detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, extent(t), ml.train_pixels(t.fx_em, t.fx_pt, trees=5)))
 query("det4_object_pipeline")(
