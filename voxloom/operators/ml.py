@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.operators import blocks, metrics, stencil, values
+from voxloom.plans.durable import durable
 
 MAX_CATEGORIES = 32
 
@@ -198,7 +199,8 @@ def pixel_features(voxels: DataFrame, value: str = "v", sigma: float = 1.0, scal
 def train_pixels(voxels: DataFrame, truth: DataFrame, value: str = "v", label: str = "t", trees: int = 20, scales: tuple[float, ...] = SCALES, **how) -> RandomForestClassificationModel:
     """A pixel classifier on features at ``scales``; ``truth`` (z, y, x, label) may be sparse."""
     rows = pixel_features(voxels, value, scales=scales).join(truth.select("z", "y", "x", F.col(label).alias("label")), ["z", "y", "x"])
-    return train_forest(assemble(rows, [value, *PIXEL, *scale_names(scales)]), trees=trees, **how)
+    # A forest passes over its rows once for each level.
+    return train_forest(durable(assemble(rows, [value, *PIXEL, *scale_names(scales)]).select("features", "label")), trees=trees, **how)
 
 
 def score_pixels(model: RandomForestClassificationModel, voxels: DataFrame, value: str = "v", scales: tuple[float, ...] = SCALES) -> DataFrame:
