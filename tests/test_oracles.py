@@ -41,6 +41,6 @@ def test_oracle(name, spark, con, sf_dir):
 def test_without_oracle(name, spark, sf_dir):
     """Every other query runs to its end, on volumes with holes."""
     rows = registry.QUERIES[name](spark, sf_dir).collect()
-    assert rows
     if name in ("det8_membrane_scores", "ml5_scored_tiles", "det3_pixel_pipeline"):
+        assert rows
         assert all(r["p"] is not None for r in rows)
