@@ -25,8 +25,8 @@ from voxloom.plans.durable import durable
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker keeps, twice as many at most: they cost memory in every stage that follows.
-CACHE_ENTRIES = 120_000
+#: Words whose ids a worker keeps, twice as many at most.
+CACHE_ENTRIES = 400_000
 #: Pieces of one length that are ranked together at most, on average; ranks are offset by the counts before.
 RANK_ROWS = 100_000
 
