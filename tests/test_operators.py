@@ -371,6 +371,33 @@ def test_correlation_keeps_ids_apart_by_plane(spark):
     assert sorted((r["src"], r["dst"]) for r in got) == [(1, 7), (7, 9)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_correlation_of_planes_with_holes(spark, seed):
+    """Only labelled cells are given, and none at the plane's edge: boxes still end there, not at the last cell."""
+    rng = np.random.default_rng(seed + 40)
+    rows, want = [], []
+    for region in range(12):
+        a, b = (np.kron(rng.integers(0, 4, (4, 4)), np.ones((2, 2), int)) for _ in "ab")
+        b = np.where(rng.random(b.shape) < 0.6, a, b)
+        a[-2:], b[-2:], a[:, -1:], b[:, -1:] = 0, 0, 0, 0
+        rows += [(region, int(u) + 5, int(v) + 9, int(a[u, v]), int(b[u, v]) or None) for u, v in np.ndindex(a.shape) if a[u, v] or b[u, v]]
+        want += [(region, *m) for m in sequential_correlation(a, b, 0.5, 4.0)]
+    df = spark.createDataFrame(rows, "region_id bigint, u int, v int, a bigint, b bigint")
+    plane = spark.range(12).select(F.col("id").alias("region_id"), *(F.lit(x).alias(n) for n, x in (("u0", 5), ("u1", 13), ("v0", 9), ("v1", 17))))
+    got = seam.by_correlation(df, 0.5, 4.0, plane)
+    assert sorted((r["region_id"], r["src"], r["dst"]) for r in got.collect()) == sorted(want)
+    assert want
+
+
+def test_seams_part_by_overlap(spark):
+    """Objects that don't meet, even by way of others, are matched in parts of their own; a lone one in none."""
+    rows = [(1, 0, v, 1 + v // 4, 1 + v // 4) for v in range(40)] + [(1, 1, v, 99, 0) for v in range(3)] + [(2, 0, 0, 1, 1)]
+    parts = seam.overlap_parts(spark.createDataFrame(rows, "region_id bigint, u int, v int, a bigint, b bigint"))
+    got = parts.groupBy("region_id", "part").agg(F.countDistinct("a").alias("a"), F.count("*").alias("n")).collect()
+    assert sorted((r["region_id"], r["a"], r["n"]) for r in got) == [(1, 1, 4)] * 10 + [(2, 1, 1)]
+    assert seam.by_correlation(spark.createDataFrame([], "region_id bigint, u int, v int, a bigint, b bigint")).count() == 0
+
+
 def test_components_across_blocks(spark, monkeypatch):
     mask = RNG.random((5, 11, 13)) < 0.35
     small = (2, 3, 4)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.operators import regionprops
+from voxloom.operators.graph import connected_components
 from voxloom.plans.ship import ship
 
 
@@ -85,19 +86,9 @@ def ncc(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return float(peak), float(np.hypot(*(where - (np.array(a.shape) - 1))))
 
 
-def box_of(a: np.ndarray, b: np.ndarray) -> tuple[slice, slice]:
-    """The box in which two masks are compared: from the lesser start of both, as far as the larger extent
-    reaches beyond it, that cell included, clipped to the plane."""
-    out = []
-    for axis in (0, 1):
-        ends = [np.flatnonzero(m.any(1 - axis))[[0, -1]] for m in (a, b)]
-        start = min(int(e[0]) for e in ends)
-        out.append(slice(start, min(start + max(int(e[1] - e[0]) + 1 for e in ends) + 1, a.shape[axis])))
-    return tuple(out)
-
-
 def boxes(facing: DataFrame, size: dict[str, int]) -> DataFrame:
-    """(region_id, a, b, u0, u1, v0, v1): ``box_of`` for each overlapping pair, as inclusive bounds; ``size``: cells of the plane by axis."""
+    """(region_id, a, b, u0, u1, v0, v1): the box in which an overlapping pair is compared, as inclusive bounds: from the lesser start of
+    both, as far as the larger extent reaches beyond it, that cell included, clipped to the plane. ``size``: cells of the plane by axis."""
     own = lambda c: facing.where(F.col(c) > 0).groupBy("region_id", c).agg(*(x for q in "uv" for x in (F.min(q).alias(f"{c}_{q}"), (F.max(q) - F.min(q) + 1).alias(f"{c}_n{q}"))))
     both = regionprops.contingency(facing, ["region_id"]).join(own("a"), ["region_id", "a"]).join(own("b"), ["region_id", "b"])
     start = {q: F.least(f"a_{q}", f"b_{q}") for q in "uv"}
@@ -105,49 +96,88 @@ def boxes(facing: DataFrame, size: dict[str, int]) -> DataFrame:
     return both.select("region_id", "a", "b", *(x.alias(f"{q}{k}") for q in "uv" for k, x in ((0, start[q]), (1, end[q]))))
 
 
-def match_region(pdf: pd.DataFrame, overlap: float, distance: float, shape: tuple[int, int] | None = None) -> list[tuple[int, list[int], float, float]]:
-    """One seam's merges by growing unions: (id, others, score, peak distance), in the order of acceptance.
+def frames(seams: DataFrame, axis: str) -> DataFrame:
+    """(region_id, u0, u1, v0, v1): each seam's plane along ``axis``, half open."""
+    u, v = (a for a in "zyx" if a != axis)
+    return seams.where(F.col("axis") == axis).select("region_id", *(F.col(f"{q}{k}").alias(f"{p}{k}") for p, q in (("u", u), ("v", v)) for k in (0, 1)))
+
+
+def overlap_parts(facing: DataFrame) -> DataFrame:
+    """(region_id, part, u, v, a, b): the cells of objects that meet another, by components of the overlap graph.
+
+    Its nodes are a region's objects of either plane; objects that meet nothing belong to no part. Nodes are told
+    by 64-bit hashes: two that meet by chance share a part, which changes no match.
+    """
+    node = lambda side: F.xxhash64("region_id", F.lit(side), F.col(side))
+    clean = facing.select("region_id", "u", "v", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in "ab")).where("a > 0 or b > 0")
+    met = clean.where("a > 0 and b > 0").select(node("a").alias("src"), node("b").alias("dst")).distinct()
+    parts = connected_components(met).select(F.col("node").alias("_node"), F.col("component").alias("part"))
+    return clean.withColumn("_node", F.when(F.col("a") > 0, node("a")).otherwise(node("b"))).join(parts, "_node").drop("_node")
+
+
+def match_part(pdf: pd.DataFrame, overlap: float, distance: float, shape: np.ndarray) -> list[tuple[int, list[int], float, float]]:
+    """One part's merges by growing unions: (id, others, score, peak distance), in the order of acceptance.
 
-    What a merge takes is gone from its own plane: an id of one plane may still be met on the other.
+    ``shape``: the plane's size, at which boxes end. What a merge takes is gone from its own plane: an id of one
+    plane may still be met on the other. Objects are kept as cells; a comparison makes masks of its box alone.
     """
-    n = shape or (int(pdf["u"].max()) + 1, int(pdf["v"].max()) + 1)
-    plane = {c: np.zeros(n, np.int64) for c in "ab"}
-    for c in "ab":
-        plane[c][pdf["u"], pdf["v"]] = pdf[c]
+    at = pdf[["u", "v"]].to_numpy()
+    cells = {c: {int(i): at[rows] for i, rows in pdf.groupby(c).indices.items() if i > 0} for c in "ab"}
+    ends = {c: {i: (x.min(0), x.max(0)) for i, x in cells[c].items()} for c in "ab"}
+    met: dict[str, dict[int, list]] = {"a": {}, "b": {}}
+    for (a, b), n in pdf[(pdf["a"] > 0) & (pdf["b"] > 0)].groupby(["a", "b"]).size().items():
+        met["a"].setdefault(int(a), []).append((-int(n), int(b)))
+        met["b"].setdefault(int(b), []).append((-int(n), int(a)))
+    gone: dict[str, set] = {"a": set(), "b": set()}
     out = []
     for of, to in (("a", "b"), ("b", "a")):
-        for i in (int(i) for i in np.unique(plane[of]) if i > 0):
-            own = plane[of] == i
-            others, counts = np.unique(plane[to][own], return_counts=True)
-            order = sorted((-int(c), int(o)) for o, c in zip(others, counts, strict=True) if o > 0)
-            grown = np.zeros(n, bool)
-            for k, (_, o) in enumerate(order):
-                grown |= plane[to] == o
-                box = box_of(own, grown)
-                score, far = ncc(own[box], grown[box])
+        for i in sorted(met[of].keys() - gone[of]):
+            took: list[int] = []
+            low, high = None, None
+            for _, o in sorted(met[of][i]):
+                if o in gone[to]:
+                    continue
+                took.append(o)
+                first, last = ends[to][o]
+                low, high = (first, last) if low is None else (np.minimum(low, first), np.maximum(high, last))
+                start = np.minimum(low, ends[of][i][0])
+                size = np.minimum(np.maximum(high - low, ends[of][i][1] - ends[of][i][0]) + 2, shape - start)
+                masks = []
+                for parts in ([cells[of][i]], [cells[to][q] for q in took]):
+                    mask = np.zeros(size, bool)
+                    for x in parts:
+                        x = x - start
+                        x = x[(x < size).all(1)]
+                        mask[x[:, 0], x[:, 1]] = True
+                    masks.append(mask)
+                score, far = ncc(*masks)
                 if score >= overlap and far <= distance:
-                    took = [q for _, q in order[: k + 1]]
                     out.append((i, took, score, far))
-                    plane[of][own] = 0
-                    plane[to][np.isin(plane[to], took)] = 0
+                    gone[of].add(i)
+                    gone[to].update(took)
                     break
     return out
 
 
-def by_correlation(facing: DataFrame, overlap: float = 0.6, distance: float = 20.0) -> DataFrame:
-    """(region_id, src, dst, score, peak): merges by cross-correlation, one task a seam plane pair.
+def by_correlation(facing: DataFrame, overlap: float = 0.6, distance: float = 20.0, plane: DataFrame | None = None) -> DataFrame:
+    """(region_id, src, dst, score, peak): merges by cross-correlation, one task a component of the overlap graph.
 
-    A seam is a block's face, so its group has a fixed size whatever the volume's. An object that meets
-    itself on the other side uses itself up and needs no merge.
+    A merge depends on objects of its own component alone, so components are matched by themselves, whatever the
+    seam's size. ``plane``: ``frames`` of the seams, at whose edges boxes end; without it a plane ends at its last
+    facing cell. An object that meets itself on the other side uses itself up and needs no merge.
     """
     ship(facing.sparkSession)
+    if plane is None:
+        plane = facing.groupBy("region_id").agg(F.min("u").alias("u0"), (F.max("u") + 1).alias("u1"), F.min("v").alias("v0"), (F.max("v") + 1).alias("v1"))
+    parts = overlap_parts(facing).join(plane, "region_id")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(u=pdf["u"] - pdf["u"].min(), v=pdf["v"] - pdf["v"].min())
-        rows = [(pdf["region_id"].iloc[0], min(i, o), max(i, o), s, d) for i, took, s, d in match_region(pdf, overlap, distance) for o in took if o != i]
+        u0, u1, v0, v1 = (int(pdf[c].iloc[0]) for c in ("u0", "u1", "v0", "v1"))
+        own = pdf.assign(u=pdf["u"] - u0, v=pdf["v"] - v0)
+        rows = [(pdf["region_id"].iloc[0], min(i, o), max(i, o), s, d) for i, took, s, d in match_part(own, overlap, distance, np.array((u1 - u0, v1 - v0))) for o in took if o != i]
         return pd.DataFrame(rows, columns=["region_id", "src", "dst", "score", "peak"])
 
-    return facing.groupBy("region_id").applyInPandas(one, "region_id bigint, src bigint, dst bigint, score double, peak double")
+    return parts.groupBy("region_id", "part").applyInPandas(one, "region_id bigint, src bigint, dst bigint, score double, peak double")
 
 
 def in_range(seams: DataFrame, first: int, last: int) -> DataFrame:

@@ -52,7 +52,7 @@ query("seg3_dice_recentred", GREEDY.replace("with facing", "with recursive facin
     roots as (select node, min(cur) root from reach group by node) select coalesce(root, label) label, cast(round(avg(z)) as int) z, cast(round(avg(y)) as int) y, cast(round(avg(x)) as int) x from fx_lbl left join roots on roots.node = label where label > 0 group by 1""")(
     lambda t: regionprops.recentred(detect.merge_blocks(t.fx_lbl, seam_regions(t))[1])
 )
-query("seg4_correlation")(lambda t: seam.by_correlation(facing(t)))
+query("seg4_correlation")(lambda t: seam.by_correlation(facing(t), plane=seam.frames(seam_regions(t), "z")))
 query("seg5_boxes", f"""with {FACING}, p as (select region_id, a, min(u) u0, max(u) - min(u) + 1 nu, min(v) v0, max(v) - min(v) + 1 nv from facing where a > 0 group by all),
     q as (select region_id, b, min(u) w0, max(u) - min(u) + 1 mu, min(v) t0, max(v) - min(v) + 1 mv from facing where b > 0 group by all), c as (select distinct region_id, a, b from facing where a > 0 and b > 0)
     select c.region_id, c.a, c.b, least(u0, w0) u0, least(least(u0, w0) + greatest(nu, mu), 24) u1, least(v0, t0) v0, least(least(v0, t0) + greatest(nv, mv), 49) v1 from c join p using (region_id, a) join q using (region_id, b)""")(
@@ -60,7 +60,7 @@ query("seg5_boxes", f"""with {FACING}, p as (select region_id, a, min(u) u0, max
 )
 
 
-query("seg6_peaks")(lambda t: seam.by_correlation(facing(t), 0.3, 40.0).groupBy("region_id").agg(F.count("*").alias("n"), F.max("peak").alias("farthest")))
+query("seg6_peaks")(lambda t: seam.by_correlation(facing(t), 0.3, 40.0, seam.frames(seam_regions(t), "z")).groupBy("region_id").agg(F.count("*").alias("n"), F.max("peak").alias("farthest")))
 query("seg7_status", GREEDY + ", r as (select unnest(range(1, 5)) region_id) select cast(r.region_id as bigint) region_id, count(m.src) merges, case when count(m.src) > 0 then 'merged' else 'none' end status from r left join merges m using (region_id) group by 1")(
     lambda t: seam.status(s := seam.in_range(seam_regions(t), 1, 4), seam.by_dice(seam.planes(t.fx_lbl, s, "z")))
 )
