@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import graph, label, normalize, regionprops, regions, seam, stencil, values
 from voxloom.plans.durable import shared_dir
 from voxloom.plans.registry import SLICE, query
-from voxloom.sources import sinks, volumes
+from voxloom.sources import sinks, store, volumes
 
 YX = {a: (0, n) for a, n in SLICE.items()}
 #: The number of slices, in SQL.
@@ -51,6 +51,20 @@ PADDED = GRID + """, p as (select region_id, kind, greatest(z0 - 1, 0) z0, cast(
 query("src1_cutout", f"select z, y, x, v, n from fx_em where {IN_BOX}")(lambda t: volumes.cutout(t.fx_em, BOX))
 
 
+def stored(t, span, zone_cells):
+    """The volume, stored in z-order."""
+    to = fresh(t, "volume")
+    store.write_volume(t.fx_em, to, span, zone_cells)
+    return store.Volume(t.spark, to)
+
+
+query("src1_stored_cutout", f"select z, y, x, v, n from fx_em where {IN_BOX}")(lambda t: stored(t, {"z": 2, "y": 4, "x": 8}, 512).cutout(BOX))
+query("reg3_stored_cuboids", "select z, y, x, v, n from fx_em where z >= 0 and z < 6 and y >= 4 and y < 20 and x >= 8 and x < 40")(lambda t: stored(t, {"z": 2, "y": 4, "x": 8}, 512).cuboids(BOX))
+query("jon7_stored_regions", PADDED + " select p.region_id, count(*) n, cast(sum(v) as bigint) s from p join fx_em e on e.z >= z0 and e.z < z1 and e.y >= y0 and e.y < y1 and e.x >= x0 and e.x < x1 group by 1")(
+    lambda t: stored(t, SPAN, 5000).in_regions(regions.padded(grid(t), PAD, extent(t))).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+)
+
+
 @query("src2_co_cutout", """select e.z, e.y, e.x, cast(e.v as double) em, p.p prob, cast(l.label as double) truth from fx_em e join fx_pt p using (z, y, x) join fx_lbl l using (z, y, x)
     where e.z between 0 and 5 and e.y between 3 and 21 and e.x between 7 and 37""")
 def _(t):
