@@ -249,6 +249,62 @@ def test_learned_agglomeration_goes_on_to_the_threshold(spark, monkeypatch):
     assert {r["node"]: r["component"] for r in got} == dict.fromkeys(range(1, 8), 1)
 
 
+def test_edge_features_by_hand(spark):
+    """Moments, shares and percentiles against numpy; the same from faces, from values, and from merged values."""
+    rng = np.random.default_rng(6)
+    faces = [(int(u), int(u + k), float(m)) for u in (1, 2, 3) for k in (1, 2) for m in rng.choice([0.0, 0.1, 0.13, 0.5, 0.52, 0.9, 0.97, 1.0], rng.integers(1, 30))]
+    faces += [(8, 9, 0.3)] * 5
+    df = spark.createDataFrame(faces, "u bigint, v bigint, m double")
+
+    def check(got, faces):
+        got = {(r["u"], r["v"]): r for r in got.collect()}
+        assert got.keys() == {f[:2] for f in faces}
+        for edge, r in got.items():
+            m = np.array([f[2] for f in faces if f[:2] == edge])
+            d, var = m - m.mean(), m.var() if len(set(m)) > 1 else 0
+            high = [(d**3).mean() / var**1.5, (d**4).mean() / var**2 - 3] if var else [0, 0]
+            assert [r["n"], r["mean"], r["std"], r["skew"], r["kurt"]] == pytest.approx([len(m), m.mean(), np.sqrt(var), *high], abs=1e-7)
+            assert [r[f"h{b}"] for b in range(25)] == pytest.approx(list(np.bincount(np.minimum((m * 25).astype(int), 24), minlength=25) / len(m)))
+            assert [r[f"pct{i}"] for i in range(3)] == pytest.approx(list(np.percentile(m, [10, 50, 90])))
+            assert [r[f"contact{i}"] for i in range(3)] == pytest.approx([(m > t).mean() for t in (0.1, 0.5, 0.9)])
+            assert r["degree_u"] == len({f[:2] for f in faces if edge[0] in f[:2]})
+            assert r["faces_v"] == sum(edge[1] in f[:2] for f in faces)
+
+    check(ml.edge_features(df), faces)
+    values = ml.edge_values(df)
+    assert values.count() == len(set(faces))
+    check(ml.edge_features(values), faces)
+    to = {3: 1, 4: 1, 9: 8}
+    merges = spark.createDataFrame([*to.items()], "old bigint, new bigint")
+    moved = [(to.get(u, u), to.get(v, v), m) for u, v, m in faces]
+    check(ml.edge_features(ml.merged_values(values, merges)), [(min(u, v), max(u, v), m) for u, v, m in moved if u != v])
+
+
+def test_learned_agglomeration_reads_voxels_once(spark, monkeypatch):
+    """The same as features taken from all voxels in every round."""
+    rng = np.random.default_rng(17)
+    cube = np.kron(rng.permutation(np.arange(1, 28)).reshape(3, 3, 3), np.ones((1, 3, 3), int))
+    p = np.round(rng.random(cube.shape), 2)
+    fragments, scores = frame(spark, cube, "label", "bigint"), frame(spark, p, "p", "double")
+    truth = fragments.withColumn("label", F.floor(F.col("label") / 9).cast("bigint"))
+    model, names = detect.train_policy(fragments, scores, truth, trees=5)
+    now, want = fragments, {int(i): int(i) for i in np.unique(cube)}
+    for rounds in range(1, 30):
+        feats = ml.assemble(ml.edge_features(rag.boundary(now.join(scores, ["z", "y", "x"]))), names)
+        step = rag.agglomerate(ml.predict(model, feats).select("u", "v", F.lit(1).cast("bigint").alias("n"), F.col("prob")[1].alias("s")), 0.5, once=True)
+        moved = {r["node"]: r["component"] for r in step.where("node <> component").collect()}
+        if not moved:
+            break
+        want = {i: moved.get(c, c) for i, c in want.items()}
+        now = frame(spark, np.vectorize(want.get)(cube), "label", "bigint")
+    assert rounds > 2
+    reads, real = [], rag.boundary
+    monkeypatch.setattr(detect.rag, "boundary", lambda *a, **k: reads.append(1) or real(*a, **k))
+    got = detect.learned_agglomeration(fragments, scores, model, names)
+    assert {r["node"]: r["component"] for r in got.collect()} == want
+    assert len(reads) == 1
+
+
 def test_watershed_is_a_minimum_spanning_forest(spark):
     cube = RNG.permutation(6 * 7).reshape(1, 6, 7)
     mask = cube < 6

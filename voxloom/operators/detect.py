@@ -73,17 +73,21 @@ def train_policy(fragments: DataFrame, p: DataFrame, truth: DataFrame, trees: in
 
 
 def learned_agglomeration(fragments: DataFrame, p: DataFrame, model, names: list[str], threshold: float = 0.5) -> DataFrame:
-    """(node, component): score the edges, contract the mutual best, take features anew, until no edge is under ``threshold``."""
-    now, total = fragments, None
+    """(node, component): score the edges, contract the mutual best, take features anew, until no edge is under ``threshold``.
+
+    Voxels are read once: the edges' values are kept as rows that add when regions merge (``ml.merged_values``), and every
+    round's features come from them.
+    """
+    now, total = durable(ml.edge_values(rag.boundary(fragments.join(p.select("z", "y", "x", "p"), ["z", "y", "x"])))), None
     while True:
-        both = now.join(p.select("z", "y", "x", "p"), ["z", "y", "x"])
-        feats = ml.assemble(ml.edge_features(rag.boundary(both)), names)
+        feats = ml.assemble(ml.edge_features(now), names)
         scored = ml.predict(model, feats).select("u", "v", F.lit(1).cast("bigint").alias("n"), F.col("prob")[1].alias("s"))
         step = durable(rag.agglomerate(durable(scored), threshold, once=True))
         total = step if total is None else durable(total.join(step.select(F.col("node").alias("component"), F.col("component").alias("_n")), "component", "left").select("node", F.coalesce("_n", "component").alias("component")))
-        if step.where("node <> component").isEmpty():
+        moved = step.where("node <> component").select(F.col("node").alias("old"), F.col("component").alias("new"))
+        if moved.isEmpty():
             break
-        now = durable(label.mapped(fragments, total.select(F.col("node").alias("old"), F.col("component").alias("new"))))
+        now = durable(ml.merged_values(now, moved))
     return total
 
 

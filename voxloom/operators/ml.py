@@ -267,17 +267,46 @@ def score_tiles(model, tiles: DataFrame, tile: str = "tile", scale: float = 1.0)
     return model.transform(flat).withColumn("prob", vector_to_array("probability"))
 
 
+def edge_values(faces: DataFrame) -> DataFrame:
+    """(u, v, m, n): an edge's different values with their faces; of ``faces`` (u, v, m), or (u, v, m, n) to be added up.
+
+    These rows add when regions merge, so every figure of a merged edge follows from them exactly, and an edge
+    of many faces is spread over its values.
+    """
+    n = F.sum("n") if "n" in faces.columns else F.count("*")
+    return faces.groupBy("u", "v", "m").agg(n.cast("bigint").alias("n"))
+
+
+def merged_values(values: DataFrame, merges: DataFrame) -> DataFrame:
+    """``edge_values`` of the graph with each ``old`` region become ``new``; faces inside a region are gone."""
+    for c in ("u", "v"):
+        values = values.join(merges.select(F.col("old").alias(c), F.col("new").alias("_n")), c, "left").withColumn(c, F.coalesce("_n", c)).drop("_n")
+    return edge_values(values.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "m", "n"))
+
+
 def edge_features(faces: DataFrame, bins: int = 25, points: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """(u, v, moments, histogram, percentiles, contact, degrees) of each edge of the adjacency graph.
 
-    ``faces`` (u, v, m) as from ``rag.boundary``.
+    ``faces`` (u, v, m) as from ``rag.boundary``, or their ``edge_values``. Moments come from power sums about
+    the middle of [0, 1]; an edge of one value has none above the mean.
     """
+    values = faces if "n" in faces.columns else edge_values(faces)
+    n, d = F.col("n"), F.col("m") - 0.5
+    share = lambda test: (F.sum(F.when(test, n).otherwise(0)) / F.sum(n)).cast("double")
     k = F.least(F.floor(F.col("m") * bins), F.lit(bins - 1))
-    pct = F.percentile("m", F.array(*(F.lit(p) for p in points)))
-    hist = [F.avg((k == b).cast("double")).alias(f"h{b}") for b in range(bins)]
-    over = [F.avg((F.col("m") > p).cast("double")).alias(f"contact{i}") for i, p in enumerate(points)]
-    out = faces.groupBy("u", "v").agg(F.count("*").cast("double").alias("n"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.coalesce(F.skewness("m"), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis("m"), F.lit(0.0)).alias("kurt"), pct.alias("_p"), *hist, *over)
-    out = out.select("*", *(F.col("_p")[i].alias(f"pct{i}") for i in range(len(points)))).drop("_p").fillna(0.0, ["skew", "kurt"])
+    hist = [share(k == b).alias(f"h{b}") for b in range(bins)]
+    over = [share(F.col("m") > p).alias(f"contact{i}") for i, p in enumerate(points)]
+    sums = [(F.sum(n * F.pow(d, q)) / F.sum(n)).alias(f"_s{q}") for q in (1, 2, 3, 4)]
+    pct = F.percentile("m", F.array(*(F.lit(p) for p in points)), n)
+    out = values.groupBy("u", "v").agg(F.sum(n).cast("double").alias("n"), (F.min("m") == F.max("m")).alias("_one"), *sums, pct.alias("_p"), *hist, *over)
+    s1, s2, s3, s4 = (F.col(f"_s{q}") for q in (1, 2, 3, 4))
+    var = F.when(F.col("_one"), 0.0).otherwise(F.greatest(s2 - s1 * s1, F.lit(0.0)))
+    out = out.withColumn("_v", var)
+    higher = lambda moment: F.when(F.col("_v") > 0, moment).otherwise(0.0)
+    skew = higher((s3 - 3 * s1 * s2 + 2 * F.pow(s1, 3)) / F.pow("_v", F.lit(1.5)))
+    kurt = higher((s4 - 4 * s1 * s3 + 6 * s1 * s1 * s2 - 3 * F.pow(s1, 4)) / F.pow("_v", F.lit(2.0)) - 3)
+    named = [c for c in out.columns if not c.startswith("_") and c not in ("u", "v", "n")]
+    out = out.select("u", "v", "n", (s1 + 0.5).alias("mean"), F.sqrt("_v").alias("std"), skew.alias("skew"), kurt.alias("kurt"), *named, *(F.col("_p")[i].alias(f"pct{i}") for i in range(len(points))))
     ends = out.select(F.explode(F.array("u", "v")).alias("id"), "n").groupBy("id").agg(F.count("*").cast("double").alias("degree"), F.sum("n").alias("faces"))
     for c in ("u", "v"):
         out = out.join(ends.select(F.col("id").alias(c), F.col("degree").alias(f"degree_{c}"), F.col("faces").alias(f"faces_{c}")), c)
