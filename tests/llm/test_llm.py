@@ -819,3 +819,21 @@ def test_matcher_reads_a_recurring_piece_at_each_offset():
 def test_words():
     assert texts.words_of("A\x0bb c \x1cd", lower=True) == [b"a", b"b\xe2\x80\x83c", b"\x1cd"]
     assert texts.words_of(None) == []
+
+
+def test_a_worker_holds_one_stage():
+    made = []
+
+    def make(name):
+        return texts.held(name, lambda: made.append(name) or [name])
+
+    texts.release()
+    assert make("a") is make("a")
+    assert make("b") == ["b"]
+    assert make("a") == ["a"]
+    assert made == ["a", "b", "a"]
+    texts.release()
+    texts.release()
+    assert make("a") == ["a"]
+    assert made == ["a", "b", "a", "a"]
+    texts.release()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.llm.suffix import SuffixAutomaton
-from voxloom.llm.texts import fresh, map_rows, per_task
+from voxloom.llm.texts import fresh, held, map_rows, per_task
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 200
@@ -159,13 +159,6 @@ def foreign(usual: dict[str, float], lang: str = "lang_pred", size: str = "size"
     return F.coalesce(F.col(phrases) > F.greatest(EXCESS * expected, expected + SLACK), F.lit(False))
 
 
-_OPEN: dict = {}
-
-
 def _worker_parser(shared) -> Parser:
     sample = shared.value
-    key = hash(tuple(sorted(sample.items())))
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = Parser(sample)
-    return _OPEN[key]
+    return held(("languages", *sorted(sample.items())), lambda: Parser(sample))

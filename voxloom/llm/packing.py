@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.texts import Cache, byte_letters, map_rows, per_task
+from voxloom.llm.texts import Cache, byte_letters, held, map_rows, per_task
 from voxloom.plans.durable import durable
 
 CAPACITY = 2048
@@ -64,9 +64,6 @@ class Ids(Cache):
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
 
 
-_OPEN: dict[str, Ids] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) for each piece of at most ``capacity`` ids."""
     kind = dict(docs.dtypes)[doc_id]
@@ -75,9 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
     @per_task
     def cut():
-        if tokenizer not in _OPEN:
-            _OPEN[tokenizer] = Ids(tokenizer)
-        ids = _OPEN[tokenizer]
+        ids = held(("ids", tokenizer), lambda: Ids(tokenizer))
 
         def step(doc, texts):
             out = [[] for _ in range(6 if with_ids else 5)]

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.texts import map_rows, map_stream, per_task, words_of
+from voxloom.llm.texts import held, map_rows, map_stream, per_task, words_of
 from voxloom.plans.durable import durable
 
 ORDER = 5
@@ -300,14 +300,12 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     )
 
 
-_OPEN: dict = {}
-
-
 def _worker_tables(hot) -> tuple[dict[bytes, int], np.ndarray, Prices]:
     """One set of tables in each worker process: hot words' places, logarithms of their counts by place, grams' prices."""
     name, words, ns, keys, logs = hot.value
-    if name not in _OPEN:
-        _OPEN.clear()
+
+    def make():
         table = words.split(b" ") if ns else []  # the end's token is empty
-        _OPEN[name] = {w: k for k, w in enumerate(table)}, np.log10(np.frombuffer(ns, "<i8") + SMOOTH), Prices(np.frombuffer(keys, "<i8"), np.frombuffer(logs, "<f8"))
-    return _OPEN[name]
+        return {w: k for k, w in enumerate(table)}, np.log10(np.frombuffer(ns, "<i8") + SMOOTH), Prices(np.frombuffer(keys, "<i8"), np.frombuffer(logs, "<f8"))
+
+    return held(("prices", name), make)

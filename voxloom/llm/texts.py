@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -135,6 +138,31 @@ def map_stream(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict = {}
+
+
+def held(name, make):
+    """What ``make()`` gave under ``name`` in this worker process, for all its tasks.
+
+    Workers outlive their stage, so they hold one such thing at a time: the tables of one stage are dropped when
+    another opens its own.
+    """
+    if name not in _HELD:
+        release()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release() -> None:
+    """Drop what this worker process holds for earlier stages, and hand its memory back to the system."""
+    if not _HELD:
+        return
+    _HELD.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # a C library that has no such call keeps the memory for itself
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_task(factory):
     """Mark ``factory`` as one that makes the batch function once in each task."""
     factory.per_task = True

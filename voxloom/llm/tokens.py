@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.texts import Cache, byte_letters, fresh, map_rows, per_task
+from voxloom.llm.texts import Cache, byte_letters, fresh, held, map_rows, per_task
 
 #: The sample from which tier one is filled; it steers speed only, never counts.
 HOT_ROWS = 2000
@@ -120,13 +120,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     return map_rows(kept, count, schema, raw=keep)
 
 
-_OPEN: dict = {}
-
-
 def _worker_lengths(path: str, hot) -> Lengths:
     """One table in each worker process, for all its tasks."""
     name, lengths = hot.value
-    if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = Lengths(Misses(path, CACHE_ENTRIES), lengths)
-    return _OPEN[name]
+    return held(("lengths", name), lambda: Lengths(Misses(path, CACHE_ENTRIES), lengths))
