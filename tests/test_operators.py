@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.functions import scalars
-from voxloom.operators import blocks, detect, graph, label, ml, objects, rag, regions, reticula, sampling, seam, stencil
+from voxloom.operators import blocks, detect, graph, label, ml, objects, rag, regionprops, regions, reticula, sampling, seam, stencil
+from voxloom.plans.durable import durable
 from voxloom.sources import sinks, volumes
 
 RNG = np.random.default_rng(5)
@@ -70,13 +71,61 @@ def test_connected_components_chain_and_star(spark):
 
 
 def test_consolidate_is_idempotent(spark):
-    sets = spark.createDataFrame([([1, 2],), ([2, 3],), ([9],), ([7, 8],)], "members array<bigint>")
+    sets = spark.createDataFrame([([1, 2],), ([2, 3],), ([9],), ([],), (None,), ([7, 8],)], "members array<bigint>")
     once = graph.consolidate(sets)
     want = {1: [1, 2, 3], 7: [7, 8]}
     assert {r["root"]: r["members"] for r in once.collect()} == want
     assert {r["root"]: r["members"] for r in graph.consolidate(once).collect()} == want
 
 
+@pytest.mark.parametrize("size", [2, 7, 65_536])
+def test_large_sets_come_in_pieces(spark, tmp_path, size):
+    giant = [(k, 5) for k in np.random.default_rng(8).permutation(range(5, 3000)).tolist()]
+    small = [(10_000 + 3 * k + j, 10_000 + 3 * k) for k in range(40) for j in range(3)]
+    found = spark.createDataFrame([*giant, *small, (90_000, 90_000)], "node bigint, component bigint")
+    once = durable(graph.pieces(found, size))
+    rows = sorted(tuple(r) for r in once.collect())
+    assert max(len(m) for _, _, m in rows) == min(size, 2995)
+    got = {}
+    for root, part, members in rows:
+        held = got.setdefault(root, [])
+        assert (part, members) == (len(held) // size, sorted(members))  # parts are full but for the last
+        held += members
+    assert got == {5: [*range(5, 3000)], **{10_000 + 3 * k: [10_000 + 3 * k + j for j in range(3)] for k in range(40)}}
+    # Pieces of a set hang together by their key.
+    assert sorted(tuple(r) for r in graph.consolidate(once, key="root", size=size).collect()) == rows
+    sinks.write_merge_list(once, str(tmp_path / "list"))
+    lines = [r["value"].split(",") for r in spark.read.text(str(tmp_path / "list")).collect()]
+    assert max(map(len, lines)) <= min(size, 2995) + 1
+    assert {(r["new"], r["old"]) for r in sinks.read_merge_list(spark, str(tmp_path / "list")).collect()} == {(r, m) for r, held in got.items() for m in held if m != r}
+
+
+def test_pieces_of_nothing(spark):
+    assert graph.pieces(spark.createDataFrame([], "node bigint, component bigint")).count() == 0
+    with pytest.raises(ValueError, match="two members"):
+        graph.pieces(spark.createDataFrame([(1, 1)], "node bigint, component bigint"), 1)
+
+
+@pytest.mark.parametrize("span", [16, 64, 1 << 16])
+def test_voxels_as_runs(spark, span):
+    cube = np.random.default_rng(9).integers(0, 3, (4, 6, 9))
+    cube[1] = 2  # a label that fills a slice
+    voxels = frame(spark, cube, "label", "bigint")
+    rows = regionprops.voxel_runs(voxels.union(voxels.where("label = 1")), 6, 9, span=span)
+    index = lambda z, y, x: z * 54 + x * 6 + y
+    want = set()
+    for lab in (1, 2):
+        held = sorted(index(*map(int, p)) for p in np.argwhere(cube == lab))
+        starts = [i for i in held if i - 1 not in held or i % span == 0]
+        want |= {(lab, i // span, i, next(n for n in range(1, 300) if i + n not in held or (i + n) % span == 0)) for i in starts}
+    assert {tuple(r) for r in rows.collect()} == want
+    sets = regionprops.voxel_sets(rows)
+    assert all(r["n"] == sum(x["length"] for x in r["runs"]) and len(r["runs"]) <= -(-span // 2) and r["runs"] == sorted(r["runs"]) for r in sets.collect())
+    back = regionprops.voxels_of(sets, 6, 9).select("z", "y", "x", "label").collect()
+    assert sorted(tuple(r) for r in back) == sorted(tuple(r) for r in voxels.where("label > 0").collect())
+    assert {r["label"]: r["pixel_sum"] for r in regionprops.index_sums(rows).collect()} == {lab: sum(index(*map(int, p)) for p in np.argwhere(cube == lab)) for lab in (1, 2)}
+
+
 def test_fill_background(spark):
     cube = np.where(RNG.random((2, 10, 10)) < 0.05, RNG.integers(1, 9, (2, 10, 10)), 0)
     cube[1] = 0

@@ -92,7 +92,8 @@ def learned_agglomeration(fragments: DataFrame, p: DataFrame, model, names: list
 
 
 def merge_blocks(labels: DataFrame, seams: DataFrame, axis: str = "z", how: str = "dice", threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """(merge groups, relabelled volume): seams matched on the original ids, joined to a fixpoint, applied."""
+    """(merges as (node, component), relabelled volume): seams matched on the original ids, joined to a fixpoint,
+    applied. ``graph.pieces`` makes lists of the merges."""
     facing = seam.planes(labels, seams, axis)
     if how == "dice":
         found = seam.by_dice(facing, threshold).select("src", "dst")
@@ -101,7 +102,7 @@ def merge_blocks(labels: DataFrame, seams: DataFrame, axis: str = "z", how: str
     else:
         found = seam.by_correlation(facing, threshold).select("src", "dst")
     parts = durable(graph.connected_components(found))
-    return graph.groups(parts), label.mapped(labels, parts.select(F.col("node").alias("old"), F.col("component").alias("new")))
+    return parts, label.mapped(labels, parts.select(F.col("node").alias("old"), F.col("component").alias("new")))
 
 
 #: Slices of the training variants.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.plans.durable import durable
 
 MAX_ROUNDS = 64
+#: Members in a row of a list.
+PIECE = 65_536
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -54,16 +56,33 @@ def merge_edges(parents: DataFrame, parent: str = "parent", children: str = "chi
     return some.select(F.col(parent).alias("src"), F.explode(F.array_union(F.col(children), F.array(parent))).alias("dst")).distinct()
 
 
-def consolidate(sets: DataFrame, members: str = "members") -> DataFrame:
-    """(root, members): intersecting sets united to a fixpoint; the root is the least member.
+def consolidate(sets: DataFrame, members: str = "members", key: str | None = None, size: int = PIECE) -> DataFrame:
+    """(root, part, members): intersecting sets united to a fixpoint, in ``pieces``; the root is the least member.
 
-    Sets of one member alone are left out.
+    With ``key``, rows of one key are pieces of one set. Sets of one member alone are left out.
     """
-    some = sets.where(F.size(members) > 1)
-    edges = some.select(F.array_min(members).alias("src"), F.explode(members).alias("dst"))
-    return groups(connected_components(edges))
+    some = sets.where(F.size(members) > 0)
+    least = F.array_min(members)
+    if key is not None:
+        some = some.join(some.groupBy(key).agg(F.min(least).alias("_least")), key)
+        least = F.col("_least")
+    return pieces(connected_components(some.select(least.alias("src"), F.explode(members).alias("dst"))), size)
 
 
-def groups(found: DataFrame) -> DataFrame:
-    """(root, members) of components with two nodes or more."""
-    return found.groupBy(F.col("component").alias("root")).agg(F.array_sort(F.collect_set("node")).alias("members")).where(F.size("members") > 1)
+def pieces(found: DataFrame, size: int = PIECE) -> DataFrame:
+    """(root, part, members) of components with two nodes or more: the nodes in ascending order, ``size`` to a
+    part, parts from 0. A component of any size is many rows of a bounded one.
+
+    Ranges of (component, node) are ranked each by themselves and offset by the component's counts in the
+    ranges before, so a giant component is never sorted in one task. ``found``: different nodes.
+    """
+    if size < 2:
+        raise ValueError("a piece holds two members or more")
+    key = ["root", "_range"]
+    rows = durable(found.select(F.col("component").alias("root"), "node").repartitionByRange("root", "node").withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("root").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_c"))  # a row a component, and one more for each range that it goes on in
+    first = counts.select(*key, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"), F.sum("_c").over(Window.partitionBy("root")).alias("_n"))
+    ranked = rows.withColumn("_local", F.row_number().over(Window.partitionBy(*key).orderBy("node"))).join(first.where("_n > 1"), key)
+    part = F.floor((F.col("_first") + F.col("_local") - 1) / size).cast("int").alias("part")
+    return ranked.groupBy("root", part).agg(F.array_sort(F.collect_list("node")).alias("members"))

@@ -6,16 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
+#: Indices in a part of a label's voxels.
+SPAN = 1 << 16
 
 
-def regionprops(labels: DataFrame, label: str = "label", pixels: bool = False, ny: int = 0, nx: int = 0) -> DataFrame:
-    """area, bounding box and centroid of each label but 0; with ``pixels`` also the sorted
-    column-major voxel indices (a label's own size in memory, so for small objects)."""
+def regionprops(labels: DataFrame, label: str = "label") -> DataFrame:
+    """area, bounding box and centroid of each label but 0; its voxels are rows of ``voxel_runs``."""
     fg = labels.where(F.col(label) > 0)
-    out = [F.count("*").alias("area"), *(f(a).alias(f"{a}{k}") for a in AXES for f, k in ((F.min, "0"), (F.max, "1"))), *(F.avg(a).alias(f"c{a}") for a in AXES)]
-    if pixels:
-        out.append(F.array_sort(F.collect_list(F.col("z").cast("bigint") * ny * nx + F.col("x") * ny + F.col("y"))).alias("pixels"))
-    return fg.groupBy(label).agg(*out)
+    return fg.groupBy(label).agg(F.count("*").alias("area"), *(f(a).alias(f"{a}{k}") for a in AXES for f, k in ((F.min, "0"), (F.max, "1"))), *(F.avg(a).alias(f"c{a}") for a in AXES))
+
+
+def voxel_runs(labels: DataFrame, ny: int, nx: int, label: str = "label", span: int = SPAN) -> DataFrame:
+    """(label, part, start, length): the voxels of each label but 0 as runs of column-major indices.
+
+    Part k holds the indices from k * ``span`` on, and no run crosses into the next part, so a label of
+    any size is ranked in tasks of at most ``span`` voxels. A voxel given twice counts once.
+    """
+    index = F.col("z").cast("bigint") * ny * nx + F.col("x") * ny + F.col("y")
+    rows = labels.where(F.col(label) > 0).select(label, index.alias("_i")).withColumn("part", F.expr(f"(_i - pmod(_i, {span})) div {span}"))
+    # Neighbours in a run have the same distance to their rank.
+    rank = F.dense_rank().over(Window.partitionBy(label, "part").orderBy("_i"))
+    runs = rows.withColumn("_gap", F.col("_i") - rank).groupBy(label, "part", "_gap")
+    return runs.agg(F.min("_i").alias("start"), (F.max("_i") - F.min("_i") + 1).alias("length")).drop("_gap")
+
+
+def voxel_sets(runs: DataFrame, label: str = "label") -> DataFrame:
+    """(label, part, n, runs): a row a part, with at most half a span of runs in ascending order."""
+    one = F.array_sort(F.collect_list(F.struct("start", "length")))
+    return runs.groupBy(label, "part").agg(F.sum("length").alias("n"), one.alias("runs"))
+
+
+def index_sums(runs: DataFrame, label: str = "label") -> DataFrame:
+    """(label, pixel_sum): the sum of each label's indices, from its runs."""
+    n = F.col("length")
+    return runs.groupBy(label).agg(F.sum(F.col("start") * n + F.expr("length * (length - 1) div 2")).alias("pixel_sum"))
+
+
+def voxels_of(sets: DataFrame, ny: int, nx: int, label: str = "label") -> DataFrame:
+    """(label, z, y, x) of ``voxel_sets``."""
+    each = sets.select(label, F.inline("runs")).select(label, F.explode(F.expr("sequence(start, start + length - 1)")).alias("_i"))
+    return each.select(label, *(F.expr(e).cast("int").alias(a) for a, e in (("z", f"_i div {ny * nx}"), ("y", f"_i % {ny}"), ("x", f"_i % {ny * nx} div {ny}"))))
 
 
 def size_filter(labels: DataFrame, low: int, high: int | None = None, label: str = "label") -> DataFrame:

@@ -71,12 +71,16 @@ query("gra1_components", COMPONENTS + " select node, component from comp")(lambd
 LISTS = COMPONENTS + " select component root, count(*) n, cast(sum(node) as bigint) s from comp group by component having count(*) > 1"
 
 
-def listed(groups):
-    return groups.select("root", F.size("members").cast("bigint").alias("n"), F.aggregate("members", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("s"))
+def listed(pieces):
+    own = F.aggregate("members", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return pieces.groupBy("root").agg(F.sum(F.size("members")).alias("n"), F.sum(own).alias("s"))
 
 
 query("gra2_consolidated", LISTS)(lambda t: listed(graph.consolidate(t.fx_edges.select(F.array("src", "dst").alias("members")))))
 query("gra3_closure", LISTS)(lambda t: listed(graph.consolidate(t.fx_edges.groupBy("src").agg(F.collect_set("dst").alias("d")).select(F.array_union(F.array("src"), "d").alias("members")))))
+PIECES = COMPONENTS + """, r as (select component root, node, row_number() over (partition by component order by node) - 1 k, count(*) over (partition by component) n from comp)
+    select root, cast(k // 3 as int) part, string_agg(cast(node as varchar), ',' order by node) members from r where n > 1 group by 1, 2"""
+query("gra2_pieces", PIECES)(lambda t: graph.pieces(graph.connected_components(t.fx_edges), 3).withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>"))))
 query("gra4_merge_edges", "select src, dst from fx_edges union select src, src from fx_edges")(lambda t: graph.merge_edges(t.fx_edges.groupBy(F.col("src").alias("parent")).agg(F.collect_list("dst").alias("children"))))
 
 

@@ -163,7 +163,7 @@ COMPONENTS = """with recursive both_ways as (select src a, dst b from fx_edges u
 @query("snk6_merge_list", COMPONENTS + " select component \"new\", node \"old\" from comp where node <> component")
 def _(t):
     to = fresh(t, "merges")
-    sinks.write_merge_list(graph.groups(graph.connected_components(t.fx_edges)), to)
+    sinks.write_merge_list(graph.pieces(graph.connected_components(t.fx_edges), 3), to)
     return sinks.read_merge_list(t.spark, to)
 
 
@@ -306,7 +306,13 @@ query("nrm4_summary", """with m as (select z, v, avg(v) over (partition by z) a
 
 query("agg1_regionprops", """select label, count(*) area, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1, round(avg(z), 6) cz, round(avg(y), 6) cy, round(avg(x), 6) cx,
     cast(sum(z * 1250 + x * 25 + y) as bigint) pixel_sum from fx_lbl where label > 0 group by label""")(
-    lambda t: regionprops.regionprops(t.fx_lbl, pixels=True, ny=25, nx=50).select("label", "area", "z0", "z1", "y0", "y1", "x0", "x1", *r6("cz", "cy", "cx"), F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("pixel_sum"))
+    lambda t: regionprops.regionprops(t.fx_lbl).join(regionprops.index_sums(regionprops.voxel_runs(t.fx_lbl, 25, 50)), "label").select("label", "area", "z0", "z1", "y0", "y1", "x0", "x1", *r6("cz", "cy", "cx"), "pixel_sum")
+)
+RUNS = """with i as (select label, cast(z * 1250 + x * 25 + y as bigint) i from fx_lbl where label > 0), g as (select label, i, i // 512 part, i - row_number() over (partition by label, i // 512 order by i) gap from i),
+    runs as (select label, part, min(i) "start", count(*) length from g group by label, part, gap)"""
+query("agg1_voxel_runs", RUNS + ' select label, part, "start", length from runs')(lambda t: regionprops.voxel_runs(t.fx_lbl, 25, 50, span=512))
+query("agg1_voxel_sets", RUNS + """ select label, part, cast(sum(length) as bigint) n, string_agg("start" || '+' || length, ',' order by "start") runs from runs group by label, part""")(
+    lambda t: regionprops.voxel_sets(regionprops.voxel_runs(t.fx_lbl, 25, 50, span=512)).withColumn("runs", F.concat_ws(",", F.transform("runs", lambda r: F.concat_ws("+", r["start"], r["length"]))))
 )
 query("agg2_size_filter", "select z, y, x, case when label > 0 and count(*) over (partition by label) >= 22 then label else 0 end label from fx_lbl")(lambda t: regionprops.size_filter(t.fx_lbl, 22))
 TABLE = f"with {FACING}, c as (select region_id, a, b, count(*) n from facing where a > 0 and b > 0 group by all)"

@@ -57,7 +57,7 @@ def save_slices(voxels: DataFrame, path: str, by: str = "z") -> None:
 
 
 def merge_lines(groups: DataFrame, root: str = "root", members: str = "members") -> DataFrame:
-    """parent,child,... with the parent first and once."""
+    """parent,child,... with the parent first and once; a line for each piece of a set."""
     rest = F.array_sort(F.array_remove(F.col(members), F.col(root)))
     return groups.select(F.concat_ws(",", F.col(root).cast("string"), F.transform(rest, lambda x: x.cast("string"))).alias("value"))
 
