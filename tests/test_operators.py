@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against brute force on small volumes."""
 
+import re
 from itertools import product
 
 import numpy as np
@@ -616,6 +617,29 @@ def test_proximity_equals_brute_force(spark):
     assert got == {(a, b): share(a, b) for a in kinds for b in kinds if a < b and share(a, b) >= 0.5}
 
 
+@pytest.mark.parametrize("least", [0.4, 0.7, 1.0])
+def test_hot_leaves_meet_only_in_rare_ones(spark, least):
+    """A leaf that holds 90 % of the classes is in no prefix, and nothing is lost by that."""
+    rng = np.random.default_rng(3)
+    sets = {tuple(int(x) for x in [0 if rng.random() < 0.9 else 1, *rng.integers(0, 5, 7)]) for _ in range(300)}
+    leaves = dict(enumerate(sorted(sets)))
+    classes = spark.createDataFrame([(k, list(v)) for k, v in leaves.items()], "class bigint, leaves array<int>")
+    trees, need = 8, ml.needed(8, least)
+    met = ml.rare_leaves(classes, trees - need + 1).collect()
+    held = {}
+    for r in met:
+        held.setdefault(r["class"], set()).add((r["tree"], r["leaf"]))
+    assert all(len(v) == trees - need + 1 for v in held.values())
+    assert len(held) == len(leaves)
+    assert not any(leaf == (0, 0) for v in held.values() for leaf in v)
+    share = lambda a, b: sum(p == q for p, q in zip(leaves[a], leaves[b], strict=True)) / trees
+    want = {(a, b): share(a, b) for a in leaves for b in leaves if a < b and share(a, b) >= least}
+    assert least == 1 or want
+    got = [tuple(r) for r in ml.close_classes(classes, trees, need).collect()]
+    assert {(a, b): s for a, b, s in got} == want
+    assert len(got) == len(want)  # a pair comes from one leaf alone
+
+
 def test_importances(spark):
     rows = forest_rows(spark).withColumn("c", F.lit(0.5)).drop("features")
     model = ml.train_forest(ml.assemble(rows, ["a", "b", "c"]), trees=10, depth=4)
@@ -771,6 +795,62 @@ def test_merge_table_survives_a_repeat(spark, tmp_path):
     assert {r["node"]: r["component"] for r in t.read(before=3).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
 
 
+def test_levels_of_a_merge_table():
+    from voxloom.streaming.merges import levels
+
+    assert levels(0, 4) == []
+    assert levels(9, 4) == [(0, 3), (4, 7), (8, 8)]
+    assert levels(16, 4) == [(0, 15)]
+    for end in range(200):
+        got = levels(end, 3)
+        assert [k for a, b in got for k in range(a, b + 1)] == [*range(end)]
+        assert len(got) <= 2 * 6
+        assert all(a % (b - a + 1) == 0 for a, b in got)
+
+
+def test_merge_table_in_levels(spark, tmp_path):
+    from voxloom.streaming.merges import MergeTable, levels
+
+    rng, path = np.random.default_rng(11), str(tmp_path / "t")
+    t, seen = MergeTable(spark, path, buckets=8, fan=2), []
+    e = lambda pairs: spark.createDataFrame(pairs, "src bigint, dst bigint")
+    batches = [[(None, 3), *((int(a), int(b)) for a, b in rng.integers(0, 60, (4, 2)))] for _ in range(7)]
+    for k, pairs in enumerate(batches):
+        t.apply(e(pairs), k)
+        seen += pairs[1:]
+        count, _ = t.runs()
+        assert count == [*levels(k, 2), (k, k)]
+        want = {r["node"]: r["component"] for r in graph.connected_components(e(seen)).collect()}
+        assert {r["node"]: r["component"] for r in t.read().collect()} == want
+    assert t.log().groupBy("node", "v").count().where("count > 1").count() == 0
+    t.apply(e(batches[6]), 6)  # the last batch again, after its own merging of those before
+    t.apply(e(batches[1]), 1)  # one that is merged with others by now
+    assert {r["node"]: r["component"] for r in t.read().collect()} == want
+    with pytest.raises(ValueError, match="merged with later"):
+        t.read(before=2)
+    # A run that was cut off before it was whole doesn't count.
+    (tmp_path / "t" / "of=8" / "by=component" / "run=000000000000-000000000003" / "_SUCCESS").unlink()
+    assert (0, 3) not in t.runs()[0]
+
+
+def test_merge_table_reads_the_buckets_it_touches(spark, tmp_path):
+    from voxloom.streaming.merges import MergeTable
+
+    t = MergeTable(spark, str(tmp_path / "t"), buckets=16)
+    t.apply(spark.range(0, 400, 2).selectExpr("id src", "id + 1 dst"), 0)
+    few = spark.createDataFrame([(10,), (11,)], "node bigint")
+    touched = t._touched(few, "node")
+    assert len(touched) <= 2
+    got = t._of_nodes(t.runs()[0], few)
+    assert {tuple(r) for r in got.collect()} == {(10, 10), (11, 10)}
+    files = {f for f in t._rows("node", t.runs()[0], touched).select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert {int(f.split("bucket=")[1].split("/")[0]) for f in files} == set(touched)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    with pytest.raises(ValueError, match="other buckets"):
+        MergeTable(spark, str(tmp_path / "t"), buckets=4)
+
+
 def holed(shape, share=0.06):
     """A cube of intensities and which of its voxels exist."""
     return RNG.integers(0, 255, shape), RNG.random(shape) >= share

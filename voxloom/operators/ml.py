@@ -63,41 +63,76 @@ def per_tree(model: RandomForestClassificationModel, rows: DataFrame, key: list[
     return out.select(*key, F.transform("_t", label).alias("tree_classes"), "votes", label(called).alias("called"))
 
 
-def proximity(model: RandomForestClassificationModel, rows: DataFrame, key: str, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): rows that end in the same leaf of every tree are one class, named by its least key.
+def needed(trees: int, least: float) -> int:
+    """The least number of trees, one or more, that is a share of ``least``."""
+    return max(1, -(-int(least * trees * 1000) // 1000))
+
 
-    ``pairs`` (a, b, share): classes that share a leaf in at least ``least`` of the trees; ``members`` (key, class).
-    Classes that share so many leaves share one of the first few trees', so they meet there, in
-    tiles of bounded size.
+def rare_leaves(classes: DataFrame, size: int) -> DataFrame:
+    """(class, leaves, ranks, tree, leaf): each class under its ``size`` rarest leaves, by the classes that a leaf holds.
+
+    ``ranks``: the order of the class's leaves, rarest first, as (n, tree, leaf). Two classes that differ in
+    fewer than ``size`` trees have one of these in common, whatever the order, as long as it is one for all.
+    """
+    each = classes.select("class", F.posexplode("leaves").alias("tree", "leaf"))
+    n = each.groupBy("tree", "leaf").agg(F.count("*").alias("n"))  # a row a leaf of the forest
+    order = F.array_sort(F.collect_list(F.struct("n", "tree", "leaf")))
+    ranked = each.join(n, ["tree", "leaf"]).groupBy("class").agg(F.slice(order, 1, size).alias("ranks"))
+    return ranked.join(classes, "class").select("class", "leaves", "ranks", F.explode("ranks").alias("_r")).select("class", "leaves", "ranks", "_r.tree", "_r.leaf")
+
+
+def close_classes(classes: DataFrame, trees: int, need: int) -> DataFrame:
+    """(a, b, share): classes (class, leaves) that share a leaf in ``need`` trees or more.
+
+    Classes meet in their rarest leaves only (``rare_leaves``), in tiles of bounded size, so leaves that hold
+    most classes are compared only by classes that have no rarer ones. A pair comes out of the first leaf
+    that both have among their rarest.
     """
-    from voxloom.plans.durable import durable
     from voxloom.plans.ship import ship
     from voxloom.plans.tiles import tiled
 
-    ship(rows.sparkSession)
-    trees = model.getNumTrees
-    need = max(1, -(-int(least * trees * 1000) // 1000))
-    members = durable(leaves_of(model, rows, [key]))
-    classes = durable(members.groupBy("leaves").agg(F.min(key).alias("class")))
-    met = classes.select("class", "leaves", F.posexplode(F.slice("leaves", 1, trees - need + 1)).alias("tree", "leaf"))
+    ship(classes.sparkSession)
+    met = rare_leaves(classes, trees - need + 1)
+    met = met.withColumn("first", F.transform("ranks", lambda r: r["tree"])).drop("ranks")
     both = met.withColumn("visits", F.explode(F.array(F.lit(False), F.lit(True))))
     dealt = tiled(both, ["tree", "leaf"], F.col("visits"), F.col("class"), 1024)
 
     def compare(pdf):
-        import numpy as np
-        import pandas as pd
-
         m, v = pdf[~pdf["visits"]], pdf[pdf["visits"]]
         lm, lv = (np.array(x["leaves"].tolist(), np.int32).reshape(len(x), -1) for x in (m, v))
-        im, iv, out = m["class"].to_numpy(), v["class"].to_numpy(), []
+        fm, fv = (_chosen(x["first"], trees) for x in (m, v))
+        im, iv, out, here = m["class"].to_numpy(), v["class"].to_numpy(), [], int(pdf["tree"].iloc[0])
         for at in range(0, len(v), 64):
-            n = (lv[at : at + 64, None, :] == lm[None, :, :]).sum(2)
+            same = lv[at : at + 64, None, :] == lm[None, :, :]
+            n = same.sum(2)
             i, j = np.nonzero((n >= need) & (iv[at : at + 64, None] < im[None, :]))
-            out.append(pd.DataFrame({"a": iv[at : at + 64][i], "b": im[j], "share": n[i, j] / trees}))
+            # Trees whose shared leaf both have among their rarest: the same leaf in both, so the least will do.
+            common = same[i, j] & fv[at + i] & fm[j]
+            own = common.argmax(1) == here
+            out.append(pd.DataFrame({"a": iv[at + i[own]], "b": im[j[own]], "share": n[i[own], j[own]] / trees}))
         return pd.concat(out)
 
-    pairs = dealt.groupBy("tree", "leaf", "ta", "tb").applyInPandas(compare, "a bigint, b bigint, share double").distinct()
-    return pairs, members.join(classes, "leaves").select(key, "class")
+    return dealt.groupBy("tree", "leaf", "ta", "tb").applyInPandas(compare, "a bigint, b bigint, share double")
+
+
+def _chosen(first: pd.Series, trees: int) -> np.ndarray:
+    """A row a class: which trees are among its rarest."""
+    out = np.zeros((len(first), trees), bool)
+    for k, x in enumerate(first):
+        out[k, x] = True
+    return out
+
+
+def proximity(model: RandomForestClassificationModel, rows: DataFrame, key: str, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): rows that end in the same leaf of every tree are one class, named by its least key.
+
+    ``pairs`` (a, b, share): classes that share a leaf in at least ``least`` of the trees, as ``close_classes``
+    finds them; ``members`` (key, class).
+    """
+    trees = model.getNumTrees
+    members = durable(leaves_of(model, rows, [key]))
+    classes = durable(members.groupBy("leaves").agg(F.min(key).cast("bigint").alias("class")))
+    return close_classes(classes, trees, needed(trees, least)), members.join(classes, "leaves").select(key, "class")
 
 
 def gini(model: RandomForestClassificationModel, names: list[str]) -> DataFrame:
