@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.functions import scalars
-from voxloom.operators import blocks, detect, graph, label, ml, objects, rag, regionprops, regions, reticula, sampling, seam, stencil
+from voxloom.operators import blocks, detect, graph, label, metrics, ml, objects, rag, regionprops, regions, reticula, sampling, seam, stencil
 from voxloom.plans.durable import durable
 from voxloom.sources import sinks, volumes
 
@@ -795,6 +795,60 @@ def test_merge_table_survives_a_repeat(spark, tmp_path):
     assert {r["node"]: r["component"] for r in t.read(before=3).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8}
 
 
+def test_categories_are_split_as_sets(spark):
+    """Every other code of a category is one class: one split by sets tells them apart, one by order can't."""
+    rows = spark.createDataFrame([(float(k % 6), float(k % 6 in (1, 3, 5))) for k in range(120)], "c double, label double")
+    rows = ml.assemble(rows.withColumn("noise", F.lit(0.0)), ["c", "noise"])
+    right = lambda model: ml.predict(model, rows).where("pred = label").count()
+    how = {"trees": 3, "depth": 1, "mtry": 2, "bootstrap": False}
+    assert right(ml.train_forest(rows, categories=[6, 1], **how)) == 120
+    assert right(ml.train_forest(rows, **how)) < 120
+    with pytest.raises(ValueError, match="32"):
+        ml.train_forest(rows, categories=[33, 1], **how)
+    with pytest.raises(ValueError, match="one category"):
+        ml.train_forest(rows, categories=[0, 1], **how)
+    assert right(ml.train_forest(rows, categories=[32, 1], **how)) == 120
+
+
+def test_policy_with_own_features(spark):
+    rng = np.random.default_rng(4)
+    frag = np.repeat(np.repeat(np.arange(1, 17).reshape(1, 4, 4), 3, 1), 3, 2)
+    truth = np.where(np.arange(12)[None, None, :] < 6, 1, 2) * np.ones((1, 12, 1), int)
+    p = np.where(np.isin(np.arange(12), (5, 6))[None, None, :], 0.9, 0.1) + rng.random((1, 12, 12)) / 20
+    given = frame(spark, frag, "label", "bigint"), frame(spark, p, "p")
+    highest = lambda e: e.groupBy("u", "v").agg(F.max("m").alias("highest"))
+    model, names = detect.train_policy(*given, frame(spark, truth, "label", "bigint"), trees=5, builders=[ml.edge_features, highest])
+    assert names[-1] == "highest" and "mean" in names  # noqa: PT018
+    got = detect.learned_agglomeration(*given, model, names, builders=[ml.edge_features, highest]).collect()
+    own = {int(frag[0, y, x]): int(truth[0, y, x]) for y, x in np.ndindex(12, 12)}
+    parts = {r["node"]: r["component"] for r in got}
+    assert {n: own[c] for n, c in parts.items()} == own
+    assert len(set(parts.values())) == 2
+    with pytest.raises(ValueError, match="named twice"):
+        ml.edge_table(ml.edge_values(rag.boundary(given[0].join(given[1], ["z", "y", "x"]))), [highest, highest])
+
+
+def test_sampler_and_postprocess(spark):
+    cube, there = holed((2, 9, 9), 0)
+    voxels, truth = with_holes(spark, cube, there), with_holes(spark, (cube > 128).astype(int), there, "t")
+    seen = []
+
+    def first_slice(rows):
+        seen.append(set(rows.columns))
+        return rows.where("z = 0 and y between 2 and 6 and x between 2 and 6")
+
+    model = detect.train_tiles(voxels, truth, iterations=2, sampler=first_slice)
+    assert seen == [{"z", "y", "x", "t", "v"}]
+    assert model.numFeatures == 25
+    extent = {"y": (0, 9), "x": (0, 9)}
+    scorer = lambda rows: rows.mean(1)
+    plain, told = (detect.score_membranes(voxels, scorer, 2, extent, (30, 220), postprocess=f).collect() for f in (None, metrics.calibrated(2.0, 0.0, 0.5)))
+    at = lambda rows: {(r["z"], r["y"], r["x"]): (r["p"], r["p_not"]) for r in rows}
+    want = {k: min(1.0, 2 * p**3 + p / 2) for k, (p, _) in at(plain).items()}
+    assert {k: v[0] for k, v in at(told).items()} == pytest.approx(want)
+    assert all(p + q == pytest.approx(1) for p, q in at(told).values())
+
+
 def test_levels_of_a_merge_table():
     from voxloom.streaming.merges import levels
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,24 +63,28 @@ def agglomerated(labels: DataFrame, p: DataFrame, threshold: float = 0.5, priori
     return rag.segmentation(labels, rag.agglomerate(rag.rag(both), threshold, priority))
 
 
-def train_policy(fragments: DataFrame, p: DataFrame, truth: DataFrame, trees: int = 20):
+#: Of edge values to features of edges (``ml.edge_table``).
+Builders = Sequence[Callable[[DataFrame], DataFrame]]
+
+
+def train_policy(fragments: DataFrame, p: DataFrame, truth: DataFrame, trees: int = 20, builders: Builders | None = None):
     """(model, feature names): a forest on the edges' features, merge or not by the true labels."""
     faces = rag.boundary(fragments.join(p.select("z", "y", "x", "p"), ["z", "y", "x"]))
-    table = ml.edge_features(faces)
+    table = ml.edge_table(ml.edge_values(faces), builders)
     names = [c for c in table.columns if c not in ("u", "v")]
     rows = ml.edge_truth(table, fragments, truth)
     return ml.train_forest(ml.assemble(rows.withColumn("label", 1 - F.col("label")), names), trees=trees, depth=6), names
 
 
-def learned_agglomeration(fragments: DataFrame, p: DataFrame, model, names: list[str], threshold: float = 0.5) -> DataFrame:
+def learned_agglomeration(fragments: DataFrame, p: DataFrame, model, names: list[str], threshold: float = 0.5, builders: Builders | None = None) -> DataFrame:
     """(node, component): score the edges, contract the mutual best, take features anew, until no edge is under ``threshold``.
 
     Voxels are read once: the edges' values are kept as rows that add when regions merge (``ml.merged_values``), and every
-    round's features come from them.
+    round's features come from them. ``builders``: those that the policy was trained with.
     """
     now, total = durable(ml.edge_values(rag.boundary(fragments.join(p.select("z", "y", "x", "p"), ["z", "y", "x"])))), None
     while True:
-        feats = ml.assemble(ml.edge_features(now), names)
+        feats = ml.assemble(ml.edge_table(now, builders), names)
         scored = ml.predict(model, feats).select("u", "v", F.lit(1).cast("bigint").alias("n"), F.col("prob")[1].alias("s"))
         step = durable(rag.agglomerate(durable(scored), threshold, once=True))
         total = step if total is None else durable(total.join(step.select(F.col("node").alias("component"), F.col("component").alias("_n")), "component", "left").select("node", F.coalesce("_n", "component").alias("component")))
@@ -126,9 +130,9 @@ def train_from_volumes(voxels: DataFrame, p: DataFrame, truth: DataFrame, ny: in
     return train_policy(durable(fragments), part(p), part(truth), trees=trees)
 
 
-def score_volume(voxels: DataFrame, model, border: int, extent: dict[str, tuple[int, int]], band: tuple[int, int], path: str, truth: DataFrame | None = None, r: int = 2) -> DataFrame:
+def score_volume(voxels: DataFrame, model, border: int, extent: dict[str, tuple[int, int]], band: tuple[int, int], path: str, truth: DataFrame | None = None, r: int = 2, postprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The whole membrane job: scores, saved slice by slice as 1 - p under ``path``, and metrics against ``truth`` if there is one."""
-    scored = durable(score_membranes(voxels, model, border, extent, band, r))
+    scored = durable(score_membranes(voxels, model, border, extent, band, r, postprocess))
     sinks.save_slices(sinks.rescaled_slices(scored.select("z", "y", "x", (1 - F.col("p")).alias("v")), rescale=False), path)
     return scored if truth is None else metrics.performance(scored.select("z", "y", "x", "p").join(truth.select("z", "y", "x", "t"), ["z", "y", "x"]), 0.5, ["z"])
 
@@ -137,25 +141,35 @@ def score_volume(voxels: DataFrame, model, border: int, extent: dict[str, tuple[
 SCALE = 255.0
 
 
-def score_membranes(voxels: DataFrame, model, border: int, extent: dict[str, tuple[int, int]], band: tuple[int, int], r: int = 2) -> DataFrame:
+def score_membranes(voxels: DataFrame, model, border: int, extent: dict[str, tuple[int, int]], band: tuple[int, int], r: int = 2, postprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(z, y, x, v, p, p_not): pad, mask, tiles about what the mask leaves, scores, overrides, pad off.
 
     Blocks cut and score their own tiles. The cheap mask comes before both; what it leaves out gets the override's value, so every voxel
     has a score. Holes count as 0. ``model``: a perceptron, or a function of flattened tiles over ``SCALE``.
+    ``postprocess`` takes the finished rows and gives as many, with the same columns (``metrics.calibrated``, say).
     """
     if border < r:
         raise ValueError("the border must be as wide as a tile reaches")
     padded = stencil.mirrored(voxels.select("z", "y", "x", "v"), border, extent)
     scored = ml.score_blocks(padded, ml.tile_scorer(model, SCALE), r, band=band, extent={a: extent[a] for a in ("y", "x")})
-    return values.override_trivial(scored, "v", *band)
+    told = values.override_trivial(scored, "v", *band)
+    return told if postprocess is None else postprocess(told)
+
 
+def train_tiles(voxels: DataFrame, truth: DataFrame, r: int = 2, iterations: int = 20, sampler: Callable[[DataFrame], DataFrame] | None = None):
+    """A perceptron on flattened tiles.
 
-def train_tiles(voxels: DataFrame, truth: DataFrame, r: int = 2, iterations: int = 20):
-    """A perceptron on balanced, flattened tiles."""
+    ``sampler`` chooses their centres: of (z, y, x, t, v) it gives the rows to train on, at least with (z, y, x, t).
+    By default as many of each class as the rarest has.
+    """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector
 
-    chosen = sampling.balanced(truth.select("z", "y", "x", "t"), "t")
+    known = truth.select("z", "y", "x", "t")
+    if sampler is None:
+        chosen = sampling.balanced(known, "t")
+    else:
+        chosen = durable(sampler(known.join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"])).select("z", "y", "x", "t"))
     cut = stencil.tiles(voxels, r, centres=chosen).join(chosen.select("z", "y", "x", F.col("t").alias("label")), ["z", "y", "x"])
     flat = F.flatten(F.transform("tile", lambda row: F.transform(row, lambda x: x.cast("double") / SCALE)))
     rows = durable(cut.select(array_to_vector(flat).alias("features"), F.col("label").cast("double").alias("label")))

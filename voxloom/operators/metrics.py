@@ -110,6 +110,11 @@ def apply_cubic(p: Column, a, b, d, clip: bool = True) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), y)) if clip else y
 
 
+def calibrated(a: float, b: float, d: float, p: str = "p", p_not: str = "p_not"):
+    """A post-process for scorers: their rows with ``p`` on the cubic, and ``p_not`` what is left of 1."""
+    return lambda rows: rows.withColumn(p, apply_cubic(F.col(p), a, b, d)).withColumn(p_not, 1 - F.col(p))
+
+
 def coded_errors(p: Column, t: Column, threshold: float, tp: float = 1.0, tn: float = 0.0, fp: float = 0.9, fn: float = 0.5) -> Column:
     hit, true = p >= threshold, t == 1
     return F.when(hit & true, tp).when(~hit & ~true, tn).when(hit, fp).otherwise(fn)

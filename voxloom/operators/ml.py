@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import blocks, metrics, stencil, values
 from voxloom.plans.durable import durable
 
+#: The most categories that a feature may have.
 MAX_CATEGORIES = 32
 
 
@@ -22,8 +23,14 @@ def assemble(rows: DataFrame, features: list[str], out: str = "features") -> Dat
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(rows)
 
 
-def train_forest(rows: DataFrame, features: str = "features", label: str = "label", trees: int = 500, mtry: int | None = None, depth: int = 10, min_node: int = 1, bootstrap: bool = True, rate: float = 1.0, weight: str | None = None, cutoff: list[float] | None = None, seed: int = 1) -> RandomForestClassificationModel:
-    """A random forest; two classes or more, and no missing values, are needed."""
+def train_forest(rows: DataFrame, features: str = "features", label: str = "label", trees: int = 500, mtry: int | None = None, depth: int = 10, min_node: int = 1, bootstrap: bool = True, rate: float = 1.0, weight: str | None = None, cutoff: list[float] | None = None, categories: list[int] | None = None, seed: int = 1) -> RandomForestClassificationModel:
+    """A random forest; two classes or more, and no missing values, are needed.
+
+    ``categories``: for each feature the number of its categories, coded from 0 and at most 32; 1 for a number.
+    Such a feature is split by sets of categories, not by their order.
+    """
+    if categories is not None:
+        rows = rows.withColumn(features, _nominal(features, categories))
     kinds = rows.select(label).distinct().count()
     if kinds < 2:
         raise ValueError("a classifier needs two classes or more")
@@ -36,6 +43,20 @@ def train_forest(rows: DataFrame, features: str = "features", label: str = "labe
     return forest.fit(rows)
 
 
+def _nominal(features: str, categories: list[int]) -> Column:
+    """``features`` with attributes that tell numbers from categories."""
+    if min(categories, default=1) < 1:
+        raise ValueError("a feature has one category or more")
+    if max(categories, default=1) > MAX_CATEGORIES:
+        raise ValueError(f"a feature has over {MAX_CATEGORIES} categories")
+    named = [(k, c, f"f{k}") for k, c in enumerate(categories)]
+    attrs = {
+        "numeric": [{"idx": k, "name": n} for k, c, n in named if c == 1],
+        "nominal": [{"idx": k, "name": n, "vals": [str(v) for v in range(c)]} for k, c, n in named if c > 1],
+    }
+    return F.col(features).alias(features, metadata={"ml_attr": {"attrs": {t: a for t, a in attrs.items() if a}, "num_attrs": len(categories)}})
+
+
 def predict(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
     """class, votes and probabilities as arrays."""
     out = model.transform(rows)
@@ -348,6 +369,21 @@ def edge_features(faces: DataFrame, bins: int = 25, points: tuple[float, ...] =
     return out.select("u", "v", *(c for c in out.columns if c not in ("u", "v")))
 
 
+def edge_table(values: DataFrame, builders: Sequence[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """(u, v, features): what each builder makes of the ``edge_values``, side by side.
+
+    A builder takes (u, v, m, n) and gives one row (u, v, its own columns) for each edge; two that name a column
+    alike are an error. By default ``edge_features`` alone.
+    """
+    out = None
+    for build in builders or [edge_features]:
+        got = build(values)
+        if out is not None and (twice := set(out.columns) & set(got.columns) - {"u", "v"}):
+            raise ValueError(f"features named twice: {sorted(twice)}")
+        out = got if out is None else out.join(got, ["u", "v"])
+    return out
+
+
 def edge_truth(edges: DataFrame, fragments: DataFrame, truth: DataFrame) -> DataFrame:
     """``edges`` with label 1 where both fragments' modal true label is the same.
 

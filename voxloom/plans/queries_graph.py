@@ -179,6 +179,14 @@ query("ml1_weighted")(
         train_rows(t).where("z % 7 >= 4"),
     ).select("z", "y", "x", "label", "pred", "votes")
 )
+
+
+def coded(t):
+    """Pixels with their intensity and, as a category, their slice's place among seven."""
+    return ml.assemble(t.fx_em.join(t.fx_pt.select("z", "y", "x", F.col("t").alias("label")), ["z", "y", "x"]).withColumn("k", F.col("z") % 7), ["v", "k"])
+
+
+query("ml1_categories")(lambda t: ml.predict(ml.train_forest(durable(coded(t)), trees=10, depth=5, categories=[1, 7]), coded(t)).select("z", "y", "x", "label", "pred"))
 query("ml2_edge_features", f"with {FACES} select u, v, round(avg(m), 6) mean, round(stddev_pop(m), 6) std, round(avg(case when floor(m * 25) = 10 then 1.0 else 0.0 end), 6) h10, round(quantile_cont(m, 0.5), 6) pct1, round(avg(case when m > 0.9 then 1.0 else 0.0 end), 6) contact2 from faces group by u, v")(
     lambda t: ml.edge_features(rag.boundary(fragments(t))).select("u", "v", *r6("mean", "std", "h10", "pct1", "contact2"))
 )
@@ -280,6 +288,18 @@ query("det6_policy_flat")(lambda t: trained(t, "50", True))
 query("det6_policy_ten")(lambda t: trained(t, "10", False))
 query("det7_block_merge", GREEDY.replace("with facing", "with recursive facing", 1) + """, e as (select src a, dst b from merges union select dst, src from merges), reach(node, cur) as (select a, a from e union select r.node, e.b from reach r join e on r.cur = e.a),
     roots as (select node, min(cur) root from reach group by node) select z, y, x, coalesce(root, label) label from fx_lbl left join roots on roots.node = label""")(lambda t: detect.merge_blocks(t.fx_lbl, seam_regions(t))[1])
+TILED = """with t as (select c.z, c.y, c.x, c.v, sum(coalesce(m.v, 0)) / 25.0 / 255.0 p from fx_em c cross join (select unnest(range(-2, 3)) dy) cross join (select unnest(range(-2, 3)) dx)
+    left join fx_em m on m.z = c.z and m.y = case when c.y + dy < 0 then -1 - c.y - dy when c.y + dy > 24 then 49 - c.y - dy else c.y + dy end and m.x = case when c.x + dx < 0 then -1 - c.x - dx when c.x + dx > 49 then 99 - c.x - dx else c.x + dx end group by 1, 2, 3, 4),
+    o as (select z, y, x, cast(case when v > 220 then 0.0 when v < 30 then 1.0 else p end as double) p from t), q as (select z, y, x, greatest(0.0, least(1.0, ((0.4 * p - 0.3) * p + 1.1) * p)) p from o)
+    select z, y, x, round(p, 6) p, round(1 - p, 6) p_not from q"""
+query("udf_postprocess", TILED)(
+    lambda t: detect.score_membranes(t.fx_em, lambda rows: rows.mean(1), 2, YX, (30, 220), postprocess=metrics.calibrated(0.4, -0.3, 1.1)).select("z", "y", "x", F.round("p", 6).alias("p"), F.round("p_not", 6).alias("p_not"))
+)
+query("udf_sampler")(lambda t: detect.score_membranes(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt, sampler=lambda rows: sampling.hard_first(rows, "t", "v")), 2, YX, (30, 220)))
+BUILDERS = [lambda e: e.groupBy("u", "v").agg(F.sum("n").alias("n")), lambda e: e.groupBy("u", "v").agg(F.min("m").alias("low"), F.max("m").alias("high"))]
+query("udf_features", f"with {FACES} select u, v, cast(count(*) as bigint) n, round(min(m), 6) low, round(max(m), 6) high from faces group by u, v")(
+    lambda t: ml.edge_table(ml.edge_values(rag.boundary(fragments(t))), BUILDERS).select("u", "v", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+)
 query("det8_saved_and_measured")(lambda t: detect.score_volume(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt), 2, YX, (30, 220), fresh(t, "scores"), t.fx_pt))
 query("det8_membrane_scores")(lambda t: detect.score_membranes(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt), 2, YX, (30, 220)))
 
