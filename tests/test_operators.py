@@ -849,6 +849,15 @@ def test_sampler_and_postprocess(spark):
     assert all(p + q == pytest.approx(1) for p, q in at(told).values())
 
 
+def test_thresholds_read_once(spark):
+    rows = spark.createDataFrame([(k % 2, (k * 7 % 20) / 20, int(k % 3 == 0)) for k in range(40)], "z int, p double, t int")
+    some = metrics.at_thresholds(rows, [0.2, 0.5, 1.0], ["z"])
+    want = [{**r.asDict(), "threshold": x} for x in (0.2, 0.5, 1.0) for r in metrics.performance(rows, x, ["z"]).collect()]
+    key = lambda r: (r["threshold"], r["z"])
+    assert sorted((r.asDict() for r in some.collect()), key=key) == sorted(want, key=key)
+    assert some._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
 def test_levels_of_a_merge_table():
     from voxloom.streaming.merges import levels
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +9,29 @@ from pyspark.sql import functions as F
 def performance(scored: DataFrame, threshold: float, by: list[str] | None = None, p: str = "p", t: str = "t") -> DataFrame:
     """Counts and rates at a threshold; a rate over nothing is null. ``calibration``: share of true
     voxels with p within 0.05 of the threshold."""
+    return _rated(scored.groupBy(*(by or [])).agg(*_counts(threshold, p, t)))
+
+
+def _counts(threshold: float, p: str, t: str) -> list[Column]:
     hit, true = F.col(p) >= threshold, F.col(t) == 1
     near = (F.col(p) >= threshold - 0.05) & (F.col(p) < threshold + 0.05)
-    counts = scored.groupBy(*(by or [])).agg(
-        F.count_if(hit & true).alias("tp"), F.count_if(~hit & ~true).alias("tn"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"),
-        F.avg(F.when(near, F.col(t).cast("double"))).alias("calibration"),
-    )
+    told = {"tp": hit & true, "tn": ~hit & ~true, "fp": hit & ~true, "fn": ~hit & true}
+    return [*(F.count_if(c).alias(n) for n, c in told.items()), F.avg(F.when(near, F.col(t).cast("double"))).alias("calibration")]
+
+
+def _rated(counts: DataFrame) -> DataFrame:
     rate = lambda a, b: F.try_divide(a, b)
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     out = counts.withColumns({"fallout": rate(fp, fp + tn), "recall": rate(tp, tp + fn), "precision": rate(tp, tp + fp), "specificity": rate(tn, tn + fp), "f1": rate(2 * tp, 2 * tp + fp + fn)})
     return out.withColumn("f1_alt", rate(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def at_thresholds(scored: DataFrame, thresholds: list[float], by: list[str] | None = None) -> DataFrame:
-    """``performance`` for a short list of thresholds."""
-    return reduce(DataFrame.unionByName, (performance(scored, x, by).withColumn("threshold", F.lit(x)) for x in thresholds))
+def at_thresholds(scored: DataFrame, thresholds: list[float], by: list[str] | None = None, p: str = "p", t: str = "t") -> DataFrame:
+    """``performance`` for a short list of thresholds, from one aggregate over one reading of ``scored``."""
+    by = by or []
+    each = F.array(*(F.struct(F.lit(float(x)).alias("threshold"), *_counts(x, p, t)) for x in thresholds))
+    counts = scored.groupBy(*by).agg(each.alias("_each")).select(*by, F.inline("_each"))
+    return _rated(counts)
 
 
 def pr_curve(scored: DataFrame, steps: int = 100, p: str = "p", t: str = "t") -> DataFrame:

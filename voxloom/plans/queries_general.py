@@ -12,11 +12,12 @@ from voxloom.plans.registry import query
 query("cat_top_k", "with a as (select z, label, count(*) n from fx_lbl where label > 0 group by all) select z, label, n from a qualify row_number() over (partition by z order by n desc, label) <= 3")(
     lambda t: t.fx_lbl.where("label > 0").groupBy("z", "label").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.partitionBy("z").orderBy(F.desc("n"), "label"))).where("k <= 3").drop("k")
 )
-SETS = "with a as (select distinct y, x from fx_lbl where z = 0 and label > 0), b as (select distinct y, x from fx_lbl where z = 1 and label > 0)"
+SETS = "with a as (select distinct y, x from fx_lbl where z % 2 = 0 and label > 0), b as (select distinct y, x from fx_lbl where z % 2 = 1 and label > 0)"
 
 
 def two(t):
-    return (t.fx_lbl.where(f"z = {z} and label > 0").select("y", "x") for z in (0, 1))
+    """Where labels lie in slices of even and of odd number."""
+    return (t.fx_lbl.where(f"z % 2 = {k} and label > 0").select("y", "x").distinct() for k in (0, 1))
 
 
 query("cat_union", SETS + " select * from a union select * from b")(lambda t: (lambda a, b: a.unionByName(b).distinct())(*two(t)))
