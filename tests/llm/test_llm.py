@@ -269,6 +269,18 @@ def test_embedding_links(spark):
     assert embeddings.embedding_links(df.where("vec_id in (900, 901)")).count() == 2
 
 
+@pytest.mark.parametrize("held", [1, 40, 5000])
+def test_codebooks_by_blocks(monkeypatch, held):
+    """However few distances are held at once, the codebook is the same; and no more are held."""
+    x, most = np.random.default_rng(6).integers(0, 40, (300, 4)).astype(float), []
+    whole = embeddings.centroids(x, 12)
+    squares = embeddings._squares
+    monkeypatch.setattr(embeddings, "HELD", held)
+    monkeypatch.setattr(embeddings, "_squares", lambda a, c: most.append(len(a) * len(c)) or squares(a, c))
+    assert np.allclose(embeddings.centroids(x, 12), whole)
+    assert max(most) <= max(held, 12)
+
+
 def test_embedding_recall(spark, sf_dir):
     """Copies with noise at the threshold, in 64 dimensions: recall at the default target."""
     base = RNG.normal(size=(400, 64))

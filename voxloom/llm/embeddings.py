@@ -45,17 +45,20 @@ MAX_CENTROIDS = 4096
 TILE = 1024
 #: Vectors placed at once; each may go to many cells.
 SLICE = 128
+#: Distances held at once by the driver while it fits a codebook: 32 MB.
+HELD = 1 << 22
 #: What rounding may take off a bound.
 SLACK = 1e-6
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
-    """k-means on a sample in memory."""
+    """k-means on a sample in memory; distances are taken a block of rows at a time, at most ``HELD`` of them."""
     x = np.unique(x, axis=0)
     k = min(k, len(x))
+    step = max(1, HELD // max(1, k))
     c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        own = _squares(x, c).argmin(1)
+        own = np.concatenate([_squares(x[at : at + step], c).argmin(1) for at in range(0, len(x), step)])
         n = np.bincount(own, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, own, x)
