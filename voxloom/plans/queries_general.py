@@ -41,6 +41,6 @@ query("cat_arrays", "select vec_id, label, round(embedding[2]::double, 6) first_
         F.round(F.flatten("g")[0].cast("double") - F.flatten(F.reverse("g"))[7].cast("double"), 6).alias("ends"),
     )
 )
-query("cat_strings", "select label id, 'seg_' || lpad(label::varchar, 6, '0') as token, count(*) area from fx_lbl where label > 0 group by label")(
+query("cat_strings", "select label id, 'seg_' || lpad(label::varchar, greatest(6, length(label::varchar))::int, '0') as token, count(*) area from fx_lbl where label > 0 group by label")(
     lambda t: regionprops.regionprops(t.fx_lbl).select(F.col("label").alias("id"), scalars.token_of("seg", F.col("label")).alias("token"), "area")
 )
