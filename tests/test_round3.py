@@ -1,7 +1,10 @@
 """What a review of round 3 found, on small tables."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from voxloom.operators import sampling
 from voxloom.plans import queries_general, queries_graph, queries_volume, registry  # noqa: F401
 
 
@@ -15,3 +18,23 @@ def test_tokens_of_long_labels(spark, tmp_path):
     assert got == sorted(con.execute(f"select id, token, area from ({registry.SQL['cat_strings']})").fetchall())
     assert max(i for i, _, _ in got) > 10**6
     assert all(int(token.removeprefix("seg_")) == i for i, token, _ in got)
+
+
+@pytest.mark.parametrize("bucket", [100_000, 50])
+def test_hard_first_orders_by_whole_hashes(spark, monkeypatch, bucket):
+    """Hashes that differ by one are told apart, and the least of the later voxels comes after the last of those put first."""
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", bucket)
+    rows = [(z, y, x, (z * 7 + y * 3 + x) % 11, int((z + y + x) % 3 == 0)) for z in range(3) for y in range(25) for x in range(50)]
+    df = spark.createDataFrame(rows, "z int, y int, x int, v int, t int")
+    # Few different hashes, so that neighbours among them are frequent; a larger place comes first in half of these.
+    monkeypatch.setattr(sampling, "spread", lambda: (F.lit(sampling.RANGE - 1) - F.col("z") * 400 - F.col("y") * 10 - F.floor(F.col("x") / 5)).cast("bigint"))
+    hashed = lambda z, y, x: sampling.RANGE - 1 - z * 400 - y * 10 - x // 5
+    got = {(r["z"], r["y"], r["x"]): (r["t"], r["hard"], r["rank"]) for r in sampling.hard_first(df, "t", "v", 15).collect()}
+    clear = sorted(v for *_, v, t in rows if t == 0)
+    at = 0.15 * (len(clear) - 1)
+    cut = clear[int(at)] + (at - int(at)) * (clear[int(at) + 1] - clear[int(at)])
+    least, want = min(len(clear), len(rows) - len(clear)), {}
+    for kind in (0, 1):
+        order = sorted((t == 0 and v > cut, hashed(z, y, x), z, y, x) for z, y, x, v, t in rows if t == kind)
+        want |= {o[2:]: (kind, kind == 0 and not o[0], k) for k, o in enumerate(order[:least], 1)}
+    assert got == want

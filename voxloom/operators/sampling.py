@@ -29,15 +29,17 @@ def interior(voxels: DataFrame, border: int, extent: dict[str, tuple[int, int]],
     return out if slices is None else out.where(F.col("z").isin(list(slices)))
 
 
-def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "rank", deal: Column | None = None) -> DataFrame:
     """Rank from 1 within ``by``, by ``order`` whose first part is a number from 0 to RANGE.
 
-    Ranges of that number are ranked each by themselves, then offset by the counts before.
+    Ranges of that number are ranked each by themselves, then offset by the counts before. ``deal``: such a number
+    that never falls along ``order``, where its first part is another.
     """
+    deal = order[0] if deal is None else deal
     parts = F.ceil(F.count("*") / BUCKET_ROWS).alias("_parts")
     sizes = rows.groupBy(*by).agg(parts) if by else rows.agg(parts)
     keyed = rows.join(sizes, by) if by else rows.crossJoin(sizes)  # one row
-    keyed = keyed.withColumn("_part", F.floor(order[0] * F.col("_parts") / RANGE).cast("int")).drop("_parts")
+    keyed = keyed.withColumn("_part", F.floor(deal * F.col("_parts") / RANGE).cast("int")).drop("_parts")
     n = keyed.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
     first = n.withColumn("_first", F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     local = keyed.withColumn("_local", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
@@ -62,8 +64,9 @@ def balanced(voxels: DataFrame, label: str, by: list[str] | None = None, first:
     by = by or []
     rows = voxels if omit is None else voxels.where(~F.col(label).isin(omit))
     order = spread()
-    key = [order if first is None else F.floor((order + first * RANGE) / 2), "z", "y", "x"]
-    rows = ranked(rows, [*by, label], key)
+    # Halves of the range, so that those put first are dealt before the others; the order is by both numbers whole.
+    key, deal = ([order], order) if first is None else ([first, order], F.floor((order + first * RANGE) / 2))
+    rows = ranked(rows, [*by, label], [*key, *map(F.col, "zyx")], deal=deal)
     sizes = rows.groupBy(*by, label).agg(F.count("*").alias("_n"))
     kinds = voxels.select(label).where(F.col(label).isNotNull() & (F.lit(True) if omit is None else ~F.col(label).isin(omit))).distinct().agg(F.count("*").alias("_k"))
     if by:
