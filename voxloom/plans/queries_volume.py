@@ -13,6 +13,8 @@ from voxloom.plans.registry import SLICE, query
 from voxloom.sources import sinks, store, volumes
 
 YX = {a: (0, n) for a, n in SLICE.items()}
+#: Slices of a stack in a file.
+STACK = 1024
 #: The number of slices, in SQL.
 DEEP = "(select max(z) + 1 from fx_em)"
 BOX = {"z": (1, 5), "y": (5, 20), "x": (10, 35)}
@@ -58,9 +60,9 @@ def stored(t, span, zone_cells):
     return store.Volume(t.spark, to)
 
 
-query("src1_stored_cutout", f"select z, y, x, v, n from fx_em where {IN_BOX}")(lambda t: stored(t, {"z": 2, "y": 4, "x": 8}, 512).cutout(BOX))
-query("reg3_stored_cuboids", "select z, y, x, v, n from fx_em where z >= 0 and z < 6 and y >= 4 and y < 20 and x >= 8 and x < 40")(lambda t: stored(t, {"z": 2, "y": 4, "x": 8}, 512).cuboids(BOX))
-query("jon7_stored_regions", PADDED + " select p.region_id, count(*) n, cast(sum(v) as bigint) s from p join fx_em e on e.z >= z0 and e.z < z1 and e.y >= y0 and e.y < y1 and e.x >= x0 and e.x < x1 group by 1")(
+query("src1_stored_cutout", f"select z, y, x, v, n from fx_em where {IN_BOX}", keep=True)(lambda t: stored(t, {"z": 2, "y": 4, "x": 8}, 512).cutout(BOX))
+query("reg3_stored_cuboids", "select z, y, x, v, n from fx_em where z >= 0 and z < 6 and y >= 4 and y < 20 and x >= 8 and x < 40", keep=True)(lambda t: stored(t, {"z": 2, "y": 4, "x": 8}, 512).cuboids(BOX))
+query("jon7_stored_regions", PADDED + " select p.region_id, count(*) n, cast(sum(v) as bigint) s from p join fx_em e on e.z >= z0 and e.z < z1 and e.y >= y0 and e.y < y1 and e.x >= x0 and e.x < x1 group by 1", keep=True)(
     lambda t: stored(t, SPAN, 5000).in_regions(regions.padded(grid(t), PAD, extent(t))).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
 )
 
@@ -78,7 +80,7 @@ def _(t):
 
 @query("src4_load_stack", "select cast(vec_id as int) z, cast(i // 8 as int) y, cast(i % 8 as int) x, round(cast(embedding[i + 1] as double), 6) v from embeddings, (select unnest(range(64)) i)")
 def _(t):
-    """Slices saved as .npy files by tasks, then read through Spark's file reader."""
+    """Slices saved by tasks as stacks of many in .npz files with their numbers, then read through Spark's file reader."""
     from voxloom.plans.ship import ship
 
     ship(t.spark)
@@ -86,6 +88,7 @@ def _(t):
 
     def save(batches):
         import io
+        import uuid
 
         import numpy as np
         import pandas as pd
@@ -94,17 +97,17 @@ def _(t):
         system, inner = fs.FileSystem.from_uri(folder)
         system.create_dir(inner, recursive=True)
         for pdf in batches:
-            for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-                out = io.BytesIO()
-                np.save(out, np.asarray(v, np.float32).reshape(8, 8))
-                with system.open_output_stream(f"{inner}/{i:012d}.npy") as f:
+            for at in range(0, len(pdf), STACK):
+                some, out = pdf.iloc[at : at + STACK], io.BytesIO()
+                np.savez(out, X=np.stack([np.asarray(v, np.float32).reshape(8, 8) for v in some["embedding"]]), z=some["vec_id"].to_numpy(np.int64))
+                with system.open_output_stream(f"{inner}/{uuid.uuid4().hex}.npz") as f:
                     f.write(out.getvalue())
             yield pd.DataFrame({"n": [len(pdf)]})
 
+    # A task that runs again writes its stacks anew under other names; a slice counts once.
     t.embeddings.select("vec_id", "embedding").mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
-    got = volumes.load_stack(t.spark, folder)
-    z = F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("int")
-    return volumes.blocks_to_voxels(got.withColumn("z0", z)).select("z", "y", "x", F.round(F.col("v").cast("double"), 6).alias("v"))
+    got = volumes.load_stack(t.spark, folder, at="z").dropDuplicates(["z0"])
+    return volumes.blocks_to_voxels(got).select("z", "y", "x", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 @query("src5_tool_output", "select 1 resolution, z + 101 z, x + 202 y, y + 303 x, round(1 - p, 6) \"value\" from fx_pt")
@@ -140,14 +143,14 @@ def _(t):
     return t.spark.read.parquet(to).select("z", "y", "x", F.round("p", 6).alias("p"), "kind")
 
 
-@query("snk5_rescaled", """select z, y, x, cast(floor((v - min(v) over (partition by z)) * 255 / cast(max(v) over (partition by z) - min(v) over (partition by z) as double)) as int) v from fx_em""")
+@query("snk5_rescaled", """select z, y, x, cast(floor((v - min(v) over (partition by z)) * 255 / cast(max(v) over (partition by z) - min(v) over (partition by z) as double)) as int) v from fx_em""", keep=True)
 def _(t):
     to = fresh(t, "slices")
     sinks.save_slices(sinks.rescaled_slices(t.fx_em.select("z", "y", "x", "v")), to)
     return t.spark.read.parquet(to).select("z", "y", "x", "v")
 
 
-@query("snk5_asserted", "select z, y, x, round(1 - p, 6) v from fx_pt")
+@query("snk5_asserted", "select z, y, x, round(1 - p, 6) v from fx_pt", keep=True)
 def _(t):
     """1 - p, after the check that all values lie in [0, 1]."""
     to = fresh(t, "slices")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxloom.plans.durable import durable
+
 #: Derived tables; the same text runs in Spark and in an ANSI engine, {name} being a table.
 DERIVED = {
     "fx_em": """select cast(l_linenumber - 1 + 7 * floor(l_orderkey / 15000.0) as int) z, cast(l_suppkey % 25 as int) y, cast(l_partkey % 50 as int) x,
@@ -24,12 +26,15 @@ SLICE = {"y": 25, "x": 50}
 
 
 class Tables:
-    """The tables of a folder, given or derived, by attribute."""
+    """The tables of a folder, given or derived, by attribute. ``keep``: the volume is derived once, then read from the shared folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
+        self.spark, self.sf_dir, self.keep = spark, sf_dir, keep
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name == "fx_em" and self.keep:
+            self.fx_em = durable(self.sql(DERIVED[name]))
+            return self.fx_em
         if name in DERIVED:
             return self.sql(DERIVED[name])
         if name.startswith("_"):
@@ -44,11 +49,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables)`` under ``name``, with its oracle in the derived tables' terms."""
+def query(name: str, sql: str | None = None, keep: bool = False):
+    """Register ``fn(tables)`` under ``name``, with its oracle in the derived tables' terms. ``keep``: it passes over the volume again and again."""
 
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir, keep))
         if sql:
             SQL[name] = oracle(sql)
         return fn

@@ -52,8 +52,18 @@ def rescaled_slices(voxels: DataFrame, value: str = "v", rescale: bool = True, b
     return out.withColumn(value, F.when(v.isNotNull(), F.floor(F.coalesce(F.try_divide((v - F.col("_lo")) * 255, F.col("_span")), F.lit(0.0))).cast("int"))).drop("_lo", "_span")
 
 
+#: Slices of a folder.
+SLICES = 512
+
+
 def save_slices(voxels: DataFrame, path: str, by: str = "z") -> None:
-    voxels.write.mode("overwrite").partitionBy(by).parquet(path)
+    """Save slices whole: a slice lies in one file, in order, next to those before and after it.
+
+    Folders ``band`` hold ``SLICES`` numbers each, and a task writes a range of slices, so the files grow with the volume's size, not
+    with the number of slices. A reader of one slice drops the other bands, and row groups by ``by``.
+    """
+    banded = voxels.withColumn("band", F.floor(F.col(by) / SLICES))
+    banded.repartitionByRange(by).sortWithinPartitions("band", by).write.mode("overwrite").partitionBy("band").parquet(path)
 
 
 def merge_lines(groups: DataFrame, root: str = "root", members: str = "members") -> DataFrame:

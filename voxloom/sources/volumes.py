@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from voxloom.operators.regions import AXES, inside
 from voxloom.plans.ship import ship
 
+#: Cells of the slices that a reader hands on together.
+BATCH_CELLS = 1 << 20
+
 
 def cutout(source: DataFrame, box: dict[str, tuple[int, int]], channel: str | None = None, resolution: int | None = None) -> DataFrame:
     """One channel inside a half-open box. All tests are simple ranges, so they prune partitions and reach the scan."""
@@ -38,11 +41,12 @@ def by_slabs(source: DataFrame, z: tuple[int, int], slabs: int) -> DataFrame:
     return source.where(F.col("z").between(z[0], z[1] - 1)).repartitionByRange(slabs, "z")
 
 
-def load_stack(spark: SparkSession, path: str, key: str = "X") -> DataFrame:
+def load_stack(spark: SparkSession, path: str, key: str = "X", at: str | None = None) -> DataFrame:
     """(path, z0, nz, ny, nx, data): .npy and .npz arrays, a block for each slice.
 
     Files come through Spark's reader, so any store that it reads will do; ``key`` names the
-    array of an .npz.
+    array of an .npz. A slice's number is its place in the array; ``at`` names an array of an .npz that gives the numbers
+    instead, so that one file holds slices from anywhere.
     """
     ship(spark)
     files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"\.np[yz]$")).select("path", "content")
@@ -55,8 +59,14 @@ def load_stack(spark: SparkSession, path: str, key: str = "X") -> DataFrame:
                 cube = cube[None] if cube.ndim == 2 else cube
                 if cube.ndim != 3:
                     raise ValueError(f"{name}: {cube.ndim} dimensions; a stack has 2 or 3")
-                for z in range(len(cube)):
-                    yield pd.DataFrame({"path": [name], "z0": [z], "nz": [1], "ny": [cube.shape[1]], "nx": [cube.shape[2]], "data": [cube[z].astype(np.float32).ravel()]})
+                own = np.arange(len(cube)) if at is None or not name.endswith(".npz") else got[at]
+                if own.shape != (len(cube),):
+                    raise ValueError(f"{name}: {len(cube)} slices, numbers of shape {own.shape}")
+                # As many slices in a batch as hold a bounded number of cells.
+                step = max(1, BATCH_CELLS // max(1, cube.shape[1] * cube.shape[2]))
+                for first in range(0, len(cube), step):
+                    some = cube[first : first + step].astype(np.float32)
+                    yield pd.DataFrame({"path": name, "z0": own[first : first + step].astype(np.int32), "nz": 1, "ny": cube.shape[1], "nx": cube.shape[2], "data": list(some.reshape(len(some), -1))})
 
     return files.mapInPandas(decode, "path string, z0 int, nz int, ny int, nx int, data array<float>")
 
