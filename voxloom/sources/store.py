@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from voxloom.operators.regions import AXES, inside
+from voxloom.operators.regions import AXES, extent, inside
 
 #: Block coordinates are kept in 21 bits each, from -BIAS up.
 BITS = 21
 BIAS = 1 << (BITS - 1)
+#: Folders of a volume, at most.
+MAX_ZONES = 512
 #: Shifts and masks that spread 21 bits to every third place.
 SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 
@@ -93,10 +95,20 @@ def key_ranges(low: tuple[int, ...], high: tuple[int, ...], limit: int = 64) ->
     return ranges
 
 
+def _zones(ends: dict[str, tuple[int, int]], span: dict[str, int], levels: int) -> int:
+    """How many zones of 8**levels blocks an extent meets."""
+    out = 1
+    for a, (lo, hi) in ends.items():
+        first, last = ((v // span[a] + BIAS) >> levels for v in (lo, hi - 1))
+        out *= last - first + 1
+    return out
+
+
 def write_volume(voxels: DataFrame, path: str, span: dict[str, int], zone_cells: int = 1 << 24, files: int | None = None) -> None:
     """Store ``voxels`` (z, y, x, other columns) under ``path``; a voxel without a place is left out.
 
-    A zone is as many blocks as hold at most ``zone_cells`` cells (one at least). One shuffle by ranges of keys: a
+    A zone is as many blocks as hold at most ``zone_cells`` cells (one at least); more where the volume's extent would ask for over
+    ``MAX_ZONES`` folders, so that a large volume isn't scattered over small files. Keys prune row groups all the same. One shuffle by ranges of keys: a
     task holds whole blocks next to each other, so it writes few zones, and no block is larger than ``span``.
     Columns named ``key`` or ``zone`` are refused: the store's own bear these names.
     """
@@ -105,8 +117,12 @@ def write_volume(voxels: DataFrame, path: str, span: dict[str, int], zone_cells:
     levels, cells = 0, span["z"] * span["y"] * span["x"]
     while cells * 8 <= zone_cells and levels < BITS:
         cells, levels = cells * 8, levels + 1
+    placed = voxels.where(" and ".join(f"{a} is not null" for a in AXES))
+    ends = extent(placed)
+    while levels < BITS and _zones(ends, span, levels) > MAX_ZONES:
+        levels += 1
     layout = Layout(**span, levels=levels, columns=voxels.schema.json())
-    keyed = voxels.where(" and ".join(f"{a} is not null" for a in AXES)).withColumn("key", voxel_key(span)).withColumn("zone", F.shiftright("key", 3 * levels))
+    keyed = placed.withColumn("key", voxel_key(span)).withColumn("zone", F.shiftright("key", 3 * levels))
     dealt = keyed.repartitionByRange(files, "key") if files else keyed.repartitionByRange("key")
     dealt.sortWithinPartitions("zone", "key", *AXES).write.partitionBy("zone").parquet(f"{path}/data")
     voxels.sparkSession.createDataFrame([asdict(layout)]).coalesce(1).write.json(f"{path}/layout")
