@@ -1,11 +1,13 @@
 """What a review of round 3 found, on small tables."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import sampling
+from voxloom.operators import blocks, sampling, stencil
 from voxloom.plans import queries_general, queries_graph, queries_volume, registry  # noqa: F401
+from voxloom.sources import sinks, store, volumes
 
 
 def test_tokens_of_long_labels(spark, tmp_path):
@@ -38,3 +40,63 @@ def test_hard_first_orders_by_whole_hashes(spark, monkeypatch, bucket):
         order = sorted((t == 0 and v > cut, hashed(z, y, x), z, y, x) for z, y, x, v, t in rows if t == kind)
         want |= {o[2:]: (kind, kind == 0 and not o[0], k) for k, o in enumerate(order[:least], 1)}
     assert got == want
+
+
+def files_under(path):
+    return [p for p in path.rglob("*.parquet")]
+
+
+def test_slices_share_files(spark, tmp_path, monkeypatch):
+    """Many small slices make few files, each slice lies in one, and all rows come back."""
+    voxels = spark.range(600 * 20).select((F.col("id") % 600).cast("int").alias("z"), (F.col("id") / 600).cast("int").alias("y"), F.lit(0).alias("x"), F.col("id").alias("v"))
+    sinks.save_slices(voxels.repartition(7, "y"), str(tmp_path / "s"))
+    assert len(files_under(tmp_path / "s")) < 60
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(tuple, back.select("z", "y", "x", "v").collect())) == sorted(map(tuple, voxels.collect()))
+    assert back.select("z", F.input_file_name().alias("f")).distinct().count() == 600
+
+
+def test_zones_have_a_bound(spark, tmp_path, monkeypatch):
+    """A volume that asks for more zones than the bound gets larger ones, and cutouts stay right."""
+    monkeypatch.setattr(store, "MAX_ZONES", 16)
+    voxels = spark.range(300 * 8 * 8).select((F.col("id") / 64).cast("int").alias("z"), (F.col("id") / 8 % 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), F.col("id").alias("v"))
+    store.write_volume(voxels, str(tmp_path / "v"), {"z": 2, "y": 4, "x": 8}, zone_cells=64)
+    assert len([p for p in (tmp_path / "v" / "data").iterdir() if p.is_dir()]) <= 16
+    box = {"z": (37, 61), "y": (3, 6), "x": (1, 7)}
+    got = store.Volume(spark, str(tmp_path / "v")).cutout(box).select("v").collect()
+    assert sorted(r["v"] for r in got) == [z * 64 + y * 8 + x for z in range(37, 61) for y in range(3, 6) for x in range(1, 7)]
+
+
+def test_stacks_hold_many_slices(spark, tmp_path, monkeypatch):
+    """Slices from anywhere lie in one file under their numbers, and come in batches of a bounded size."""
+    cube, numbers = np.arange(5 * 3 * 4, dtype=np.float32).reshape(5, 3, 4), np.array([40, 2, 17, 999, 3])
+    np.savez(tmp_path / "a.npz", X=cube, z=numbers)
+    monkeypatch.setattr(volumes, "BATCH_CELLS", 24)
+    got = volumes.blocks_to_voxels(volumes.load_stack(spark, str(tmp_path), at="z")).collect()
+    assert {(r["z"], r["y"], r["x"]): r["v"] for r in got} == {(int(n), y, x): float(cube[k, y, x]) for k, n in enumerate(numbers) for y in range(3) for x in range(4)}
+
+
+def test_slices_are_worked_on_in_groups(spark, monkeypatch):
+    """Blocks that hold only a halo call no kernel, slices go to tasks together, and none sees another."""
+    calls = spark.sparkContext.accumulator(0)
+    rows = [(z, y, x, z * 100 + y * 10 + x) for z in range(40) for y in range(6) for x in range(6)]
+    df = spark.createDataFrame(rows, "z int, y int, x int, v int")
+
+    def look(values, there, corner):
+        calls.add(1)
+        cells = blocks.inner(there, 2)
+        return [*blocks.places(cells, 2, corner), blocks.row_by_row(blocks.windows(values[0], 2), lambda w: w.max(2))[cells]]
+
+    got = blocks.on_slices(df, ["v"], 2, look, "z int, y int, x int, m double").collect()
+    assert calls.value == 40
+    assert sorted((r["z"], r["y"], r["x"], r["m"]) for r in got) == [(z, y, x, z * 100 + min(y + 2, 5) * 10 + min(x + 2, 5)) for z, y, x, _ in rows]
+    got = stencil.dilate(df, stencil.box(1)).collect()
+    assert sorted((r["z"], r["y"], r["x"], r["v"]) for r in got) == [(z, y, x, z * 100 + min(y + 1, 5) * 10 + min(x + 1, 5)) for z, y, x, _ in rows]
+
+
+def test_the_volume_is_derived_once(spark, sf_dir):
+    """A query that passes over the volume again and again reads lineitem once."""
+    kept = registry.Tables(spark, sf_dir, keep=True)
+    plan = kept.fx_em.join(kept.fx_pt, ["z", "y", "x"]).join(kept.fx_lbl, ["z", "y", "x"])._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "Scan ExistingRDD" in plan
+    assert sorted(map(tuple, kept.fx_em.collect())) == sorted(map(tuple, registry.Tables(spark, sf_dir).fx_em.collect()))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from voxloom.plans.ship import ship
 
 BLOCK = 128
+#: Slices of a block that go to a task together.
+DEPTH = 16
 
 
 def _with_halo(axis: str, size: int, halo: int) -> Column:
@@ -26,6 +28,27 @@ def _with_halo(axis: str, size: int, halo: int) -> Column:
     return F.sequence(F.floor((c - halo) / size).cast("int"), F.floor((c + halo) / size).cast("int"))
 
 
+def _by_block(seen: DataFrame, size: int, halo: int, columns: list[str], depth: int, one: Callable, schema: str) -> DataFrame:
+    """Rows of ``schema`` from ``one(z, by, bx, y, x, values)`` on each block of a slice that holds voxels of its own.
+
+    A task's group is ``depth`` slices of a block, so that small slices don't pay for a group each; they are worked on one by one.
+    """
+    seen = seen.withColumn("by", F.explode(_with_halo("y", size, halo))).withColumn("bx", F.explode(_with_halo("x", size, halo)))
+    names = [f.split()[0].strip("`") for f in schema.split(", ")]
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        by, bx = int(pdf["by"].iloc[0]), int(pdf["bx"].iloc[0])
+        zs, ys, xs = (pdf[c].to_numpy() for c in "zyx")
+        columns_ = [pdf[c].to_numpy() for c in columns]
+        own = (ys // size == by) & (xs // size == bx)
+        order = np.argsort(zs, kind="stable")
+        ends = np.flatnonzero(np.diff(zs[order])) + 1
+        out = [one(int(zs[rows[0]]), by, bx, ys[rows], xs[rows], [c[rows] for c in columns_]) for rows in np.split(order, ends) if own[rows].any()]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+    return seen.withColumn("_zs", F.floor(F.col("z") / depth)).groupBy("_zs", "by", "bx").applyInPandas(group, schema)
+
+
 def by_slice(voxels: DataFrame, value: str, halo: int, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], out: str, kind: str, extent: dict[str, tuple[int, int]] | None = None, size: int = BLOCK) -> DataFrame:
     """(z, y, x, out): ``kernel(values, there)`` on blocks of slices, for the voxels that exist.
 
@@ -35,17 +58,15 @@ def by_slice(voxels: DataFrame, value: str, halo: int, kernel: Callable[[np.ndar
     ship(voxels.sparkSession)
     size = max(size, 2 * halo)
     seen = voxels.select("z", "y", "x", F.col(value).cast("double").alias("v"))
-    seen = seen.withColumn("by", F.explode(_with_halo("y", size, halo))).withColumn("bx", F.explode(_with_halo("x", size, halo)))
     convert = {"boolean": bool, "int": np.int32, "bigint": np.int64}.get(kind, np.float64)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, by, bx = (int(pdf[c].iloc[0]) for c in ("z", "by", "bx"))
-        y, x = pdf["y"].to_numpy() - by * size + halo, pdf["x"].to_numpy() - bx * size + halo
+    def one(z: int, by: int, bx: int, y: np.ndarray, x: np.ndarray, columns: list[np.ndarray]) -> pd.DataFrame:
+        y, x = y - by * size + halo, x - bx * size + halo
         # Only the part that holds voxels is filled in.
         ny, nx = min(size + 2 * halo, int(y.max()) + 1 + halo), min(size + 2 * halo, int(x.max()) + 1 + halo)
         ny, nx = max(ny, 2 * halo + 1), max(nx, 2 * halo + 1)
         values, there = np.zeros((ny, nx)), np.zeros((ny, nx), bool)
-        values[y, x], there[y, x] = pdf["v"].to_numpy(), True
+        values[y, x], there[y, x] = columns[0], True
         got = kernel(values, there)
         own = there[halo : ny - halo, halo : nx - halo]
         yy, xx = np.nonzero(own)
@@ -57,35 +78,33 @@ def by_slice(voxels: DataFrame, value: str, halo: int, kernel: Callable[[np.ndar
             return rows.astype({out: convert})
         return rows.assign(**{out: rows[out].astype(object).where(~np.isnan(rows[out]), None)}) if np.isnan(rows[out].to_numpy(float)).any() else rows
 
-    return seen.groupBy("z", "by", "bx").applyInPandas(one, f"z int, y int, x int, `{out}` {kind}")
+    return _by_block(seen, size, halo, ["v"], DEPTH, one, f"z int, y int, x int, `{out}` {kind}")
 
 
-def on_slices(voxels: DataFrame, inputs: list[str], halo: int, kernel: Callable, schema: str, size: int = BLOCK) -> DataFrame:
-    """Rows of ``schema`` from ``kernel(values, there, corner)`` on each block of a slice.
+def on_slices(voxels: DataFrame, inputs: list[str], halo: int, kernel: Callable, schema: str, size: int = BLOCK, *, depth: int | None = None) -> DataFrame:
+    """Rows of ``schema`` from ``kernel(values, there, corner)`` on each block of a slice that holds voxels of its own.
 
     ``values``: an array of doubles for each of ``inputs``, 0 where no voxel is; ``there``: which cells hold one; both with the halo.
     ``corner``: (z, y, x) of the first cell, in the halo. The kernel gives a list of columns; inner cells are its own, cells in the halo
-    belong to other blocks as well.
+    belong to other blocks as well. ``depth``: slices whose rows are held at once.
     """
     ship(voxels.sparkSession)
     seen = voxels.select("z", "y", "x", *(F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(inputs)))
-    seen = seen.withColumn("by", F.explode(_with_halo("y", size, halo))).withColumn("bx", F.explode(_with_halo("x", size, halo)))
     names = [f.split()[0].strip("`") for f in schema.split(", ")]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, by, bx = (int(pdf[c].iloc[0]) for c in ("z", "by", "bx"))
+    def one(z: int, by: int, bx: int, y: np.ndarray, x: np.ndarray, columns: list[np.ndarray]) -> pd.DataFrame:
         corner = (z, by * size - halo, bx * size - halo)
-        y, x = pdf["y"].to_numpy() - corner[1], pdf["x"].to_numpy() - corner[2]
+        y, x = y - corner[1], x - corner[2]
         # Only the part that holds voxels is filled in.
         shape = tuple(max(2 * halo + 1, min(size + 2 * halo, int(c.max()) + 1 + halo)) for c in (y, x))
         there = np.zeros(shape, bool)
         there[y, x] = True
         values = [np.zeros(shape) for _ in inputs]
-        for k, v in enumerate(values):
-            v[y, x] = np.nan_to_num(pdf[f"v{k}"].to_numpy(float))
+        for v, c in zip(values, columns, strict=True):
+            v[y, x] = np.nan_to_num(c.astype(float))
         return pd.DataFrame(dict(zip(names, kernel(values, there, corner), strict=True)))
 
-    return seen.groupBy("z", "by", "bx").applyInPandas(one, schema)
+    return _by_block(seen, size, halo, [f"v{k}" for k in range(len(inputs))], depth or DEPTH, one, schema)
 
 
 def inner(cells: np.ndarray, halo: int) -> np.ndarray:

@@ -34,9 +34,12 @@ def classify_blocks(voxels: DataFrame, grid: DataFrame, span: dict[str, int], pa
     """
     padded = regions.padded(grid, pad, extent)
     cut = regions.in_regions(voxels, padded, span)
-    apart = F.col("region_id").cast("int") * (extent["z"][1] + 1)
-    scored = ml.score_pixels(model, cut.select((F.col("z") + apart).alias("z"), "y", "x", "v"))
-    back = scored.select(F.floor(F.col("z") / (extent["z"][1] + 1)).cast("bigint").alias("region_id"), (F.col("z") % (extent["z"][1] + 1)).cast("int").alias("z"), "y", "x", F.col("prob")[1].alias("p"))
+    # A region's slices follow on each other, and on those of the region before.
+    deep, start = span["z"] + 2 * pad["z"], padded.select("region_id", "z0")
+    apart = F.col("region_id").cast("int") * deep + F.col("z") - F.col("z0")
+    scored = ml.score_pixels(model, cut.join(start, "region_id").select(apart.cast("int").alias("z"), "y", "x", "v"))
+    back = scored.select(F.floor(F.col("z") / deep).cast("bigint").alias("region_id"), (F.col("z") % deep).alias("_z"), "y", "x", F.col("prob")[1].alias("p"))
+    back = back.join(start, "region_id").select("region_id", (F.col("_z") + F.col("z0")).cast("int").alias("z"), "y", "x", "p")
     return regions.owned(back, grid).select("z", "y", "x", "p")
 
 

@@ -235,7 +235,7 @@ def tiles(voxels: DataFrame, r: int, value: str = "v", centres: DataFrame | None
 
     # A block's tiles are held at once.
     size = max(8, min(blocks.BLOCK, int((TILE_CELLS / (n * n)) ** 0.5)))
-    return blocks.on_slices(voxels, inputs, r, cut, f"z int, y int, x int, tile array<array<{kind}>>", size)
+    return blocks.on_slices(voxels, inputs, r, cut, f"z int, y int, x int, tile array<array<{kind}>>", size, depth=max(1, min(blocks.DEPTH, TILE_CELLS // (size * size * n * n))))
 
 
 def visible_regions(labels: DataFrame, r: int, membrane: int, value: str = "label") -> DataFrame:

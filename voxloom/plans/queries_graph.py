@@ -103,7 +103,7 @@ def fragments(t):
 
 
 query("gra6_rag", f"with {FACES} select u, v, count(*) n, round(sum(m), 6) s from faces group by u, v")(lambda t: rag.rag(fragments(t)).select("u", "v", "n", *r6("s")))
-query("gra7_agglomerated")(lambda t: rag.agglomerate(rag.rag(fragments(t)), 0.45))
+query("gra7_agglomerated", keep=True)(lambda t: rag.agglomerate(rag.rag(fragments(t)), 0.45))
 
 
 def policy(t):
@@ -111,9 +111,9 @@ def policy(t):
     return detect.train_policy(t.fx_lbl, t.fx_pt, truth, trees=10)
 
 
-query("gra8_learned")(lambda t: detect.learned_agglomeration(t.fx_lbl, t.fx_pt, *policy(t)))
-query("gra9_segmentation")(lambda t: detect.agglomerated(t.fx_lbl, t.fx_pt, 0.45))
-query("gra10_watershed")(lambda t: rag.watershed(t.fx_em, 30, 25, 50, flat=True))
+query("gra8_learned", keep=True)(lambda t: detect.learned_agglomeration(t.fx_lbl, t.fx_pt, *policy(t)))
+query("gra9_segmentation", keep=True)(lambda t: detect.agglomerated(t.fx_lbl, t.fx_pt, 0.45))
+query("gra10_watershed", keep=True)(lambda t: rag.watershed(t.fx_em, 30, 25, 50, flat=True))
 
 # Sampling
 
@@ -172,8 +172,8 @@ def forest(t, trees: int = 10):
     return ml.train_forest(durable(train_rows(t).where("z % 7 < 4")), trees=trees, depth=5)
 
 
-query("ml1_forest")(lambda t: ml.predict(forest(t), train_rows(t).where("z % 7 >= 4")).select("z", "y", "x", "label", "pred"))
-query("ml1_weighted")(
+query("ml1_forest", keep=True)(lambda t: ml.predict(forest(t), train_rows(t).where("z % 7 >= 4")).select("z", "y", "x", "label", "pred"))
+query("ml1_weighted", keep=True)(
     lambda t: ml.predict(
         ml.train_forest(durable(train_rows(t).where("z % 7 < 4").withColumn("weight", F.when(F.col("label") == 1, 2.0).otherwise(1.0))), trees=10, mtry=2, depth=5, rate=0.5, weight="weight", cutoff=[0.6, 0.4]),
         train_rows(t).where("z % 7 >= 4"),
@@ -186,11 +186,11 @@ def coded(t):
     return ml.assemble(t.fx_em.join(t.fx_pt.select("z", "y", "x", F.col("t").alias("label")), ["z", "y", "x"]).withColumn("k", F.col("z") % 7), ["v", "k"])
 
 
-query("ml1_categories")(lambda t: ml.predict(ml.train_forest(durable(coded(t)), trees=10, depth=5, categories=[1, 7]), coded(t)).select("z", "y", "x", "label", "pred"))
+query("ml1_categories", keep=True)(lambda t: ml.predict(ml.train_forest(durable(coded(t)), trees=10, depth=5, categories=[1, 7]), coded(t)).select("z", "y", "x", "label", "pred"))
 query("ml2_edge_features", f"with {FACES} select u, v, round(avg(m), 6) mean, round(stddev_pop(m), 6) std, round(avg(case when floor(m * 25) = 10 then 1.0 else 0.0 end), 6) h10, round(quantile_cont(m, 0.5), 6) pct1, round(avg(case when m > 0.9 then 1.0 else 0.0 end), 6) contact2 from faces group by u, v")(
     lambda t: ml.edge_features(rag.boundary(fragments(t))).select("u", "v", *r6("mean", "std", "h10", "pct1", "contact2"))
 )
-query("ml3_policy")(lambda t: ml.predict((mn := policy(t))[0], ml.assemble(ml.edge_features(rag.boundary(fragments(t))), mn[1])).select("u", "v", "pred", F.col("prob")[1].alias("p")))
+query("ml3_policy", keep=True)(lambda t: ml.predict((mn := policy(t))[0], ml.assemble(ml.edge_features(rag.boundary(fragments(t))), mn[1])).select("u", "v", "pred", F.col("prob")[1].alias("p")))
 NEAR = "select c.z, c.y, c.x, max(c.v) v, {} from fx_em c cross join (select cast(unnest(range(-3, 4)) as int) dy) a cross join (select cast(unnest(range(-3, 4)) as int) dx) b join fx_em e on e.z = c.z and e.y = c.y + dy and e.x = c.x + dx group by c.z, c.y, c.x"
 GAUSS = "sum(e.v * exp(-(dy * dy + dx * dx) / (2 * {0} * {0}))) filter (abs(dy) <= {1} and abs(dx) <= {1}) / sum(exp(-(dy * dy + dx * dx) / (2 * {0} * {0}))) filter (abs(dy) <= {1} and abs(dx) <= {1})"
 AT = "coalesce(max(e.v) filter (dy = {} and dx = {}), max(c.v))"
@@ -200,16 +200,16 @@ query("ml4_linear_features", LINEAR)(
     lambda t: ml.pixel_features(t.fx_em, scales=(1.6,)).select("z", "y", "x", "v", *(F.round(c, 4).alias(n) for c, n in (("smooth", "smooth"), ("smooth_1_6", "wider"), ("gradient", "gradient"))), "laplacian", F.round("deviation", 4).alias("deviation"))
 )
 query("ml4_structure_features")(lambda t: ml.pixel_features(t.fx_em, scales=ml.SCALES))
-query("ml4_pixel_classifier")(lambda t: ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")))
-query("ml5_scored_tiles")(lambda t: ml.score_blocks(t.fx_em.where("z % 7 >= 4"), ml.tile_scorer(detect.train_tiles(t.fx_em, t.fx_pt.where("z % 7 < 4")), detect.SCALE), 2, whole=True).select("z", "y", "x", "p"))
-query("ml6_objects")(lambda t: detect.detect_and_classify(t.fx_em, t.fx_pt.select("z", "y", "x", "p"), t.fx_pt, 25, 50, threshold=0.55))
-query("ml7_per_tree")(lambda t: ml.per_tree(forest(t), train_rows(t).where("z % 7 >= 4"), ["z", "y", "x"], classes=["clear", "membrane"], cutoff=[0.6, 0.4]))
-query("ml8_importance")(
+query("ml4_pixel_classifier", keep=True)(lambda t: ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")))
+query("ml5_scored_tiles", keep=True)(lambda t: ml.score_blocks(t.fx_em.where("z % 7 >= 4"), ml.tile_scorer(detect.train_tiles(t.fx_em, t.fx_pt.where("z % 7 < 4")), detect.SCALE), 2, whole=True).select("z", "y", "x", "p"))
+query("ml6_objects", keep=True)(lambda t: detect.detect_and_classify(t.fx_em, t.fx_pt.select("z", "y", "x", "p"), t.fx_pt, 25, 50, threshold=0.55))
+query("ml7_per_tree", keep=True)(lambda t: ml.per_tree(forest(t), train_rows(t).where("z % 7 >= 4"), ["z", "y", "x"], classes=["clear", "membrane"], cutoff=[0.6, 0.4]))
+query("ml8_importance", keep=True)(
     lambda t: ml.permutation_importance((m := forest(t)), train_rows(t).drop("features").where("z % 7 >= 4"), ["v", *ml.PIXEL], regions.to_linear(25, 50), times=2).join(ml.gini(m, ["v", *ml.PIXEL]), "feature")
 )
-query("ml9_proximity")(lambda t: ml.proximity(forest(t), train_rows(t).where("z % 7 >= 4").withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[0])
-query("ml9_classes")(lambda t: ml.proximity(forest(t), train_rows(t).where("z % 7 >= 4").withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[1])
-query("ml10_report")(lambda t: ml.validation_report(ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")).join(t.fx_pt.select("z", "y", "x", "t"), ["z", "y", "x"]).withColumn("p", F.col("prob")[1])))
+query("ml9_proximity", keep=True)(lambda t: ml.proximity(forest(t), train_rows(t).where("z % 7 >= 4").withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[0])
+query("ml9_classes", keep=True)(lambda t: ml.proximity(forest(t), train_rows(t).where("z % 7 >= 4").withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[1])
+query("ml10_report", keep=True)(lambda t: ml.validation_report(ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")).join(t.fx_pt.select("z", "y", "x", "t"), ["z", "y", "x"]).withColumn("p", F.col("prob")[1])))
 
 # Metrics
 
@@ -264,14 +264,14 @@ RING = "(k = 0 or k = r + 2 or c = 0 or c = 2 * r)"
 query("stn9_rings", f"""with o as (select r, k + 1 - r dy, c + 1 - r dx from (select r, k, unnest(range(2 * r + 1)) c from (select r, unnest(range(2 * r + 1)) k from (select unnest(range(1, 17)) r))) where {RING}),
     s as (select z, y, x from fx_em where v < 45), met as (select s.z sz, s.y sy, s.x sx, r, e.v v, floor(45 + r * 0.5) b from s cross join o join fx_em e on e.z = s.z and e.y = s.y + dy and e.x = s.x + dx)
     select sz, sy, sx, r::int r, count(*) n, count(*) filter (v >= b and v > 87) n_light, count(*) filter (v < b) n_black from met group by sz, sy, sx, r""")(lambda t: reticula.rings(t.fx_em))
-query("det1_watershed_segments")(lambda t: detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=1, dilate_z=1, threshold=110, min_size=4, median=1))
-query("det1_original_radii")(lambda t: detect.watershed_segments(t.fx_pt, 25, 50, threshold=130))
+query("det1_watershed_segments", keep=True)(lambda t: detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=1, dilate_z=1, threshold=110, min_size=4, median=1))
+query("det1_original_radii", keep=True)(lambda t: detect.watershed_segments(t.fx_pt, 25, 50, threshold=130))
 query("det2_reticula")(lambda t: detect.find_reticula(t.fx_em, 25, 50)[0])
-query("det3_pixel_pipeline")(lambda t: detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, extent(t), ml.train_pixels(t.fx_em, t.fx_pt, trees=5)))
-query("det4_object_pipeline")(
+query("det3_pixel_pipeline", keep=True)(lambda t: detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, extent(t), ml.train_pixels(t.fx_em, t.fx_pt, trees=5)))
+query("det4_object_pipeline", keep=True)(
     lambda t: detect.detect_and_classify(t.fx_em, detect.classify_blocks(t.fx_em.select("z", "y", "x", "v"), grid(t), SPAN, PAD, extent(t), ml.train_pixels(t.fx_em, t.fx_pt, trees=5)), t.fx_pt, 25, 50, threshold=0.5)
 )
-query("det5_agglomerative")(lambda t: detect.agglomerated(detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=1, dilate_z=1, threshold=110, min_size=3, median=1), t.fx_pt, 0.4))
+query("det5_agglomerative", keep=True)(lambda t: detect.agglomerated(detect.watershed_segments(t.fx_pt, 25, 50, dilate_xy=1, dilate_z=1, threshold=110, min_size=3, median=1), t.fx_pt, 0.4))
 
 
 def truth_labels(t):
@@ -283,9 +283,9 @@ def trained(t, variant: str, flat: bool):
     return ml.predict(model, ml.assemble(ml.edge_features(rag.boundary(fragments(t))), names)).select("u", "v", "pred")
 
 
-query("det6_policy_training")(lambda t: trained(t, "full", False))
-query("det6_policy_flat")(lambda t: trained(t, "50", True))
-query("det6_policy_ten")(lambda t: trained(t, "10", False))
+query("det6_policy_training", keep=True)(lambda t: trained(t, "full", False))
+query("det6_policy_flat", keep=True)(lambda t: trained(t, "50", True))
+query("det6_policy_ten", keep=True)(lambda t: trained(t, "10", False))
 query("det7_block_merge", GREEDY.replace("with facing", "with recursive facing", 1) + """, e as (select src a, dst b from merges union select dst, src from merges), reach(node, cur) as (select a, a from e union select r.node, e.b from reach r join e on r.cur = e.a),
     roots as (select node, min(cur) root from reach group by node) select z, y, x, coalesce(root, label) label from fx_lbl left join roots on roots.node = label""")(lambda t: detect.merge_blocks(t.fx_lbl, seam_regions(t))[1])
 TILED = """with t as (select c.z, c.y, c.x, c.v, sum(coalesce(m.v, 0)) / 25.0 / 255.0 p from fx_em c cross join (select unnest(range(-2, 3)) dy) cross join (select unnest(range(-2, 3)) dx)
@@ -295,13 +295,13 @@ TILED = """with t as (select c.z, c.y, c.x, c.v, sum(coalesce(m.v, 0)) / 25.0 /
 query("udf_postprocess", TILED)(
     lambda t: detect.score_membranes(t.fx_em, lambda rows: rows.mean(1), 2, YX, (30, 220), postprocess=metrics.calibrated(0.4, -0.3, 1.1)).select("z", "y", "x", F.round("p", 6).alias("p"), F.round("p_not", 6).alias("p_not"))
 )
-query("udf_sampler")(lambda t: detect.score_membranes(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt, sampler=lambda rows: sampling.hard_first(rows, "t", "v")), 2, YX, (30, 220)))
+query("udf_sampler", keep=True)(lambda t: detect.score_membranes(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt, sampler=lambda rows: sampling.hard_first(rows, "t", "v")), 2, YX, (30, 220)))
 BUILDERS = [lambda e: e.groupBy("u", "v").agg(F.sum("n").alias("n")), lambda e: e.groupBy("u", "v").agg(F.min("m").alias("low"), F.max("m").alias("high"))]
 query("udf_features", f"with {FACES} select u, v, cast(count(*) as bigint) n, round(min(m), 6) low, round(max(m), 6) high from faces group by u, v")(
     lambda t: ml.edge_table(ml.edge_values(rag.boundary(fragments(t))), BUILDERS).select("u", "v", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 )
-query("det8_saved_and_measured")(lambda t: detect.score_volume(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt), 2, YX, (30, 220), fresh(t, "scores"), t.fx_pt))
-query("det8_membrane_scores")(lambda t: detect.score_membranes(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt), 2, YX, (30, 220)))
+query("det8_saved_and_measured", keep=True)(lambda t: detect.score_volume(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt), 2, YX, (30, 220), fresh(t, "scores"), t.fx_pt))
+query("det8_membrane_scores", keep=True)(lambda t: detect.score_membranes(t.fx_em, detect.train_tiles(t.fx_em, t.fx_pt), 2, YX, (30, 220)))
 
 # Streams
 
