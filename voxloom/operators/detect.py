@@ -73,10 +73,12 @@ Builders = Sequence[Callable[[DataFrame], DataFrame]]
 def train_policy(fragments: DataFrame, p: DataFrame, truth: DataFrame, trees: int = 20, builders: Builders | None = None):
     """(model, feature names): a forest on the edges' features, merge or not by the true labels."""
     faces = rag.boundary(fragments.join(p.select("z", "y", "x", "p"), ["z", "y", "x"]))
-    table = ml.edge_table(ml.edge_values(faces), builders)
+    table = ml.edge_table(durable(ml.edge_values(faces)), builders)
     names = [c for c in table.columns if c not in ("u", "v")]
     rows = ml.edge_truth(table, fragments, truth)
-    return ml.train_forest(ml.assemble(rows.withColumn("label", 1 - F.col("label")), names), trees=trees, depth=6), names
+    # A forest passes over its rows a few times before the first level.
+    rows = durable(ml.assemble(rows.withColumn("label", 1 - F.col("label")), names).select("features", "label"))
+    return ml.train_forest(rows, trees=trees, depth=6), names
 
 
 def learned_agglomeration(fragments: DataFrame, p: DataFrame, model, names: list[str], threshold: float = 0.5, builders: Builders | None = None) -> DataFrame:

@@ -344,17 +344,24 @@ def edge_features(faces: DataFrame, bins: int = 25, points: tuple[float, ...] =
     """(u, v, moments, histogram, percentiles, contact, degrees) of each edge of the adjacency graph.
 
     ``faces`` (u, v, m) as from ``rag.boundary``, or their ``edge_values``. Moments come from power sums about
-    the middle of [0, 1]; an edge of one value has none above the mean.
+    the middle of [0, 1]; an edge of one value has none above the mean. Percentiles come from counts up to each value, in
+    the order of an edge's values: sorted rows and plain aggregates, no map of values in a row.
     """
-    values = faces if "n" in faces.columns else edge_values(faces)
+    from pyspark.sql import Window
+
+    values = faces if "n" in faces.columns else durable(edge_values(faces))
     n, d = F.col("n"), F.col("m") - 0.5
+    edge = Window.partitionBy("u", "v").orderBy("m")
+    ranked = values.withColumn("_c", F.sum("n").over(edge)).withColumn("_all", F.sum("n").over(edge.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    at = [(F.col("_all") - 1) * F.lit(float(p)) for p in points]
+    # The value of each rank from 0: the least that more than so many faces reach.
+    ranks = [F.min(F.when(F.col("_c") > f(a), F.col("m"))).alias(f"_{e}{i}") for i, a in enumerate(at) for e, f in (("lo", F.floor), ("hi", F.ceil))]
     share = lambda test: (F.sum(F.when(test, n).otherwise(0)) / F.sum(n)).cast("double")
     k = F.least(F.floor(F.col("m") * bins), F.lit(bins - 1))
     hist = [share(k == b).alias(f"h{b}") for b in range(bins)]
     over = [share(F.col("m") > p).alias(f"contact{i}") for i, p in enumerate(points)]
     sums = [(F.sum(n * F.pow(d, q)) / F.sum(n)).alias(f"_s{q}") for q in (1, 2, 3, 4)]
-    pct = F.percentile("m", F.array(*(F.lit(p) for p in points)), n)
-    out = values.groupBy("u", "v").agg(F.sum(n).cast("double").alias("n"), (F.min("m") == F.max("m")).alias("_one"), *sums, pct.alias("_p"), *hist, *over)
+    out = ranked.groupBy("u", "v").agg(F.sum(n).cast("double").alias("n"), (F.min("m") == F.max("m")).alias("_one"), *sums, *ranks, *hist, *over)
     s1, s2, s3, s4 = (F.col(f"_s{q}") for q in (1, 2, 3, 4))
     var = F.when(F.col("_one"), 0.0).otherwise(F.greatest(s2 - s1 * s1, F.lit(0.0)))
     out = out.withColumn("_v", var)
@@ -362,7 +369,12 @@ def edge_features(faces: DataFrame, bins: int = 25, points: tuple[float, ...] =
     skew = higher((s3 - 3 * s1 * s2 + 2 * F.pow(s1, 3)) / F.pow("_v", F.lit(1.5)))
     kurt = higher((s4 - 4 * s1 * s3 + 6 * s1 * s1 * s2 - 3 * F.pow(s1, 4)) / F.pow("_v", F.lit(2.0)) - 3)
     named = [c for c in out.columns if not c.startswith("_") and c not in ("u", "v", "n")]
-    out = out.select("u", "v", "n", (s1 + 0.5).alias("mean"), F.sqrt("_v").alias("std"), skew.alias("skew"), kurt.alias("kurt"), *named, *(F.col("_p")[i].alias(f"pct{i}") for i in range(len(points))))
+
+    def percentile(i: int, p: float) -> Column:
+        at, lo, hi = (F.col("n") - 1) * F.lit(float(p)), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    out = out.select("u", "v", "n", (s1 + 0.5).alias("mean"), F.sqrt("_v").alias("std"), skew.alias("skew"), kurt.alias("kurt"), *named, *(percentile(i, p).alias(f"pct{i}") for i, p in enumerate(points)))
     ends = out.select(F.explode(F.array("u", "v")).alias("id"), "n").groupBy("id").agg(F.count("*").cast("double").alias("degree"), F.sum("n").alias("faces"))
     for c in ("u", "v"):
         out = out.join(ends.select(F.col("id").alias(c), F.col("degree").alias(f"degree_{c}"), F.col("faces").alias(f"faces_{c}")), c)
