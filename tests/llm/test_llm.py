@@ -849,3 +849,22 @@ def test_a_worker_holds_one_stage():
     assert make("a") == ["a"]
     assert made == ["a", "b", "a", "a"]
     texts.release()
+
+
+def test_meetings_leave_out_groups_and_chance(spark):
+    """Texts of one group, and texts that share a segment's value by chance, don't come out of the join; near ones and large buckets do."""
+    rng = np.random.default_rng(11)
+    base, other = rng.integers(-(2**63), 2**63, (2, 8))
+    chance = np.r_[base[0], rng.integers(-(2**63), 2**63, 7)]  # the first two segments are those of base
+    near = base ^ np.int64(1 << 5)
+    rows = [(0, base, 0), (1, near, 0), (2, near, 2), (3, chance, 3), *((10 + k, other, 10 + k) for k in range(6)), (20, other, 10)]
+    nodes = spark.createDataFrame([(n, fp.tolist(), [7] * 21, g) for n, fp, g in rows], "node bigint, fp array<bigint>, weak array<int>, group bigint")
+    keys = F.array(*neardup.segment_keys(512, 24)).alias("keys")
+    table = nodes.select("node", "group", F.element_at("fp", -1).alias("tag"), F.explode(keys).alias("key"))
+    met = neardup.meetings(nodes, table, keys, 512, 3, 96, 4)
+    got = met.collect()
+    assert {(r["a"], r["b"]) for r in got if r["b"] is not None} == {(0, 2), (2, 0), (1, 2), (2, 1)}
+    assert {r["a"] for r in got if r["b"] is None} == {10, 11, 12, 13, 14, 15, 20}
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+    assert neardup.slack(512, 96) == 22
+    assert neardup.slack(64, 2) == 2
