@@ -164,19 +164,24 @@ query("aug2_batches")(lambda t: sampling.augmented_batches(sampling.batched(samp
 # Models
 
 
-def train_rows(t):
-    return ml.assemble(ml.pixel_features(t.fx_em).join(t.fx_pt.select("z", "y", "x", F.col("t").alias("label")), ["z", "y", "x"]), ["v", *ml.PIXEL])
+#: Slices to train on, and the others. Features lie within a slice, so slices are chosen before.
+TRAIN, HELD_OUT = "z % 7 < 4", "z % 7 >= 4"
+
+
+def train_rows(t, slices: str):
+    known = t.fx_pt.where(slices).select("z", "y", "x", F.col("t").alias("label"))
+    return ml.assemble(ml.pixel_features(t.fx_em.where(slices)).join(known, ["z", "y", "x"]), ["v", *ml.PIXEL])
 
 
 def forest(t, trees: int = 10):
-    return ml.train_forest(durable(train_rows(t).where("z % 7 < 4")), trees=trees, depth=5)
+    return ml.train_forest(durable(train_rows(t, TRAIN)), trees=trees, depth=5)
 
 
-query("ml1_forest", keep=True)(lambda t: ml.predict(forest(t), train_rows(t).where("z % 7 >= 4")).select("z", "y", "x", "label", "pred"))
+query("ml1_forest", keep=True)(lambda t: ml.predict(forest(t), train_rows(t, HELD_OUT)).select("z", "y", "x", "label", "pred"))
 query("ml1_weighted", keep=True)(
     lambda t: ml.predict(
-        ml.train_forest(durable(train_rows(t).where("z % 7 < 4").withColumn("weight", F.when(F.col("label") == 1, 2.0).otherwise(1.0))), trees=10, mtry=2, depth=5, rate=0.5, weight="weight", cutoff=[0.6, 0.4]),
-        train_rows(t).where("z % 7 >= 4"),
+        ml.train_forest(durable(train_rows(t, TRAIN).withColumn("weight", F.when(F.col("label") == 1, 2.0).otherwise(1.0))), trees=10, mtry=2, depth=5, rate=0.5, weight="weight", cutoff=[0.6, 0.4]),
+        train_rows(t, HELD_OUT),
     ).select("z", "y", "x", "label", "pred", "votes")
 )
 
@@ -203,12 +208,12 @@ query("ml4_structure_features")(lambda t: ml.pixel_features(t.fx_em, scales=ml.S
 query("ml4_pixel_classifier", keep=True)(lambda t: ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")))
 query("ml5_scored_tiles", keep=True)(lambda t: ml.score_blocks(t.fx_em.where("z % 7 >= 4"), ml.tile_scorer(detect.train_tiles(t.fx_em, t.fx_pt.where("z % 7 < 4")), detect.SCALE), 2, whole=True).select("z", "y", "x", "p"))
 query("ml6_objects", keep=True)(lambda t: detect.detect_and_classify(t.fx_em, t.fx_pt.select("z", "y", "x", "p"), t.fx_pt, 25, 50, threshold=0.55))
-query("ml7_per_tree", keep=True)(lambda t: ml.per_tree(forest(t), train_rows(t).where("z % 7 >= 4"), ["z", "y", "x"], classes=["clear", "membrane"], cutoff=[0.6, 0.4]))
+query("ml7_per_tree", keep=True)(lambda t: ml.per_tree(forest(t), train_rows(t, HELD_OUT), ["z", "y", "x"], classes=["clear", "membrane"], cutoff=[0.6, 0.4]))
 query("ml8_importance", keep=True)(
-    lambda t: ml.permutation_importance((m := forest(t)), train_rows(t).drop("features").where("z % 7 >= 4"), ["v", *ml.PIXEL], regions.to_linear(25, 50), times=2).join(ml.gini(m, ["v", *ml.PIXEL]), "feature")
+    lambda t: ml.permutation_importance((m := forest(t)), train_rows(t, HELD_OUT).drop("features"), ["v", *ml.PIXEL], regions.to_linear(25, 50), times=2).join(ml.gini(m, ["v", *ml.PIXEL]), "feature")
 )
-query("ml9_proximity", keep=True)(lambda t: ml.proximity(forest(t), train_rows(t).where("z % 7 >= 4").withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[0])
-query("ml9_classes", keep=True)(lambda t: ml.proximity(forest(t), train_rows(t).where("z % 7 >= 4").withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[1])
+query("ml9_proximity", keep=True)(lambda t: ml.proximity(forest(t), train_rows(t, HELD_OUT).withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[0])
+query("ml9_classes", keep=True)(lambda t: ml.proximity(forest(t), train_rows(t, HELD_OUT).withColumn("i", regions.to_linear(25, 50)), "i", 0.9)[1])
 query("ml10_report", keep=True)(lambda t: ml.validation_report(ml.score_pixels(ml.train_pixels(t.fx_em.where("z % 7 < 4"), t.fx_pt, trees=10), t.fx_em.where("z % 7 >= 4")).join(t.fx_pt.select("z", "y", "x", "t"), ["z", "y", "x"]).withColumn("p", F.col("prob")[1])))
 
 # Metrics
