@@ -1,9 +1,50 @@
 """What the review of round 3 found at size and a later round mended, on small tables."""
 
-from voxloom.operators import ml
+from pyspark.sql import functions as F
+
+from voxloom.operators import blocks, detect, ml, regions
 from voxloom.plans import queries_graph, registry
 
 
+def test_slices_share_a_kernel_call(spark):
+    """Pixel features of small slices come from stacks, one call for many slices, and no slice sees another."""
+    calls = spark.sparkContext.accumulator(0)
+    rows = [(z, y, x, z * 100 + y * 10 + x) for z in range(40) for y in range(6) for x in range(6)]
+
+    def look(values, there):
+        calls.add(1)
+        cells = blocks.inner(there, 2)
+        return cells, [sum(blocks.shifted(values[0], 2, 0, dx) for dx in (-2, 0, 2))[cells]]
+
+    got = blocks.on_stacks(spark.createDataFrame(rows, "z int, y int, x int, v int"), ["v"], 2, look, "z int, y int, x int, s double", 4).collect()
+    assert calls.value == 3 * 4  # 40 slices in groups of 16, four blocks each
+    at = {r[:3]: r[3] for r in rows}
+    assert sorted((r["z"], r["y"], r["x"], r["s"]) for r in got) == [(z, y, x, sum(at.get((z, y, x + dx), 0) for dx in (-2, 0, 2))) for z, y, x, _ in rows]
+
+
+def test_pads_are_seen_not_scored(spark, monkeypatch):
+    """Blocks' pads get no features and meet no forest; every voxel has the features of its padded block."""
+    span, pad = {"z": 2, "y": 4, "x": 5}, {"z": 1, "y": 2, "x": 3}
+    rows = [(z, y, x, (z * 31 + y * 17 + x * 7) % 97) for z in range(3, 8) for y in range(9) for x in range(11) if (y + x) % 7]
+    voxels = spark.createDataFrame(rows, "z int, y int, x int, v int")
+    seen = []
+
+    def scored(model, feats):
+        seen.append(feats.count())
+        return feats.withColumns({"prob": F.array(F.lit(0.0), F.col("tensor1_1_6")), "pred": F.lit(0)})
+
+    monkeypatch.setattr(ml, "predict", scored)
+    box = regions.extent(voxels)
+    grid = regions.grid(spark, box, span)
+    got = {(r["z"], r["y"], r["x"]): r["p"] for r in detect.classify_blocks(voxels, grid, span, pad, box, None).collect()}
+    assert seen == [len(rows)] and set(got) == {r[:3] for r in rows}
+    for z0, y0, x0 in ((3, 0, 0), (5, 4, 5), (7, 8, 10)):
+        cut = voxels.where(F.col("z").between(z0, z0 + 1) & F.col("y").between(y0 - 2, y0 + 5) & F.col("x").between(x0 - 3, x0 + 7))
+        for r in ml.pixel_features(cut, scales=ml.SCALES).collect():
+            if y0 <= r["y"] < y0 + 4 and x0 <= r["x"] < x0 + 5:
+                assert abs(got[r["z"], r["y"], r["x"]] - r["tensor1_1_6"]) < 1e-9
+
+
 def test_held_out_slices_get_no_training_features(spark, sf_dir, monkeypatch):
     """A forest's rows come from its own slices: features of the others aren't made and dropped."""
     seen, features = [], ml.pixel_features

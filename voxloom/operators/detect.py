@@ -30,17 +30,17 @@ def find_reticula(voxels: DataFrame, ny: int, nx: int, channel: str = "axoplasmi
 def classify_blocks(voxels: DataFrame, grid: DataFrame, span: dict[str, int], pad: dict[str, int], extent: dict[str, tuple[int, int]], model) -> DataFrame:
     """Grid, padded cutouts, pixel scores by block, pads off again: (z, y, x, p).
 
-    Blocks are kept apart on z by their id, so that neighbours in other blocks aren't seen.
+    A pixel's features lie within its slice, so a block's pad on z would be scored for nothing, and is left out. Blocks of one place on y and x
+    are a column; columns are kept apart on z, so that neighbours in other blocks aren't seen. Pads are seen, not scored.
     """
-    padded = regions.padded(grid, pad, extent)
-    cut = regions.in_regions(voxels, padded, span)
-    # A region's slices follow on each other, and on those of the region before.
-    deep, start = span["z"] + 2 * pad["z"], padded.select("region_id", "z0")
-    apart = F.col("region_id").cast("int") * deep + F.col("z") - F.col("z0")
-    scored = ml.score_pixels(model, cut.join(start, "region_id").select(apart.cast("int").alias("z"), "y", "x", "v"))
-    back = scored.select(F.floor(F.col("z") / deep).cast("bigint").alias("region_id"), (F.col("z") % deep).alias("_z"), "y", "x", F.col("prob")[1].alias("p"))
-    back = back.join(start, "region_id").select("region_id", (F.col("_z") + F.col("z0")).cast("int").alias("z"), "y", "x", "p")
-    return regions.owned(back, grid).select("z", "y", "x", "p")
+    cut = regions.in_regions(voxels, regions.padded(grid, {**pad, "z": 0}, extent), span)
+    (low, high), wide = extent["z"], -(-(extent["x"][1] - extent["x"][0]) // span["x"])
+    deep = max(1, high - low)
+    column = F.floor((F.col("y0") - extent["y"][0]) / span["y"]) * wide + F.floor((F.col("x0") - extent["x"][0]) / span["x"])
+    own = F.col("y").between(F.col("y0"), F.col("y1") - 1) & F.col("x").between(F.col("x0"), F.col("x1") - 1)
+    placed = cut.join(grid.select("region_id", "y0", "y1", "x0", "x1"), "region_id").select((column * deep + F.col("z") - low).cast("int").alias("z"), "y", "x", "v", own.cast("int").alias("own"))
+    scored = ml.score_pixels(model, placed, asked="own")
+    return scored.select((F.col("z") % deep + low).cast("int").alias("z"), "y", "x", F.col("prob")[1].alias("p"))
 
 
 def detect_and_classify(voxels: DataFrame, p: DataFrame, truth: DataFrame, ny: int, nx: int, threshold: float = 0.7, low: int = 5, trees: int = 10) -> DataFrame:

@@ -206,9 +206,9 @@ def scale_names(scales: tuple[float, ...]) -> list[str]:
 def _slope(f: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Central differences down and right, and the sum of differences to the four neighbours; a missing neighbour is the cell itself."""
     side = []
-    for axis, way in ((0, 1), (0, -1), (1, 1), (1, -1)):
+    for axis, way in ((-2, 1), (-2, -1), (-1, 1), (-1, -1)):
         near, have = np.roll(f, -way, axis), np.roll(there, -way, axis)
-        edge = [slice(None)] * 2
+        edge = [slice(None)] * f.ndim
         edge[axis] = -1 if way == 1 else 0
         have[tuple(edge)] = False
         side.append(np.where(have, near, f))
@@ -216,39 +216,49 @@ def _slope(f: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.where(there, (down - up) / 2, 0), np.where(there, (right - left) / 2, 0), np.where(there, down + up + right + left - 4 * f, 0)
 
 
+def _deviation(v: np.ndarray, there: np.ndarray, r: int) -> np.ndarray:
+    """The population deviation of the cells that exist in the (2r+1)^2 box about each inner cell."""
+    mean = np.where(there, v, 0.0).sum((-2, -1), keepdims=True) / np.maximum(there.sum((-2, -1), keepdims=True), 1)
+    near, shifts = np.where(there, v - mean, 0.0), [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+    n = np.maximum(sum(blocks.shifted(there, r, *o).astype(float) for o in shifts), 1)
+    own = sum(blocks.shifted(near, r, *o) for o in shifts) / n
+    return np.sqrt(sum(np.where(blocks.shifted(there, r, *o), blocks.shifted(near, r, *o) - own, 0.0) ** 2 for o in shifts) / n)
+
+
 def _eigen(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The larger and the smaller eigenvalue of [[a, b], [b, c]]."""
     mid, far = (a + c) / 2, np.hypot((a - c) / 2, b)
     return mid + far, mid - far
 
 
-def pixel_features(voxels: DataFrame, value: str = "v", sigma: float = 1.0, scales: tuple[float, ...] = ()) -> DataFrame:
+def pixel_features(voxels: DataFrame, value: str = "v", sigma: float = 1.0, scales: tuple[float, ...] = (), asked: str | None = None) -> DataFrame:
     """(z, y, x, value, smooth, gradient, laplacian, deviation, ...): colour, edge and texture about each voxel.
 
     At each of ``scales`` (``scale_names``): the Gaussian mean, its gradient's size and its Laplacian, and the eigenvalues, larger first, of
     the structure tensor (Gaussian means of products of gradients) and of the Hessian. All of it comes from one pass over blocks with a halo;
-    cells where no voxel is count for nothing, and stand for the voxel itself in a difference.
+    cells where no voxel is count for nothing, and stand for the voxel itself in a difference. ``asked``: a column that is true
+    where features are given; other voxels are only seen.
     """
     r = max(1, round(2 * sigma))
     halo = max([r + 1, *(2 * max(1, round(2 * s)) + 2 for s in scales)])
     names = [*PIXEL, *scale_names(scales)]
 
-    def look(values, there, corner):
+    def look(values, there):
         v = values[0]
         gy, gx, lap = _slope(v, there)
-        mean = v[there].mean() if there.any() else 0.0
-        spread = blocks.row_by_row(blocks.windows(np.where(there, v - mean, np.nan), r), lambda a: np.nanstd(np.where(np.isnan(a).all(2, keepdims=True), 0, a), axis=2))
-        out = [stencil.smoothed(v, there, sigma), np.hypot(gy, gx), lap, np.pad(spread, r)]
+        out = [stencil.smoothed(v, there, sigma), np.hypot(gy, gx), lap, np.pad(_deviation(v, there, r), ((0, 0), (r, r), (r, r)))]
         for s in scales:
-            f = stencil.smoothed(v, there, s)
+            weight = stencil.weighted(there.astype(float), s)
+            f = stencil.smoothed(v, there, s, weight)
             gy, gx, lap = _slope(f, there)
             (yy, yx, _), (xy, xx, _) = _slope(gy, there), _slope(gx, there)
-            out += [f, np.hypot(gy, gx), lap, *_eigen(*(stencil.smoothed(g, there, s) for g in (gy * gy, gy * gx, gx * gx))), *_eigen(yy, (yx + xy) / 2, xx)]
-        cells = blocks.inner(there, halo)
-        return [*blocks.places(cells, halo, corner), *(blocks.inner(f, halo)[cells] for f in (v, *out))]
+            out += [f, np.hypot(gy, gx), lap, *_eigen(*(stencil.smoothed(g, there, s, weight) for g in (gy * gy, gy * gx, gx * gx))), *_eigen(yy, (yx + xy) / 2, xx)]
+        cells = blocks.inner(there if asked is None else there & (values[1] > 0), halo)
+        return cells, [blocks.inner(f, halo)[cells] for f in (v, *out)]
 
     kind = voxels.schema[value].dataType.simpleString()
-    got = blocks.on_slices(voxels.select("z", "y", "x", value), [value], halo, look, "z int, y int, x int, " + ", ".join(f"`{c}` double" for c in (value, *names)), max(blocks.BLOCK, 2 * halo))
+    inputs = [value] if asked is None else [value, asked]
+    got = blocks.on_stacks(voxels.select("z", "y", "x", *inputs), inputs, halo, look, "z int, y int, x int, " + ", ".join(f"`{c}` double" for c in (value, *names)), max(blocks.BLOCK, 2 * halo))
     return got.withColumn(value, F.col(value).cast(kind))
 
 
@@ -259,9 +269,9 @@ def train_pixels(voxels: DataFrame, truth: DataFrame, value: str = "v", label: s
     return train_forest(durable(assemble(rows, [value, *PIXEL, *scale_names(scales)]).select("features", "label")), trees=trees, **how)
 
 
-def score_pixels(model: RandomForestClassificationModel, voxels: DataFrame, value: str = "v", scales: tuple[float, ...] = SCALES) -> DataFrame:
-    """(z, y, x, value, prob array)."""
-    return predict(model, assemble(pixel_features(voxels, value, scales=scales), [value, *PIXEL, *scale_names(scales)])).select("z", "y", "x", value, "prob", "pred")
+def score_pixels(model: RandomForestClassificationModel, voxels: DataFrame, value: str = "v", scales: tuple[float, ...] = SCALES, asked: str | None = None) -> DataFrame:
+    """(z, y, x, value, prob array), of the voxels ``asked`` for."""
+    return predict(model, assemble(pixel_features(voxels, value, scales=scales, asked=asked), [value, *PIXEL, *scale_names(scales)])).select("z", "y", "x", value, "prob", "pred")
 
 
 def tile_scorer(model, scale: float = 1.0) -> Callable[[np.ndarray], np.ndarray]:

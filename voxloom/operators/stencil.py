@@ -153,17 +153,24 @@ def label_interior(labels: DataFrame, r: int, target: int, extent: dict[str, tup
     return blocks.by_slice(is_target, value, r, inside, "inside", "boolean", extent)
 
 
-def smoothed(v: np.ndarray, there: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian means over the existing cells of a box of radius 2 sigma; cells nearer to the edge than that lack some. 0 where nothing exists."""
+def weighted(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Sums over a box of radius 2 sigma on the last two axes, by Gaussian weights; cells beyond the edge count as 0."""
     r = max(1, round(2 * sigma))
     w = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma**2))
+    ny, nx = a.shape[-2:]
+    a = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(r, r), (0, 0)])
+    a = sum(w[k] * a[..., k : k + ny, :] for k in range(2 * r + 1))
+    a = np.pad(a, [(0, 0)] * (a.ndim - 1) + [(r, r)])
+    return sum(w[k] * a[..., k : k + nx] for k in range(2 * r + 1))
 
-    def along(a: np.ndarray, axis: int) -> np.ndarray:
-        a = np.pad(a, [(r, r) if k == axis else (0, 0) for k in range(2)])
-        n = a.shape[axis] - 2 * r
-        return sum(w[k] * np.take(a, range(k, k + n), axis) for k in range(2 * r + 1))
 
-    total, weight = along(along(np.where(there, v, 0.0), 0), 1), along(along(there.astype(float), 0), 1)
+def smoothed(v: np.ndarray, there: np.ndarray, sigma: float, weight: np.ndarray | None = None) -> np.ndarray:
+    """Gaussian means over the existing cells of a box of radius 2 sigma; cells nearer to the edge than that lack some. 0 where nothing exists.
+
+    ``weight``: ``weighted(there)``, if it is known.
+    """
+    total = weighted(np.where(there, v, 0.0), sigma)
+    weight = weighted(there.astype(float), sigma) if weight is None else weight
     return np.where(weight > 0, total / np.where(weight > 0, weight, 1), 0.0)
 
 
