@@ -53,3 +53,17 @@ def test_held_out_slices_get_no_training_features(spark, sf_dir, monkeypatch):
     rows = queries_graph.train_rows(t, queries_graph.TRAIN)
     assert {r["z"] % 7 for r in seen[0].select("z").distinct().collect()} <= {0, 1, 2, 3}
     assert rows.count() == t.fx_em.where(queries_graph.TRAIN).count()
+
+
+def test_packing_holds_few_words():
+    """A worker of the packing stage keeps its words' ids under a bound that two workers of a small executor can hold."""
+    import public_tokenizers
+
+    from voxloom.llm import packing
+
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    made = ids.make
+    ids.make = lambda word: b"\0" * 4
+    for k in range(450_000):
+        ids[b"%d" % k]
+    assert len(ids) + len(ids.old) <= 400_000 and made(b"word") != b""
