@@ -62,7 +62,8 @@ def detect_and_classify(voxels: DataFrame, p: DataFrame, truth: DataFrame, ny: i
 
 def agglomerated(labels: DataFrame, p: DataFrame, threshold: float = 0.5, priority: Callable | None = None) -> DataFrame:
     """Fragments merged while their mean boundary lies under the threshold; labels 1..N."""
-    both = labels.join(p.select("z", "y", "x", "p"), ["z", "y", "x"])
+    labels = durable(labels)  # neighbours meet by a join of the volume with itself, and the result is painted on it
+    both = durable(labels.join(p.select("z", "y", "x", "p"), ["z", "y", "x"]))
     return rag.segmentation(labels, rag.agglomerate(rag.rag(both), threshold, priority))
 
 

@@ -50,7 +50,9 @@ def agglomerate(edges: DataFrame, threshold: float, priority: Callable[[DataFram
     score = priority or (lambda e: e.withColumn("w", F.col("s") / F.col("n")))
     extra = [c for c in edges.columns if c not in ("u", "v")]
     in_parts = priority is None and not once
-    now, joined = durable(edges), None
+    # Edges come from a pass over the volume, and the nodes are asked for again at the end.
+    edges = now = durable(edges)
+    joined = None
 
     def apply(step: DataFrame) -> None:
         nonlocal now, joined
