@@ -15,8 +15,8 @@ from voxloom.sources import sinks
 def watershed_segments(p: DataFrame, ny: int, nx: int, dilate_xy: int = 11, dilate_z: float = 5, threshold: float = 10, min_size: int = 500, median: int = 4, value: str = "p") -> DataFrame:
     """(z, y, x, label): intensity, median, dilation, markers, watershed, size filter, filling, 1..N."""
     v = durable(stencil.median(p.select("z", "y", "x", values.to_intensity(F.col(value)).alias("v")), median))
-    low = stencil.dilate(v, stencil.ball(dilate_xy, dilate_z), top=255) if dilate_xy else v
-    both = v.join(low.withColumnRenamed("v", "m"), ["z", "y", "x"])
+    # Markers and the forest both look at it.
+    both = durable(v.join(stencil.dilate(v, stencil.ball(dilate_xy, dilate_z), top=255).withColumnRenamed("v", "m"), ["z", "y", "x"])) if dilate_xy else v.withColumn("m", F.col("v"))
     grown = rag.watershed(both, threshold, ny, nx, marker_value="m")
     return label.relabel(label.fill_background(regionprops.size_filter(grown, min_size)))
 

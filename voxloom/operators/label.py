@@ -92,9 +92,9 @@ def fill_background(labels: DataFrame, r: int = 3, label: str = "label", max_rou
     just what is still background. Slices go in parallel; it ends when a round changes nothing, so an empty slice stays empty.
     If ``max_rounds`` are given and don't suffice, that is an error.
     """
-    now = labels.select("z", "y", "x", F.col(label).cast("bigint").alias(label))
+    now = durable(labels.select("z", "y", "x", F.col(label).cast("bigint").alias(label)))
     is_label = F.coalesce(F.col(label) > 0, F.lit(False))
-    front, left, filled = now.where(is_label), durable(now.where(~is_label).select("z", "y", "x", F.lit(0).cast("bigint").alias(label))), []
+    front, left, filled = now.where(is_label), now.where(~is_label).select("z", "y", "x", F.lit(0).cast("bigint").alias(label)), []
     filled.append(front)
     for done in count():
         if left.isEmpty():
