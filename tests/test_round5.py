@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxloom.operators import blocks, detect, ml, regions
+from voxloom.operators import blocks, detect, label, ml, rag, regions, sampling
 from voxloom.plans import queries_graph, registry
 
 
@@ -67,3 +67,44 @@ def test_packing_holds_few_words():
     for k in range(450_000):
         ids[b"%d" % k]
     assert len(ids) + len(ids.old) <= 400_000 and made(b"word") != b""
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def once(plan):
+    return "Scan ExistingRDD" in plan and not any(x in plan for x in ("Join", "Pandas", "Exchange"))
+
+
+def test_watershed_dilates_once(spark, sf_dir, monkeypatch):
+    """Markers and the forest read the dilated volume; neither derives it."""
+    seen = []
+    monkeypatch.setattr(rag, "watershed", lambda voxels, *a, **how: seen.append(plan_of(voxels)) or voxels.withColumn("label", F.lit(0).cast("bigint")))
+    monkeypatch.setattr(label, "fill_background", lambda labels, *a, **how: labels)
+    detect.watershed_segments(registry.Tables(spark, sf_dir, keep=True).fx_pt, 25, 50, dilate_xy=1, dilate_z=1, median=1)
+    assert once(seen[0])
+
+
+def test_agglomeration_reads_its_volume_once(spark, sf_dir, monkeypatch):
+    """Neither the adjacency graph nor the result derives labels anew, and the nodes don't come from another pass over the faces."""
+    seen, real = [], rag.rag
+    monkeypatch.setattr(rag, "rag", lambda voxels, *a: seen.append(plan_of(voxels)) or real(voxels, *a))
+    t = registry.Tables(spark, sf_dir, keep=True)
+    detect.agglomerated(t.fx_lbl, t.fx_pt, 0.45)
+    assert once(seen[0])
+    edges = spark.createDataFrame([(1, 2, 1, 0.1), (2, 3, 1, 0.9)], "u bigint, v bigint, n bigint, s double").groupBy("u", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    got = rag.agglomerate(edges, 0.5)
+    assert plan_of(got).count("HashAggregate") <= 2  # the nodes' distinct alone
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_a_sampler_reads_rows_made_once(spark, sf_dir):
+    t, seen = registry.Tables(spark, sf_dir, keep=True), []
+
+    def sampler(rows):
+        seen.append(plan_of(rows))
+        return sampling.hard_first(rows, "t", "v")
+
+    detect.train_tiles(t.fx_em, t.fx_pt, sampler=sampler, iterations=1)
+    assert once(seen[0])

@@ -173,9 +173,10 @@ def train_tiles(voxels: DataFrame, truth: DataFrame, r: int = 2, iterations: int
 
     known = truth.select("z", "y", "x", "t")
     if sampler is None:
-        chosen = sampling.balanced(known, "t")
+        chosen = durable(sampling.balanced(known, "t"))
     else:
-        chosen = durable(sampler(known.join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"])).select("z", "y", "x", "t"))
+        # A sampler counts, ranks and cuts in passes of its own.
+        chosen = durable(sampler(durable(known.join(voxels.select("z", "y", "x", "v"), ["z", "y", "x"]))).select("z", "y", "x", "t"))
     cut = stencil.tiles(voxels, r, centres=chosen).join(chosen.select("z", "y", "x", F.col("t").alias("label")), ["z", "y", "x"])
     flat = F.flatten(F.transform("tile", lambda row: F.transform(row, lambda x: x.cast("double") / SCALE)))
     rows = durable(cut.select(array_to_vector(flat).alias("features"), F.col("label").cast("double").alias("label")))
