@@ -868,3 +868,30 @@ def test_meetings_leave_out_groups_and_chance(spark):
     assert met._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
     assert neardup.slack(512, 96) == 22
     assert neardup.slack(64, 2) == 2
+
+
+def test_families_of_texts_that_are_not_near(spark):
+    """Texts that edits of their own keep apart don't come out of the join; what may be near, or has no number, does."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = [(n, " ".join(edited(base, 5, rng)), n) for n in range(60)]
+    rows += [(n, " ".join(edited(base, 1, rng)), n) for n in (60, 61)]
+    docs = spark.createDataFrame(rows, "node bigint, text string, group bigint")
+    prints = docs.select("node", "group").join(neardup.sketches(docs, "node", "text").drop("sig"), "node").localCheckpoint()
+    sets = neardup.shingle_sets(docs, 5).localCheckpoint()
+    keys = F.array(*neardup.segment_keys(512, 24)).alias("keys")
+
+    def met(nodes, bucket):
+        table = nodes.select("*", F.element_at("fp", -1).alias("tag"), F.explode(keys).alias("key")).drop("fp", "weak")
+        return [(r["a"], r["b"]) for r in neardup.meetings(nodes, table, keys, 512, 3, 96, bucket).collect()]
+
+    numbers = neardup.reaches(sets)
+    every = met(prints, 100)
+    assert len(every) > 500
+    got = met(prints.join(numbers, "node"), 100)
+    assert set(got) == {(a, b) for a, b in every if min(a, b) >= 60} == {(60, 61), (61, 60)}
+    assert len(met(prints.join(numbers, "node"), 0)) < len(met(prints, 0)) / 2
+    # Numbers among others say nothing of a text that has none.
+    some = neardup.reaches(sets.where("node < 61"))
+    assert {x for x in met(prints.join(some, "node", "left"), 100) if 61 in x} == {x for x in every if 61 in x}
+    assert neardup.near_groups(docs.select(F.col("node").alias("id"), "text"), "id").select("least").distinct().count() == 61
